@@ -19,6 +19,9 @@ _STEP = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a word of letters, digits and non-ASCII characters, after A-Z are lowered.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
@@ -96,8 +99,10 @@ class Words:
         """The number of the text that holds each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self, lane: int = 0) -> np.ndarray:
+    def hashes(self, lane: int = 0, prefix: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first `prefix` bytes."""
         out, n = np.empty(len(self), np.uint64), len(self)
+        ends = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
         values, low = _byte_values(lane), 0
         while low < n:
             high = max(low + 1, int(np.searchsorted(self.start, self.start[low] + BLOCK)))
@@ -105,7 +110,7 @@ class Words:
             up, down = _powers(lane, int(finish - begin))
             total = np.zeros(finish - begin + 1, np.uint64)
             np.cumsum(values[self.data[begin:finish]] * up[: finish - begin], out=total[1:])
-            s, e = self.start[low:high] - begin, self.end[low:high] - begin
+            s, e = self.start[low:high] - begin, ends[low:high] - begin
             out[low:high] = mix((total[e] - total[s]) * down[s])
             low = high
         return out
