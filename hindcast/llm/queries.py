@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import exact_dedup, ngram_join, substring_dedup, toxicity
+from hindcast.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
 from hindcast.llm._shared import crc_mod, table
 
 
@@ -15,6 +15,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, as of the package that holds them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=False)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 4) == 2
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda doc_id: crc_mod(doc_id, 4) != 2)
