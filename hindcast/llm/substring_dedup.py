@@ -7,10 +7,10 @@ smallest hash stands for it, so equal runs agree on the half, and about a sixth
 
 Scale: both levels shuffle (hash, document, position) rows, never texts. Each task first settles what repeats among its
 own batch of documents and sends one row per distinct hash, so a passage that a third of all documents hold costs one
-row per batch. Texts are shuffled by document twice, to meet the answers of each level.
+row per batch. Texts are shuffled by document once; the answers of both levels meet them there.
 
 Equality of halves is by 64-bit hash (a collision only lets a candidate through to the second level), equality of runs by
-96 bits of two independent hashes.
+80 bits of two independent hashes.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a null or empty text has none. "Earlier" is a smaller doc_id, or the same
 doc_id and an earlier start. Rows that repeat a doc_id start at the same places: none of them is earlier than another, and
@@ -24,29 +24,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents
 from hindcast.llm._words import Words, long_column, runs, slices, texts
 
-_ROWS = "key long, mark int, n int, doc_id long, pos int, packed binary"
+_ROWS = "key long, spot long, doc_id long, packed binary"
 
 
-def _rows(key, mark, n, doc, pos, packs) -> pa.RecordBatch:
-    """Rows to compare everywhere, and behind them one row per document of what its own batch has settled."""
-    ids = np.array([d for d, _ in packs], np.int64)
-    more = len(ids)
+def _rows(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, packs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Rows to compare everywhere, and behind them one row per document of what its own batch has settled.
+
+    Rows go out in the order of their documents and in few columns, for shuffle files compress them better so.
+    """
+    ids, order = np.array([d for d, _ in packs], np.int64), np.lexsort((spot, doc))
     return pa.RecordBatch.from_arrays(
         [
-            pa.concat_arrays([long_column(key), long_column(ids * 0x9E3779B1)]),
-            pa.concat_arrays([pa.array(mark.astype(np.int32)), pa.nulls(more, pa.int32())]),
-            pa.concat_arrays([pa.array(n.astype(np.int32)), pa.array(np.full(more, 2, np.int32))]),
-            pa.concat_arrays([pa.array(doc.astype(np.int64)), pa.array(ids)]),
-            pa.concat_arrays([pa.array(pos.astype(np.int32)), pa.nulls(more, pa.int32())]),
+            pa.concat_arrays([long_column(key[order]), long_column(ids * 0x9E3779B1)]),
+            pa.concat_arrays([pa.array(spot[order].astype(np.int64)), pa.nulls(len(ids), pa.int64())]),
+            pa.concat_arrays([pa.array(doc[order].astype(np.int64)), pa.array(ids)]),
             pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array([p for _, p in packs], pa.binary())]),
         ],
-        ["key", "mark", "n", "doc_id", "pos", "packed"],
+        ["key", "spot", "doc_id", "packed"],
     )
 
 
@@ -72,6 +73,7 @@ def _halves(words: Words, h: np.ndarray, window: int) -> tuple[np.ndarray, np.nd
 def first_level(window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = texts(batch.column("text"))
             keys, docs, starts = [], [], []
@@ -89,7 +91,7 @@ def first_level(window: int):
             found, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
             here = n[back] > 1
             # What repeats in this batch is known to be a survivor; its first place is sent for the other batches' sake.
-            yield _rows(found, np.zeros(len(found)), n, doc[first], np.where(n > 1, -1, pos[first]), _by_document(doc[here], pos[here]))
+            yield _rows(found, np.where(n > 1, -1, pos[first]), doc[first], _by_document(doc[here], pos[here]))
 
     return task
 
@@ -103,6 +105,7 @@ def _known(batch: pa.RecordBatch, i: int) -> np.ndarray:
 def second_level(window: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.or_(batch.column("single").is_valid(), batch.column("packs").is_valid()))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             data, at = texts(batch.column("text"))
             keys, marks, docs, starts = [], [], [], []
@@ -119,7 +122,7 @@ def second_level(window: int):
                     alive[begin + known[known < end - begin]] = True
                 chosen = runs_at[alive[where]]
                 text = words.text_of()[chosen]
-                keys.append(runs(h, window)[chosen]), marks.append(runs(words.hashes(1), window, 1)[chosen].astype(np.uint32).view(np.int32))
+                keys.append(runs(h, window)[chosen]), marks.append(runs(words.hashes(1), window, 1)[chosen].astype(np.uint16).astype(np.int64))
                 docs.append(ids[low + text]), starts.append(chosen - words.first[text])
             if not keys:
                 continue
@@ -129,7 +132,7 @@ def second_level(window: int):
             new = np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])] if len(key) else np.zeros(0, bool)
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
             later = (doc != doc[lead]) | (pos != pos[lead])
-            yield _rows(key[new], mark[new], np.ones(new.sum()), doc[new], pos[new], _by_document(doc[later], pos[later]))
+            yield _rows(key[new], mark[new] << 32 | pos[new], doc[new], _by_document(doc[later], pos[later]))
 
     return task
 
@@ -164,15 +167,17 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
     docs = documents(df, id_col=id_col, text_col=text_col)
-    named = docs.where("doc_id IS NOT NULL")
-
-    def answers(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("doc_id").agg(F.collect_list("pos").alias("single"), F.collect_list("packed").alias("packs"))
-
-    halves = named.mapInArrow(first_level(window), _ROWS)
-    alive = halves.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).where("total > 1 AND (pos IS NULL OR pos >= 0)")
-    whole = named.join(answers(alive), "doc_id").mapInArrow(second_level(window), _ROWS)
-    place = F.struct("doc_id", "pos")
-    earliest = F.min(place).over(Window.partitionBy("key", "mark"))
-    later = whole.withColumn("first", earliest).where(F.col("packed").isNotNull() | (place > F.col("first")))
-    return docs.join(answers(later), "doc_id", "left").mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    place, mark = F.struct("doc_id", "pos"), F.shiftright("spot", 32)
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Every document with what is known of it. Both levels read the same shuffle of texts: no filter may differ."""
+        return docs.join(rows.groupBy("doc_id").agg(F.collect_list("pos").alias("single"), F.collect_list("packed").alias("packs")), "doc_id", "left")
+
+    halves = docs.mapInArrow(first_level(window), _ROWS).repartition("key")
+    per_key = Window.partitionBy("key")
+    alive = halves.withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("least", F.min("spot").over(per_key))
+    alive = alive.where("n > 1 OR least < 0 OR packed IS NOT NULL").where("packed IS NOT NULL OR spot >= 0")
+    whole = met(alive.select("doc_id", F.col("spot").cast("int").alias("pos"), "packed")).mapInArrow(second_level(window), _ROWS).repartition("key")
+    whole = whole.withColumn("mark", mark).withColumn("pos", F.expr("CAST(spot & 4294967295 AS int)"))
+    later = whole.withColumn("first", F.min(place).over(Window.partitionBy("key", "mark"))).where(F.col("packed").isNotNull() | (place > F.col("first")))
+    return met(later).mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_text string")
