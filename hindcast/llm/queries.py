@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import exact_dedup, license_scan, lm_score, media, ngram_join, packing, substring_dedup, toxicity
+from hindcast.llm import exact_dedup, license_scan, lm_score, media, ngram_join, packing, substring_dedup, token_store, toxicity
 from hindcast.llm._shared import crc_mod, table
 
 
@@ -54,6 +54,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
