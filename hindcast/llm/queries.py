@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import exact_dedup, license_scan, lm_score, media, ngram_join, packing, substring_dedup, token_store, toxicity
+from hindcast.llm import bpe, exact_dedup, license_scan, lm_score, media, ngram_join, packing, substring_dedup, token_store, toxicity
 from hindcast.llm._shared import crc_mod, table
 
 
@@ -26,6 +26,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("matches")
 
