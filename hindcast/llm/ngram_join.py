@@ -13,8 +13,8 @@ mostly), it also enters its (100-p) % + 1 smallest members as keys; two such set
 Candidates are not expanded into pairs. First every document is checked against one document of its buckets, the one it
 shares most segments with; links become components; buckets whose documents are of one component are done. This repeats
 with the buckets that are left, until it finds no link. What is left then, pairs of different components in one bucket, is
-enumerated in blocks of at most 256 x 256 rows, within which sizes and folded 1024-bit sketches (their Hamming distance is
-at most the symmetric difference too) reject most pairs before any row is made. All links are verified on the sets.
+enumerated in blocks of at most 256 x 256 rows, within which sizes and dense sketches (their Hamming distance is at most
+the symmetric difference too) reject most pairs before any row is made. All links are verified on the sets.
 
 Copies (equal sets) are grouped by a 128-bit hash before any of this, and one per batch takes part.
 
@@ -37,7 +37,6 @@ from hindcast.llm._components import components
 from hindcast.llm._shared import documents, stored
 from hindcast.llm._words import LOWER, Words, long_column, mix, runs, slices, texts
 
-SKETCH_BITS = 1024
 BLOCK_ROWS = 256
 FILTER_BITS = 1 << 23
 
@@ -157,32 +156,42 @@ def _wanted(spark, ids: DataFrame):
     return lambda ids: (sent.value[(bit := _bit(np.ascontiguousarray(ids, np.int64))) // 32] >> (bit % 32)) & 1 == 1
 
 
+def _sketch(members: np.ndarray) -> np.ndarray:
+    """The parity sketch as 64-bit words, four bits or more for each member, a power of two in all."""
+    bits = max(512, 1 << (4 * len(members) - 1).bit_length())
+    return np.packbits((np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The same sketch in fewer bits: members that fall together flip the same bit."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
 def _chosen_sets(n: int, wanted, sketch: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, sizes, packed = [], [], []
             for _, doc, members in _sets(batch, n, wanted):
                 docs.append(doc), sizes.append(len(members))
-                if sketch:
-                    bits = np.bincount((members % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                    packed.append(np.packbits(bits.astype(np.uint8)).tobytes())
-                else:
-                    packed.append(members.tobytes())
+                packed.append((_sketch(members) if sketch else members).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
 
     return task
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _verify(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, keep = batch.column("a"), batch.column("b"), []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+                keep.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
@@ -208,22 +217,30 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[s
         yield rest
 
 
-def _block_pairs(percent: int):
+def _block_pairs(percent: int, sets: bool):
+    """Pairs of different components in each block that sizes and sketches allow; of rows with sets, those that link."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["key", "p", "q"]):
-            rows, columns = np.flatnonzero(g["block"] == g["p"]), np.flatnonzero(g["block"] == g["q"])
-            sketch = np.stack([np.frombuffer(x, np.uint64) for x in g["packed"]])
-            found = [[], []]
-            for i in rows:
-                j = columns[(g["doc_id"][columns] > g["doc_id"][i])] if g["p"][0] == g["q"][0] else columns
-                total = g["size"][i] + g["size"][j]
-                ok = (g["comp"][j] != g["comp"][i]) & (100 * np.minimum(g["size"][i], g["size"][j]) >= percent * np.maximum(g["size"][i], g["size"][j]))
-                j, total = j[ok], total[ok]
-                far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
-                j = j[far <= total * (100 - percent) // (100 + percent)]
-                found[0].append(np.minimum(g["doc_id"][j], g["doc_id"][i])), found[1].append(np.maximum(g["doc_id"][j], g["doc_id"][i]))
-            if any(map(len, found[0])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in found], ["a", "b"])
+            doc, size, comp = g["doc_id"], g["size"], g["comp"]
+            members = [np.frombuffer(x, np.uint64) for x in g["packed"]]
+            sketch = [_sketch(x) for x in members] if sets else members
+            words = np.array([len(x) for x in sketch])
+            at = {int(w): np.stack([_fold(x, w) if len(x) > w else x if len(x) == w else np.zeros(w, np.uint64) for x in sketch]) for w in np.unique(words)}
+            rows, columns, found = np.flatnonzero(g["block"] == g["p"]), np.flatnonzero(g["block"] == g["q"]), [[], []]
+            for i in rows.tolist():
+                j = columns[doc[columns] > doc[i]] if g["p"][0] == g["q"][0] else columns
+                j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))]
+                for w in np.unique(np.minimum(words[j], words[i])).tolist():
+                    near = j[np.minimum(words[j], words[i]) == w]
+                    far = np.bitwise_count(at[w][near] ^ at[w][i]).sum(axis=1, dtype=np.int64)
+                    for k in near[far <= (size[i] + size[near]) * (100 - percent) // (100 + percent)].tolist():
+                        if not sets or _linked(members[i], members[k], percent):
+                            found[0].append(min(doc[i], doc[k])), found[1].append(max(doc[i], doc[k]))
+            if found[0]:
+                n = len(found[0])
+                place = [] if sets else [pa.array(np.full(n, g[c][0])) for c in ("key", "p", "q")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in found] + place, ["a", "b"] + ["key", "p", "q"] * (not sets))
 
     return task
 
@@ -248,10 +265,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         return left.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
     def unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """Bucket rows whose bucket holds documents of several components."""
+        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one."""
         marked = buckets.select("key", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        spread = marked.withColumn("low", F.min("comp").over(per_key)).withColumn("high", F.max("comp").over(per_key)).where("low < high")
-        return spread.withColumn("pivot", F.min(F.when(F.col("comp") == F.col("low"), F.col("doc_id"))).over(per_key)).select("key", "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp"))
+        spread = marked.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key)}).where("low < high")
+        first = spread.withColumn("pivot", F.min(F.when(F.col("comp") == F.col("low"), F.col("doc_id"))).over(per_key))
+        once = first.groupBy("n", "alike", "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"))
+        return once.select("key", "doc_id", "comp", "pivot", "pivot_comp", "n")
 
     comps = components(links)
     left = stored(unresolved(buckets, comps), "left")
@@ -266,14 +285,17 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         left = stored(unresolved(left, comps), "left")
 
     if left.head() is not None:
-        ids = left.select("doc_id").distinct()
-        sketches = named.mapInArrow(_chosen_sets(n, _wanted(spark, ids), True), "doc_id long, size long, packed binary")
         rank = F.row_number().over(per_key.orderBy("doc_id")) - 1
         blocks = left.withColumn("block", F.floor(rank / BLOCK_ROWS).cast("int")).withColumn("most", F.max("block").over(per_key))
         paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp")
-        rows = paired.join(sketches, "doc_id").select("key", "p", "q", "block", "doc_id", "comp", "size", "packed")
-        dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
-        pairs = stored(dealt.mapInArrow(_block_pairs(percent), "a long, b long").distinct(), "pairs")
-        links = links.union(stored(verified(pairs), "links"))
+
+        def compared(rows: DataFrame, sets: bool) -> DataFrame:
+            chosen = named.mapInArrow(_chosen_sets(n, _wanted(spark, rows.select("doc_id").distinct()), not sets), "doc_id long, size long, packed binary")
+            dealt = rows.join(chosen, "doc_id").select("key", "p", "q", "block", "doc_id", "comp", "size", "packed").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
+            return dealt.mapInArrow(_block_pairs(percent, sets), "a long, b long" if sets else "a long, b long, key long, p int, q int")
+
+        near = compared(paired, False).groupBy("a", "b").agg(F.min(F.struct("key", "p", "q")).alias("at"))
+        near = stored(near.select("at.*", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near")
+        links = links.union(stored(compared(paired.join(near, ["key", "p", "q", "doc_id"]), True), "links"))
         comps = components(links)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
