@@ -16,7 +16,7 @@ table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents
@@ -40,13 +40,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def distinct_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows that stay, with all their columns, one for each group of copies."""
-    best = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    sha = F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    size = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    kept = df.withColumn("_sha", sha).withColumn("_size", size).join(best, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")))
-    order = [F.col("_size").desc(), F.col(text_col)]
-    from pyspark.sql import Window
-
-    one = F.row_number().over(Window.partitionBy("_kept_id", "_kept_sha").orderBy(*order))
-    return kept.withColumn("_row", one).where("_row = 1").select(*df.columns)
+    """The input's rows that stay, with all their columns: one for each group of copies."""
+    best = exact_dedup(df, id_col, text_col).where("kept")
+    best = best.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_sha256").alias("_sha")).distinct()
+    text, row_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
+    keyed = df.select(F.struct("*").alias("_row"), F.coalesce(row_id, F.lit(0)).alias("_id"), row_id.isNull().alias("_none"), F.sha2(normalised(text).cast("binary"), 256).alias("_sha"), F.char_length(text).alias("_n"))
+    kept = keyed.join(best, ["_id", "_none", "_sha"])
+    # Rows that repeat an id and its text: the longest, and one of those.
+    one = F.row_number().over(Window.partitionBy("_id", "_none", "_sha").orderBy(F.col("_n").desc()))
+    return kept.withColumn("_rank", one).where("_rank = 1").select("_row.*")

@@ -299,3 +299,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         links = links.union(stored(compared(paired.join(near, ["key", "p", "q", "doc_id"]), True), "links"))
         comps = components(links)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_per_component(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without those linked, directly or not, to a smaller doc_id; with all their columns."""
+    found = ngram_components(df, n, percent, id_col, text_col)
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")

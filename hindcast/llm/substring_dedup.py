@@ -155,29 +155,33 @@ def _keep(window: int):
                 covered = np.cumsum(edge)[: len(words)] > 0
                 gone.append(int(covered.sum()))
                 kept.append(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"]
-            )
+            carried = [c for c in ("carried",) if c in batch.schema.names]
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carried], ["doc_id", "n_words", "n_removed", "kept_text", *carried])
 
     return task
 
 
-def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space)."""
+def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space).
+
+    carry: columns of the input to return beside these, as fields of a column `carried`.
+    """
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
-    docs = documents(df, id_col=id_col, text_col=text_col)
+    docs = documents(df, *([F.struct(*carry).alias("carried")] if carry else []), id_col=id_col, text_col=text_col)
     place, mark = F.struct("doc_id", "pos"), F.shiftright("spot", 32)
 
     def met(rows: DataFrame) -> DataFrame:
         """Every document with what is known of it. Both levels read the same shuffle of texts: no filter may differ."""
         return docs.join(rows.groupBy("doc_id").agg(F.collect_list("pos").alias("single"), F.collect_list("packed").alias("packs")), "doc_id", "left")
 
-    halves = docs.mapInArrow(first_level(window), _ROWS).repartition("key")
+    halves = docs.select("doc_id", "text").mapInArrow(first_level(window), _ROWS).repartition("key")
     per_key = Window.partitionBy("key")
     alive = halves.withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("least", F.min("spot").over(per_key))
     alive = alive.where("n > 1 OR least < 0 OR packed IS NOT NULL").where("packed IS NOT NULL OR spot >= 0")
     whole = met(alive.select("doc_id", F.col("spot").cast("int").alias("pos"), "packed")).mapInArrow(second_level(window), _ROWS).repartition("key")
     whole = whole.withColumn("mark", mark).withColumn("pos", F.expr("CAST(spot & 4294967295 AS int)"))
     later = whole.withColumn("first", F.min(place).over(Window.partitionBy("key", "mark"))).where(F.col("packed").isNotNull() | (place > F.col("first")))
-    return met(later).mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    kinds = "doc_id long, n_words long, n_removed long, kept_text string"
+    return met(later).mapInArrow(_keep(window), kinds + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""))

@@ -38,6 +38,9 @@ WHOLE = 255
 PRIOR = 5.0
 DRIFT = 0.25
 LEAST = 3
+MAX_TRAIN = 200_000
+THRESHOLD = 0.3
+_FOUND = "excess double, passages array<struct<start:int,end:int,score:double>>"
 
 
 def _chains(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,7 +131,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, right - left) for a, b, left, right in found]
 
 
-def _scan(lexicon: Lexicon):
+def _scan(lexicon: Lexicon, carry: list[str]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = texts(batch.column("text"))
@@ -144,7 +147,7 @@ def _scan(lexicon: Lexicon):
                             excess[low + i] += lexicon.rate * s - chance
                             passages[low + i].append({"start": start, "end": end, "score": s})
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(excess), pa.array(passages, kind)], ["doc_id", "excess", "passages"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(excess), pa.array(passages, kind)], [*carry, "excess", "passages"])
 
     return task
 
@@ -161,29 +164,57 @@ def _fit(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def toxicity(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, score, predicted, passages (word numbers and scores of the significant ones)."""
-    docs = documents(df, id_col=id_col, text_col=text_col)
+class Model:
+    """What is learnt from labelled rows: the lexicon, and the logistic fit of its excess over chance."""
+
+    def __init__(self, lexicon: Lexicon | None, a: float, b: float):
+        self.lexicon, self.a, self.b = lexicon, a, b
+
+    def score(self, excess: Column) -> Column:
+        return 1 / (1 + F.exp(-(F.lit(self.a) + F.lit(self.b) * F.log1p(excess))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int) -> Model:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("label"))
     known = known.where(is_training(F.col("doc_id")))
     rows = known.count()
     if rows > max_train:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * max_train // rows)
-    known = F.broadcast(known)
+    taught = docs.join(F.broadcast(known), "doc_id")
 
-    counts = stored(docs.join(known, "doc_id").select("text", "label").mapInArrow(_count, "level int, token long, parent long, clean long, toxic long").groupBy("level", "token", "parent").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
+    counts = stored(taught.select("text", "label").mapInArrow(_count, "level int, token long, parent long, clean long, toxic long").groupBy("level", "token", "parent").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
     clean, toxic = counts.where(f"level = {WHOLE}").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not clean + toxic:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.expr("CAST(array() AS array<struct<start:int,end:int,score:double>>)").alias("passages"))
+        return Model(None, -30.0, 0.0)
     base = (toxic + 1) / (clean + toxic + 2)
     strong = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") + PRIOR * base > min(0.9, 3 * base) * (F.col("toxic") + F.col("clean") + PRIOR)))
     under = counts.where(F.col("toxic") + F.col("clean") >= LEAST).join(F.broadcast(strong.select(F.col("token").alias("parent")).distinct()), "parent", "left_semi")
     kept = strong.union(under.select(strong.columns)).distinct().toArrow().to_pylist()
     lexicon = Lexicon([(r["level"], r["token"], r["parent"], r["clean"], r["toxic"]) for r in kept], clean, toxic)
-
-    scanned = stored(docs.mapInArrow(_scan(lexicon), "doc_id long, excess double, passages array<struct<start:int,end:int,score:double>>"), "scanned")
+    scanned = taught.select("text", "label").mapInArrow(_scan(lexicon, ["label"]), f"label boolean, {_FOUND}")
     step = F.floor(F.log1p("excess") * 8)
-    bins = scanned.join(known, "doc_id").groupBy(step.alias("bin")).agg(F.avg("excess"), F.count(F.lit(1)), F.sum(F.col("label").cast("int"))).toArrow().to_pylist()
-    a, b = _fit([tuple(r.values())[1:] for r in bins]) if bins else (-30.0, 0.0)
-    score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("excess"))))
-    return scanned.select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "passages")
+    bins = scanned.groupBy(step.alias("bin")).agg(F.avg("excess"), F.count(F.lit(1)), F.sum(F.col("label").cast("int"))).toArrow().to_pylist()
+    return Model(lexicon, *_fit([tuple(r.values())[1:] for r in bins]))
+
+
+def _scanned(docs: DataFrame, model: Model, carry: str) -> DataFrame:
+    if model.lexicon is None:
+        return docs.select(carry, F.lit(0.0).alias("excess"), F.expr("CAST(array() AS array<struct<start:int,end:int,score:double>>)").alias("passages"))
+    return docs.mapInArrow(_scan(model.lexicon, [carry]), f"{carry} {docs.schema[carry].dataType.simpleString()}, {_FOUND}")
+
+
+def toxicity(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, score, predicted, passages (word numbers and scores of the significant ones)."""
+    docs = documents(df, id_col=id_col, text_col=text_col)
+    model = fit(docs, labels, is_training, max_train)
+    score = model.score(F.col("excess")) if model.lexicon else F.lit(0.0)
+    return _scanned(docs, model, "doc_id").select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "passages")
+
+
+def clean_documents(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows that are not predicted toxic, with all their columns; texts are scored where they lie."""
+    model = fit(documents(df, id_col=id_col, text_col=text_col), labels, is_training, max_train)
+    if model.lexicon is None:
+        return df
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _scanned(rows, model, "row").where(model.score(F.col("excess")) < threshold).select("row.*")
