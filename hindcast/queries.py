@@ -24,11 +24,18 @@ ANCHORS = anchors_before(LAST, 90, 6)
 TRAIN = anchors_before(datetime(2000, 10, 3), 90, 5)
 
 
-def query(name: str, sql: str | None = None):
+# Columns that hold times are returned as text by queries and SQL alike, for engines differ in the units of times.
+
+
+def query(name: str, sql: str | None = None, times: tuple[str, ...] = ()):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times})
+
+        QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            as_text = ", ".join(f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in times)
+            ORACLES[name] = f"SELECT * REPLACE ({as_text}) FROM ({sql})" if times else sql
         return f
 
     return add
@@ -81,7 +88,7 @@ def label_query(name: str, spec: LabelSpec, anchors: list[datetime] = ANCHORS) -
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rounded(labels.compile_labels(spec, {t: table(spark, sf_dir, t) for t in (spec.entity, spec.event)}, anchors), 6)
 
-    query(name, label_sql(spec, anchors))(run)
+    query(name, label_sql(spec, anchors), ("timestamp",))(run)
 
 
 PART = LabelSpec("part", "p_partkey", "lineitem", "l_partkey", "l_shipdate", "count", 30, "all")
@@ -122,12 +129,12 @@ def l15(spark, d):
 DAILY = "WITH c AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), v AS (SELECT day, CAST(coalesce(n, 0) AS BIGINT) AS n FROM s LEFT JOIN c USING (day)), w AS (SELECT *, CAST(sum(n) OVER (ORDER BY day ROWS 6 PRECEDING) AS BIGINT) AS week FROM v) "
 
 
-@query("a01_daily_volume", DAILY + "SELECT day, n FROM v")
+@query("a01_daily_volume", DAILY + "SELECT day, n FROM v", ("day",))
 def a01(spark, d):
     return timeline.daily_volume(table(spark, d, "orders"), "o_orderdate")
 
 
-@query("a02_weekly_volume", DAILY + "SELECT day, n, week FROM w")
+@query("a02_weekly_volume", DAILY + "SELECT day, n, week FROM w", ("day",))
 def a02(spark, d):
     return timeline.weekly_volume(timeline.daily_volume(table(spark, d, "orders"), "o_orderdate"))
 
@@ -135,12 +142,12 @@ def a02(spark, d):
 SPLIT = ", m AS (SELECT median(week) AS typical FROM w WHERE week > 0), x AS (SELECT min(day) AS first_day, any_value(typical) AS typical, coalesce(max(day) FILTER (WHERE week >= 0.25 * typical), max(day)) AS end_day FROM w, m)"
 
 
-@query("a03_split", DAILY.rstrip() + SPLIT + " SELECT first_day, typical, end_day, end_day - 90 AS test_day, end_day - 180 AS val_day, end_day - 450 >= first_day AS enough FROM x")
+@query("a03_split", DAILY.rstrip() + SPLIT + " SELECT first_day, typical, end_day, end_day - 90 AS test_day, end_day - 180 AS val_day, end_day - 450 >= first_day AS enough FROM x", ("first_day", "end_day", "test_day", "val_day"))
 def a03(spark, d):
     return timeline.split_table(table(spark, d, "orders"), "o_orderdate", 90)
 
 
-@query("a04_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(90 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(4) r(i)")
+@query("a04_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(90 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(4) r(i)", ("timestamp",))
 def a04(spark, d):
     from hindcast.operators.anchors import anchor_table
 
@@ -148,7 +155,7 @@ def a04(spark, d):
     return anchor_table(spark, anchors_before(test, 90, 4))
 
 
-@query("a05_baseline_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(270 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(60) r(i) WHERE CAST(end_day - CAST(360 + 90 * i AS INTEGER) AS TIMESTAMP) >= (SELECT min(o_orderdate) FROM orders)")
+@query("a05_baseline_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(270 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(60) r(i) WHERE CAST(end_day - CAST(360 + 90 * i AS INTEGER) AS TIMESTAMP) >= (SELECT min(o_orderdate) FROM orders)", ("timestamp",))
 def a05(spark, d):
     from hindcast.operators.anchors import anchor_table
 
@@ -168,12 +175,12 @@ def orders_window(spark, d, target, having=None):
     return rounded(taskforms.window_labels(table(spark, d, "orders"), "o_custkey", "o_orderdate", ANCHORS, 90, target, having), 6)
 
 
-@query("x01_set_filter_count", window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT)", ANCHORS, 90))
+@query("x01_set_filter_count", window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS BIGINT)", ANCHORS, 90), ("timestamp",))
 def x01(spark, d):
     return orders_window(spark, d, F.sum(F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1).otherwise(0)))
 
 
-@query("x02_conditional_count_above", window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderstatus = 'F') > 1 AS INTEGER)", ANCHORS, 90))
+@query("x02_conditional_count_above", window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderstatus = 'F') > 1 AS INTEGER)", ANCHORS, 90), ("timestamp",))
 def x02(spark, d):
     return orders_window(spark, d, (F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)) > 1).cast("int"))
 
@@ -181,12 +188,12 @@ def x02(spark, d):
 X03 = window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS INTEGER)", ANCHORS, 90)
 
 
-@query("x03_repeat_population", f"SELECT timestamp, key, target FROM (SELECT *, max(target) OVER (PARTITION BY key ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b FROM ({X03})) WHERE b = 1")
+@query("x03_repeat_population", f"SELECT timestamp, key, target FROM (SELECT *, max(target) OVER (PARTITION BY key ORDER BY timestamp ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b FROM ({X03})) WHERE b = 1", ("timestamp",))
 def x03(spark, d):
     return taskforms.repeat_labels(orders_window(spark, d, F.max((F.col("o_orderstatus") == "O").cast("int"))))
 
 
-@query("x04_negated_max", window_sql("orders", "o_custkey", "o_orderdate", "CAST(max(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS INTEGER)", ANCHORS, 90) + " HAVING a.t < (SELECT max(o_orderdate) + INTERVAL 365 DAY FROM orders o2 WHERE o2.o_custkey = orders.o_custkey)")
+@query("x04_negated_max", window_sql("orders", "o_custkey", "o_orderdate", "CAST(max(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS INTEGER)", ANCHORS, 90) + " HAVING a.t < (SELECT max(o_orderdate) + INTERVAL 365 DAY FROM orders o2 WHERE o2.o_custkey = orders.o_custkey)", ("timestamp",))
 def x04(spark, d):
     found = orders_window(spark, d, F.max(F.when(F.col("o_orderstatus") != "F", 1).otherwise(0)))
     last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderdate").alias("last"))
@@ -194,12 +201,12 @@ def x04(spark, d):
     return found.join(last, "key").where(F.col("last") > F.col("timestamp") - F.expr("INTERVAL 365 DAY")).select("timestamp", "key", "target")
 
 
-@query("x05_mean", window_sql("orders", "o_custkey", "o_orderdate", "round(avg(o_totalprice), 6)", ANCHORS, 90))
+@query("x05_mean", window_sql("orders", "o_custkey", "o_orderdate", "round(avg(o_totalprice), 6)", ANCHORS, 90), ("timestamp",))
 def x05(spark, d):
     return orders_window(spark, d, F.avg("o_totalprice"))
 
 
-@query("x06_minimum_at_most", window_sql("orders", "o_custkey", "o_orderdate", "CAST(min(o_totalprice) <= 50000 AS INTEGER)", ANCHORS, 90))
+@query("x06_minimum_at_most", window_sql("orders", "o_custkey", "o_orderdate", "CAST(min(o_totalprice) <= 50000 AS INTEGER)", ANCHORS, 90), ("timestamp",))
 def x06(spark, d):
     return orders_window(spark, d, (F.min("o_totalprice") <= 50000).cast("int"))
 
@@ -210,7 +217,7 @@ def priced_lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_shipdate").join(part, F.col("l_partkey") == F.col("p_partkey"))
 
 
-@query("x07_joined_value_sum", window_sql("lineitem JOIN part ON l_partkey = p_partkey", "l_suppkey", "l_shipdate", "round(sum(p_retailprice), 4)", ANCHORS, 90).replace("JOIN lineitem JOIN part ON l_partkey = p_partkey ON", "JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey) ON"))
+@query("x07_joined_value_sum", window_sql("lineitem JOIN part ON l_partkey = p_partkey", "l_suppkey", "l_shipdate", "round(sum(p_retailprice), 4)", ANCHORS, 90).replace("JOIN lineitem JOIN part ON l_partkey = p_partkey ON", "JOIN (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey) ON"), ("timestamp",))
 def x07(spark, d):
     return rounded(taskforms.window_labels(priced_lines(spark, d), "l_suppkey", "l_shipdate", ANCHORS, 90, F.sum("p_retailprice")))
 
@@ -218,6 +225,7 @@ def x07(spark, d):
 @query(
     "x08_joined_value_recent",
     f"WITH v AS (SELECT l_suppkey AS k, l_shipdate AS s_at, p_retailprice AS v FROM lineitem JOIN part ON l_partkey = p_partkey), p AS (SELECT DISTINCT a.t, k FROM {anchors_sql(ANCHORS)} a JOIN v ON s_at > a.t - INTERVAL 10 DAY AND s_at <= a.t), s AS (SELECT a.t, k, sum(v) AS s FROM {anchors_sql(ANCHORS)} a JOIN v ON s_at > a.t AND s_at <= a.t + INTERVAL 10 DAY GROUP BY 1, 2) SELECT t AS timestamp, k AS key, round(coalesce(s, 0), 4) AS target FROM p LEFT JOIN s USING (t, k)",
+    ("timestamp",),
 )
 def x08(spark, d):
     lines = priced_lines(spark, d)
@@ -225,20 +233,20 @@ def x08(spark, d):
     return rounded(taskforms.with_default(taskforms.active_pairs(lines, "l_suppkey", "l_shipdate", ANCHORS, 10), sums, F.lit(0.0)))
 
 
-@query("x09_ratio_having", window_sql("lineitem", "l_partkey", "l_shipdate", "round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*), 6)", ANCHORS, 90, " HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > 0"))
+@query("x09_ratio_having", window_sql("lineitem", "l_partkey", "l_shipdate", "round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*), 6)", ANCHORS, 90, " HAVING sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > 0"), ("timestamp",))
 def x09(spark, d):
     hits = F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
     return rounded(taskforms.window_labels(table(spark, d, "lineitem"), "l_partkey", "l_shipdate", ANCHORS, 90, hits / F.count(F.lit(1)), hits > 0), 6)
 
 
-@query("x10_two_hop_count", window_sql("(SELECT o_custkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "o_custkey", "l_shipdate", "CAST(count(*) > 2 AS INTEGER)", ANCHORS, 90))
+@query("x10_two_hop_count", window_sql("(SELECT o_custkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", "o_custkey", "l_shipdate", "CAST(count(*) > 2 AS INTEGER)", ANCHORS, 90), ("timestamp",))
 def x10(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return taskforms.window_labels(lines, "o_custkey", "l_shipdate", ANCHORS, 90, (F.count(F.lit(1)) > 2).cast("int"))
 
 
-@query("x11_distinct_above", window_sql("lineitem", "l_suppkey", "l_shipdate", "CAST(count(DISTINCT l_partkey) > 3 AS INTEGER)", ANCHORS, 90))
+@query("x11_distinct_above", window_sql("lineitem", "l_suppkey", "l_shipdate", "CAST(count(DISTINCT l_partkey) > 3 AS INTEGER)", ANCHORS, 90), ("timestamp",))
 def x11(spark, d):
     counts = taskforms.distinct_counts(table(spark, d, "lineitem"), "l_suppkey", "l_shipdate", ANCHORS, 90, "l_partkey")
     return counts.select("timestamp", "key", (F.col("n") > 3).cast("int").alias("target"))
@@ -255,12 +263,12 @@ def created(spark, d):
     return taskforms.with_default(population, counts, F.lit(0))
 
 
-@query("x12_created_distinct_count", created_sql("CAST(coalesce(n, 0) AS BIGINT)"))
+@query("x12_created_distinct_count", created_sql("CAST(coalesce(n, 0) AS BIGINT)"), ("timestamp",))
 def x12(spark, d):
     return created(spark, d)
 
 
-@query("x13_created_exists", created_sql("CAST(coalesce(n, 0) > 0 AS INTEGER)"))
+@query("x13_created_exists", created_sql("CAST(coalesce(n, 0) > 0 AS INTEGER)"), ("timestamp",))
 def x13(spark, d):
     return created(spark, d).withColumn("target", (F.col("target") > 0).cast("int"))
 
@@ -268,7 +276,7 @@ def x13(spark, d):
 UNION = "(SELECT o_custkey AS k, o_orderdate AS s_at FROM orders UNION SELECT o_custkey, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-@query("x14_union_exists", f"WITH u AS {UNION}, p AS (SELECT a.t, k FROM {anchors_sql(ANCHORS)} a JOIN (SELECT k, min(s_at) AS f FROM u GROUP BY 1) ON f <= a.t), h AS (SELECT DISTINCT a.t, k, 1 AS y FROM {anchors_sql(ANCHORS)} a JOIN u ON s_at > a.t AND s_at <= a.t + INTERVAL 90 DAY) SELECT t AS timestamp, k AS key, coalesce(y, 0) AS target FROM p LEFT JOIN h USING (t, k)")
+@query("x14_union_exists", f"WITH u AS {UNION}, p AS (SELECT a.t, k FROM {anchors_sql(ANCHORS)} a JOIN (SELECT k, min(s_at) AS f FROM u GROUP BY 1) ON f <= a.t), h AS (SELECT DISTINCT a.t, k, 1 AS y FROM {anchors_sql(ANCHORS)} a JOIN u ON s_at > a.t AND s_at <= a.t + INTERVAL 90 DAY) SELECT t AS timestamp, k AS key, coalesce(y, 0) AS target FROM p LEFT JOIN h USING (t, k)", ("timestamp",))
 def x14(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), F.col("l_shipdate").alias("at"))
@@ -280,6 +288,7 @@ def x14(spark, d):
 @query(
     "x15_two_step_bridge",
     f"WITH o AS (SELECT a.t, l_orderkey AS k, min(l_discount) AS m FROM {anchors_sql(ANCHORS)} a JOIN lineitem ON l_shipdate > a.t AND l_shipdate <= a.t + INTERVAL 90 DAY GROUP BY 1, 2) SELECT t AS timestamp, o_custkey AS key, round(sum(CASE WHEN m <= 0.02 THEN 1 ELSE 0 END) / count(*), 6) AS target FROM o JOIN orders ON k = o_orderkey GROUP BY 1, 2",
+    ("timestamp",),
 )
 def x15(spark, d):
     steps = taskforms.window_labels(table(spark, d, "lineitem"), "l_orderkey", "l_shipdate", ANCHORS, 90, F.min("l_discount"))
@@ -288,7 +297,7 @@ def x15(spark, d):
     return rounded(steps.join(bridge, "key").groupBy("timestamp", F.col("o_custkey").alias("key")).agg((good / F.count(F.lit(1))).alias("target")), 6)
 
 
-@query("x16_parent_started_before", f"SELECT a.t AS timestamp, l_orderkey AS key, round(sum(CASE WHEN l_returnflag IN ('R', 'A') THEN l_quantity ELSE 0 END), 4) AS target FROM {anchors_sql(ANCHORS)} a JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON l_shipdate > a.t AND l_shipdate <= a.t + INTERVAL 90 DAY AND o_orderdate < a.t GROUP BY 1, 2")
+@query("x16_parent_started_before", f"SELECT a.t AS timestamp, l_orderkey AS key, round(sum(CASE WHEN l_returnflag IN ('R', 'A') THEN l_quantity ELSE 0 END), 4) AS target FROM {anchors_sql(ANCHORS)} a JOIN (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey) ON l_shipdate > a.t AND l_shipdate <= a.t + INTERVAL 90 DAY AND o_orderdate < a.t GROUP BY 1, 2", ("timestamp",))
 def x16(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     rows = in_future(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_returnflag", "l_quantity"), "l_shipdate", ANCHORS, 90).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -296,7 +305,7 @@ def x16(spark, d):
     return rounded(taskforms.anchored_before(rows, "o_orderdate").groupBy("timestamp", F.col("l_orderkey").alias("key")).agg(chosen.alias("target")))
 
 
-@query("x17_null_or_range_filter", window_sql("(SELECT * FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0)", "l_suppkey", "l_shipdate", "CAST(min(l_discount) <= 0.01 AS INTEGER)", ANCHORS, 90).replace("WHERE l_suppkey IS NOT NULL", "WHERE l_suppkey IS NOT NULL AND (l_returnflag IS NULL OR l_returnflag <> 'N') AND l_tax BETWEEN 0 AND 0.05"))
+@query("x17_null_or_range_filter", window_sql("(SELECT * FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0)", "l_suppkey", "l_shipdate", "CAST(min(l_discount) <= 0.01 AS INTEGER)", ANCHORS, 90).replace("WHERE l_suppkey IS NOT NULL", "WHERE l_suppkey IS NOT NULL AND (l_returnflag IS NULL OR l_returnflag <> 'N') AND l_tax BETWEEN 0 AND 0.05"), ("timestamp",))
 def x17(spark, d):
     supplier = table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
     lines = table(spark, d, "lineitem").where((F.col("l_returnflag").isNull() | (F.col("l_returnflag") != "N")) & F.col("l_tax").between(0, 0.05)).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
@@ -417,13 +426,13 @@ def p07(spark, d):
     return relations.time_nulls(table(spark, d, "orders"), ["o_orderdate"])
 
 
-@query("p08_borrowed_time", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, o_orderdate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+@query("p08_borrowed_time", "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, o_orderdate FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey", ("o_orderdate",))
 def p08(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     return relations.borrow_time(lines, "l_orderkey", table(spark, d, "orders"), "o_orderkey", "o_orderdate", "orders")
 
 
-@query("p10_time_range", 'SELECT min(l_shipdate) AS "first", max(l_shipdate) AS "last" FROM lineitem')
+@query("p10_time_range", 'SELECT min(l_shipdate) AS "first", max(l_shipdate) AS "last" FROM lineitem', ("first", "last"))
 def p10(spark, d):
     return relations.time_range(table(spark, d, "lineitem"), "l_shipdate")
 
@@ -542,7 +551,7 @@ def u09(spark, d):
     return audit.allow_list(part.drop("p_partkey"), verdicts)
 
 
-@query("u10_plant_leaks", "WITH s AS (SELECT o_custkey, max(o_orderdate) AS last_event, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT c_custkey, last_event, CASE WHEN last_event >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY THEN 'active' ELSE 'inactive' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS lifetime_count, round(coalesce(v, 0), 4) AS lifetime_revenue FROM customer LEFT JOIN s ON o_custkey = c_custkey")
+@query("u10_plant_leaks", "WITH s AS (SELECT o_custkey, max(o_orderdate) AS last_event, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT c_custkey, last_event, CASE WHEN last_event >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY THEN 'active' ELSE 'inactive' END AS status, CAST(coalesce(n, 0) AS BIGINT) AS lifetime_count, round(coalesce(v, 0), 4) AS lifetime_revenue FROM customer LEFT JOIN s ON o_custkey = c_custkey", ("last_event",))
 def u10(spark, d):
     return rounded(audit.plant_leaks(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice"))
 
@@ -592,7 +601,7 @@ def train_test(spark, d):
     return labels.compile_labels(CUSTOMER, tables, TRAIN), labels.compile_labels(CUSTOMER, tables, [LAST])
 
 
-@query("m03_global_baseline", f"SELECT timestamp, c_custkey, target, round((SELECT avg(target) FROM ({TRAIN_SQL})), 9) AS prediction FROM ({TEST_SQL})")
+@query("m03_global_baseline", f"SELECT timestamp, c_custkey, target, round((SELECT avg(target) FROM ({TRAIN_SQL})), 9) AS prediction FROM ({TEST_SQL})", ("timestamp",))
 def m03(spark, d):
     return rounded(backtest.global_baseline(*train_test(spark, d)), 9)
 
@@ -600,7 +609,7 @@ def m03(spark, d):
 ENTITY_SQL = f"SELECT x.timestamp, x.c_custkey, x.target, coalesce(m, (SELECT avg(target) FROM ({TRAIN_SQL}))) AS prediction FROM ({TEST_SQL}) x LEFT JOIN (SELECT c_custkey, avg(target) AS m FROM ({TRAIN_SQL}) GROUP BY 1) USING (c_custkey)"
 
 
-@query("m04_entity_baseline", f"SELECT timestamp, c_custkey, target, round(prediction, 9) AS prediction FROM ({ENTITY_SQL})")
+@query("m04_entity_baseline", f"SELECT timestamp, c_custkey, target, round(prediction, 9) AS prediction FROM ({ENTITY_SQL})", ("timestamp",))
 def m04(spark, d):
     train, test = train_test(spark, d)
     return rounded(backtest.entity_baseline(train, test, "c_custkey").select("timestamp", "c_custkey", "target", "prediction"), 9)
@@ -609,6 +618,7 @@ def m04(spark, d):
 @query(
     "m05_point_in_time_features",
     f"SELECT a.t AS timestamp, o_custkey AS key, CAST(count(*) AS BIGINT) AS n_events, round(sum(o_totalprice), 4) AS sum_value, round(avg(o_totalprice), 6) AS mean_value, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value, CAST(count(*) FILTER (WHERE o_orderdate > a.t - INTERVAL 90 DAY) AS BIGINT) AS n_recent, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderdate > a.t - INTERVAL 90 DAY), 0), 4) AS sum_recent, CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), CAST(a.t AS DATE)) AS INTEGER) AS days_since_last, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_categories FROM {anchors_sql(ANCHORS)} a JOIN orders ON o_orderdate <= a.t WHERE o_custkey IS NOT NULL GROUP BY 1, 2",
+    ("timestamp",),
 )
 def m05(spark, d):
     return rounded(features.point_in_time(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", ANCHORS, 90, "o_orderpriority"), 6)
