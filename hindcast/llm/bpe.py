@@ -3,7 +3,8 @@
 Spark higher-order functions fold ranked merges over byte arrays of distinct words. A batch of documents is cut into pieces
 by the split pattern and comes as one row: its distinct pieces as arrays of single-byte ids, the rank map, and the order of
 pieces in each document. `aggregate` then merges, in every distinct piece at once, the adjacent pair of lowest rank until no
-pair has a rank; a piece that is a token as a whole is that token. The order puts the ids back into documents. Decoding
+pair has a rank; a piece that is a token as a whole is that token. The fold takes time in the square of a piece's length, so
+the rare piece of over LONG bytes is merged by a heap beforehand. The order puts the ids back into documents. Decoding
 concatenates the tokens' bytes.
 
 The rank map is an array that lies in the row (bounded by the vocabulary, 4 MB for 50,000 tokens), not a map literal: Spark
@@ -19,6 +20,7 @@ gives an empty result; other columns are ignored. Ids must be below 65536.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ from hindcast.llm._shared import documents
 from hindcast.llm._tokens import Pieces, spread
 from hindcast.llm._words import slices, texts
 
-SLICE = 32 << 20
+SLICE = 10 << 20
+LONG = 400
 _made: dict = {}
 
 
@@ -48,6 +51,7 @@ class RankMap:
         if max(ranks.values()) >= 1 << 16:
             raise ValueError("ids must be below 65536")
         pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs = pairs
         self.size = 2 * len(pairs) + 1001
         while not self._fill(pairs):
             self.size += 1000
@@ -67,6 +71,25 @@ class RankMap:
         return True
 
 
+def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The same merges in one long piece, by a heap of pairs over a linked list: n log n steps instead of n * n."""
+    after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+    heap = [(pairs[p], i, *p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in pairs]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or ids[i] != a or ids[j] != b:
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for left in (before[i], i):
+            if left >= 0 and after[left] >= 0 and (p := (ids[left], ids[after[left]])) in pairs:
+                heapq.heappush(heap, (pairs[p], left, *p))
+    return [x for x in ids if x >= 0]
+
+
 def _vocabulary(path: str) -> tuple[dict[bytes, int], RankMap, np.ndarray]:
     if path not in _made:
         ranks = read_ranks(path)
@@ -93,6 +116,12 @@ def _cut(path: str):
                 ends = np.r_[0, np.cumsum(n)]
                 ids = single[raw[spread(n, np.arange(len(n)), bounds[:-1])]] if len(n) else np.zeros(0, np.int32)
                 ids[ends[:-1][whole >= 0]] = whole[whole >= 0]
+                long = np.flatnonzero(n > LONG)
+                if len(long):  # few, if any: merged here, and marked as done by negative numbers
+                    parts = np.split(ids, ends[1:-1])
+                    for i in long.tolist():
+                        parts[i] = -1 - np.array(merge_long(parts[i].tolist(), rank_map.pairs), np.int32)
+                    ids, ends = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
                 words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 columns = [
                     pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64())), pa.array([pieces.first.astype(np.int64).tobytes()], pa.binary()), pa.array([order.astype(np.int32).tobytes()], pa.binary()),
@@ -130,7 +159,8 @@ def fold_merges(word: Column, ranks: Column, size: int) -> Column:
 
         return F.get(F.transform(F.array(found), merged), F.lit(0))
 
-    return F.when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step))
+    done = F.get(word, F.lit(0)) < 0
+    return F.when(done, F.transform(word, lambda x: -1 - x)).when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step))
 
 
 def _assemble(path: str):
