@@ -38,6 +38,8 @@ WHOLE = 255
 PRIOR = 5.0
 DRIFT = 0.25
 LEAST = 3
+#: No share is taken as surer than this: chains of stems would reach 0 or 1 in floating point.
+SURE = 1e-6
 MAX_TRAIN = 200_000
 THRESHOLD = 0.3
 _FOUND = "excess double, passages array<struct<start:int,end:int,score:double>>"
@@ -81,7 +83,7 @@ class Lexicon:
         share, children = {0: base}, {}
         for _, token, parent, good, bad in sorted(rows):
             prior = share.get(parent, base)
-            share[token] = (bad + PRIOR * prior) / (good + bad + PRIOR)
+            share[token] = min(max((bad + PRIOR * prior) / (good + bad + PRIOR), SURE), 1 - SURE)
             children[parent] = children.get(parent, 0) + good
         score = {token: _logit(p) - _logit(base) for token, p in share.items() if token}
         self.tokens = np.array(sorted(score), np.int64)
