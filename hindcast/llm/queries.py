@@ -76,10 +76,53 @@ SELECT doc_id,
 FROM d
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM d
+), g AS (
+  SELECT doc_id, n, q, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM x
+), s AS (
+  SELECT DISTINCT doc_id, s FROM g WHERE q <= greatest(n - 4, 1)
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), m AS (
+  SELECT a, min(b) AS b FROM r GROUP BY 1
+)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word FROM d
+), g AS (
+  SELECT doc_id, n, q, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s FROM x
+), later AS (
+  SELECT doc_id, q, row_number() OVER (PARTITION BY s ORDER BY doc_id, q) > 1 AS later FROM g WHERE q <= n - 19
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(q, q + 20)) AS q FROM later WHERE later
+), k AS (
+  SELECT x.doc_id, count(*) AS n_words, count(gone.q) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.q) FILTER (WHERE gone.q IS NULL), '') AS kept
+  FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.q = x.q GROUP BY 1
+)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_ngram_jaccard_join": OP7_SQL, "op8_substring_dedup": OP8_SQL}
