@@ -180,7 +180,7 @@ def test_metrics_baselines_features_and_lookup(spark):
 
 
 def test_sources(spark, tmp_path, market):
-    assert sources.clean_names(["olist_orders_dataset", "olist_items_dataset", "other"]) == {"olist_orders_dataset": "orders", "olist_items_dataset": "items", "other": "other"}
+    assert sources.clean_names(["shop_orders_dataset", "shop_items_dataset", "other"]) == {"shop_orders_dataset": "orders", "shop_items_dataset": "items", "other": "other"}
     assert sources.clean_names(["a_x_table", "a_x_data", "b"])["a_x_table"] == "a_x_table"
     wrote = sources.write_database({"sales": market["sales"]}, str(tmp_path / "db"), {"sales": {"time_col": "at", "fkeys": {"seller": "sellers"}}}, {"sales": ["price"]})
     assert wrote["sales"]["columns"] == ["seller", "at", "price"] and sources.read_manifest(spark, str(tmp_path / "db")) == json.loads(json.dumps(wrote))
