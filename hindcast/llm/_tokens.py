@@ -97,7 +97,7 @@ def spread(lengths: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.nda
 class _Memo:
     """Ids of words met before by this worker; forgotten as a whole beyond MOST words, so memory is bounded."""
 
-    MOST = 1_500_000
+    MOST = 1_000_000
 
     def __init__(self):
         self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -141,7 +141,7 @@ def lowered(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode(path: str, column: pa.Array, spaced: bool, end: int | None = None) -> Iterator[np.ndarray]:
     """The ids of each text as unsigned 32-bit integers, with the end id behind them."""
     data, at = texts(column)
-    for low, high in slices(at, 32 << 20):
+    for low, high in slices(at, 4 << 20):
         part, cut = data[at[low] : at[high]], at[low : high + 1] - at[low]
         if not spaced:
             part, cut = lowered(part, cut)
