@@ -76,6 +76,13 @@ def slices(at: np.ndarray, limit: int = 8 * BLOCK) -> Iterator[tuple[int, int]]:
         low = high
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for work that holds many objects for each."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 class Words:
     """start, end: of each word in data; first: of each text, its first word's number, and one past the last."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents, shared_dir, stored
-from hindcast.llm._words import mix, slices
+from hindcast.llm._words import mix, portions, slices
 
 UNIT = 64
 LEAST, MEAN_BITS, MOST = 256, 11, 8192
@@ -75,7 +75,7 @@ def cuts(hits: np.ndarray, begin: int, end: int) -> list[int]:
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=6, write_checksum=False, write_content_size=True)
-    for batch in batches:
+    for batch in portions(batches):
         packed = [squeeze.compress(memoryview(x.as_buffer())) for x in batch.column("samples")]
         yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(packed, pa.binary())], ["name", "packed"])
 
@@ -99,7 +99,7 @@ def _digest(chunk: bytes) -> bytes:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         rows, order, digests = [], [], []
         for i, samples, ends in _streams(batch):
             for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
@@ -109,7 +109,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("ord", pa.int32()), ("digest", pa.binary()), ("shared", pa.bool_()), ("bytes", pa.binary())]))
-    for batch in batches:
+    for batch in portions(batches):
         heads, counts, held = [], [], []
         for i, samples, ends in _streams(batch):
             here = {x["ord"]: x["shared"] for x in batch.column("own")[i].as_py() or []}
@@ -127,7 +127,7 @@ def features(samples: np.ndarray) -> str:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         out = [[] for _ in range(6)]
         more = batch.column("missing") if "missing" in batch.schema.names else None
         for i in range(batch.num_rows):
