@@ -34,19 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm._components import components
-from hindcast.llm._shared import documents, stored
+from hindcast.llm._shared import discard, documents, stored
 from hindcast.llm._words import LOWER, Words, long_column, mix, runs, slices, texts
 
 BLOCK_ROWS = 256
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 20
 
 
-def _sets(batch: pa.RecordBatch, n: int, wanted=None) -> Iterator[tuple[int, int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Row number, doc_id, sorted members of each text."""
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-    if wanted is not None:
-        keep = wanted(ids)
-        batch, ids = batch.filter(pa.array(keep)), ids[keep]
     data, at = texts(batch.column("text"))
     for low, high in slices(at):
         words = Words(LOWER[data[at[low] : at[high]]], at[low : high + 1] - at[low])
@@ -72,9 +69,11 @@ def _profile(n: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, a, b = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
+            sketches = [b""] * batch.num_rows
             for i, _, members in _sets(batch.set_column(0, "doc_id", pa.array(np.zeros(batch.num_rows, np.int64))), n):
                 size[i], (a[i], b[i]) = len(members), _class_of(members)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), long_column(a), long_column(b)], ["doc_id", "n_shingles", "class_a", "class_b"])
+                sketches[i] = _sketch(members).tobytes() if len(members) else b""
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), long_column(a), long_column(b), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "class_a", "class_b", "sketch"])
 
     return task
 
@@ -137,23 +136,14 @@ def _keys(n: int, percent: int):
     return task
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _wanted(spark, ids: DataFrame):
-    """A test that no id of the table fails: a bit map of fixed size (1 MB), made by a grouped OR and broadcast."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = np.unique(_bit(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(bit // 32), pa.array(np.left_shift(1, bit % 32))], ["slot", "bit"])
-
-    rows = ids.mapInArrow(bits, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 32, np.int64)
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents that an id names, and few others: a bit map of fixed size (128 KB, so that plans that hold it stay small), made by a grouped OR, tested in the scan."""
+    bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS))
+    rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1, CAST(bit & 7 AS int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
     bitmap[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
-    return lambda ids: (sent.value[(bit := _bit(np.ascontiguousarray(ids, np.int64))) // 32] >> (bit % 32)) & 1 == 1
+    known = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return docs.where(known.bitwiseAND(F.expr(f"shiftleft(1, CAST(pmod(xxhash64(doc_id), {FILTER_BITS}) & 7 AS int))")) != 0)
 
 
 def _sketch(members: np.ndarray) -> np.ndarray:
@@ -167,18 +157,35 @@ def _fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
-def _chosen_sets(n: int, wanted, sketch: bool):
+def _chosen_sets(n: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, sizes, packed = [], [], []
-            for _, doc, members in _sets(batch, n, wanted):
-                docs.append(doc), sizes.append(len(members))
-                packed.append((_sketch(members) if sketch else members).tobytes())
+            for _, doc, members in _sets(batch, n):
+                docs.append(doc), sizes.append(len(members)), packed.append(members.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
 
     return task
 
 
+def _plausible(percent: int):
+    """Pairs whose sizes and sketches allow a link."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, size_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+            keep = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
+            for i in np.flatnonzero(keep).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("sketch_a", "sketch_b"))
+                w = min(len(x), len(y))
+                far = int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum())
+                keep[i] = far <= (size_a[i] + size_b[i]) * (100 - percent) // (100 + percent)
+            keep = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return task
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.concatenate([x, y])
     both.sort(kind="stable")
@@ -198,49 +205,78 @@ def _verify(percent: int):
     return task
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of equal `by` in sorted batches, a run that goes over a batch's end as one."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows as columns, cut so that a run of equal `by` is never split."""
     rest = None
     for batch in batches:
-        now = {c: batch.column(c).to_pylist() if c == "packed" else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        now["packed"] = np.array(now["packed"], object)
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         if rest is not None:
             now = {c: np.concatenate([rest[c], now[c]]) for c in now}
-        if not len(now["packed"]):
+        n = len(now[by[0]])
+        if not n:
             continue
-        new = np.r_[True, np.any([now[c][1:] != now[c][:-1] for c in by], axis=0)]
-        cuts = [*np.flatnonzero(new), len(new)]
-        for x, y in zip(cuts[:-2], cuts[1:-1], strict=True):
-            yield {c: v[x:y] for c, v in now.items()}
-        rest = {c: v[cuts[-2] :] for c, v in now.items()}
+        last = np.ones(n, bool)
+        for c in by:
+            last &= now[c] == now[c][-1]
+        cut = int(np.argmax(last))
+        if cut:
+            yield {c: v[:cut] for c, v in now.items()}
+        rest = {c: v[cut:] for c, v in now.items()}
     if rest is not None:
         yield rest
 
 
+def _near(g: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs within the blocks' groups that components, sizes and sketches allow, some hundred thousand at a time."""
+    n, size, comp = len(g["doc_id"]), g["size"], g["comp"]
+    new = np.r_[True, (g["key"][1:] != g["key"][:-1]) | (g["p"][1:] != g["p"][:-1]) | (g["q"][1:] != g["q"][:-1])]
+    group = np.cumsum(new) - 1
+    end = np.r_[np.flatnonzero(new)[1:], n][group]
+    # Rows are in the order of doc_id, so block p stands before block q: a row of p meets the rows of q that follow it.
+    mine = g["block"] == g["p"]
+    other = g["p"] != g["q"]
+    first = np.where(other, np.flatnonzero(new)[group] + np.bincount(group, weights=mine)[group].astype(np.int64), np.arange(n) + 1)
+    partners = np.where(mine, end - first, 0)
+    words = np.array([len(x) for x in sketches])
+    level = {int(w): np.flatnonzero(words >= w) for w in np.unique(words)}
+    folded = {w: (np.cumsum(words >= w) - 1, np.stack([_fold(sketches[i], w) for i in rows.tolist()])) for w, rows in level.items()}
+    total, low = np.r_[0, np.cumsum(partners)], 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(total, total[low] + (1 << 19), "right")) - 1)
+        i = np.repeat(np.arange(low, high), partners[low:high])
+        j = np.arange(len(i)) - np.repeat(total[low:high] - total[low], partners[low:high]) + first[i]
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))
+        i, j = i[ok], j[ok]
+        shared = np.minimum(words[i], words[j])
+        for w, (place, matrix) in folded.items():
+            x, y = i[shared == w], j[shared == w]
+            for a in range(0, len(x), 1 << 14):
+                u, v = x[a : a + (1 << 14)], y[a : a + (1 << 14)]
+                far = np.bitwise_count(matrix[place[u]] ^ matrix[place[v]]).sum(axis=1, dtype=np.int64)
+                close = far <= (size[u] + size[v]) * (100 - percent) // (100 + percent)
+                if close.any():
+                    yield u[close], v[close]
+        low = high
+
+
 def _block_pairs(percent: int, sets: bool):
     """Pairs of different components in each block that sizes and sketches allow; of rows with sets, those that link."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["key", "p", "q"]):
-            doc, size, comp = g["doc_id"], g["size"], g["comp"]
+        for g in _whole_groups(batches, ["key", "p", "q"]):
             members = [np.frombuffer(x, np.uint64) for x in g["packed"]]
-            sketch = [_sketch(x) for x in members] if sets else members
-            words = np.array([len(x) for x in sketch])
-            at = {int(w): np.stack([_fold(x, w) if len(x) > w else x if len(x) == w else np.zeros(w, np.uint64) for x in sketch]) for w in np.unique(words)}
-            rows, columns, found = np.flatnonzero(g["block"] == g["p"]), np.flatnonzero(g["block"] == g["q"]), [[], []]
-            for i in rows.tolist():
-                j = columns[doc[columns] > doc[i]] if g["p"][0] == g["q"][0] else columns
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j]))]
-                for w in np.unique(np.minimum(words[j], words[i])).tolist():
-                    near = j[np.minimum(words[j], words[i]) == w]
-                    far = np.bitwise_count(at[w][near] ^ at[w][i]).sum(axis=1, dtype=np.int64)
-                    for k in near[far <= (size[i] + size[near]) * (100 - percent) // (100 + percent)].tolist():
-                        if not sets or _linked(members[i], members[k], percent):
-                            found[0].append(min(doc[i], doc[k])), found[1].append(max(doc[i], doc[k]))
-            if found[0]:
-                n = len(found[0])
-                place = [] if sets else [pa.array(np.full(n, g[c][0])) for c in ("key", "p", "q")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in found] + place, ["a", "b"] + ["key", "p", "q"] * (not sets))
+            doc, found = g["doc_id"], []
+            for i, j in _near(g, [_sketch(x) for x in members] if sets else members, percent):
+                if sets:
+                    linked = np.array([_linked(members[a], members[b], percent) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[linked], j[linked]
+                found.append((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), i))
+            if found:
+                a, b, i = map(np.concatenate, zip(*found, strict=True))
+                order = np.lexsort((b, a))
+                order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]] if len(order) else order
+                place = [] if sets else [pa.array(g[c][i[order]]) for c in ("key", "p", "q")]
+                yield pa.RecordBatch.from_arrays([pa.array(a[order]), pa.array(b[order]), *place], ["a", "b"] + ["key", "p", "q"] * (not sets))
 
     return task
 
@@ -248,8 +284,8 @@ def _block_pairs(percent: int, sets: bool):
 def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
-    named, spark = docs.where("doc_id IS NOT NULL"), df.sparkSession
-    profile = stored(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, class_a long, class_b long"), "profile")
+    named = docs.where("doc_id IS NOT NULL")
+    profile = stored(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, class_a long, class_b long, sketch binary"), "profile")
     sized = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leaders = sized.groupBy("class_a", "class_b", "n_shingles").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     links = stored(sized.join(leaders, ["class_a", "class_b", "n_shingles"]).select(F.col("doc_id").alias("a"), "b").where("a <> b"), "links")
@@ -258,9 +294,14 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     keys = named.mapInArrow(_keys(n, percent), "key long, doc_id long")
     buckets = stored(keys.withColumn("pivot", F.min("doc_id").over(per_key)).withColumn("last", F.max("doc_id").over(per_key)).where("pivot < last").drop("last"), "buckets")
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long")
+
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-        sets = named.mapInArrow(_chosen_sets(n, _wanted(spark, ids), False), "doc_id long, size long, packed binary").drop("size")
+        sets = _wanted(named, ids).mapInArrow(_chosen_sets(n), "doc_id long, size long, packed binary").drop("size")
         left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("set_a")), "a")
         return left.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
@@ -274,15 +315,19 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
 
     comps = components(links)
     left = stored(unresolved(buckets, comps), "left")
+    discard(buckets)
     while left.head() is not None:
         shared = left.where("comp <> pivot_comp").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("shared"))
         best = shared.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("inverse"))).alias("best"))
-        found = stored(verified(stored(best.select(F.col("doc_id").alias("a"), (-F.col("best.inverse")).alias("b")), "pairs")), "links")
+        pairs = stored(plausible(best.select(F.col("doc_id").alias("a"), (-F.col("best.inverse")).alias("b"))), "pairs")
+        found = stored(verified(pairs), "links")
+        discard(pairs)
         if found.head() is None:
             break
         links = links.union(found)
         comps = components(links)
-        left = stored(unresolved(left, comps), "left")
+        older, left = left, stored(unresolved(left, comps), "left")
+        discard(older)
 
     if left.head() is not None:
         rank = F.row_number().over(per_key.orderBy("doc_id")) - 1
@@ -290,7 +335,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp")
 
         def compared(rows: DataFrame, sets: bool) -> DataFrame:
-            chosen = named.mapInArrow(_chosen_sets(n, _wanted(spark, rows.select("doc_id").distinct()), not sets), "doc_id long, size long, packed binary")
+            if sets:
+                chosen = _wanted(named, rows.select("doc_id").distinct()).mapInArrow(_chosen_sets(n), "doc_id long, size long, packed binary")
+            else:
+                chosen = sized.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("packed"))
             dealt = rows.join(chosen, "doc_id").select("key", "p", "q", "block", "doc_id", "comp", "size", "packed").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
             return dealt.mapInArrow(_block_pairs(percent, sets), "a long, b long" if sets else "a long, b long, key long, p int, q int")
 
@@ -298,6 +346,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         near = stored(near.select("at.*", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near")
         links = links.union(stored(compared(paired.join(near, ["key", "p", "q", "doc_id"]), True), "links"))
         comps = components(links)
+        discard(near, left)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
