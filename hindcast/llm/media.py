@@ -9,7 +9,7 @@ together where they lie, others fetch what is missing by a join on the digest. E
 and a mismatch with the hash taken before storing fails the job.
 
 Scale: streams are named by the SHA-256 of their samples, so copies of a text are one stream and only their names join back.
-Bytes move by name once, compressed; digests move apart from bytes; a chunk that very many streams share is joined from the
+Bytes move by name once, compressed; digests are taken in a pass before and move apart from bytes; a chunk that very many streams share is joined from the
 side of the references, which Spark can split. Store and manifest are Parquet in the shared folder.
 
 Defined results: a null or empty text is 64 zero samples. Rows are returned as often as they occur, a null doc_id too. An
@@ -83,9 +83,11 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _streams(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[int]]]:
     """Row number, samples and chunk ends of each stream."""
     loose = zstandard.ZstdDecompressor()
-    sizes = np.array([zstandard.frame_content_size(x.as_buffer()) for x in batch.column("packed")], np.int64)
+    packed = "packed" in batch.schema.names
+    held = [x.as_buffer() for x in batch.column("packed" if packed else "samples")]
+    sizes = np.array([zstandard.frame_content_size(x) if packed else len(x) for x in held], np.int64)
     for low, high in slices(np.r_[0, np.cumsum(sizes)]):
-        parts = [loose.decompress(batch.column("packed")[i].as_buffer()) for i in range(low, high)]
+        parts = [loose.decompress(held[i]) if packed else held[i].to_pybytes() for i in range(low, high)]
         hits = np.flatnonzero(gear(np.frombuffer(b"".join(parts), np.uint8)) >> np.uint32(32 - MEAN_BITS) == 0) + 1
         at = 0
         for i, part in enumerate(parts, low):
@@ -149,12 +151,12 @@ _FEATURES = "name binary, payload_bytes long, payload_sha256 string, tail_crc32
 
 def store_media(named: DataFrame, path: str) -> None:
     """named: name binary (SHA-256 of the samples), samples binary. Writes path/store and path/manifest."""
-    streams = named.mapInArrow(_compress, "name binary, packed binary").dropDuplicates(["name"])
-    chunks = streams.mapInArrow(_index, "name binary, ord int, digest binary")
+    chunks = named.mapInArrow(_index, "name binary, ord int, digest binary").distinct()
     owners = chunks.groupBy("digest").agg(F.min(F.struct("name", "ord")).alias("owner"), F.count(F.lit(1)).alias("n"))
     marked = chunks.join(owners, "digest").select("name", "ord", "digest", (F.struct("name", "ord") == F.col("owner")).alias("own"), (F.col("n") > 1).alias("shared"))
     marked.write.parquet(f"{path}/manifest")
     own = named.sparkSession.read.parquet(f"{path}/manifest").where("own").groupBy("name").agg(F.collect_list(F.struct("ord", "shared")).alias("own"))
+    streams = named.mapInArrow(_compress, "name binary, packed binary").dropDuplicates(["name"])
     held = streams.join(own, "name", "left").mapInArrow(_hold, f"name binary, head binary, n_chunks int, held {_HELD}")
     held.write.option("compression", "zstd").parquet(f"{path}/store")
 
