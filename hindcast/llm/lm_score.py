@@ -1,21 +1,21 @@
 """LM scoring: context-tree weighting over bytes, beside a smoothed word-count score.
 
-A text is a run of segments, each a word's remaining bytes up to and with the next white-space byte; the last one ends with
-an end symbol (byte 255, which UTF-8 never has). Each byte is predicted from up to DEPTH bytes before it in its segment, as
+A text ends with an end symbol (byte 255, which UTF-8 never has). Each byte is predicted from the DEPTH bytes before it in
+its segment (a word's remaining bytes up to and with the next white-space byte; before the first stand end symbols), as
 eight binary decisions down a tree of bit prefixes. At every context and bit prefix a Krichevsky-Trofimov estimator holds
 the counts of training bytes; a context's prediction is the mixture of its own estimate and that of the next longer
 context, weighted by how well either coded the training bytes (the weights of context-tree weighting, in closed form from
 the counts). So all depths are mixed, and the score is a proper probability of the whole text, end included.
 
-Scale: what is counted is words, not positions. Each batch sends its distinct segments once with their counts; Spark sums
-them into one table, the tree's counts are sums over that table, and each distinct segment is scored once. Contexts that hold
-less than 2**-18 of the training bytes are left to their parents, so at most 2**18 contexts a depth reach the driver and the
-tasks, at any size. Documents then need the values of their segments: those that hold 2**-12 of all segments or more (so
-4096 at most) go to the tasks, all others are joined by hash, as rows (document, segment, times); no joined key is hot.
+Scale: texts are stored in batches of some 32 MB. Each batch asks once for each of its distinct symbols (context and byte)
+and words, with their training counts, as packed rows (batch, shard); no count is left out. A shard holds all symbols that
+share their last two context bytes, whose subtree is built there; of it only sums per last byte and bit prefix, 2**16 rows at
+most at any size, reach the driver, which mixes depths 0 and 1 and hands them back. Shards then answer each batch, and
+batches meet their answers once, so rows are shuffled per distinct symbol of a batch, not per position.
 
 Defined results: a null or empty text is the end symbol alone. A row without doc_id is scored, its id taken as an empty text
-when held out rows are chosen. Rows that repeat are returned as often. Without any training row every count is 0. Words of
-segments are told apart by 64-bit hashes. An empty table gives an empty result; other columns are ignored.
+when held out rows are chosen. Rows that repeat are returned as often. Without any training row every count is 0. Words are
+told apart by 64-bit hashes. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,16 +24,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents, stored
-from hindcast.llm._words import LOWER, SPACE, Words, long_column, slices, texts
+from hindcast.llm._words import LOWER, SPACE, Words, long_column, mix, slices, texts
 
 DEPTH = 5
 END = 255
-LEAST_SHARE = 18
-HOT_SHARE = 12
+#: Bytes of text in a batch, and bytes of text that a shard is made for.
+BATCH = 32 << 20
+SHARD = 32 << 20
+#: Depths below this one are mixed in the driver: at most 256 contexts of 255 bit prefixes.
+TOP = 2
 
 
 class Segments(Words):
@@ -181,84 +185,235 @@ class Tree:
         return edges[end] - edges[start]
 
 
-def _score(tree: Tree):
+def _symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """context << 8 | byte at each position of the lower-cased texts with their end symbols, and where each text begins."""
+    found = Segments(data, at)
+    data, bounds = found.data, at + np.arange(len(at))
+    out = data.astype(np.uint64)
+    for depth in range(1, DEPTH + 1):
+        before = np.full(len(data), END, np.uint64)
+        before[depth:] = data[:-depth]
+        for j in range(depth):
+            early = found.start + j
+            before[early[early < found.end]] = END
+        out |= before << np.uint64(8 * depth)
+    return out, bounds
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the number of each value among them."""
+    found = pa.array(values).dictionary_encode()
+    key = found.dictionary.to_numpy()
+    order = np.argsort(key)
+    place = np.empty(len(key), np.int64)
+    place[order] = np.arange(len(key))
+    return key[order], place[found.indices.to_numpy()]
+
+
+def _sum(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+    return key, np.bincount(back, weights=np.concatenate([np.zeros(0), *n]), minlength=len(key))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Eight-byte numbers, first bytes first: small ones are mostly zeros in a row, which files and shuffles compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(packed: pa.Scalar, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed.as_buffer(), np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _keys(packed: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the batch; numbers are fixed once the table is stored."""
+    part, done = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        at = texts(batch.column("text"))[1] + done
+        done = int(at[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, long_column((part << 32) + at[:-1] // BATCH)], [*batch.schema.names, "batch"])
+
+
+def _asked(shards: int):
+    """Of each batch, its distinct symbols (kind 0) and words (kind 1) by shard, with their counts in training texts."""
+
+    def rows(number: int, parts: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for kind in (0, 1):
+            key, n = _sum(*zip(*parts[kind], strict=True))
+            shard = mix(key >> np.uint64(8) & np.uint64(0xFFFF) if kind == 0 else key) % np.uint64(shards)
+            for x in np.unique(shard).tolist():
+                mine = shard == x
+                out.append((number, kind, x, _pack(np.diff(key[mine], prepend=np.uint64(0))), _pack(n[mine].astype(np.uint64))))
+        names = ["batch", "kind", "shard", "keys", "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, ([], [])
         for batch in batches:
-            score = tree.score(*_column(batch.column("bytes")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hash", "word", "train", "n")), pa.array(score)], ["hash", "word", "train", "n", "score"])
+            number = batch.column("batch").to_numpy()
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(np.float64)
+            edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True])
+            for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if now is not None and number[first] != now:
+                    yield from rows(now, parts)
+                    parts = ([], [])
+                now = int(number[first])
+                data, at = texts(batch.column("text").slice(first, last - first))
+                for low, high in slices(at):
+                    part, inside, taught = data[at[low] : at[high]], at[low : high + 1] - at[low], train[first + low : first + high]
+                    symbols, bounds = _symbols(part, inside)
+                    key, back = _distinct(symbols)
+                    parts[0].append((key, np.bincount(back, weights=np.repeat(taught, np.diff(bounds)), minlength=len(key))))
+                    words = Words(LOWER[part], inside)
+                    key, back = _distinct(words.hashes())
+                    parts[1].append((key, np.bincount(back, weights=taught[words.text_of()], minlength=len(key))))
+        if now is not None:
+            yield from rows(now, parts)
 
     return task
 
 
-def _rows(hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Of each text: one row with its tokens and what the frequent segments give, and a row per other segment."""
-    hot_hash, hot_score, hot_count = hot
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid = batch.column("uid").to_numpy(zero_copy_only=False).astype(np.int64)
-            data, at = texts(batch.column("text"))
-            for low, high in slices(at):
-                found, n = Segments(data[at[low] : at[high]], at[low : high + 1] - at[low]), high - low
-                h, text, word = found.hashes().view(np.int64), found.text_of(), found.size > 1
-                place = np.minimum(np.searchsorted(hot_hash, h), max(0, len(hot_hash) - 1))
-                is_hot = hot_hash[place] == h if len(hot_hash) else np.zeros(len(h), bool)
-                where = np.flatnonzero(is_hot)
-                count = np.where(word[where], hot_count[place[where]], 0)
-                sums = [np.bincount(text[where], weights=x, minlength=n) for x in (hot_score[place[where]], np.log10(count + 1.0), count > 0)]
-                tokens = np.bincount(text, weights=word, minlength=n).astype(np.int64) + 1
-                rest = np.flatnonzero(~is_hot)
-                rest = rest[np.lexsort((h[rest], text[rest]))]
-                new = np.flatnonzero(np.r_[True, (h[rest][1:] != h[rest][:-1]) | (text[rest][1:] != text[rest][:-1])]) if len(rest) else rest
-                times = np.diff(np.r_[new, len(rest)])
-                more = len(new)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[uid[low:high], uid[low + text[rest[new]]]]),
-                        pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(h[rest[new]])]),
-                        pa.array(np.r_[tokens, times].astype(np.int64)),
-                        *(pa.concat_arrays([pa.array(x.astype(np.float64)), pa.nulls(more, pa.float64())]) for x in sums),
-                    ],
-                    ["uid", "hash", "times", "score", "base", "known"],
-                )
+
+def _weighted(zeros: np.ndarray, ones: np.ndarray, rest: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of nodes whose children's code lengths sum to rest: weighted code length, prediction of a one bit, own weight."""
+    own = _estimate(zeros, ones)
+    total = own if rest is None else np.logaddexp(own, rest) - np.log(2)
+    weight = np.ones(len(own)) if rest is None else np.exp(np.minimum(own - np.log(2) - total, 0.0))
+    return total, (ones + 0.5) / (zeros + ones + 1.0), weight
+
+
+def _parents(depth: int, key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sums over nodes of this depth by their parents' keys."""
+    key, back = np.unique(key & np.uint64((1 << 8 * depth) - 1), return_inverse=True)
+    return key, [np.bincount(back, weights=x, minlength=len(key)) for x in sums]
+
+
+def _subtree(symbols: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple[np.ndarray, list[np.ndarray]]]:
+    """Levels of depths TOP to DEPTH over a shard's training symbols, and what their parents need: key; zeros, ones, rest."""
+    symbols, n = symbols[n > 0], n[n > 0]
+    levels, rest = [], None
+    for depth in range(DEPTH, TOP - 1, -1):
+        short, back = np.unique(symbols & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
+        key, zeros, ones = Tree._nodes(short, np.bincount(back, weights=n, minlength=len(short)))
+        total, p, weight = _weighted(zeros, ones, rest)
+        levels.insert(0, (key, p, weight))
+        up = _parents(depth, key, zeros, ones, total)
+        rest = up[1][2]
+    return levels, up
+
+
+def _top(key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, rest: np.ndarray) -> list[Level]:
+    levels = []
+    for depth in range(TOP - 1, -1, -1):
+        total, p, weight = _weighted(zeros, ones, rest)
+        levels.insert(0, (key, p, weight))
+        key, (zeros, ones, rest) = _parents(depth, key, zeros, ones, total)
+    return levels
+
+
+def _log10(levels: list[Level], symbols: np.ndarray) -> np.ndarray:
+    """log10 probability of each symbol's byte after its context: each depth shares out what the shorter ones left to it."""
+    total = np.zeros(len(symbols))
+    byte = symbols & np.uint64(0xFF)
+    for bit in range(8):
+        prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
+        p, done, left = np.full(len(symbols), 0.5), np.zeros(len(symbols)), np.ones(len(symbols))
+        for depth, (key, own, weight) in enumerate(levels):
+            if not len(key):
+                break
+            wanted = (symbols & np.uint64((1 << 8 * (depth + 1)) - 1)) >> np.uint64(8) << np.uint64(8) | prefix
+            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            known = np.flatnonzero(key[at] == wanted)
+            at = at[known]
+            p[known] = done[known] + left[known] * own[at]
+            done[known] += left[known] * weight[at] * own[at]
+            left[known] *= 1 - weight[at]
+        total += np.log10(np.where(byte >> np.uint64(7 - bit) & np.uint64(1) == 1, p, 1 - p))
+    return total
+
+
+def _shard(table: pa.Table) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The kind, each batch's keys, all distinct keys and their training counts."""
+    keys = [_keys(x) for x in table["keys"]]
+    return table["kind"][0].as_py(), keys, *_sum(keys, [_unpack(x) for x in table["n"]])
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """What the driver needs of a shard: sums by last context byte and bit prefix, and, as key -1, tokens and words."""
+    kind, _, key, n = _shard(table)
+    if kind:
+        key, sums = np.array([-1]), [np.array([x]) for x in (n.sum(), float((n > 0).sum()), 0.0)]
+    else:
+        _, (key, sums) = _subtree(key, n)
+    return pa.table([long_column(key), *map(pa.array, sums)], ["key", "zeros", "ones", "rest"])
+
+
+def _answers(top: list[Level]):
+    def task(table: pa.Table) -> pa.Table:
+        kind, asked, key, n = _shard(table)
+        value = n if kind else _log10([*top, *_subtree(key, n)[0]], key)
+        found = [_pack(value[np.searchsorted(key, x)]) for x in asked]
+        return pa.table([table["batch"], table["kind"], table["keys"], pa.array(found, pa.binary())], ["batch", "kind", "keys", "found"])
 
     return task
 
 
+def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of each text: its bytes and words, how many words are known, the sum of log10 (count + 1), and its log10 probability."""
+    values = []
+    for kind in (0, 1):
+        mine = answers.filter(pa.array(answers["kind"].to_numpy() == kind))
+        key = np.concatenate([np.zeros(0, np.uint64), *(_keys(x) for x in mine["keys"])])
+        order = np.argsort(key)
+        values.append((key[order], np.concatenate([np.zeros(0), *(_unpack(x, np.float64) for x in mine["found"])])[order]))
+
+    def looked_up(kind: int, wanted: np.ndarray) -> np.ndarray:
+        if not len(wanted):
+            return np.zeros(0)
+        (key, value), (distinct, back) = values[kind], _distinct(wanted)
+        at = np.minimum(np.searchsorted(key, distinct), len(key) - 1)
+        if not np.array_equal(key[at], distinct):
+            raise ValueError("a batch lacks answers")
+        return value[at][back]
+
+    data, at = texts(docs["text"])
+    parts = []
+    for low, high in slices(at):
+        part, inside = data[at[low] : at[high]], at[low : high + 1] - at[low]
+        symbols, bounds = _symbols(part, inside)
+        score = np.add.reduceat(looked_up(0, symbols), bounds[:-1])
+        words = Words(LOWER[part], inside)
+        c, text, n = looked_up(1, words.hashes()), words.text_of(), high - low
+        parts.append((np.diff(inside), np.diff(words.first), np.bincount(text, weights=c > 0, minlength=n), np.bincount(text, weights=np.log10(c + 1), minlength=n), score))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.table([docs["doc_id"], *(pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "bytes", "n_words", "known", "base", "score"])
+
+
 def lm_score(df: DataFrame, is_training: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
-    docs = documents(df, id_col=id_col, text_col=text_col).withColumn("train", is_training(F.col("doc_id")))
-    found = docs.select("text", "train").mapInArrow(_segments, "hash long, word long, bytes binary, train long, n long")
-    segments = stored(found.groupBy("hash", "word", "bytes").agg(F.sum("train").alias("train"), F.sum("n").alias("n")), "segments")
-    total, bytes_ = segments.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("train") * F.octet_length("bytes")), F.lit(0))).first()
-    words = segments.where("word <> 0 AND train > 0").groupBy("word").agg(F.sum("train").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ends = docs.where("train").count()
-    tokens, distinct = words[0] + ends, words[1] + (ends > 0)
-
-    counts = segments.where("train > 0").select("bytes", "train").mapInArrow(_counts, "depth int, symbol long, n long").groupBy("depth", "symbol").agg(F.sum("n").alias("n"))
-    held = F.sum("n").over(Window.partitionBy("depth", F.shiftrightunsigned("symbol", 8)))
-    kept = counts.withColumn("held", held).where(F.col("held") * (1 << LEAST_SHARE) >= bytes_).select("depth", "symbol", "n").toArrow()
-    depth, symbol, n = (kept[c].to_numpy() for c in ("depth", "symbol", "n"))
-    levels = []
-    for d in range(DEPTH + 1):
-        order = np.argsort(symbol[depth == d])
-        levels.append((symbol[depth == d][order].astype(np.int64).view(np.uint64), n[depth == d][order]))
-    tree = Tree(levels)
-
-    scored = segments.mapInArrow(_score(tree), "hash long, word long, train long, n long, score double")
-    values = stored(scored.withColumn("c", F.when(F.col("word") != 0, F.sum("train").over(Window.partitionBy("word"))).otherwise(0)).select("hash", "score", "c", "n", (F.col("word") != 0).alias("is_word")), "values")
-    hot = values.where(F.col("n") * (1 << HOT_SHARE) >= total).select("hash", "score", "c").toArrow().sort_by("hash")
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(_rows(tuple(hot[c].to_numpy() for c in ("hash", "score", "c"))), "uid long, hash long, times long, score double, base double, known double")
-    own = rows.where("hash IS NULL").select("uid", F.col("times").alias("n_tokens"), "score", "base", "known")
-    c = F.col("c")
-    met = rows.where("hash IS NOT NULL").select("uid", "hash", "times").join(values.select("hash", F.col("score").alias("s"), "c", "is_word"), "hash")
-    met = met.select("uid", F.lit(None).cast("long").alias("n_tokens"), (F.col("times") * F.col("s")).alias("score"), F.when(F.col("is_word"), F.col("times") * F.log10(c + 1)).otherwise(0.0).alias("base"), F.when(F.col("is_word") & (c > 0), F.col("times").cast("double")).otherwise(0.0).alias("known"))
-    sums = own.union(met).groupBy("uid").agg(F.count("n_tokens").alias("rows"), F.max("n_tokens").alias("n_tokens"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known"))
-    end = float(np.log10(ends + 1.0))
-    base = F.col("base") / F.col("rows") + F.lit(end) - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1.0)))
-    score = F.col("score") / F.col("rows")
-    ids = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), F.octet_length("text").alias("bytes"))
-    return ids.join(sums, "uid").select(
-        "doc_id", "n_tokens", (F.round(F.col("known") / F.col("rows")) + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
-        (-score / F.lit(float(np.log10(2))) / (F.col("bytes") + 1)).alias("bits_per_byte"),
+    docs = documents(df, id_col=id_col, text_col=text_col).withColumn("train", F.coalesce(is_training(F.col("doc_id")), F.lit(False)))
+    docs = stored(docs.mapInArrow(_in_batches, "doc_id long, text string, train boolean, batch long"), "texts")
+    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.when(F.col("train"), 1))).first()
+    shards = 1 + size // SHARD
+    asked = stored(docs.select("batch", "text", "train").mapInArrow(_asked(shards), "batch long, kind int, shard int, keys binary, n binary"), "asked")
+    by_shard = asked.repartition(2 * shards, "kind", "shard").groupBy("kind", "shard")
+    sums = by_shard.applyInArrow(_sums, "key long, zeros double, ones double, rest double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "rest"))).orderBy("key").toArrow()
+    key, *of = (sums[c].to_numpy() for c in sums.column_names)
+    tokens, distinct = int(of[0][key < 0].sum()) + ends, int(of[1][key < 0].sum()) + (ends > 0)
+    top = _top(key[key >= 0].view(np.uint64), *(x[key >= 0] for x in of))
+    answers = by_shard.applyInArrow(_answers(top), "batch long, kind int, keys binary, found binary")
+    met = docs.select("batch", "doc_id", "text").groupBy("batch").cogroup(answers.groupBy("batch"))
+    rows = met.applyInArrow(_scored, "doc_id long, bytes long, n_words long, known long, base double, score double")
+    n_tokens = F.col("n_words") + 1
+    return rows.select(
+        "doc_id", n_tokens.alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.lit(float(np.log10(ends + 1.0))) - n_tokens * F.lit(float(np.log10(tokens + distinct + 1.0)))).alias("base_score"), "score",
+        (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("bytes") + 1)).alias("bits_per_byte"),
     )

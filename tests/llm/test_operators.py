@@ -423,3 +423,38 @@ def test_pipeline(spark, docs):
     check_packing(packed, 1024)
     assert {r["doc_id"] for r in packed} == {r[0] for r in kept.select("doc_id").collect()}
     assert P.run(spark, FOLDER).count() == len(packed)
+
+
+def one_process_scores(rows, taught):
+    """log10 probabilities by a tree over all training symbols at once; what stands before a position is what _symbols says."""
+    texts_ = [lower(t) for _, t in rows]
+    data, at = np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)])
+    symbols, bounds = lm_score._symbols(data, at)
+    train = np.repeat([taught(i) for i, _ in rows], np.diff(bounds))
+    levels = [np.unique(symbols[train] & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(lm_score.DEPTH + 1)]
+    tree = lm_score.Tree(levels)
+    # A symbol's six bytes as a text, less its first five.
+    distinct, back = np.unique(symbols, return_inverse=True)
+    path = (distinct[:, None] >> (np.uint64(8) * np.arange(lm_score.DEPTH, -1, -1, dtype=np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
+
+    def score(x):
+        ends = np.arange(1, len(x) + 1) * x.shape[1]
+        return tree.score(x.ravel(), ends - x.shape[1], ends)
+
+    return np.add.reduceat((score(path) - score(path[:, :-1]))[back], bounds[:-1])
+
+
+def test_lm_drops_no_context(spark, corpus, monkeypatch):
+    """A context seen once in a large corpus still counts, and shards and batches give what one tree over all counts gives."""
+    monkeypatch.setattr(lm_score, "BATCH", 100_000)
+    monkeypatch.setattr(lm_score, "SHARD", 100_000)
+    taught = lambda i: (i % 7 != 2) & (i != 10_002)
+
+    def scores(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        return {r["doc_id"]: r["score"] for r in lm_score.lm_score(df, taught).collect()}
+
+    rows = [*corpus, (10_001, "qzxwvk"), (10_002, "qzxwvk")]
+    seen = scores(rows)
+    assert [seen[i] for i, _ in rows] == pytest.approx(one_process_scores(rows, taught).tolist(), rel=1e-4)
+    assert seen[10_002] > scores([*corpus, (10_001, "other"), (10_002, "qzxwvk")])[10_002] + 3
