@@ -1,8 +1,8 @@
 """LM scoring: context-tree weighting over bytes, beside a smoothed word-count score.
 
 A text ends with an end symbol (byte 255, which UTF-8 never has). Each byte is predicted from the DEPTH bytes before it in
-its segment (a word's remaining bytes up to and with the next white-space byte; before the first stand end symbols), as
-eight binary decisions down a tree of bit prefixes. At every context and bit prefix a Krichevsky-Trofimov estimator holds
+the text, white space included (before the first byte stand end symbols), as eight binary decisions down a tree of bit
+prefixes. At every context and bit prefix a Krichevsky-Trofimov estimator holds
 the counts of training bytes; a context's prediction is the mixture of its own estimate and that of the next longer
 context, weighted by how well either coded the training bytes (the weights of context-tree weighting, in closed form from
 the counts). So all depths are mixed, and the score is a proper probability of the whole text, end included.
@@ -40,6 +40,9 @@ SHARD = 32 << 20
 TOP = 2
 
 
+# Segments, _segments, _counts and Tree are the same estimate over words in one process, which tests compare with.
+
+
 class Segments(Words):
     """Segments of lower-cased texts; word: hash of the word in each, 0 where a segment is white space alone."""
 
@@ -187,15 +190,14 @@ class Tree:
 
 def _symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """context << 8 | byte at each position of the lower-cased texts with their end symbols, and where each text begins."""
-    found = Segments(data, at)
-    data, bounds = found.data, at + np.arange(len(at))
+    data, bounds = np.insert(LOWER[data], at[1:], END), at + np.arange(len(at))
     out = data.astype(np.uint64)
     for depth in range(1, DEPTH + 1):
         before = np.full(len(data), END, np.uint64)
         before[depth:] = data[:-depth]
         for j in range(depth):
-            early = found.start + j
-            before[early[early < found.end]] = END
+            early = bounds[:-1] + j
+            before[early[early < bounds[1:]]] = END
         out |= before << np.uint64(8 * depth)
     return out, bounds
 

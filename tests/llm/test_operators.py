@@ -458,3 +458,11 @@ def test_lm_drops_no_context(spark, corpus, monkeypatch):
     seen = scores(rows)
     assert [seen[i] for i, _ in rows] == pytest.approx(one_process_scores(rows, taught).tolist(), rel=1e-4)
     assert seen[10_002] > scores([*corpus, (10_001, "other"), (10_002, "qzxwvk")])[10_002] + 3
+
+
+def test_lm_sees_over_white_space(spark):
+    """The same words in another order, each with the same white space behind it, are less likely."""
+    prose = "the cat sat on the mat and the dog ran to the door "
+    rows = [*((i, prose) for i in range(50)), (100, prose), (101, "mat dog the door ran and the sat cat the to on the ")]
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: c < 100).collect()}
+    assert sorted(rows[-1][1].split()) == sorted(prose.split()) and got[100] > got[101] + 5
