@@ -36,6 +36,8 @@ END = 255
 #: Bytes of text in a batch, and bytes of text that a shard is made for.
 BATCH = 32 << 20
 SHARD = 32 << 20
+#: Bytes of text whose symbols are held at once, some 50 bytes each.
+SLICE = 2 << 20
 #: Depths below this one are mixed in the driver: at most 256 contexts of 255 bit prefixes.
 TOP = 2
 
@@ -265,7 +267,7 @@ def _asked(shards: int):
                     parts = ([], [])
                 now = int(number[first])
                 data, at = texts(batch.column("text").slice(first, last - first))
-                for low, high in slices(at):
+                for low, high in slices(at, SLICE):
                     part, inside, taught = data[at[low] : at[high]], at[low : high + 1] - at[low], train[first + low : first + high]
                     symbols, bounds = _symbols(part, inside)
                     key, back = _distinct(symbols)
@@ -359,7 +361,8 @@ def _sums(table: pa.Table) -> pa.Table:
 def _answers(top: list[Level]):
     def task(table: pa.Table) -> pa.Table:
         kind, asked, key, n = _shard(table)
-        value = n if kind else _log10([*top, *_subtree(key, n)[0]], key)
+        # Answers are exact to 2**-25, so their last bytes are zeros.
+        value = n if kind else np.round(_log10([*top, *_subtree(key, n)[0]], key) * 2**24) / 2**24
         found = [_pack(value[np.searchsorted(key, x)]) for x in asked]
         return pa.table([table["batch"], table["kind"], table["keys"], pa.array(found, pa.binary())], ["batch", "kind", "keys", "found"])
 
@@ -386,7 +389,7 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
 
     data, at = texts(docs["text"])
     parts = []
-    for low, high in slices(at):
+    for low, high in slices(at, SLICE):
         part, inside = data[at[low] : at[high]], at[low : high + 1] - at[low]
         symbols, bounds = _symbols(part, inside)
         score = np.add.reduceat(looked_up(0, symbols), bounds[:-1])
@@ -401,10 +404,10 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
 def lm_score(df: DataFrame, is_training: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
     docs = documents(df, id_col=id_col, text_col=text_col).withColumn("train", F.coalesce(is_training(F.col("doc_id")), F.lit(False)))
-    docs = stored(docs.mapInArrow(_in_batches, "doc_id long, text string, train boolean, batch long"), "texts")
+    docs = stored(docs.mapInArrow(_in_batches, "doc_id long, text string, train boolean, batch long"), "texts", "zstd")
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.when(F.col("train"), 1))).first()
     shards = 1 + size // SHARD
-    asked = stored(docs.select("batch", "text", "train").mapInArrow(_asked(shards), "batch long, kind int, shard int, keys binary, n binary"), "asked")
+    asked = stored(docs.select("batch", "text", "train").mapInArrow(_asked(shards), "batch long, kind int, shard int, keys binary, n binary"), "asked", "zstd")
     by_shard = asked.repartition(2 * shards, "kind", "shard").groupBy("kind", "shard")
     sums = by_shard.applyInArrow(_sums, "key long, zeros double, ones double, rest double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "rest"))).orderBy("key").toArrow()
     key, *of = (sums[c].to_numpy() for c in sums.column_names)
