@@ -1,11 +1,11 @@
-"""License scans: every line of a text that holds enough of a licence notice's words, and every base phrase.
+"""License scans: every run of words that holds enough of a licence notice's words, and every base phrase.
 
-Exact set-similarity join of lines (as sets of words) with templates: a line matches where it holds `percent` % of the
-template's distinct words or more. Words are ordered by how often they occur in all documents, rarest first. A matching line
-must hold one of the template's first t - need + 1 words in that order (prefix filter), must hold as many of all templates'
-words as the template needs (length filter), and from the first shared word on, what is left of either ordered list must
-still reach the need (positional filter); lines that pass are counted exactly. Lines of frequent words alone never become
-candidates.
+Exact set-similarity join of word windows with templates: a template matches where a window of consecutive words, line ends
+or not, holds `percent` % of its distinct words or more. The window is as long as the template is at `percent` % of the
+window (length filter from above). Words are ordered by how often they occur in all documents, rarest first. A matching
+window must hold one of the template's first t - need + 1 words in that order (prefix filter), so only the words around those
+are looked at, and only where enough of the template's words stand there (length filter from below); what is left is counted
+exactly. Of windows that overlap, the earliest that holds most is returned. Frequent words alone never become candidates.
 
 Scale: two passes over the texts, no shuffle but for a sum of one count per template word and task. The templates are a
 small fixed list (or the caller's), so their index is part of the task.
@@ -14,7 +14,7 @@ Base phrases are found wherever their words stand consecutively, over line ends
 whole template stands, else the largest share of a matching template, else 0.
 
 Defined results: A-Z is lowered, words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`; a null or empty text has no words, empty labels,
-score 0 and null first_word and last_word. Lines end at line feeds. Rows are returned as often as they occur, a null doc_id
+score 0 and null first_word and last_word. Rows are returned as often as they occur, a null doc_id
 too; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -71,6 +71,7 @@ class Vocabulary:
         self.sorted = hashes[self.order]
         number = {w: i for i, w in enumerate(self.words)}
         self.templates = {k: sorted({number[w] for w in _split(t)[0]}) for k, t in templates.items()}
+        self.length = {k: len(_split(t)[0]) for k, t in templates.items()}
         self.base = {tuple(number[w] for w in _split(t)[0]): label for t, label in base.items()}
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
@@ -92,37 +93,47 @@ def _count(vocabulary: Vocabulary):
 
 
 class Index:
-    """Templates with their words in global order, rarest first, and the templates under each prefix word."""
+    """Templates with their words in global order, rarest first, the first of which a match must hold, and window lengths."""
 
     def __init__(self, vocabulary: Vocabulary, frequency: dict[int, int], percent: int):
         self.rank = {w: i for i, w in enumerate(sorted(range(len(vocabulary.words)), key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = {k: sorted((self.rank[w] for w in words)) for k, words in vocabulary.templates.items()}
         self.need = {k: -(-percent * len(words) // 100) for k, words in self.templates.items()}
-        self.under: dict[int, list[str]] = {}
-        for k, words in self.templates.items():
-            for w in words[: len(words) - self.need[k] + 1]:
-                self.under.setdefault(w, []).append(k)
-
-    def matches(self, line: set[int]) -> Iterator[tuple[str, float]]:
-        """Templates that a line's words (as ranks) hold enough of, and the share held."""
-        ordered, seen = sorted(line), set()
-        for j, w in enumerate(ordered):
-            for k in self.under.get(w, []):
-                words, need = self.templates[k], self.need[k]
-                if k in seen:
-                    continue
-                seen.add(k)
-                # w is the first shared word: an earlier one would stand in the prefix too.
-                if len(ordered) < need or 1 + min(len(words) - words.index(w) - 1, len(ordered) - j - 1) < need:
-                    continue
-                shared = len(line.intersection(words))
-                if shared >= need:
-                    yield k, shared / len(words)
+        self.width = {k: -(-100 * n // percent) for k, n in vocabulary.length.items()}
+        self.prefix = {k: words[: len(words) - self.need[k] + 1] for k, words in self.templates.items()}
+
+    @staticmethod
+    def windows(places: list[int], words: list[int], need: int, width: int) -> list[tuple[int, int, int]]:
+        """start, end, distinct words held of the windows that hold enough: one of each run of overlapping ones."""
+        found, count, left = [], dict.fromkeys(words, 0), 0
+        held = 0
+        for right, place in enumerate(places):
+            held += count[words[right]] == 0
+            count[words[right]] += 1
+            # Words that are too far off leave, and first words that stand in the window again.
+            while place - places[left] >= width or count[words[left]] > 1:
+                count[words[left]] -= 1
+                held -= count[words[left]] == 0
+                left += 1
+            if held < need:
+                continue
+            if not found or places[left] >= found[-1][1]:
+                found.append((places[left], place + 1, held))
+            elif held > found[-1][2]:
+                found[-1] = (places[left], place + 1, held)
+        return found
 
 
 def _scan(vocabulary: Vocabulary, index: Index):
-    prefix = np.zeros(len(vocabulary.words) + 1, bool)
-    prefix[[w + 1 for w, r in index.rank.items() if r in index.under]] = True
+    number = {r: w for w, r in index.rank.items()}
+
+    def among(ranks: list[int]) -> np.ndarray:
+        out = np.zeros(len(number) + 1, bool)
+        out[[number[r] + 1 for r in ranks]] = True
+        return out
+
+    prefix, member = ({k: among(v) for k, v in x.items()} for x in (index.prefix, index.templates))
+    rare = np.any([*prefix.values(), np.zeros(len(number) + 1, bool)], axis=0)
     kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,14 +153,21 @@ def _scan(vocabulary: Vocabulary, index: Index):
                     for i in here[text[here] == text[here + k - 1]].tolist():
                         start = i - int(words.first[text[i]])
                         found[low + text[i]].append({"label": label, "start": start, "end": start + k, "share": None})
-                line = np.searchsorted(np.flatnonzero(part == 0x0A), words.start)
-                new = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
-                for i in np.unique(np.searchsorted(new, np.flatnonzero(prefix[code + 1]), "right") - 1).tolist():
-                    a, b = int(new[i]), int(new[i + 1]) if i + 1 < len(new) else len(words)
-                    held = {index.rank[w] for w in np.unique(code[a:b]).tolist() if w >= 0}
-                    for label, share in index.matches(held):
-                        start = int(words.first[text[a]])
-                        found[low + text[a]].append({"label": label, "start": a - start, "end": b - start, "share": share})
+                hits = np.flatnonzero(rare[code + 1])
+                for k, width in index.width.items():
+                    seeds = hits[prefix[k][code[hits] + 1]]
+                    low_at = np.maximum(words.first[text[seeds]], seeds - width + 1)
+                    high_at = np.minimum(words.first[text[seeds] + 1], seeds + width)
+                    # Seeds whose surroundings overlap are one stretch of words.
+                    new = np.flatnonzero(np.r_[True, low_at[1:] >= high_at[:-1]]) if len(seeds) else seeds
+                    for i, j in zip(new.tolist(), [*new[1:].tolist(), len(seeds)], strict=False):
+                        at_k = int(low_at[i]) + np.flatnonzero(member[k][code[low_at[i] : high_at[j - 1]] + 1])
+                        if len(at_k) < index.need[k]:
+                            continue
+                        t = int(text[seeds[i]])
+                        start = int(words.first[t])
+                        for a, b, held in index.windows(at_k.tolist(), code[at_k].tolist(), index.need[k], width):
+                            found[low + t].append({"label": k, "start": a - start, "end": b - start, "share": held / len(index.templates[k])})
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(found, kind)], ["doc_id", "n_words", "matches"])
 
     return task

@@ -466,3 +466,16 @@ def test_lm_sees_over_white_space(spark):
     rows = [*((i, prose) for i in range(50)), (100, prose), (101, "mat dog the door ran and the sat cat the to on the ")]
     got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: c < 100).collect()}
     assert sorted(rows[-1][1].split()) == sorted(prose.split()) and got[100] > got[101] + 5
+
+
+def test_licenses_over_line_ends(spark):
+    """Notices that are wrapped are found; their words scattered over a long text are not."""
+    grant = license_scan.TEMPLATES["notice:mit-grant"].split()
+    wrapped = "words before\n * " + "\n * ".join(" ".join(grant[i : i + 5]) for i in range(0, len(grant), 5)) + "\nwords after"
+    scattered = " ".join(f"{w} " + "filler " * 30 for w in license_scan.TEMPLATES["notice:cc-by-nc-4.0"].split())
+    df = spark.createDataFrame([(1, wrapped), (2, scattered), (3, wrapped + "\n" + wrapped)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
+    assert (got[1]["labels"], got[1]["score"], len(got[1]["matches"])) == ("notice:mit-grant", 1.0, 1)
+    assert (got[1]["matches"][0]["start"], got[1]["matches"][0]["end"]) == (2, 2 + len(grant))
+    assert (got[2]["labels"], got[2]["score"]) == ("", 0.0)
+    assert len(got[3]["matches"]) == 2
