@@ -9,16 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLE, RANGES = 2048, 64
 
-def running(counts: DataFrame, value: str, *sums: str) -> DataFrame:
-    """counts: one row per distinct value. Adds <sum>_before: the total of each column over all smaller values."""
-    dealt = counts.repartitionByRange(value).withColumn("_range", F.spark_partition_id())
-    # The range of a value is kept with it: later steps do not depend on where rows lie.
-    starts = dealt.groupBy("_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
-    earlier = Window.orderBy("_range")  # one row a range
-    starts = starts.select("_range", *((F.sum(f"_{c}").over(earlier) - F.col(f"_{c}")).alias(f"_{c}_start") for c in sums))
-    inside = Window.partitionBy("_range").orderBy(value)
-    summed = dealt.join(F.broadcast(starts), "_range")
+
+def _bounds(counts: DataFrame, value: str) -> DataFrame:
+    """One row: at most RANGES - 1 values that cut the distinct values into like parts.
+
+    They come from the SAMPLE values of smallest hash, so they depend on the values alone: however often Spark evaluates
+    them, every row gets the same range.
+    """
+    some = counts.select(value).distinct().orderBy(F.xxhash64(value), value).limit(SAMPLE)
+    held = F.sort_array(F.collect_list(value))
+    step = F.greatest(F.ceil(F.size(held) / RANGES), F.lit(1))
+    return some.agg(F.filter(held, lambda _, i: (i > 0) & (i % step == 0)).alias("_bounds"))
+
+
+def running(counts: DataFrame, value: str, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """counts: one row per distinct value (and `by`). Adds <sum>_before: the total of each column over all smaller values."""
+    ranged = counts.crossJoin(F.broadcast(_bounds(counts, value))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    starts = ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    earlier = Window.partitionBy(*by).orderBy("_range")  # at most RANGES rows in each
+    starts = starts.select(*by, "_range", *((F.sum(f"_{c}").over(earlier) - F.col(f"_{c}")).alias(f"_{c}_start") for c in sums))
+    inside = Window.partitionBy(*by, "_range").orderBy(value)
+    summed = ranged.join(starts if by else F.broadcast(starts), [*by, "_range"])
     for c in sums:
         summed = summed.withColumn(f"{c}_before", F.sum(c).over(inside) - F.col(c) + F.col(f"_{c}_start"))
     return summed.drop("_range", *(f"_{c}_start" for c in sums))
@@ -27,21 +40,22 @@ def running(counts: DataFrame, value: str, *sums: str) -> DataFrame:
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
     """value, n, rank_min (from 1), rank_avg, percent_rank of each distinct non-null value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return ranked_counts(counts)
+
+
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """The same from counts: value, n of each distinct value."""
     ranked, total = running(counts, "value", "n"), counts.agg(F.sum("n").alias("total"))
     below = F.col("n_before")
     percent = F.when(F.col("total") > 1, below / (F.col("total") - 1)).otherwise(F.lit(0.0))
     return ranked.join(F.broadcast(total)).select("value", "n", (below + 1).alias("rank_min"), (below + (F.col("n") + 1) / 2).alias("rank_avg"), percent.alias("percent_rank"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str | Column, *by: str) -> DataFrame:
-    """One row (per `by`): auc, null with one class only. Ties count half."""
+def roc_auc(df: DataFrame, label: str, score: str | Column, *by: str, weight: str | None = None) -> DataFrame:
+    """One row (per `by`): auc, null with one class only. Ties count half. weight: how many rows a row stands for."""
     score = F.col(score) if isinstance(score, str) else score
-    positive = F.col(label).cast("int")
-    counts = df.where(score.isNotNull() & F.col(label).isNotNull()).groupBy(*by, score.alias("_score")).agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
-    if by:
-        before = F.sum("neg").over(Window.partitionBy(*by).orderBy("_score")) - F.col("neg")
-        ranked = counts.withColumn("neg_before", before)
-    else:
-        ranked = running(counts, "_score", "neg")
+    positive, n = F.col(label).cast("int"), F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    known = df.where(score.isNotNull() & F.col(label).isNotNull())
+    counts = known.groupBy(*by, score.alias("_score")).agg(F.sum(positive * n).alias("pos"), F.sum((1 - positive) * n).alias("neg"))
     area = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    return ranked.groupBy(*by).agg(F.try_divide(area, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return running(counts, "_score", "neg", by=by).groupBy(*by).agg(F.try_divide(area, F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))

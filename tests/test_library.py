@@ -4,6 +4,8 @@ import json
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,14 @@ def test_registered_queries_match_sql(spark, name):
     columns = sorted(ours.columns)
     assert columns == sorted(theirs.columns)
     assert rows_of(ours[columns]) == rows_of(theirs[columns])
+
+
+def test_roc_auc_with_many_distinct_scores(spark):
+    rng = np.random.default_rng(3)
+    score, label = np.round(rng.random(300_000), 7), (rng.random(300_000) < 0.3).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"y": label, "s": score})).repartition(8)
+    rank, pos = pd.Series(score).rank().to_numpy(), int(label.sum())
+    want = (rank[label == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(label) - pos))
+    for _ in range(2):
+        assert abs(roc_auc(df, "y", "s").first()["auc"] - want) < 1e-12
+    assert value_ranks(df, "s").agg(F.max("rank_avg")).first()[0] == rank.max()
