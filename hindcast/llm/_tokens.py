@@ -33,6 +33,19 @@ def kinds() -> np.ndarray:
     return _made["kinds"]
 
 
+def unknown(data: np.ndarray, at: np.ndarray) -> list[int]:
+    """The texts that hold a code point which Python's Unicode tables have not assigned."""
+    if "unknown" not in _made:
+        _made["unknown"] = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return []
+    # Only texts with characters beyond ASCII are decoded, and of each its distinct characters are looked at.
+    found = np.unique(np.searchsorted(at, lead, "right") - 1).tolist()
+    table = _made["unknown"]
+    return [i for i in found if any(table[ord(c)] for c in set(data[at[i] : at[i + 1]].tobytes().decode()))]
+
+
 def _library(path: str):
     if path not in _made:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,38 +108,42 @@ def spread(lengths: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.nda
 
 
 class _Memo:
-    """Ids of words met before by this worker; forgotten as a whole beyond MOST words, so memory is bounded."""
+    """Ids of words met before by this worker, by their bytes; forgotten as a whole beyond MOST words, so memory is bounded."""
 
-    MOST = 1_000_000
+    MOST = 500_000
 
     def __init__(self):
-        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place: dict[bytes, int] = {}
+        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def places(self, library, pieces: Pieces, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Where each of the sorted hashes stands, once the words not met before are encoded and added."""
-        if len(self.hashes) + len(hashes) > self.MOST:
+    def places(self, library, words: list[bytes]) -> np.ndarray:
+        """The number of each distinct word, once those not met before are encoded and added."""
+        if len(self.place) + len(words) > self.MOST:
             self.__init__()
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
-        if new.any():
-            words, ids, counts = pieces.strings(first[new]).cast(pa.string()).to_pylist(), [self.ids], []
-            for low in range(0, len(words), 20_000):
-                found = [x.ids for x in library.encode_batch_fast(words[low : low + 20_000], add_special_tokens=False)]
+        new = [w for w in words if w not in self.place]
+        if new:
+            ids, counts = [self.ids], []
+            for low in range(0, len(new), 20_000):
+                found = [x.ids for x in library.encode_batch_fast([w.decode() for w in new[low : low + 20_000]], add_special_tokens=False)]
                 counts.append(np.fromiter(map(len, found), np.int64, len(found)))
                 ids.append(np.fromiter((i for x in found for i in x), np.uint32))
             counts = np.concatenate(counts)
-            hashed, starts = np.r_[self.hashes, hashes[new]], np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts]
-            order = np.argsort(hashed, kind="stable")
-            self.hashes, self.starts, self.counts, self.ids = hashed[order], starts[order], np.r_[self.counts, counts][order], np.concatenate(ids)
-            at = np.searchsorted(self.hashes, hashes)
-        return at
+            self.place.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
+            self.starts, self.counts, self.ids = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts], np.r_[self.counts, counts], np.concatenate(ids)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+def distinct(pieces: Words) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words by their bytes, and the number of each word among them."""
+    found = pieces.strings(np.arange(len(pieces))).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
 
 
 def encode_pieces(path: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and where each text begins and ends in them."""
     memo = _made.setdefault(("memo", path), _Memo())
-    found, first, back = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
-    which = memo.places(_library(path), pieces, found, first)[back]
+    words, back = distinct(pieces)
+    which = memo.places(_library(path), words.to_pylist())[back]
     lengths = np.r_[0, np.cumsum(memo.counts[which])]
     return memo.ids[spread(memo.counts, which, memo.starts)], lengths[pieces.first]
 
@@ -139,12 +156,17 @@ def lowered(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(path: str, column: pa.Array, spaced: bool, end: int | None = None) -> Iterator[np.ndarray]:
-    """The ids of each text as unsigned 32-bit integers, with the end id behind them."""
+    """The ids of each text as unsigned 32-bit integers, with the end id behind them.
+
+    Texts with a character that Python's tables don't know are left to the library as a whole: its tables may be newer.
+    """
     data, at = texts(column)
     for low, high in slices(at, 4 << 20):
         part, cut = data[at[low] : at[high]], at[low : high + 1] - at[low]
+        apart = {i: part[cut[i] : cut[i + 1]].tobytes().decode() for i in unknown(part, cut)}
         if not spaced:
             part, cut = lowered(part, cut)
         ids, bounds = encode_pieces(path, Pieces(part, cut, spaced))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield ids[a:b] if end is None else np.r_[ids[a:b], np.uint32(end)]
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            mine = np.array(_library(path).encode(apart[i], add_special_tokens=False).ids, np.uint32) if i in apart else ids[a:b]
+            yield mine if end is None else np.r_[mine, np.uint32(end)]

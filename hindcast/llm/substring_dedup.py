@@ -10,7 +10,7 @@ own batch of documents and sends one row per distinct hash, so a passage that a
 row per batch. Texts are shuffled by document once; the answers of both levels meet them there.
 
 Equality of halves is by 64-bit hash (a collision only lets a candidate through to the second level), equality of runs by
-80 bits of two independent hashes.
+128 bits of two independent hashes.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a null or empty text has none. "Earlier" is a smaller doc_id, or the same
 doc_id and an earlier start. Rows that repeat a doc_id start at the same places: none of them is earlier than another, and
@@ -31,30 +31,33 @@ from pyspark.sql import functions as F
 from hindcast.llm._shared import documents
 from hindcast.llm._words import Words, long_column, runs, slices, texts
 
-_ROWS = "key long, spot long, doc_id long, packed binary"
+_ROWS = "key long, pos int, doc_id long, packed binary"
 
 
-def _rows(key: np.ndarray, spot: np.ndarray, doc: np.ndarray, packs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+def _rows(key: np.ndarray, pos: np.ndarray, doc: np.ndarray, packs: list[tuple[int, bytes]], mark: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows to compare everywhere, and behind them one row per document of what its own batch has settled.
 
     Rows go out in the order of their documents and in few columns, for shuffle files compress them better so.
     """
-    ids, order = np.array([d for d, _ in packs], np.int64), np.lexsort((spot, doc))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.concat_arrays([long_column(key[order]), long_column(ids * 0x9E3779B1)]),
-            pa.concat_arrays([pa.array(spot[order].astype(np.int64)), pa.nulls(len(ids), pa.int64())]),
-            pa.concat_arrays([pa.array(doc[order].astype(np.int64)), pa.array(ids)]),
-            pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array([p for _, p in packs], pa.binary())]),
-        ],
-        ["key", "spot", "doc_id", "packed"],
-    )
+    ids, order = np.array([d for d, _ in packs], np.int64), np.lexsort((pos, doc))
+    columns = [
+        pa.concat_arrays([long_column(key[order]), long_column(ids * 0x9E3779B1)]),
+        pa.concat_arrays([pa.array(pos[order].astype(np.int32)), pa.nulls(len(ids), pa.int32())]),
+        pa.concat_arrays([pa.array(doc[order].astype(np.int64)), pa.array(ids)]),
+        pa.concat_arrays([pa.nulls(len(key), pa.binary()), pa.array([p for _, p in packs], pa.binary())]),
+    ]
+    names = ["key", "pos", "doc_id", "packed"]
+    if mark is not None:
+        columns, names = [*columns, pa.concat_arrays([long_column(mark[order]), pa.nulls(len(ids), pa.int64())])], [*names, "mark"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
 def _by_document(doc: np.ndarray, pos: np.ndarray) -> list[tuple[int, bytes]]:
+    if not len(doc):
+        return []
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order].astype(np.int32)
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist()
     return [(int(doc[a]), pos[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
 
 
@@ -122,7 +125,7 @@ def second_level(window: int):
                     alive[begin + known[known < end - begin]] = True
                 chosen = runs_at[alive[where]]
                 text = words.text_of()[chosen]
-                keys.append(runs(h, window)[chosen]), marks.append(runs(words.hashes(1), window, 1)[chosen].astype(np.uint16).astype(np.int64))
+                keys.append(runs(h, window)[chosen]), marks.append(runs(words.hashes(1), window, 1)[chosen])
                 docs.append(ids[low + text]), starts.append(chosen - words.first[text])
             if not keys:
                 continue
@@ -132,7 +135,7 @@ def second_level(window: int):
             new = np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])] if len(key) else np.zeros(0, bool)
             lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, int)
             later = (doc != doc[lead]) | (pos != pos[lead])
-            yield _rows(key[new], mark[new] << 32 | pos[new], doc[new], _by_document(doc[later], pos[later]))
+            yield _rows(key[new], pos[new], doc[new], _by_document(doc[later], pos[later]), mark[new])
 
     return task
 
@@ -170,7 +173,7 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     if window < 2 or window % 2:
         raise ValueError("window is an even number of words")
     docs = documents(df, *([F.struct(*carry).alias("carried")] if carry else []), id_col=id_col, text_col=text_col)
-    place, mark = F.struct("doc_id", "pos"), F.shiftright("spot", 32)
+    place = F.struct("doc_id", "pos")
 
     def met(rows: DataFrame) -> DataFrame:
         """Every document with what is known of it. Both levels read the same shuffle of texts: no filter may differ."""
@@ -178,10 +181,9 @@ def substring_dedup(df: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 
     halves = docs.select("doc_id", "text").mapInArrow(first_level(window), _ROWS).repartition("key")
     per_key = Window.partitionBy("key")
-    alive = halves.withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("least", F.min("spot").over(per_key))
-    alive = alive.where("n > 1 OR least < 0 OR packed IS NOT NULL").where("packed IS NOT NULL OR spot >= 0")
-    whole = met(alive.select("doc_id", F.col("spot").cast("int").alias("pos"), "packed")).mapInArrow(second_level(window), _ROWS).repartition("key")
-    whole = whole.withColumn("mark", mark).withColumn("pos", F.expr("CAST(spot & 4294967295 AS int)"))
+    alive = halves.withColumn("n", F.count(F.lit(1)).over(per_key)).withColumn("least", F.min("pos").over(per_key))
+    alive = alive.where("n > 1 OR least < 0 OR packed IS NOT NULL").where("packed IS NOT NULL OR pos >= 0")
+    whole = met(alive.select("doc_id", "pos", "packed")).mapInArrow(second_level(window), _ROWS + ", mark long").repartition("key")
     later = whole.withColumn("first", F.min(place).over(Window.partitionBy("key", "mark"))).where(F.col("packed").isNotNull() | (place > F.col("first")))
     kinds = "doc_id long, n_words long, n_removed long, kept_text string"
     return met(later).mapInArrow(_keep(window), kinds + (f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""))

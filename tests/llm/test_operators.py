@@ -479,3 +479,40 @@ def test_licenses_over_line_ends(spark):
     assert (got[1]["matches"][0]["start"], got[1]["matches"][0]["end"]) == (2, 2 + len(grant))
     assert (got[2]["labels"], got[2]["score"]) == ("", 0.0)
     assert len(got[3]["matches"]) == 2
+
+
+def _thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_collide_by_arithmetic(spark):
+    """Long words and runs of two letters or words, whose polynomial hashes modulo 2**64 would be equal."""
+    a, b = _thue_morse(1024, "ab"), _thue_morse(1024, "ba")
+    words = Words(*texts(pa.array([f"{a} {b}", a[:40], b[:40]])))
+    for lane in (0, 1):
+        assert len(set(words.hashes(lane).tolist())) == 4
+    from tokenizers import Tokenizer
+
+    for path, spaced in ((BYTE_BPE, True), (WORD_BPE, False)):
+        library = Tokenizer.from_file(path)
+        assert [x.tolist() for x in encode(path, pa.array([a, b]), spaced)] == [library.encode(t, add_special_tokens=False).ids for t in (a, b)]
+    common = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {common}"), (2, f"{b} {common}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {0}
+    assert {r["decoded"] for r in bpe.encode_decode(df, BYTE_RANKS).collect()} == {t.encode() for _, t in rows}
+
+
+@pytest.mark.parametrize("texts_", [["w " * 0 + " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))], ["one two", "three"], [" ".join(f"a{i}" for i in range(30))], [None]])
+def test_substring_dedup_without_repeats(spark, texts_):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts_)], "doc_id long, text string").coalesce(1)
+    assert [(r["n_removed"], r["kept_text"]) for r in substring_dedup.substring_dedup(df).orderBy("doc_id").collect()] == [(0, (t or "").strip()) for t in texts_]
+
+
+def test_ids_of_characters_newer_than_python_tables():
+    from tokenizers import Tokenizer
+
+    texts_ = [f"ab{chr(c)}cd {chr(c)}É x" for c in (0x105E4, 0x10D5B, 0x11BC2, 0x134AA, 0x1C89, 0x0378)]
+    for path, spaced in ((BYTE_BPE, True), (WORD_BPE, False)):
+        library = Tokenizer.from_file(path)
+        assert [x.tolist() for x in encode(path, pa.array(texts_), spaced)] == [library.encode(t, add_special_tokens=False).ids for t in texts_]
