@@ -15,7 +15,9 @@ import pyarrow as pa
 
 from hindcast.llm._words import Words, slices, texts
 
-OTHER, LETTER, NUMBER, BLANK = range(4)
+OTHER, LETTER, NUMBER, BLANK, UNASSIGNED = range(5)
+#: Words that the library gets at once.
+TOGETHER = 500
 #: Code points of Unicode's White_Space property (fixed values).
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: What may follow an apostrophe that starts a piece (fixed values of the split pattern).
@@ -25,9 +27,10 @@ _made: dict = {}
 
 
 def kinds() -> np.ndarray:
-    """Letter, number, white space or other, of each code point."""
+    """Letter, number, white space or other, of each code point; UNASSIGNED is added where Python's tables don't know it."""
     if "kinds" not in _made:
-        table = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+        kind = {"L": LETTER, "N": NUMBER}
+        table = np.fromiter((UNASSIGNED if x == "Cn" else kind.get(x[0], OTHER) for x in map(unicodedata.category, map(chr, range(0x110000)))), np.uint8, 0x110000)
         table[WHITE_SPACE] = BLANK
         _made["kinds"] = table
     return _made["kinds"]
@@ -35,15 +38,14 @@ def kinds() -> np.ndarray:
 
 def unknown(data: np.ndarray, at: np.ndarray) -> list[int]:
     """The texts that hold a code point which Python's Unicode tables have not assigned."""
-    if "unknown" not in _made:
-        _made["unknown"] = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-    lead = np.flatnonzero(data >= 0xC0)
-    if not len(lead):
+    if not (data >= 0xC0).any():
         return []
-    # Only texts with characters beyond ASCII are decoded, and of each its distinct characters are looked at.
-    found = np.unique(np.searchsorted(at, lead, "right") - 1).tolist()
-    table = _made["unknown"]
-    return [i for i in found if any(table[ord(c)] for c in set(data[at[i] : at[i + 1]].tobytes().decode()))]
+    point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    odd = np.flatnonzero(kinds()[point] == UNASSIGNED)
+    if not len(odd):
+        return []
+    place = np.flatnonzero((data & 0xC0) != 0x80)[odd]
+    return np.unique(np.searchsorted(at, place, "right") - 1).tolist()
 
 
 def _library(path: str):
@@ -60,7 +62,7 @@ class Pieces(Words):
     """Pieces of texts as the split pattern cuts them: `spaced` with a leading space, else without white space."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, spaced: bool):
-        self.data = data
+        self.data, self.spaced = data, spaced
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         point = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         n = len(point)
@@ -107,6 +109,18 @@ def spread(lengths: np.ndarray, which: np.ndarray, starts: np.ndarray) -> np.nda
     return np.repeat(starts[which] - (to - n), n) + np.arange(to[-1] if len(to) else 0)
 
 
+def _encoded(library, words: list[str], joined: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of words, and how many each has. joined: words may be encoded in one text, for the vocabulary drops white space."""
+    if joined:
+        found = library.encode(" ".join(words), add_special_tokens=False)
+        of = np.array(found.word_ids, np.int64)
+        if len(of) and of[-1] == len(words) - 1:  # else the library splits a word that stands alone otherwise
+            yield np.array(found.ids, np.uint32), np.bincount(of, minlength=len(words))
+            return
+    found = [x.ids for x in library.encode_batch_fast(words, add_special_tokens=False)]
+    yield np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
 class _Memo:
     """Ids of words met before by this worker, by their bytes; forgotten as a whole beyond MOST words, so memory is bounded."""
 
@@ -116,17 +130,16 @@ class _Memo:
         self.place: dict[bytes, int] = {}
         self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def places(self, library, words: list[bytes]) -> np.ndarray:
+    def places(self, library, words: list[bytes], joined: bool) -> np.ndarray:
         """The number of each distinct word, once those not met before are encoded and added."""
         if len(self.place) + len(words) > self.MOST:
             self.__init__()
         new = [w for w in words if w not in self.place]
         if new:
             ids, counts = [self.ids], []
-            for low in range(0, len(new), 20_000):
-                found = [x.ids for x in library.encode_batch_fast([w.decode() for w in new[low : low + 20_000]], add_special_tokens=False)]
-                counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-                ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+            for low in range(0, len(new), TOGETHER):
+                for part, n in _encoded(library, [w.decode() for w in new[low : low + TOGETHER]], joined):
+                    ids.append(part), counts.append(n)
             counts = np.concatenate(counts)
             self.place.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
             self.starts, self.counts, self.ids = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts], np.r_[self.counts, counts], np.concatenate(ids)
@@ -143,7 +156,7 @@ def encode_pieces(path: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """All ids, and where each text begins and ends in them."""
     memo = _made.setdefault(("memo", path), _Memo())
     words, back = distinct(pieces)
-    which = memo.places(_library(path), words.to_pylist())[back]
+    which = memo.places(_library(path), words.to_pylist(), not pieces.spaced)[back]
     lengths = np.r_[0, np.cumsum(memo.counts[which])]
     return memo.ids[spread(memo.counts, which, memo.starts)], lengths[pieces.first]
 
