@@ -128,7 +128,7 @@ class _Memo:
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
-        self.starts, self.counts, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)  # of word i: ids[ends[i] : ends[i + 1]]
 
     def places(self, library, words: list[bytes], joined: bool) -> np.ndarray:
         """The number of each distinct word, once those not met before are encoded and added."""
@@ -140,9 +140,8 @@ class _Memo:
             for low in range(0, len(new), TOGETHER):
                 for part, n in _encoded(library, [w.decode() for w in new[low : low + TOGETHER]], joined):
                     ids.append(part), counts.append(n)
-            counts = np.concatenate(counts)
-            self.place.update(zip(new, range(len(self.counts), len(self.counts) + len(new)), strict=True))
-            self.starts, self.counts, self.ids = np.r_[self.starts, len(self.ids) + np.cumsum(counts) - counts], np.r_[self.counts, counts], np.concatenate(ids)
+            self.place.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends, self.ids = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))], np.concatenate(ids)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
 
@@ -157,8 +156,9 @@ def encode_pieces(path: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     memo = _made.setdefault(("memo", path), _Memo())
     words, back = distinct(pieces)
     which = memo.places(_library(path), words.to_pylist(), not pieces.spaced)[back]
-    lengths = np.r_[0, np.cumsum(memo.counts[which])]
-    return memo.ids[spread(memo.counts, which, memo.starts)], lengths[pieces.first]
+    lengths = np.r_[0, np.cumsum(np.diff(memo.ends)[which])]
+    ids = pa.LargeListArray.from_arrays(memo.ends, memo.ids).take(pa.array(which)).flatten()
+    return ids.to_numpy(), lengths[pieces.first]
 
 
 def lowered(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
