@@ -3,17 +3,20 @@
 Tokens are words of letters, digits and non-ASCII characters, A-Z lowered. A token's share of occurrences in toxic rows is
 estimated with Dirichlet priors along a chain: the prior of a word is the estimate of its first eight bytes, whose prior is
 that of its first seven, and so on down to four and to the share of all tokens. So inflected and compounded forms that were
-never seen take their stem's odds, and a frequent clean word under a toxic stem keeps its own. A token's score is its
-log-odds against the share of all tokens; a word of no known odds costs a small fixed drift.
+never seen take their stem's odds, and a frequent clean word under a toxic stem keeps its own. A token's log-odds against the
+share of all tokens, above or below zero, are shrunk by their squared standard error (what one sighting says is mostly
+noise); its score is that less a fixed drift, which alone a word without any known stem gets.
 
-Each text is scanned once for all maximal scoring segments (linear time). In clean text a segment of score S turns up by
-chance with expectation about n * exp(-lambda * S), lambda being the positive root of E[exp(lambda * s)] = 1 over clean
-training tokens; segments with an expectation under one are the significant passages. Their excess over chance,
-lambda * S - ln(n), is summed and calibrated to a probability by a logistic fit on the training rows.
+Each text is scanned once for all maximal scoring segments (linear time: every segment keeps a link to the last one before
+it that begins lower). In clean text of n words, segments of score S or more are expected E = K * n * exp(-lambda * S) times;
+lambda and K are the maximum-likelihood fit of the extreme-value law to the best segments of clean training rows. A segment
+whose tail probability 1 - exp(-E) is at most `SIGNIFICANT` is a toxic passage. The passages' surprise, -ln of the tail
+probability, is summed and calibrated to a probability by a logistic fit on the training rows. Both fits use scores that
+were learnt from the other half of the training rows, so no row is judged by odds that it made itself.
 
-Scale: training counts are combined per batch and summed by Spark; only tokens that stand out come to the driver. Training
-uses at most `max_train` labelled rows (chosen by hash of the id; all of them where there are fewer), which bounds the
-table of labels that is broadcast and the tokens that can stand out. Every text is scored whole.
+Scale: training counts are combined per batch and summed by Spark. At most `max_train` labelled rows are learnt from (chosen
+by hash of the id; all of them where there are fewer); that bounds the table of labels that is broadcast and the lexicon,
+16 bytes for each distinct word and stem of these rows, which goes out with the task. Every text is scored whole.
 
 Defined results: a null or empty text has no passage and scores as any text without one. Labels that are null count as
 absent, several of one doc_id as the largest. Without any training row the score is 0. Rows that repeat are returned as
@@ -30,19 +33,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._shared import documents, stored
+from hindcast.llm._shared import documents
 from hindcast.llm._words import LOWER, PLAIN, Words, long_column, slices, texts
 
 STEMS = (4, 5, 6, 7, 8)
 WHOLE = 255
-PRIOR = 5.0
-DRIFT = 0.25
-LEAST = 3
+PRIOR = 10.0
+DRIFT = 1.2
 #: No share is taken as surer than this: chains of stems would reach 0 or 1 in floating point.
 SURE = 1e-6
-MAX_TRAIN = 200_000
+SIGNIFICANT = 0.05
+MAX_TRAIN = 50_000
 THRESHOLD = 0.3
-_FOUND = "excess double, passages array<struct<start:int,end:int,score:double>>"
+#: Bytes of text that are cut into words at once.
+SLICE = 2 << 20
+_PASSAGES = "array<struct<start:int,end:int,score:double>>"
+_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
 def _chains(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,47 +65,44 @@ def _chains(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of tokens in clean and toxic rows of both halves."""
     for batch in batches:
         data, at = texts(batch.column("text"))
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(bool)
-        for low, high in slices(at):
+        label, half = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("label", "half"))
+        for low, high in slices(at, SLICE):
             words = Words(LOWER[data[at[low] : at[high]]], at[low : high + 1] - at[low], PLAIN)
-            toxic = label[low:high][words.text_of()]
+            group = (2 * half + label)[low:high][words.text_of()]
             for level, which, h, parent in _chains(words):
                 token, first, back = np.unique(h, return_index=True, return_inverse=True)
-                n, bad = np.bincount(back, minlength=len(token)), np.bincount(back, weights=toxic[which], minlength=len(token)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), level, np.int32)), long_column(token), long_column(parent[first]), pa.array(n - bad), pa.array(bad)], ["level", "token", "parent", "clean", "toxic"])
+                n = np.bincount(back * 4 + group[which], minlength=4 * len(token)).reshape(-1, 4)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), level, np.int32)), long_column(token), long_column(parent[first]), *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(4))], ["level", "token", "parent", *_GROUPS])
 
 
-def _logit(p: float) -> float:
-    return math.log(p / (1 - p))
+_GROUPS = ["clean_0", "toxic_0", "clean_1", "toxic_1"]
+
+
+def _logit(p: np.ndarray | float) -> np.ndarray | float:
+    return np.log(p) - np.log1p(-p)
 
 
 class Lexicon:
-    """Scores of the tokens that stand out, sorted by hash; rate: lambda."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int, int]], clean: int, toxic: int):
-        base = (toxic + 1) / (clean + toxic + 2)
-        share, children = {0: base}, {}
-        for _, token, parent, good, bad in sorted(rows):
-            prior = share.get(parent, base)
-            share[token] = min(max((bad + PRIOR * prior) / (good + bad + PRIOR), SURE), 1 - SURE)
-            children[parent] = children.get(parent, 0) + good
-        score = {token: _logit(p) - _logit(base) for token, p in share.items() if token}
-        self.tokens = np.array(sorted(score), np.int64)
-        self.scores = np.array([score[t] for t in self.tokens.tolist()], np.float64)
-        self.rate = self._rate([(score[t], max(0, good - children.get(t, 0))) for _, t, _, good, _ in rows], clean)
-
-    @staticmethod
-    def _rate(found: list[tuple[float, int]], clean: int) -> float:
-        known = sum(n for _, n in found)
-        total = max(clean, known) + 1.0
-        excess = lambda x: sum((n + 1e-3) / total * math.exp(min(x * s, 600)) for s, n in found) + (total - known) / total * math.exp(-x * DRIFT) - 1
-        low, high = 0.0, 20.0
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (low, middle) if excess(middle) > 0 else (middle, high)
-        return max(low, 0.05)
+    """Scores of all tokens of the training rows, sorted by hash."""
+
+    def __init__(self, level: np.ndarray, token: np.ndarray, parent: np.ndarray, clean: np.ndarray, toxic: np.ndarray):
+        seen = clean + toxic > 0
+        order = np.flatnonzero(seen)[np.argsort(token[seen])]
+        level, self.tokens, parent, good, bad = (x[order] for x in (level, token, parent, clean, toxic))
+        whole = level == WHOLE
+        base = (bad[whole].sum() + 1) / (bad[whole].sum() + good[whole].sum() + 2)
+        share = np.full(len(order), base)
+        for now in (*STEMS, WHOLE):
+            mine = np.flatnonzero(level == now)
+            at = np.minimum(np.searchsorted(self.tokens, parent[mine]), len(order) - 1)
+            prior = np.where(self.tokens[at] == parent[mine], share[at], base) if len(mine) else base
+            share[mine] = np.clip((bad[mine] + PRIOR * prior) / (good[mine] + bad[mine] + PRIOR), SURE, 1 - SURE)
+        odds = _logit(share) - _logit(base)
+        error = 1 / (share * (1 - share) * (good + bad + PRIOR))
+        self.scores = (odds * np.maximum(0, 1 - error / np.maximum(odds * odds, 1e-12)) - DRIFT).astype(np.float32)
 
     def of(self, words: Words) -> np.ndarray:
         """Each word's score: of its longest known token, or minus the drift."""
@@ -118,38 +121,92 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time; runs of losses are taken at once."""
     gains = np.flatnonzero(scores > 0)
     total = np.r_[0.0, np.cumsum(scores)]
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    for i in gains.tolist():
-        start, end, left, right = i, i + 1, total[i], total[i + 1]
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, the last that begins lower
+    for i, left, right in zip(gains.tolist(), total[gains].tolist(), total[gains + 1].tolist(), strict=True):
+        start, end, j = i, i + 1, len(found) - 1
         while True:
-            j = len(found) - 1
+            # All that stands between a segment and the one it links to begins higher than itself.
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
-                found.append((start, end, left, right))
+                found.append((start, end, left, right, j))
                 break
-            start, left = found[j][0], found[j][2]
+            start, left, before = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = before
+    return [(a, b, right - left) for a, b, left, right, _ in found]
+
+
+def _segments(lexicon: Lexicon, column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """Row number, number of words and segments of each text that has words."""
+    data, at = texts(column)
+    for low, high in slices(at, SLICE):
+        words = Words(LOWER[data[at[low] : at[high]]], at[low : high + 1] - at[low], PLAIN)
+        scores = lexicon.of(words)
+        gains = np.bincount(words.text_of()[scores > 0], minlength=high - low).tolist()
+        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            if b > a:
+                yield low + i, b - a, segments(scores[a:b]) if gains[i] else []
+
+
+class Law:
+    """The extreme-value law of segments in clean text: tail(S, n) = 1 - exp(-K * n * exp(-lambda * S))."""
+
+    def __init__(self, best: np.ndarray, n: np.ndarray):
+        """Maximum likelihood from the best scores of clean texts (0: no segment, which counts as "0 at most") and their words."""
+        x, m, none = best[best > 0], n[best > 0], float(n[best <= 0].sum())
+        self.rate, self.log_k = 1.0, -math.log(none + 1)
+        if len(x):
+            low, high = 1e-3, 50.0
+            for _ in range(60):
+                self.rate = (low + high) / 2
+                weight = m * np.exp(-self.rate * x)
+                low, high = (self.rate, high) if 1 / self.rate - x.mean() + (weight * x).sum() / (weight.sum() + none) > 0 else (low, self.rate)
+            self.log_k = math.log(len(x) / (float((m * np.exp(-self.rate * x)).sum()) + none))
+
+    def surprise(self, score: float, n: int) -> float:
+        """-ln of the tail probability."""
+        log_e = self.log_k + math.log(n) - self.rate * score
+        return -log_e if log_e < -20 else -math.log(-math.expm1(-math.exp(min(log_e, 5.0))))
+
+
+def judged(lexicon: Lexicon, law: Law, column: pa.Array, with_passages: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
+    """Of each text: the summed surprise of its significant passages, and these."""
+    total, passages, least = np.zeros(len(column)), [[] for _ in range(len(column))] if with_passages else [], -math.log(SIGNIFICANT)
+    for i, n, found in _segments(lexicon, column):
+        for start, end, s in found:
+            surprise = law.surprise(s, n)
+            if surprise >= least:
+                total[i] += surprise
+                if with_passages:
+                    passages[i].append({"start": start, "end": end, "score": s})
+    return total, passages
+
+
+def _by_halves(lexicons: list[Lexicon], law: Law | None):
+    """Training rows by the lexicon of the other half. Without a law: words and best score; with it: surprise."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = batch.column("half").to_numpy()
+            for k in (0, 1):
+                mine = batch.filter(pa.array(half == k))
+                n, value = np.zeros(mine.num_rows, np.int64), np.zeros(mine.num_rows)
+                if law:
+                    value, _ = judged(lexicons[1 - k], law, mine.column("text"), False)
+                else:
+                    for i, words, found in _segments(lexicons[1 - k], mine.column("text")):
+                        n[i], value[i] = words, max((s for _, _, s in found), default=0.0)
+                yield pa.RecordBatch.from_arrays([mine.column("label"), pa.array(n), pa.array(value)], ["label", "n", "value"])
 
+    return task
 
-def _scan(lexicon: Lexicon, carry: list[str]):
+
+def _scan(model: Model):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = texts(batch.column("text"))
-            excess, passages = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
-            for low, high in slices(at):
-                words = Words(LOWER[data[at[low] : at[high]]], at[low : high + 1] - at[low], PLAIN)
-                scores = lexicon.of(words)
-                for i in np.unique(words.text_of()[scores > 0]).tolist():
-                    a, b = words.first[i], words.first[i + 1]
-                    chance = math.log(b - a)
-                    for start, end, s in segments(scores[a:b]):
-                        if lexicon.rate * s > chance:
-                            excess[low + i] += lexicon.rate * s - chance
-                            passages[low + i].append({"start": start, "end": end, "score": s})
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), pa.array(excess), pa.array(passages, kind)], [*carry, "excess", "passages"])
+            excess, passages = judged(model.lexicon, model.law, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(excess), pa.array(passages, _KIND)], ["doc_id", "excess", "passages"])
 
     return task
 
@@ -167,10 +224,10 @@ def _fit(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 class Model:
-    """What is learnt from labelled rows: the lexicon, and the logistic fit of its excess over chance."""
+    """What is learnt from labelled rows: the lexicon, the law of chance segments, and the logistic fit of the surprise."""
 
-    def __init__(self, lexicon: Lexicon | None, a: float, b: float):
-        self.lexicon, self.a, self.b = lexicon, a, b
+    def __init__(self, lexicon: Lexicon | None, law: Law | None, a: float, b: float):
+        self.lexicon, self.law, self.a, self.b = lexicon, law, a, b
 
     def score(self, excess: Column) -> Column:
         return 1 / (1 + F.exp(-(F.lit(self.a) + F.lit(self.b) * F.log1p(excess))))
@@ -182,41 +239,44 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Callable[[Column], Colu
     rows = known.count()
     if rows > max_train:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * max_train // rows)
-    taught = docs.join(F.broadcast(known), "doc_id")
-
-    counts = stored(taught.select("text", "label").mapInArrow(_count, "level int, token long, parent long, clean long, toxic long").groupBy("level", "token", "parent").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "tokens")
-    clean, toxic = counts.where(f"level = {WHOLE}").agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not clean + toxic:
-        return Model(None, -30.0, 0.0)
-    base = (toxic + 1) / (clean + toxic + 2)
-    strong = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") + PRIOR * base > min(0.9, 3 * base) * (F.col("toxic") + F.col("clean") + PRIOR)))
-    under = counts.where(F.col("toxic") + F.col("clean") >= LEAST).join(F.broadcast(strong.select(F.col("token").alias("parent")).distinct()), "parent", "left_semi")
-    kept = strong.union(under.select(strong.columns)).distinct().toArrow().to_pylist()
-    lexicon = Lexicon([(r["level"], r["token"], r["parent"], r["clean"], r["toxic"]) for r in kept], clean, toxic)
-    scanned = taught.select("text", "label").mapInArrow(_scan(lexicon, ["label"]), f"label boolean, {_FOUND}")
-    step = F.floor(F.log1p("excess") * 8)
-    bins = scanned.groupBy(step.alias("bin")).agg(F.avg("excess"), F.count(F.lit(1)), F.sum(F.col("label").cast("int"))).toArrow().to_pylist()
-    return Model(lexicon, *_fit([tuple(r.values())[1:] for r in bins]))
-
-
-def _scanned(docs: DataFrame, model: Model, carry: str) -> DataFrame:
-    if model.lexicon is None:
-        return docs.select(carry, F.lit(0.0).alias("excess"), F.expr("CAST(array() AS array<struct<start:int,end:int,score:double>>)").alias("passages"))
-    return docs.mapInArrow(_scan(model.lexicon, [carry]), f"{carry} {docs.schema[carry].dataType.simpleString()}, {_FOUND}")
+    half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half")
+    taught = docs.join(F.broadcast(known), "doc_id").select("text", "label", half)
+
+    kind = "level int, token long, parent long, " + ", ".join(f"{c} long" for c in _GROUPS)
+    counts = taught.mapInArrow(_count, kind).groupBy("level", "token", "parent").agg(*(F.sum(c).cast("int").alias(c) for c in _GROUPS)).toArrow()
+    if not counts.num_rows:
+        return Model(None, None, -30.0, 0.0)
+    level, token, parent, *n = (c.to_numpy() for c in counts.columns)
+    halves = [Lexicon(level, token, parent, n[2 * k], n[2 * k + 1]) for k in (0, 1)]
+    lexicon = Lexicon(level, token, parent, n[0] + n[2], n[1] + n[3])
+    del counts, level, token, parent, n
+    scanned = taught.mapInArrow(_by_halves(halves, None), "label boolean, n long, value double")
+    clean = scanned.where("NOT label AND n > 0").select("n", "value").toArrow()  # at most max_train rows of two numbers
+    law = Law(clean["value"].to_numpy(), clean["n"].to_numpy())
+    step = F.floor(F.log1p("value") * 8)
+    scanned = taught.mapInArrow(_by_halves(halves, law), "label boolean, n long, value double")
+    bins = scanned.groupBy(step.alias("bin")).agg(F.avg("value"), F.count(F.lit(1)), F.sum(F.col("label").cast("int"))).toArrow().to_pylist()
+    return Model(lexicon, law, *_fit([tuple(r.values())[1:] for r in bins]))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, predicted, passages (word numbers and scores of the significant ones)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
     model = fit(docs, labels, is_training, max_train)
-    score = model.score(F.col("excess")) if model.lexicon else F.lit(0.0)
-    return _scanned(docs, model, "doc_id").select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "passages")
+    if model.lexicon is None:
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(int(threshold <= 0)).alias("predicted"), F.expr(f"CAST(array() AS {_PASSAGES})").alias("passages"))
+    score = model.score(F.col("excess"))
+    return docs.mapInArrow(_scan(model), f"doc_id long, excess double, passages {_PASSAGES}").select("doc_id", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def clean_documents(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows that are not predicted toxic, with all their columns; texts are scored where they lie."""
+    """The input's rows that are not predicted toxic, with all their columns. Only texts go to Python; rows stay where they are."""
     model = fit(documents(df, id_col=id_col, text_col=text_col), labels, is_training, max_train)
     if model.lexicon is None:
         return df
-    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return _scanned(rows, model, "row").where(model.score(F.col("excess")) < threshold).select("row.*")
+
+    @F.arrow_udf("double")
+    def excess(column: pa.Array) -> pa.Array:
+        return pa.array(judged(model.lexicon, model.law, column, False)[0])
+
+    return df.where(model.score(excess(F.coalesce(F.col(text_col), F.lit("")))) < threshold)
