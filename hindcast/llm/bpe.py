@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding with a rank file, as the tiktoken library would, without its special tokens.
 
-Spark higher-order functions fold ranked merges over byte arrays of distinct words. A batch of documents is cut into pieces
-by the split pattern and comes as one row: its distinct pieces as arrays of single-byte ids, the rank map, and the order of
-pieces in each document. `aggregate` then merges, in every distinct piece at once, the adjacent pair of lowest rank until no
-pair has a rank; a piece that is a token as a whole is that token. The fold takes time in the square of a piece's length, so
-the rare piece of over LONG bytes is merged by a heap beforehand. The order puts the ids back into documents. Decoding
-concatenates the tokens' bytes.
+Spark higher-order functions fold ranked merges over byte arrays of distinct words. A slice of documents is cut into pieces
+by the split pattern and comes as a row for each distinct piece, an array of single-byte ids, followed by a row with the order
+of pieces in each document. `aggregate` merges, in each piece, the adjacent pair of lowest rank until no pair has a rank; a
+piece that is a token as a whole is that token. The last row puts the ids back into documents. Decoding concatenates the
+tokens' bytes.
 
-The rank map is an array that lies in the row (bounded by the vocabulary, 4 MB for 50,000 tokens), not a map literal: Spark
-looks a map up by scanning it, and an array by its place. It has two places for each pair (a, b) of tokens whose bytes
-together are a token: entry = (a << 32 | b << 16 | rank), so a lookup is two reads and two comparisons.
+The rank map is a literal of the plan: an array in which the pair (a, b) of tokens stands at shift[a] + b, if their bytes
+together are a token, as a << 16 | rank; shifts are chosen so that no two pairs share a place. A lookup is two reads and a XOR
+with a << 16, which leaves the rank, or a number beyond all ranks. (Spark looks a map literal up by scanning it.)
 
-Scale: no shuffle; memory is a bounded slice of a batch. Distinct pieces of a slice are some 7 % of all pieces.
+Scale: no shuffle; memory is a bounded slice of a batch, and rows are as small as a piece. The fold takes time in the square of
+a piece's length; pieces of over LONG bytes, which no text with white space or changes between letters and signs has, would
+take minutes to hours, so a heap merges them beforehand: the same merges in the same order.
 
 Defined results: a null or empty text has no ids. Rows are returned as often as they occur, a null doc_id too. An empty table
 gives an empty result; other columns are ignored. Ids must be below 65536.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents
-from hindcast.llm._tokens import Pieces, spread
+from hindcast.llm._tokens import Pieces, distinct, spread
 from hindcast.llm._words import slices, texts
 
-SLICE = 10 << 20
-LONG = 400
+SLICE = 8 << 20
+LONG = 4096
+NONE = 1 << 16
 _made: dict = {}
 
 
@@ -43,32 +45,27 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """Where the entry of a pair stands: at (k0*a + k1*b) % size of the first half, or at the like place of the second."""
+    """shift: of each left token; entries: left token << 16 | rank at shift[left] + right, EMPTY where no pair stands."""
 
-    FACTORS = (7_368_787, 15_485_863), (32_452_843, 49_979_687)
+    EMPTY = 1 << 40
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= 1 << 16:
+        if max(ranks.values()) >= NONE:
             raise ValueError("ids must be below 65536")
-        pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pairs = pairs
-        self.size = 2 * len(pairs) + 1001
-        while not self._fill(pairs):
-            self.size += 1000
-
-    def _fill(self, pairs: dict[tuple[int, int], int]) -> bool:
-        self.entries = np.full(2 * self.size, -1, np.int64)
-        for (a, b), rank in pairs.items():
-            entry, half = a << 32 | b << 16 | rank, 0
-            for _ in range(200):  # put the entry in, and what stood there into its other place
-                at = half * self.size + (self.FACTORS[half][0] * (entry >> 32) + self.FACTORS[half][1] * (entry >> 16 & 0xFFFF)) % self.size
-                entry, self.entries[at] = int(self.entries[at]), entry
-                if entry < 0:
+        self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        rows: dict[int, list[int]] = {}
+        for a, b in self.pairs:
+            rows.setdefault(a, []).append(b)
+        most = max(ranks.values()) + 1
+        self.shift, self.entries, rng = np.zeros(most, np.int64), np.full(2 * len(self.pairs) + most, self.EMPTY, np.int64), np.random.default_rng(0)
+        for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+            right = np.array(rows[a])
+            while True:
+                at = int(rng.integers(0, len(self.entries) - int(right.max())))
+                if (self.entries[at + right] == self.EMPTY).all():
                     break
-                half = 1 - half
-            else:
-                return False
-        return True
+            self.shift[a] = at
+            self.entries[at + right] = [a << 16 | self.pairs[a, b] for b in rows[a]]
 
 
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -98,8 +95,7 @@ def _vocabulary(path: str) -> tuple[dict[bytes, int], RankMap, np.ndarray]:
 
 
 def _cut(path: str):
-    """A row per slice: documents, where each begins in the order of pieces, that order, the distinct pieces, the rank map."""
-    words_kind = pa.list_(pa.list_(pa.int32()))
+    """Of each slice a row for each distinct piece, then a row of its documents, where each begins in the order of pieces, and that order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, rank_map, single = _vocabulary(path)
@@ -107,12 +103,10 @@ def _cut(path: str):
             data, at = texts(batch.column("text"))
             for low, high in slices(at, SLICE):
                 pieces = Pieces(data[at[low] : at[high]], at[low : high + 1] - at[low], True)
-                _, first, order = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
-                held = pieces.strings(first)
+                held, order = distinct(pieces)
                 whole = np.array([ranks.get(w, -1) for w in held.to_pylist()], np.int64)
                 raw, bounds = texts(held)
-                length = np.diff(bounds)
-                n = np.where(whole >= 0, 1, length)
+                n = np.where(whole >= 0, 1, np.diff(bounds))
                 ends = np.r_[0, np.cumsum(n)]
                 ids = single[raw[spread(n, np.arange(len(n)), bounds[:-1])]] if len(n) else np.zeros(0, np.int32)
                 ids[ends[:-1][whole >= 0]] = whole[whole >= 0]
@@ -122,42 +116,42 @@ def _cut(path: str):
                     for i in long.tolist():
                         parts[i] = -1 - np.array(merge_long(parts[i].tolist(), rank_map.pairs), np.int32)
                     ids, ends = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
-                words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                for begin in range(0, len(n), 10_000):
+                    end = min(begin + 10_000, len(n))
+                    words = pa.ListArray.from_arrays(pa.array((ends[begin : end + 1] - ends[begin]).astype(np.int32)), pa.array(ids[ends[begin] : ends[end]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(end - begin, pa.list_(pa.int64())), *[pa.nulls(end - begin, pa.binary())] * 2, words], ["docs", "first", "order", "word"])
                 columns = [
-                    pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64())), pa.array([pieces.first.astype(np.int64).tobytes()], pa.binary()), pa.array([order.astype(np.int32).tobytes()], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words).cast(words_kind), pa.ListArray.from_arrays(pa.array([0, len(rank_map.entries)], pa.int32()), pa.array(rank_map.entries)),
+                    pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64())), pa.array([pieces.first.astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([order.astype(np.int32).tobytes()], pa.binary()), pa.nulls(1, pa.list_(pa.int32())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["docs", "first", "order", "words", "ranks"])
+                yield pa.RecordBatch.from_arrays(columns, ["docs", "first", "order", "word"])
 
     return task
 
 
-def rank_of(ranks: Column, size: int, a: Column, b: Column) -> Column:
-    """The rank of a pair of tokens, or null."""
-    a, b = a.cast("long"), b.cast("long")
-    pair = a * (1 << 16) + b
+def literal(numbers: np.ndarray, kind: str) -> Column:
+    """An array literal: the optimizer folds this into one constant."""
+    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast(f"array<{kind}>")
 
-    def entry(half: int) -> Column:
-        k0, k1 = RankMap.FACTORS[half]
-        return F.get(ranks, ((a * k0 + b * k1) % size + half * size).cast("int"))
 
-    one, two = entry(0), entry(1)
-    rank = lambda e: F.bitwise_and(e, F.lit(0xFFFF)) if hasattr(F, "bitwise_and") else e.bitwiseAND(F.lit(0xFFFF))
-    return F.when(F.shiftright(one, 16) == pair, rank(one)).when(F.shiftright(two, 16) == pair, rank(two)).cast("int")
-
-
-def fold_merges(word: Column, ranks: Column, size: int) -> Column:
+def fold_merges(word: Column, rank_map: RankMap) -> Column:
     """The ids of a word from those of its bytes: the adjacent pair of lowest rank is merged, as long as there is one."""
+    shift, entries = literal(rank_map.shift, "int"), literal(rank_map.entries, "bigint")
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        """The body with the value computed once."""
+        return F.get(F.transform(F.array(value), body), F.lit(0))
 
     def step(ids: Column, _: Column) -> Column:
-        found = F.transform(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))), lambda b, i: rank_of(ranks, size, F.get(ids, i), b))
+        def rank_of(a: Column, i: Column) -> Column:
+            return F.get(entries, F.get(shift, a) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
 
-        def merged(found: Column) -> Column:
-            least = F.array_min(found)
-            at = F.array_position(found, least).cast("int")
-            return F.when(least.isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.size(ids))))
+        def merged(found: Column, at: Column) -> Column:
+            moved = F.transform(found, lambda rank, i: F.when(i < at, F.get(ids, i)).when(i > at, F.get(ids, i + 1)).otherwise(rank.cast("int")))
+            return F.when(F.get(found, at) < NONE, moved).otherwise(ids)
 
-        return F.get(F.transform(F.array(found), merged), F.lit(0))
+        ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), rank_of)
+        return F.when(F.size(ids) < 2, ids).otherwise(let(ranks, lambda found: let(F.array_position(found, F.array_min(found)).cast("int") - 1, lambda at: merged(found, at))))
 
     done = F.get(word, F.lit(0)) < 0
     return F.when(done, F.transform(word, lambda x: -1 - x)).when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step))
@@ -170,22 +164,28 @@ def _assemble(path: str):
         for t, r in ranks.items():
             tokens[r] = t
         sizes, pool = np.array([len(t) for t in tokens], np.int64), np.frombuffer(b"".join(tokens), np.uint8)
-        begins = np.cumsum(sizes) - sizes
+        begins, held = np.cumsum(sizes) - sizes, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                docs, words = batch.column("docs")[i].values, batch.column("words")[i].values
+            last = 0
+            for i in np.flatnonzero(batch.column("docs").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held.append(batch.column("word")[last:i])
+                words = pa.concat_arrays(held)
+                held, last = [], i + 1
+                docs = batch.column("docs")[i].values
                 first, order = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("first", np.int64), ("order", np.int32)))
                 flat, at = words.flatten().to_numpy(), np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
                 n = np.diff(at)
                 ends = np.r_[0, np.cumsum(n[order])][first]
-                ids = flat[spread(n, order, at[:-1])] if len(order) else np.zeros(0, np.int32)
-                raw = pool[spread(sizes, ids, begins)] if len(ids) else np.zeros(0, np.uint8)
-                cut = np.r_[0, np.cumsum(sizes[ids])][ends]
-                for low in range(0, len(docs), 1000):
-                    high = min(low + 1000, len(docs))
-                    column = pa.ListArray.from_arrays(pa.array((ends[low : high + 1] - ends[low]).astype(np.int32)), pa.array(ids[ends[low] : ends[high]].astype(np.int32)))
-                    text = pa.array([raw[a:b].tobytes() for a, b in zip(cut[low:high].tolist(), cut[low + 1 : high + 1].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([docs[low:high], column, text], ["doc_id", "ids", "decoded"])
+                for low in range(0, len(docs), 500):
+                    high = min(low + 500, len(docs))
+                    mine = order[first[low] : first[high]]
+                    ids = flat[spread(n, mine, at[:-1])] if len(mine) else np.zeros(0, np.int32)
+                    raw = pool[spread(sizes, ids, begins)] if len(ids) else np.zeros(0, np.uint8)
+                    bounds = ends[low : high + 1] - ends[low]
+                    cut = np.r_[0, np.cumsum(sizes[ids])][bounds]
+                    text = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(raw)])
+                    yield pa.RecordBatch.from_arrays([docs[low:high], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))), text], ["doc_id", "ids", "decoded"])
+            held.append(batch.column("word")[last:])
 
     return task
 
@@ -193,7 +193,6 @@ def _assemble(path: str):
 def encode_decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids, decoded (the bytes that the ids stand for)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
-    size = _vocabulary(rank_file)[1].size
-    cut = docs.mapInArrow(_cut(rank_file), "docs array<long>, first binary, order binary, words array<array<int>>, ranks array<long>")
-    folded = cut.select("docs", "first", "order", F.transform("words", lambda w: fold_merges(w, F.col("ranks"), size)).alias("words"))
+    cut = docs.mapInArrow(_cut(rank_file), "docs array<long>, first binary, order binary, word array<int>")
+    folded = cut.select("docs", "first", "order", fold_merges(F.col("word"), _vocabulary(rank_file)[1]).alias("word"))
     return folded.mapInArrow(_assemble(rank_file), "doc_id long, ids array<int>, decoded binary")
