@@ -134,15 +134,20 @@ class _Memo:
         """The number of each distinct word, once those not met before are encoded and added."""
         if len(self.place) + len(words) > self.MOST:
             self.__init__()
-        new = [w for w in words if w not in self.place]
-        if new:
+        at = [*map(self.place.get, words)]
+        unmet = [i for i, x in enumerate(at) if x is None]
+        if unmet:
+            new = [words[i] for i in unmet]
             ids, counts = [self.ids], []
             for low in range(0, len(new), TOGETHER):
                 for part, n in _encoded(library, [w.decode() for w in new[low : low + TOGETHER]], joined):
                     ids.append(part), counts.append(n)
-            self.place.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            numbers = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+            self.place.update(zip(new, numbers, strict=True))
+            for i, x in zip(unmet, numbers, strict=True):
+                at[i] = x
             self.ends, self.ids = np.r_[self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))], np.concatenate(ids)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return np.array(at, np.int64)
 
 
 def distinct(pieces: Words) -> tuple[pa.Array, np.ndarray]:
@@ -180,6 +185,8 @@ def encode(path: str, column: pa.Array, spaced: bool, end: int | None = None) ->
         if not spaced:
             part, cut = lowered(part, cut)
         ids, bounds = encode_pieces(path, Pieces(part, cut, spaced))
+        last = [] if end is None else [end]
+        if last:
+            ids, bounds = np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            mine = np.array(_library(path).encode(apart[i], add_special_tokens=False).ids, np.uint32) if i in apart else ids[a:b]
-            yield mine if end is None else np.r_[mine, np.uint32(end)]
+            yield np.array(_library(path).encode(apart[i], add_special_tokens=False).ids + last, np.uint32) if i in apart else ids[a:b]
