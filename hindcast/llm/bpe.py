@@ -6,9 +6,10 @@ of pieces in each document. `aggregate` merges, in each piece, the adjacent pair
 piece that is a token as a whole is that token. The last row puts the ids back into documents. Decoding concatenates the
 tokens' bytes.
 
-The rank map is a literal of the plan: an array in which the pair (a, b) of tokens stands at shift[a] + b, if their bytes
-together are a token, as a << 16 | rank; shifts are chosen so that no two pairs share a place. A lookup is two reads and a XOR
-with a << 16, which leaves the rank, or a number beyond all ranks. (Spark looks a map literal up by scanning it.)
+The rank map is a literal of the plan: two arrays that form a perfect hash table of all pairs (a, b) of tokens whose bytes
+together are a token. A pair belongs to one of many groups of few pairs; each group has a shift such that no two pairs share
+a place, which holds a << 32 | b << 16 | rank. A lookup is two reads and a XOR with the pair, which leaves the rank, or a
+number beyond all ranks. (Spark looks a map literal up by scanning it.)
 
 Scale: no shuffle; memory is a bounded slice of a batch, and rows are as small as a piece. The fold takes time in the square of
 a piece's length; pieces of over LONG bytes, which no text with white space or changes between letters and signs has, would
@@ -45,27 +46,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankMap:
-    """shift: of each left token; entries: left token << 16 | rank at shift[left] + right, EMPTY where no pair stands."""
+    """pairs: rank of each pair; shift: of each group of pairs; entries: a << 32 | b << 16 | rank at the pair's place, or EMPTY."""
 
-    EMPTY = 1 << 40
+    EMPTY = 1 << 60
+    GROUP, PLACE = 7_368_787, 15_485_863
 
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= NONE:
             raise ValueError("ids must be below 65536")
         self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        rows: dict[int, list[int]] = {}
-        for a, b in self.pairs:
-            rows.setdefault(a, []).append(b)
-        most = max(ranks.values()) + 1
-        self.shift, self.entries, rng = np.zeros(most, np.int64), np.full(2 * len(self.pairs) + most, self.EMPTY, np.int64), np.random.default_rng(0)
-        for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
-            right = np.array(rows[a])
-            while True:
-                at = int(rng.integers(0, len(self.entries) - int(right.max())))
-                if (self.entries[at + right] == self.EMPTY).all():
+        size = 3 * len(self.pairs) // 2 + 101
+        while not self._fill(size):
+            size += 100
+
+    def _fill(self, size: int) -> bool:
+        groups: dict[int, list[tuple[int, int]]] = {}
+        many = len(self.pairs) // 3 + 1
+        for (a, b), rank in self.pairs.items():
+            pair = a << 16 | b
+            groups.setdefault(pair * self.GROUP % many, []).append((pair * self.PLACE % size, pair << 16 | rank))
+        shift, entries = [0] * many, [self.EMPTY] * size
+        for group in sorted(groups, key=lambda g: (-len(groups[g]), g)):
+            held = groups[group]
+            if len({at for at, _ in held}) < len(held):
+                return False
+            # Trials start at a place of the group's own, so that they don't crowd together.
+            first = group * 40_503 % size
+            for step in range(size):
+                by = (first + step) % size
+                if all(entries[(at + by) % size] == self.EMPTY for at, _ in held):
                     break
-            self.shift[a] = at
-            self.entries[at + right] = [a << 16 | self.pairs[a, b] for b in rows[a]]
+            else:
+                return False
+            shift[group] = by
+            for at, entry in held:
+                entries[(at + by) % size] = entry
+        self.shift, self.entries = np.array(shift, np.int64), np.array(entries, np.int64)
+        return True
 
 
 def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -137,6 +154,7 @@ def literal(numbers: np.ndarray, kind: str) -> Column:
 def fold_merges(word: Column, rank_map: RankMap) -> Column:
     """The ids of a word from those of its bytes: the adjacent pair of lowest rank is merged, as long as there is one."""
     shift, entries = literal(rank_map.shift, "int"), literal(rank_map.entries, "bigint")
+    many, size = F.lit(len(rank_map.shift)).cast("bigint"), F.lit(len(rank_map.entries)).cast("bigint")
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
         """The body with the value computed once."""
@@ -144,7 +162,11 @@ def fold_merges(word: Column, rank_map: RankMap) -> Column:
 
     def step(ids: Column, _: Column) -> Column:
         def rank_of(a: Column, i: Column) -> Column:
-            return F.get(entries, F.get(shift, a) + F.get(ids, i + 1)).bitwiseXOR(F.shiftleft(a.cast("long"), 16))
+            return let(F.shiftleft(a.cast("long"), 16).bitwiseOR(F.get(ids, i + 1).cast("long")), rank_of_pair)
+
+        def rank_of_pair(pair: Column) -> Column:
+            at = (pair * RankMap.PLACE + F.get(shift, (pair * RankMap.GROUP % many).cast("int"))) % size
+            return F.get(entries, at.cast("int")).bitwiseXOR(F.shiftleft(pair, 16))
 
         def merged(found: Column, at: Column) -> Column:
             moved = F.transform(found, lambda rank, i: F.when(i < at, F.get(ids, i)).when(i > at, F.get(ids, i + 1)).otherwise(rank.cast("int")))
