@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.operators.profile import type_class
 from hindcast.operators.ranks import roc_auc, value_ranks
 
 NEWEST, MIDDLE = 0.97, (0.4, 0.8)
+#: Quantile bins of numbers and days, and rows below which label power says nothing.
+BINS, LEAST_ROWS = 32, 40
 
 
 def bands(df: DataFrame, time: str) -> DataFrame:
@@ -51,26 +56,65 @@ def _fold(*keys: str) -> Column:
     return F.when(F.substring(F.md5(text.cast("binary")), 1, 1).isin(*"01234567"), 0).otherwise(1)
 
 
+def label_powers(long: DataFrame, weight: float = 5.0) -> DataFrame:
+    """column, auc, base, n, n_positive of each column: areas of out-of-fold means per (bin, anchor), and per anchor alone.
+
+    long: column, bin, timestamp, key, target (0/1). Means are of the other fold and shrunk: (bin, anchor) to the bin, the bin
+    to all. Areas are at least 1/2, null with one class only. Rows are read once, to count the cells (column, fold, bin,
+    anchor); all columns' areas come from these counts.
+    """
+    rows = long.where(F.col("target").isNotNull())
+    cell = rows.groupBy("column", F.coalesce(F.col("bin").cast("string"), F.lit("missing")).alias("bin"), F.col("timestamp").alias("t"), _fold("key", "timestamp").alias("fold"))
+    cells = cell.agg(F.sum(F.col("target").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    met = cells.withColumn("other", 1 - F.col("fold")).withColumnsRenamed({"s": "positive", "n": "rows"}).drop("fold")
+    for name, on in (("all", []), ("bin", ["bin"]), ("time", ["t"]), ("cell", ["bin", "t"])):
+        part = cells.groupBy("column", F.col("fold").alias("other"), *on).agg(F.sum("s").alias(f"s_{name}"), F.sum("n").alias(f"n_{name}"))
+        met = met.join(part, ["column", "other", *on], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    shrunk = lambda part, to: (zero(f"s_{part}") + weight * to) / (zero(f"n_{part}") + weight)
+    # Where the other fold has no row at all, its mean counts as one half.
+    mean = F.coalesce(F.try_divide("s_all", "n_all"), F.lit(0.5))
+    scores = met.withColumns({"auc": F.round(shrunk("cell", shrunk("bin", mean)), 9), "base": F.round(shrunk("time", mean), 9), "negative": F.col("rows") - F.col("positive")})
+    each = scores.unpivot(["column", "positive", "negative"], ["auc", "base"], "side", "score").unpivot(["column", "side", "score"], ["positive", "negative"], "class", "weight")
+    area = roc_auc(each.withColumn("y", (F.col("class") == "positive").cast("int")), "y", "score", "column", "side", weight="weight")
+    sides = area.groupBy("column").agg(*(F.max(F.when(F.col("side") == c, F.greatest("auc", 1 - F.col("auc")))).alias(c) for c in ("auc", "base")))
+    counts = cells.groupBy("column").agg(F.sum("n").cast("long").alias("n"), F.sum("s").cast("long").alias("n_positive"))
+    return sides.join(F.broadcast(counts), "column")
+
+
 def label_power(labels: DataFrame, bin_: Column, weight: float = 5.0) -> DataFrame:
-    """auc, base: area of out-of-fold means per (bin, anchor), and of means per anchor alone; each at least 1/2.
+    """One row: auc and base of one way to bin the labels' rows, as label_powers does."""
+    long = labels.select(F.lit("").alias("column"), bin_.cast("string").alias("bin"), "timestamp", "key", "target")
+    return label_powers(long, weight).select("auc", "base")
+
 
-    labels: timestamp, key, target (0/1). Means are of the other fold and shrunk: (bin, anchor) to the bin, the bin to all.
+def audited_columns(df: DataFrame, key: str | None, time: str | None, links: list[str], kinds: dict[str, str]) -> list[str]:
+    """All columns but keys, event times, links and ids. kinds: column to kind, as profile.column_kinds finds them."""
+    return [c for c in df.columns if c not in {key, time, *links} and kinds.get(c) != "id"]
+
+
+def binned(labels: DataFrame, entities: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """column, bin, timestamp, key, target: what each column says of each label's row.
+
+    Times become days from the anchor; these and numbers fall into BINS quantile bins (cut at approximate percentiles, one
+    row for all columns); other values are bins of their own; a missing value is one too.
     """
-    rows = labels.select(bin_.cast("string").alias("bin"), F.col("timestamp").alias("t"), F.col("target").cast("double").alias("y"), _fold("key", "timestamp").alias("fold")).withColumn("bin", F.coalesce("bin", F.lit("missing")))
-    both = rows.withColumn("other", 1 - F.col("fold"))
-    cells = rows.groupBy("fold", "bin", "t").agg(F.sum("y").alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
-    by_bin, by_time = (cells.groupBy("fold", c).agg(F.sum("s").alias(f"s_{c}"), F.sum("n").alias(f"n_{c}")) for c in ("bin", "t"))
-    all_ = cells.groupBy("fold").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    met = both
-    for part, on in ((all_, []), (by_bin, ["bin"]), (by_time, ["t"]), (cells, ["bin", "t"])):
-        met = met.join(F.broadcast(part.withColumnRenamed("fold", "other")) if part is all_ else part.withColumnRenamed("fold", "other"), ["other", *on], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    shrunk = lambda s, n, to: (zero(F.col(s)) + weight * to) / (zero(F.col(n)) + weight)
-    score = shrunk("s", "n", shrunk("s_bin", "n_bin", F.col("mean")))
-    base = shrunk("s_t", "n_t", F.col("mean"))
-    scored = met.select("y", F.round(score, 9).alias("score"), F.round(base, 9).alias("base"))
-    side = lambda df, c: df.select(F.greatest("auc", 1 - F.col("auc")).alias(c))
-    return side(roc_auc(scored, "y", "score"), "auc").crossJoin(F.broadcast(side(roc_auc(scored, "y", "base"), "base")))
+    kinds = {f.name: type_class(f.dataType) for f in entities.schema.fields}
+    named = entities.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)))
+    met = labels.select("timestamp", "key", "target").join(named, F.col("key") == F.col("_key"), "left")
+    days = lambda x: F.timestamp_diff("SECOND", F.col("timestamp").cast("timestamp"), x.cast("timestamp")) / 86400.0
+    value = {f"_x{i}": days(F.col(f"_x{i}")) if kinds[c] == "time" else F.col(f"_x{i}").cast("double" if kinds[c] == "numeric" else "string") for i, c in enumerate(columns)}
+    met = met.select("timestamp", "key", "target", *(v.alias(c) for c, v in value.items()))
+    spread = [f"_x{i}" for i, c in enumerate(columns) if kinds[c] in ("numeric", "time")]
+    if spread:
+        shares = F.array(*(F.lit(k / BINS) for k in range(1, BINS)))
+        cuts = met.agg(*(F.array_distinct(F.percentile_approx(c, shares, F.lit(100000))).alias(f"{c}_cuts") for c in spread))
+        met = met.crossJoin(F.broadcast(cuts))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.size(F.filter(f"{c}_cuts", lambda x: x <= F.col(c))))
+    bins = {f"_x{i}": (place(f"_x{i}") if f"_x{i}" in spread else F.col(f"_x{i}")).cast("string") for i in range(len(columns))}
+    long = met.select("timestamp", "key", "target", *(v.alias(c) for c, v in bins.items())).unpivot(["timestamp", "key", "target"], list(bins), "_x", "bin")
+    names = F.create_map(*(F.lit(x) for i, c in enumerate(columns) for x in (f"_x{i}", c)))
+    return long.select(names[F.col("_x")].alias("column"), "bin", "timestamp", "key", "target")
 
 
 def lift_evidence(auc: Column, base: Column) -> Column:
@@ -114,27 +158,45 @@ def audit_score(verdicts: DataFrame, planted: DataFrame, by_hand: DataFrame) ->
     return rows.agg(F.try_divide(F.sum((drop & leak).cast("int")), F.sum(leak.cast("int"))).alias("recall"), F.avg((drop == hand).cast("double")).alias("agreement"), F.sum((drop & ~leak & ~hand).cast("int")).alias("extra_drops"))
 
 
-def audit_tables(events: dict[str, tuple[DataFrame, str, list[str], list[str]]], entities: dict[str, tuple[DataFrame, str, list[str]]], labels: DataFrame, priors: DataFrame, mode: str = "both") -> DataFrame:
-    """The whole audit: table, column, role, prior, evidence, score, verdict.
+@dataclass
+class AuditTable:
+    """A table and what is known of it; kinds: column to kind, as profile.column_kinds finds them."""
+
+    df: DataFrame
+    key: str | None = None
+    time: str | None = None
+    links: list[str] = field(default_factory=list)
+    kinds: dict[str, str] = field(default_factory=dict)
+
+
+def audit_tables(tables: dict[str, AuditTable], entity: str, labels: DataFrame, priors: DataFrame, mode: str = "both", task_type: str = "binary") -> DataFrame:
+    """The whole audit: table, column, role, prior, evidence, score, verdict of every audited column.
 
-    events: name -> (rows, time, columns, categorical ones); entities: name -> (rows, key, columns); labels: timestamp, key,
-    target. mode: both, meaning (priors only) or data (evidence only).
+    The asked entity's columns are judged by their power over the labels (timestamp, key, target), those of other tables with
+    an event time by the shift of their newest rows, and those of tables without one, dimensions, by their prior alone. Label
+    power says nothing (null) of labels that aren't binary, have one class only, or fewer than 40 rows. mode: both, meaning
+    (priors only) or data (evidence only).
     """
-    found = None
-    for name, (df, time, columns, categorical) in events.items():
-        part = age_shift(df, time, columns, categorical).select(F.lit(name).alias("table"), "column", F.lit("event").alias("role"), "evidence")
-        found = part if found is None else found.unionByName(part)
-    for name, (df, key, columns) in entities.items():
-        joined = labels.join(df, labels["key"] == df[key], "left")
-        for c in columns:
-            part = label_power(joined, F.col(c)).select(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit("entity").alias("role"), lift_evidence(F.col("auc"), F.col("base")).alias("evidence"))
-            found = part if found is None else found.unionByName(part)
-    rows = with_priors(found, priors)
-    if mode == "meaning":
-        rows = rows.withColumn("evidence", F.lit(None).cast("double"))
-    if mode == "data":
-        rows = rows.withColumn("prior", F.lit(0.0))
-    return decide(rows)
-
-
-__all__ = ["age_shift", "allow_list", "audit_score", "audit_tables", "bands", "decide", "distribution_shift", "label_power", "lift_evidence", "null_shift", "plant_leaks", "with_priors"]
+    parts, nothing = [], F.lit(None).cast("double")
+    session = labels.sparkSession
+    for name, t in tables.items():
+        columns = audited_columns(t.df, t.key, t.time, t.links, t.kinds)
+        if not columns:
+            continue
+        role = "entity" if name == entity else "event" if t.time else "dimension"
+        every = session.createDataFrame([(c,) for c in columns], "column string")
+        if mode == "meaning" or role == "dimension" or (role == "entity" and not t.time and task_type != "binary"):
+            found = every.withColumn("evidence", nothing)
+        elif t.time:
+            found = age_shift(t.df, t.time, columns, [c for c in columns if t.kinds.get(c) in ("categorical", "bool")])
+        else:
+            powers = label_powers(binned(labels, t.df, t.key, columns))
+            told = (F.col("n") >= LEAST_ROWS) & F.col("auc").isNotNull()
+            found = every.join(F.broadcast(powers), "column", "left").select("column", F.when(told, lift_evidence(F.col("auc"), F.col("base"))).alias("evidence"))
+        parts.append(found.select(F.lit(name).alias("table"), "column", F.lit(role).alias("role"), "evidence"))
+    if not parts:
+        parts = [session.createDataFrame([], "table string, column string, role string, evidence double")]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return decide(with_priors(rows, priors if mode != "data" else priors.limit(0)))

@@ -536,12 +536,37 @@ def u07(spark, d):
     return rounded(audit.with_priors(columns, priors).select("table", "column", "n", "prior"), 6)
 
 
-@query("u08_audit")
+LEAKY_SQL = "(SELECT c_custkey, c_mktsegment, last_event, CASE WHEN last_event >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 60 DAY THEN 'active' ELSE 'inactive' END AS status, coalesce(n, 0) AS lifetime_count, coalesce(v, 0) AS lifetime_revenue FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_event, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
+
+
+def column_power_sql(column: str, value: str, spread: bool) -> str:
+    """The evidence of an entity's column; spread values fall into quantile bins over the labels' rows."""
+    source = f"SELECT timestamp, c_custkey AS key, target, {value} AS x FROM ({label_sql(CUSTOMER.but(population='all'), ANCHORS)}) LEFT JOIN {LEAKY_SQL} USING (c_custkey)"
+    if spread:
+        shares = ", ".join(str(k / audit.BINS) for k in range(1, audit.BINS))
+        source = f"WITH j AS ({source}) SELECT timestamp, key, target, CASE WHEN x IS NOT NULL THEN len(list_filter(list_distinct((SELECT quantile_disc(x, [{shares}]) FROM j)), lambda v: v <= x)) END AS x FROM j"
+    return f"SELECT 'customer' AS \"table\", '{column}' AS \"column\", 'entity' AS role, 0.0 AS prior, least(greatest((auc - base - 0.05) / 0.15, 0), 1) AS evidence FROM ({power_sql('x', source)})"
+
+
+def audit_sql() -> str:
+    days = "(epoch(last_event) - epoch(timestamp)) / 86400.0"
+    shifts = [f"SELECT 'lineitem', '{c}', 'event', {p}, least(distribution_shift, 1) FROM ({RANKED}{shift_sql(c)})" for c, p in (("l_returnflag", 0.0), ("l_linestatus", 0.5))]
+    powers = [column_power_sql(c, v, spread) for c, v, spread in (("c_mktsegment", "c_mktsegment", False), ("last_event", days, True), ("status", "status", False), ("lifetime_count", "lifetime_count", True), ("lifetime_revenue", "lifetime_revenue", True))]
+    rows = " UNION ALL ".join([*powers, *shifts, "SELECT 'part', 'p_brand', 'dimension', 0.8, NULL"])
+    score = "CASE WHEN evidence IS NULL THEN prior ELSE 1 - (1 - prior) * (1 - evidence) END"
+    return f"SELECT \"table\", \"column\", role, CAST(round(prior, 4) AS DOUBLE) AS prior, CAST(round(evidence, 4) AS DOUBLE) AS evidence, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN prior >= 0.75 OR coalesce(evidence >= 0.9 OR (score >= 0.6 AND least(prior, evidence) >= 0.25), FALSE) THEN 'drop' ELSE 'keep' END AS verdict FROM (SELECT *, {score} AS score FROM ({rows}))"
+
+
+@query("u08_audit", audit_sql())
 def u08(spark, d):
-    priors = spark.createDataFrame([("lineitem", "l_linestatus", 0.5)], "table string, column string, prior double")
-    rows = labelled(spark, d, CUSTOMER.but(population="all"))
-    customer = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
-    return audit.audit_tables({"lineitem": (table(spark, d, "lineitem"), "l_shipdate", AUDITED, AUDITED[:2])}, {"customer": (customer, "c_custkey", ["c_mktsegment"])}, rows, priors)
+    priors = spark.createDataFrame([("lineitem", "l_linestatus", 0.5), ("part", "p_brand", 0.8)], "table string, column string, prior double")
+    leaky = audit.plant_leaks(table(spark, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate")
+    tables = {
+        "customer": audit.AuditTable(leaky, "c_custkey"), "part": audit.AuditTable(table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey"),
+        "lineitem": audit.AuditTable(lines, None, "l_shipdate", ["l_orderkey"], {"l_returnflag": "categorical", "l_linestatus": "categorical"}),
+    }
+    return audit.audit_tables(tables, "customer", labelled(spark, d, CUSTOMER.but(population="all")), priors)
 
 
 @query("u09_allow_list", f"WITH v AS (SELECT p_partkey FROM ({EVIDENCE}) WHERE prior >= 0.75 OR coalesce(evidence >= 0.9 OR (1 - (1 - prior) * (1 - evidence) >= 0.6 AND least(prior, evidence) >= 0.25), FALSE)) SELECT p_brand AS \"table\", string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY CAST(p_partkey AS VARCHAR)) AS columns FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM v) GROUP BY 1")

@@ -134,11 +134,24 @@ def test_audit_finds_planted_leaks(spark):
     leaky = audit.plant_leaks(sellers.drop("stop"), "k", sales, "k", "at", "price")
     spec = LabelSpec("s", "k", "e", "k", "at", "not_exists", 30, "recent")
     train = labels.compile_labels(spec, {"s": sellers, "e": sales}, anchors_before(end - timedelta(days=90), 30, 10)).withColumnRenamed("k", "key")
-    joined = train.join(leaky.withColumnRenamed("k", "key"), "key")
-    power = lambda c: audit.label_power(joined, c).select(audit.lift_evidence(F.col("auc"), F.col("base"))).first()[0]
-    since = F.floor(F.date_diff("last_event", "timestamp") / 30)
-    assert power(since) >= 0.9
-    assert power(F.col("state")) < 0.25
+    none = spark.createDataFrame([], "table string, column string, prior double")
+    kinds = {"state": "categorical"}
+    found = audit.audit_tables({"s": audit.AuditTable(leaky, "k", kinds=kinds), "e": audit.AuditTable(sales, None, "at", ["k"], {"price": "numeric"})}, "s", train, none)
+    got = {r["column"]: (r["role"], r["evidence"], r["verdict"]) for r in found.collect()}
+    assert set(got) == {"state", "last_event", "status", "lifetime_count", "lifetime_revenue", "price"}
+    assert got["last_event"] == ("entity", 1.0, "drop")
+    assert got["state"][1] < 0.25 and got["state"][2] == "keep"
+    assert got["price"][0] == "event"
+    few = audit.audit_tables({"s": audit.AuditTable(leaky, "k", kinds=kinds)}, "s", train.limit(20), none)
+    assert {r["evidence"] for r in few.collect()} == {None}
+
+
+def test_label_power_of_a_number_without_repeats(spark):
+    rows = spark.range(20_000).select(F.expr("timestamp_ntz'2022-01-01'").alias("timestamp"), F.col("id").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)).alias("x"))
+    rows = rows.withColumn("target", (F.col("x") > 0.5).cast("int"))
+    long = audit.binned(rows.select("timestamp", "key", "target"), rows.select("key", "x"), "key", ["x"])
+    assert audit.label_powers(long).first()["auc"] > 0.98
+    assert audit.audited_columns(rows, "key", "timestamp", [], {"x": "id"}) == ["target"]
 
 
 def test_verdicts(spark):
