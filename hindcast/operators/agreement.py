@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators.ranks import value_ranks
+from hindcast.operators.spec import LabelSpec
 
 KEYS = ["timestamp", "key"]
+#: Slots of a reading in the order in which a difference is asked about, and what is asked (fixed order of slots).
+ASKED = {
+    "entity": "Whom or what is the prediction for?", "event": "Which events count?", "op": "What about these events is asked?", "value": "Which amount is meant?",
+    "filter": "Which of the events count?", "population": "Who is to get a prediction?", "horizon_days": "How many days ahead?",
+}
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -57,16 +63,38 @@ def gold_agreement(gold: DataFrame, ours: DataFrame, binary: bool) -> DataFrame:
     return sums.select(cover.alias("coverage"), match.alias("label_match"), (cover * match).alias("agreement"), "n_gold", "n_ours")
 
 
-def clarify(readings: DataFrame, labels: DataFrame, rival_share: float = 0.4, same_above: float = 0.85, most: int = 2) -> DataFrame:
-    """Rivals of the likeliest reading whose labels differ from its own: reading, prob, agreement.
+def first_difference(a: LabelSpec, b: LabelSpec) -> str:
+    """The first slot, in the order in which a user is asked, that two readings fill differently."""
+    return next((slot for slot in ASKED if _slot(a, slot) != _slot(b, slot)), "op")
 
-    readings: reading, prob; labels: reading, timestamp, key, target (binary) of each. One pass over all label sets.
+
+def _slot(spec: LabelSpec, slot: str):
+    return (spec.filter, spec.threshold) if slot == "filter" else getattr(spec, slot)
+
+
+def clarify(readings: list[tuple[LabelSpec, float]], label_sets: list[DataFrame], rival_share: float = 0.4, same_above: float = 0.85, most: int = 2) -> DataFrame:
+    """Rivals of the likeliest reading whose labels differ from its own: reading (its number), prob, agreement, slot, question.
+
+    readings: description and probability, likeliest first; label_sets: timestamp, key, target of each, in the same order. A
+    rival is at least rival_share times as likely as the first. Readings of another entity or type of label agree by 0, others
+    as binary or numeric labels do; a rival that labels nobody agrees by 0 unless the first does neither. The question asks for
+    the first slot in which the likeliest rival differs; there is none, and no row, where all agree by same_above or more.
     """
-    top = readings.orderBy(F.desc("prob"), "reading").limit(1).select(F.col("reading").alias("top"), F.col("prob").alias("top_prob"))
-    rivals = readings.crossJoin(F.broadcast(top)).where((F.col("reading") != F.col("top")) & (F.col("prob") >= rival_share * F.col("top_prob")))
-    mine = labels.join(F.broadcast(top), labels["reading"] == top["top"]).select(*KEYS, F.col("target").alias("mine"))
-    theirs = labels.join(F.broadcast(rivals.select("reading", "prob")), "reading")
-    total = mine.agg(F.count(F.lit(1)).alias("n_mine"))
-    met = theirs.join(mine, KEYS, "left").groupBy("reading", "prob").agg(F.count(F.lit(1)).alias("n"), F.count("mine").alias("both"), F.sum((F.col("mine") == F.col("target")).cast("int")).alias("same"))
-    value = F.try_divide(F.col("same"), F.col("n") + F.col("n_mine") - F.col("both"))
-    return met.crossJoin(F.broadcast(total)).select("reading", "prob", F.coalesce(value, F.lit(0.0)).alias("agreement")).where(F.col("agreement") < same_above).orderBy(F.desc("prob"), "reading").limit(most)
+    session = label_sets[0].sparkSession
+    (top, share), found = readings[0], None
+    for i, (spec, prob) in enumerate(readings[1:], 1):
+        if prob < rival_share * share:
+            continue
+        if spec.entity != top.entity or spec.task_type != top.task_type:
+            one = session.range(1).select(F.lit(0.0).alias("agreement"))
+        else:
+            one = (binary_agreement if top.task_type == "binary" else numeric_agreement)(label_sets[0], label_sets[i])
+        part = one.select(F.lit(i).alias("reading"), F.lit(float(prob)).alias("prob"), "agreement", F.lit(first_difference(top, spec)).alias("differs"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = session.createDataFrame([], "reading int, prob double, agreement double, differs string")
+    # One row a reading.
+    rivals = found.where(F.col("agreement") < same_above).orderBy("reading").limit(most)
+    slot = F.first("differs").over(Window.orderBy("reading"))
+    asked = F.create_map(*(F.lit(x) for pair in ASKED.items() for x in pair))
+    return rivals.select("reading", "prob", "agreement", slot.alias("slot")).withColumn("question", asked[F.col("slot")])

@@ -356,15 +356,26 @@ def c04(spark, d):
     return rounded(agreement.gold_agreement(labelled(spark, d, WINDOWED), labelled(spark, d, RECENT), False), 9)
 
 
-@query("c05_clarify")
+def clarify_sql(prob: float, n: int, slot: str, question: str, agreement_sql: str) -> str:
+    return f"SELECT CAST({n} AS INTEGER) AS reading, CAST({prob} AS DOUBLE) AS prob, agreement, '{slot}' AS slot, '{question}' AS question FROM ({agreement_sql}) WHERE agreement < 0.85"
+
+
+SAME = "SELECT round(coalesce(count(*) FILTER (WHERE a = b) / nullif(count(*) FILTER (WHERE in_a AND in_b), 0), 0) * (count(*) FILTER (WHERE in_a AND in_b) / count(*)), 9) AS agreement FROM j"
+RANK_ALIKE = ", s AS (SELECT a, b FROM j WHERE in_a AND in_b), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM s) SELECT round(greatest(corr(ra, rb), 0) * (SELECT count(*) FROM s) / (SELECT count(*) FROM j), 7) AS agreement FROM r"
+
+
+@query("c05_clarify", " UNION ALL ".join(clarify_sql(p, n, "op", "What about these events is asked?", both_sql(CUSTOMER, s) + SAME) for n, p, s in ((1, 0.3, CUSTOMER.but(op="exists")), (2, 0.2, CUSTOMER.but(op="exists", filter=PRICE)))))
 def c05(spark, d):
-    specs = {"churn": (CUSTOMER, 0.5), "order": (CUSTOMER.but(op="exists"), 0.3), "large order": (CUSTOMER.but(op="exists", filter=PRICE), 0.2)}
-    probs = spark.createDataFrame([(k, p) for k, (_, p) in specs.items()], "reading string, prob double")
-    sets = None
-    for k, (s, _) in specs.items():
-        part = labelled(spark, d, s).select(F.lit(k).alias("reading"), "timestamp", "key", "target")
-        sets = part if sets is None else sets.unionByName(part)
-    return agreement.clarify(probs, sets)
+    specs = [(CUSTOMER, 0.5), (CUSTOMER.but(op="exists"), 0.3), (CUSTOMER.but(op="exists", filter=PRICE), 0.2)]
+    return rounded(agreement.clarify(specs, [labelled(spark, d, s) for s, _ in specs]), 9)
+
+
+NUMERIC = [(RECENT, 0.5), (RECENT.but(op="sum", value="o_totalprice"), 0.3), (WINDOWED, 0.25)]
+
+
+@query("c05_clarify_numbers", clarify_sql(0.25, 2, "filter", "Which of the events count?", both_sql(RECENT, WINDOWED) + RANK_ALIKE))
+def c05_numbers(spark, d):
+    return rounded(agreement.clarify(NUMERIC, [labelled(spark, d, s) for s, _ in NUMERIC]), 7)
 
 
 @query("c06_summary", "WITH t AS (SELECT o_orderpriority AS task, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS accuracy, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END) AS agreement FROM orders GROUP BY 1) SELECT CAST(count(*) AS BIGINT) AS n_tasks, round(avg(accuracy), 9) AS accuracy, round(avg(agreement), 9) AS agreement, round(avg(agreement) FILTER (WHERE task LIKE '1%' OR task LIKE '2%'), 9) AS agreement_subset FROM t")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hindcast import queries as Q
 from hindcast.functions import questions
-from hindcast.operators import audit, backtest, features, labels, predict, profile, relations, timeline
+from hindcast.operators import agreement, audit, backtest, features, labels, predict, profile, relations, timeline
 from hindcast.operators.ranks import roc_auc, value_ranks
 from hindcast.operators.spec import Filter, LabelSpec, anchors_before, baseline_anchors, live_manifest, task_manifest
 from hindcast.sources import tables as sources
@@ -244,3 +244,15 @@ def test_roc_auc_with_many_distinct_scores(spark):
     for _ in range(2):
         assert abs(roc_auc(df, "y", "s").first()["auc"] - want) < 1e-12
     assert value_ranks(df, "s").agg(F.max("rank_avg")).first()[0] == rank.max()
+
+
+def test_clarify(spark):
+    spec = LabelSpec("s", "k", "e", "k", "at", "not_exists", 30, "recent")
+    mine = spark.createDataFrame([(T, "a", 1), (T, "b", 0)], "timestamp timestamp_ntz, key string, target int")
+    flipped, nobody = mine.withColumn("target", 1 - F.col("target")), mine.limit(0)
+    readings = [(spec, 0.5), (spec.but(horizon_days=31), 0.4), (spec.but(population="all"), 0.3), (spec.but(horizon_days=90), 0.25), (spec.but(entity="t"), 0.1)]
+    got = agreement.clarify(readings, [mine, mine, flipped, nobody, mine]).collect()
+    assert [(r["reading"], r["agreement"], r["slot"]) for r in got] == [(2, 0.0, "population"), (3, 0.0, "population")]
+    assert agreement.clarify([(spec, 0.5), (spec.but(entity="t"), 0.5)], [mine, mine]).first()["slot"] == "entity"
+    assert agreement.clarify(readings[:2], [mine, mine]).count() == 0
+    assert agreement.clarify(readings[:1], [mine]).count() == 0
