@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not there:
         there = tempfile.mkdtemp(prefix="hindcast-")
         atexit.register(shutil.rmtree, there, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", there)
+        spark.sparkContext.setCheckpointDir(there)
     return there
 
 

@@ -10,9 +10,10 @@ size and, where a larger partner may stand in the next band, that one too.
 An empty segment carries no key. Where a set fills too few segments to rule out that every filled one was hit (short sets,
 mostly), it also enters its (100-p) % + 1 smallest members as keys; two such sets share one of them if they link.
 
-Candidates are not expanded into pairs. First every document is checked against one document of its buckets, the one it
-shares most segments with; links become components; buckets whose documents are of one component are done. This repeats
-with the buckets that are left, until it finds no link. What is left then, pairs of different components in one bucket, is
+Candidates are not expanded into pairs. Each bucket has a pivot, its smallest document. First every document is checked
+against the pivot it shares most segments with; links become components; buckets whose documents are of one component are
+done. Then the documents of the buckets that are left are checked against the pivots of all their buckets, each pair once
+and at most one a bucket's row, again and again until no link is found. What is left then, pairs of different components in one bucket, is
 enumerated in blocks of at most 256 x 256 rows, within which sizes and dense sketches (their Hamming distance is at most
 the symmetric difference too) reject most pairs before any row is made. All links are verified on the sets.
 
@@ -39,6 +40,7 @@ from hindcast.llm._words import LOWER, Words, long_column, mix, runs, slices, te
 
 BLOCK_ROWS = 256
 FILTER_BITS = 1 << 20
+SALTS = 32
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -147,8 +149,8 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sketch(members: np.ndarray) -> np.ndarray:
-    """The parity sketch as 64-bit words, four bits or more for each member, a power of two in all."""
-    bits = max(512, 1 << (4 * len(members) - 1).bit_length())
+    """The parity sketch as 64-bit words, two bits or more for each member, a power of two in all."""
+    bits = max(256, 1 << (2 * len(members) - 1).bit_length())
     return np.packbits((np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
 
 
@@ -288,7 +290,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     profile = stored(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, class_a long, class_b long, sketch binary"), "profile")
     sized = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leaders = sized.groupBy("class_a", "class_b", "n_shingles").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    links = stored(sized.join(leaders, ["class_a", "class_b", "n_shingles"]).select(F.col("doc_id").alias("a"), "b").where("a <> b"), "links")
+    # A class may hold much of the corpus: its rows are dealt over SALTS tasks, and its leader is sent to each.
+    salted = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = sized.select("doc_id", "class_a", "class_b", "n_shingles", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    links = stored(copies.join(salted, ["class_a", "class_b", "n_shingles", "salt"]).select(F.col("doc_id").alias("a"), "b").where("a <> b"), "links")
 
     per_key = Window.partitionBy("key")
     keys = named.mapInArrow(_keys(n, percent), "key long, doc_id long")
@@ -296,7 +301,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
 
     def plausible(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}")), side)
+        pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+        for side in ("a", "b"):
+            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
         return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -316,13 +324,19 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     comps = components(links)
     left = stored(unresolved(buckets, comps), "left")
     discard(buckets)
+    tried = None
     while left.head() is not None:
-        shared = left.where("comp <> pivot_comp").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-        best = shared.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("pivot")).alias("inverse"))).alias("best"))
-        pairs = stored(plausible(best.select(F.col("doc_id").alias("a"), (-F.col("best.inverse")).alias("b"))), "pairs")
+        shared = left.where("comp <> pivot_comp").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        if tried is None:
+            best = shared.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("inverse"))).alias("best"))
+            tried = asked = stored(best.select("a", (-F.col("best.inverse")).alias("b")), "tried")
+        else:
+            asked = stored(shared.select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
+            tried = tried.union(asked)
+        pairs = stored(plausible(asked), "pairs")
         found = stored(verified(pairs), "links")
         discard(pairs)
-        if found.head() is None:
+        if found.head() is None and tried is not asked:
             break
         links = links.union(found)
         comps = components(links)
@@ -347,6 +361,8 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         links = links.union(stored(compared(paired.join(near, ["key", "p", "q", "doc_id"]), True), "links"))
         comps = components(links)
         discard(near, left)
+    if tried is not None:
+        discard(tried)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
