@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.operators.ranks import value_ranks
+from hindcast.operators.ranks import running
 from hindcast.operators.spec import LabelSpec
 
 KEYS = ["timestamp", "key"]
@@ -37,19 +37,26 @@ def binary_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def numeric_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rank correlation of the shared pairs, at least 0, times coverage; constant labels agree if they are close."""
+    """One row: rank correlation of the shared pairs, at least 0, times coverage; constant labels agree if they are close.
+
+    Equal pairs of labels are counted first: labels are mostly zeros and small numbers, so what is ranked and correlated are the
+    distinct pairs, each with its count as weight. Both sides are ranked at once.
+    """
     pairs = paired(a, b)
-    shared = pairs.where("in_a IS NOT NULL AND in_b IS NOT NULL")
-    ranked = shared
-    for side in "ab":
-        ranks = value_ranks(shared, side).select(F.col("value").alias(side), F.col("rank_avg").alias(f"rank_{side}"))
-        ranked = ranked.join(ranks, side)
+    shared = pairs.where("in_a IS NOT NULL AND in_b IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    long = shared.select("a", "b", "n", F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(side).alias("value")) for side in "ab"))).alias("x")).select("a", "b", "n", "x.*")
+    ranks = running(long.groupBy("side", "value").agg(F.sum("n").alias("n")), "value", "n", by=("side",)).select("side", "value", (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank"))
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("rank")))
+    ranked = long.join(ranks, ["side", "value"]).groupBy("a", "b").agg(F.first("n").alias("n"), of("a").alias("x"), of("b").alias("y"))
+    n, x, y = F.col("n").cast("double"), F.col("x"), F.col("y")
     close = F.min(F.abs(F.col("a") - F.col("b")) <= 1e-8 + 1e-5 * F.abs("b"))
-    one = F.lit(1.0) * (F.count_distinct("a") <= 1).cast("double") + (F.count_distinct("b") <= 1).cast("double")
-    found = ranked.agg(F.corr("rank_a", "rank_b").alias("rho"), one.alias("constant"), close.alias("close"), F.count(F.lit(1)).alias("n_both"))
+    constant = (F.min("a") == F.max("a")) | (F.min("b") == F.max("b"))
+    sums = ranked.agg(F.sum("n").alias("n_both"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"), constant.alias("constant"), close.alias("close"))
+    less = lambda product, u, v: F.col(product) - F.col(u) * F.col(v) / F.col("n_both")
+    rho = F.try_divide(less("xy", "x", "y"), F.sqrt(less("xx", "x", "x")) * F.sqrt(less("yy", "y", "y")))
+    value = F.when(F.col("constant"), F.col("close").cast("double")).otherwise(F.greatest(rho, F.lit(0.0)))
     total = pairs.agg(F.count(F.lit(1)).alias("n_any"))
-    value = F.when(F.col("constant") > 0, F.col("close").cast("double")).otherwise(F.greatest("rho", F.lit(0.0)))
-    return found.crossJoin(F.broadcast(total)).select(F.when(F.col("n_any") == 0, 1.0).when(F.col("n_both") == 0, 0.0).otherwise(value * F.col("n_both") / F.col("n_any")).alias("agreement"))
+    return sums.crossJoin(F.broadcast(total)).select(F.when(F.col("n_any") == 0, 1.0).when(F.coalesce("n_both", F.lit(0)) == 0, 0.0).otherwise(value * F.col("n_both") / F.col("n_any")).alias("agreement"))
 
 
 def gold_agreement(gold: DataFrame, ours: DataFrame, binary: bool) -> DataFrame:

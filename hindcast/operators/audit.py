@@ -7,12 +7,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.operators.profile import type_class
+from hindcast.operators.boosting import boosted_area
+from hindcast.operators.profile import column_kinds, type_class
 from hindcast.operators.ranks import roc_auc, value_ranks
 
 NEWEST, MIDDLE = 0.97, (0.4, 0.8)
 #: Quantile bins of numbers and days, and rows below which label power says nothing.
 BINS, LEAST_ROWS = 32, 40
+#: Rows of an entity table that are looked at, and values of each of its texts among them, to tell whether texts are dates.
+SNIFFED_ROWS, SNIFFED = 1000, 20
+#: Label rows that boosted trees are fitted to.
+BOOSTED_ROWS = 1200
+#: Ways that dates are written as text, besides the ISO forms.
+DATE_FORMS = ("yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.yyyy", "dd-MM-yyyy")
 
 
 def bands(df: DataFrame, time: str) -> DataFrame:
@@ -93,17 +100,75 @@ def audited_columns(df: DataFrame, key: str | None, time: str | None, links: lis
     return [c for c in df.columns if c not in {key, time, *links} and kinds.get(c) != "id"]
 
 
+def parsed_date(text: Column) -> Column:
+    """A date or time written as text, or null. Plain numbers are none: a year or a code is not a date."""
+    ways = [text.try_cast("timestamp_ntz"), *(F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in DATE_FORMS)]
+    return F.when(text.rlike("[-/.:]"), F.coalesce(*ways))
+
+
+def date_texts(entities: DataFrame, columns: list[str]) -> list[str]:
+    """Those text columns of which over 90 % of the first SNIFFED values, among SNIFFED_ROWS rows, can be read as dates."""
+    texts = [c for c in columns if type_class(entities.schema[c].dataType) == "string"]
+    if not texts:
+        return []
+    first = entities.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(texts))).limit(SNIFFED_ROWS)
+    some = first.agg(*(F.slice(F.collect_list(f"_{i}"), 1, SNIFFED).alias(f"_{i}") for i in range(len(texts))))  # collect_list leaves nulls out
+    share = some.select(*(F.try_divide(F.size(F.filter(f"_{i}", lambda x: parsed_date(x).isNotNull())), F.size(f"_{i}")).alias(f"_{i}") for i in range(len(texts)))).first()
+    return [c for i, c in enumerate(texts) if share[i] is not None and share[i] > 0.9]
+
+
+def days_from(timestamp: Column, when: Column) -> Column:
+    return F.timestamp_diff("SECOND", timestamp.cast("timestamp"), when.cast("timestamp")) / 86400.0
+
+
+def boosted_powers(labels: DataFrame, entities: DataFrame, key: str, columns: list[str], rows: int = BOOSTED_ROWS) -> DataFrame:
+    """The same columns as label_powers, by boosted trees over each column's value and the anchor's time.
+
+    Trees find what bins can't: a value that tells only together with the time. They are fitted to the `rows` label rows of
+    smallest hash, on one half and scored on the other; these few rows pick their entities by a broadcast join, and each
+    column is a group of its own of that many rows. Texts that are dates are days from the anchor, other texts their order.
+    """
+    kinds, dates = {f.name: type_class(f.dataType) for f in entities.schema.fields}, set(date_texts(entities, columns))
+    few = labels.where(F.col("target").isNotNull()).orderBy(F.xxhash64("key", "timestamp"), "key", "timestamp").limit(rows).select("timestamp", "key", "target", _fold("key", "timestamp").alias("fold"))
+    named = entities.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)))
+    met = few.join(named.join(F.broadcast(few.select(F.col("key").alias("_key")).distinct()), "_key", "left_semi"), F.col("key") == F.col("_key"), "left")
+
+    def entry(i: int, c: str) -> Column:
+        x, nothing = F.col(f"_x{i}"), F.lit(None)
+        if kinds[c] == "time" or c in dates:
+            number, text = days_from(F.col("timestamp"), x if kinds[c] == "time" else parsed_date(x)), nothing
+        else:
+            number, text = (x.cast("double"), nothing) if kinds[c] == "numeric" else (nothing, x.cast("string"))
+        return F.struct(F.lit(c).alias("column"), number.cast("double").alias("number"), text.cast("string").alias("text"))
+
+    long = met.select(F.unix_timestamp(F.col("timestamp").cast("timestamp")).cast("double").alias("t"), F.col("target").cast("int").alias("y"), "fold", F.explode(F.array(*(entry(i, c) for i, c in enumerate(columns)))).alias("c"))
+
+    def area(frame):
+        import pandas as pd
+
+        frame = frame.sort_values(["t", "fold", "y", "number", "text"])  # so that the fit hangs on the rows alone
+        x, t, y, fold = frame["number"].to_numpy(float), frame["t"].to_numpy(float), frame["y"].to_numpy(float), frame["fold"].to_numpy()
+        if frame["text"].notna().any():
+            x = frame["text"].astype("category").cat.codes.to_numpy(float)
+            x[x < 0] = float("nan")
+        auc, base = (boosted_area(columns, y, fold) for columns in ([x, t], [t]))
+        return pd.DataFrame({"column": [frame["column"].iloc[0]], "auc": [auc], "base": [base], "n": [len(y)], "n_positive": [int(y.sum())]})
+
+    return long.select("c.*", "t", "y", "fold").groupBy("column").applyInPandas(area, "column string, auc double, base double, n long, n_positive long")
+
+
 def binned(labels: DataFrame, entities: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """column, bin, timestamp, key, target: what each column says of each label's row.
 
-    Times become days from the anchor; these and numbers fall into BINS quantile bins (cut at approximate percentiles, one
+    Times, and texts that are dates, become days from the anchor; these and numbers fall into BINS quantile bins (cut at approximate percentiles, one
     row for all columns); other values are bins of their own; a missing value is one too.
     """
     kinds = {f.name: type_class(f.dataType) for f in entities.schema.fields}
-    named = entities.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_x{i}") for i, c in enumerate(columns)))
+    dates = date_texts(entities, columns)
+    kinds |= dict.fromkeys(dates, "time")
+    named = entities.select(F.col(key).alias("_key"), *((parsed_date(F.col(c)) if c in dates else F.col(c)).alias(f"_x{i}") for i, c in enumerate(columns)))
     met = labels.select("timestamp", "key", "target").join(named, F.col("key") == F.col("_key"), "left")
-    days = lambda x: F.timestamp_diff("SECOND", F.col("timestamp").cast("timestamp"), x.cast("timestamp")) / 86400.0
-    value = {f"_x{i}": days(F.col(f"_x{i}")) if kinds[c] == "time" else F.col(f"_x{i}").cast("double" if kinds[c] == "numeric" else "string") for i, c in enumerate(columns)}
+    value = {f"_x{i}": days_from(F.col("timestamp"), F.col(f"_x{i}")) if kinds[c] == "time" else F.col(f"_x{i}").cast("double" if kinds[c] == "numeric" else "string") for i, c in enumerate(columns)}
     met = met.select("timestamp", "key", "target", *(v.alias(c) for c, v in value.items()))
     spread = [f"_x{i}" for i, c in enumerate(columns) if kinds[c] in ("numeric", "time")]
     if spread:
@@ -160,7 +225,7 @@ def audit_score(verdicts: DataFrame, planted: DataFrame, by_hand: DataFrame) ->
 
 @dataclass
 class AuditTable:
-    """A table and what is known of it; kinds: column to kind, as profile.column_kinds finds them."""
+    """A table and what is known of it; kinds: column to kind, found by profile.column_kinds where they are left out."""
 
     df: DataFrame
     key: str | None = None
@@ -168,19 +233,25 @@ class AuditTable:
     links: list[str] = field(default_factory=list)
     kinds: dict[str, str] = field(default_factory=dict)
 
+    def known_kinds(self) -> dict[str, str]:
+        return self.kinds or {r["column"]: r["kind"] for r in column_kinds(self.df).select("column", "kind").collect()}  # one row a column
+
 
-def audit_tables(tables: dict[str, AuditTable], entity: str, labels: DataFrame, priors: DataFrame, mode: str = "both", task_type: str = "binary") -> DataFrame:
+def audit_tables(tables: dict[str, AuditTable], entity: str, labels: DataFrame, priors: DataFrame, mode: str = "both", task_type: str = "binary", method: str = "cells") -> DataFrame:
     """The whole audit: table, column, role, prior, evidence, score, verdict of every audited column.
 
     The asked entity's columns are judged by their power over the labels (timestamp, key, target), those of other tables with
     an event time by the shift of their newest rows, and those of tables without one, dimensions, by their prior alone. Label
     power says nothing (null) of labels that aren't binary, have one class only, or fewer than 40 rows. mode: both, meaning
-    (priors only) or data (evidence only).
+    (priors only) or data (evidence only). method: cells counts (bin, anchor) over all label rows, gbt fits boosted trees to some.
     """
+    if mode not in ("both", "meaning", "data") or method not in ("cells", "gbt"):
+        raise ValueError(f"unknown mode {mode!r} or method {method!r}")
     parts, nothing = [], F.lit(None).cast("double")
     session = labels.sparkSession
     for name, t in tables.items():
-        columns = audited_columns(t.df, t.key, t.time, t.links, t.kinds)
+        kinds = t.known_kinds()
+        columns = audited_columns(t.df, t.key, t.time, t.links, kinds)
         if not columns:
             continue
         role = "entity" if name == entity else "event" if t.time else "dimension"
@@ -188,9 +259,9 @@ def audit_tables(tables: dict[str, AuditTable], entity: str, labels: DataFrame,
         if mode == "meaning" or role == "dimension" or (role == "entity" and not t.time and task_type != "binary"):
             found = every.withColumn("evidence", nothing)
         elif t.time:
-            found = age_shift(t.df, t.time, columns, [c for c in columns if t.kinds.get(c) in ("categorical", "bool")])
+            found = age_shift(t.df, t.time, columns, [c for c in columns if kinds.get(c) in ("categorical", "bool")])
         else:
-            powers = label_powers(binned(labels, t.df, t.key, columns))
+            powers = boosted_powers(labels, t.df, t.key, columns) if method == "gbt" else label_powers(binned(labels, t.df, t.key, columns))
             told = (F.col("n") >= LEAST_ROWS) & F.col("auc").isNotNull()
             found = every.join(F.broadcast(powers), "column", "left").select("column", F.when(told, lift_evidence(F.col("auc"), F.col("base"))).alias("evidence"))
         parts.append(found.select(F.lit(name).alias("table"), "column", F.lit(role).alias("role"), "evidence"))

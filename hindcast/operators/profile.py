@@ -1,4 +1,9 @@
-"""Column statistics, kinds and keys of a table, from one count of (column, value)."""
+"""Column statistics, kinds and keys of a table.
+
+Small tables are counted exactly, by (column, value). Large ones are sketched in one pass: a mergeable distinct-count sketch a
+column, so that what is shuffled is a few kilobytes a task and column, however many rows there are. Sketches say enough of
+most columns; those whose estimate is too near a decision (unique or not, categorical or not) are counted exactly afterwards.
+"""
 
 from __future__ import annotations
 
@@ -23,12 +28,67 @@ def type_class(kind: T.DataType) -> str:
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, value (as text), n: how often each value occurs; nested columns are left out."""
-    columns = columns or [f.name for f in df.schema.fields if type_class(f.dataType) != "other"]
+    columns = columns or plain_columns(df)
     return df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n_rows, n_values (not null), n_distinct, null_frac, avg_length."""
+#: Rows up to which distinct values are counted exactly.
+EXACT_UP_TO = 1_000_000
+#: log2 of a sketch's registers, and how far, as a share, an estimate may be off: five standard errors.
+REGISTERS, MARGIN = 14, 0.045
+#: Items that a frequency sketch holds, and how many of them are recounted for each value asked.
+TRACKED, SPARE = 10_000, 4
+
+
+def plain_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if type_class(f.dataType) != "other"]
+
+
+def sketches(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n_rows, n_values, chars, sketch: one row a column, in one pass without a shuffle of values.
+
+    Rows of several parts of a table (days, files) add up by merge_sketches, so a profile can be kept beside growing data.
+    """
+    columns = columns or plain_columns(df)
+    text = {c: F.col(c).cast("string") for c in columns}
+    entry = lambda c: F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n_rows"), F.count(text[c]).alias("n_values"), F.coalesce(F.sum(F.length(text[c])), F.lit(0)).alias("chars"), F.hll_sketch_agg(text[c], F.lit(REGISTERS)).alias("sketch"))
+    return df.agg(F.array(*map(entry, columns)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def merge_sketches(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("column").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"), F.sum("chars").alias("chars"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(parts: DataFrame) -> DataFrame:
+    """The profile that sketches give: n_distinct is an estimate, and never more than there are values."""
+    distinct = F.least(F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)), F.col("n_values"))
+    return parts.select("column", "n_rows", "n_values", distinct.alias("n_distinct"), F.coalesce(1 - F.try_divide("n_values", "n_rows"), F.lit(0.0)).alias("null_frac"), F.coalesce(F.try_divide("chars", "n_values"), F.lit(0.0)).alias("avg_length"))
+
+
+def undecided(found: DataFrame) -> DataFrame:
+    """Of an estimated profile, the columns whose estimate leaves open whether they are unique, or which kind they are."""
+    d, n = F.col("n_distinct"), F.col("n_values")
+    near = lambda limit: F.abs(d - limit) <= MARGIN * F.greatest(d, limit) + 1
+    return found.where((d >= (0.98 - MARGIN) * F.col("n_rows")) | near(F.lit(50)) | near(0.02 * n) | near(0.9 * n)).select("column")
+
+
+def sketched_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The profile by sketches, with exact counts of the columns that they leave undecided."""
+    first = df.sparkSession.createDataFrame(sketches(df, columns).toArrow())  # one row a column: of a size that the schema bounds
+    found = estimated(first)
+    open_columns = [r["column"] for r in undecided(found).collect()]
+    if not open_columns:
+        return found
+    return found.where(~F.col("column").isin(open_columns)).unionByName(profile(df, open_columns, None))
+
+
+def profile(df: DataFrame, columns: list[str] | None = None, exact_up_to: int | None = EXACT_UP_TO) -> DataFrame:
+    """column, n_rows, n_values (not null), n_distinct, null_frac, avg_length.
+
+    Distinct values are counted exactly up to so many rows (None: always), beyond by sketches, see sketched_profile.
+    """
+    if exact_up_to is not None and df.count() > exact_up_to:
+        return sketched_profile(df, columns)
     n, value = F.col("n"), F.col("value")
     sums = value_counts(df, columns).groupBy("column").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("n_values"), F.count("value").alias("n_distinct"), F.sum(F.length("value") * n).alias("chars"))
     return sums.select("column", "n_rows", "n_values", "n_distinct", (1 - F.col("n_values") / F.col("n_rows")).alias("null_frac"), F.coalesce(F.try_divide("chars", "n_values"), F.lit(0.0)).alias("avg_length"))
@@ -37,13 +97,48 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5, fraction: float | None = None) -> DataFrame:
     """column, rank, value (cut to 40 characters), n: the most frequent values; ties by value. fraction: of rows, for big tables."""
     counts = value_counts(df.sample(fraction, seed=0) if fraction else df, columns).where("value IS NOT NULL")
+    return _highest(counts, k)
+
+
+def _highest(counts: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).select("column", "rank", F.substring("value", 1, 40).alias("value"), "n")
 
 
-def column_kinds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def sketched_top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5, tracked: int = TRACKED) -> DataFrame:
+    """top_values of every row of a large table: a frequency sketch a column names candidates, these are counted exactly.
+
+    A value that a sketch of `tracked` items does not name is met at most 2 * 3.5 / tracked of the rows times, and one that it
+    names below its k * SPARE highest is met no more often than the last of these. Columns whose k-th exact count is
+    above both are done: no other value can be among their k. The rest (ties or nearly even counts at the cut) are counted as a
+    whole, so the result is top_values' own. Shuffled are sketches and candidates, and the values of these columns alone.
+    """
+    columns = columns or plain_columns(df)
+    asked = k * SPARE
+    named = df.agg(F.count(F.lit(1)).alias("n_rows"), *(F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {asked + 1}, {tracked})").alias(f"_{i}") for i, c in enumerate(columns))).first()
+    candidates, limit = {}, {}
+    for i, c in enumerate(columns):
+        held = [(r["item"], r["count"]) for r in named[f"_{i}"] if r["item"] is not None]
+        candidates[c] = [v for v, _ in held[:asked]]
+        limit[c] = max(7 * named["n_rows"] / tracked, held[asked][1] if len(held) > asked else 0)
+    chosen = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    known = F.create_map(*(x for c in columns for x in (F.lit(c), F.array(*map(F.lit, candidates[c])).cast("array<string>"))))
+    rows = df.select(F.explode(F.filter(chosen, lambda x: F.array_contains(known[x["column"]], x["value"]))).alias("x")).select("x.*")
+    exact = [tuple(r) for r in _highest(rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), k).collect()]  # k rows a column
+    last = {c: min((n for column, _, _, n in exact if column == c), default=0) for c in columns}
+    sure = {c for c in columns if sum(r[0] == c for r in exact) == k and last[c] > limit[c]}
+    found = df.sparkSession.createDataFrame([r for r in exact if r[0] in sure], "column string, rank int, value string, n long")
+    rest = [c for c in columns if c not in sure]
+    return found.unionByName(top_values(df, rest, k)) if rest else found
+
+
+def column_kinds(df: DataFrame, columns: list[str] | None = None, exact_up_to: int | None = EXACT_UP_TO) -> DataFrame:
     """The profile with the kind of each column: time, bool, id, numeric, categorical, text or other."""
-    found = profile(df, columns)
+    return with_kinds(df, profile(df, columns, exact_up_to))
+
+
+def with_kinds(df: DataFrame, found: DataFrame) -> DataFrame:
+    """A profile of df with its columns' kinds."""
     classes = F.create_map(*(F.lit(x) for f in df.schema.fields for x in (f.name, "id" if type_class(f.dataType) in ("numeric", "string") and ID_NAME.search(f.name) else type_class(f.dataType))))
     few = (F.col("n_distinct") <= 50) | (F.col("n_distinct") <= 0.02 * F.col("n_values"))
     string = F.when(few, "categorical").when(F.col("avg_length") > 30, "text").when((F.col("n_distinct") > 0.9 * F.col("n_values")) & (F.col("avg_length") >= 16), "id").otherwise("categorical")
@@ -51,29 +146,27 @@ def column_kinds(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return found.withColumn("kind", F.when(kind == "string", string).otherwise(kind))
 
 
-def key_candidates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+UNIQUE = "n_distinct = n_rows AND n_values = n_rows AND n_rows > 0 AND kind IN ('id', 'numeric', 'categorical')"
+
+
+def key_candidates(df: DataFrame, columns: list[str] | None = None, exact_up_to: int | None = EXACT_UP_TO) -> DataFrame:
     """Columns whose values are distinct and never null."""
-    return column_kinds(df, columns).where("n_distinct = n_rows AND n_values = n_rows AND kind IN ('id', 'numeric', 'categorical')")
+    return column_kinds(df, columns, exact_up_to).where(UNIQUE)
 
 
 def primary_key(df: DataFrame, table: str, others: list[str]) -> str | None:
     """The best candidate: a conventional name first, then kind id, then column order; never another table's id."""
-    found = {r["column"]: r["kind"] for r in key_candidates(df).select("column", "kind").collect()}  # one row a column
-    single = lambda t: t[:-1] if t.endswith("s") else t
-    foreign = {f"{single(t)}_id" for t in others if t != table}
-    usual = {"id", f"{table}_id", f"{single(table)}_id"}
-    ranked = sorted((c.lower() not in usual, found[c] != "id", i, c) for i, c in enumerate(df.columns) if c in found and c.lower() not in foreign)
-    return ranked[0][-1] if ranked else None
+    return best_key({r["column"]: r["kind"] for r in key_candidates(df).select("column", "kind").collect()}, df.columns, table, others)  # one row a column
 
 
-def describe(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row a table: its columns with kinds, distinct values and null shares."""
-    parts = [column_kinds(df).withColumn("table", F.lit(name)) for name, df in sorted(tables.items())]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    entry = F.struct("column", "kind", "n_distinct", "null_frac")
-    return every.groupBy("table").agg(F.max("n_rows").alias("n_rows"), F.sort_array(F.collect_list(entry)).alias("columns"))
+def best_key(found: dict[str, str], columns: list[str], table: str, others: list[str]) -> str | None:
+    """Of unique columns with their kinds, the table's key."""
+    single = lambda t: t[:-1] if t.endswith("s") else t
+    own = {f"{table}_id".lower(), f"{single(table)}_id".lower()}
+    usual = {"id", f"{single(table)}id".lower(), *own}
+    foreign = {f"{name}_id".lower() for t in others if t != table for name in (t, single(t))} - own
+    ranked = sorted((c.lower() not in usual, found[c] != "id", i, c) for i, c in enumerate(columns) if c in found and c.lower() not in foreign)
+    return ranked[0][-1] if ranked else None
 
 
 def null_fraction(column: str) -> Column:

@@ -9,24 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, RANGES = 2048, 64
+#: Distinct values that a range should hold, the most ranges there are, and the values that their bounds are taken from.
+HELD, RANGES, SAMPLE = 20_000, 4096, 32_768
+#: Bounds are searched in two steps: among each STEP-th, then among those between two of these.
+STEP = 64
 
 
-def _bounds(counts: DataFrame, value: str) -> DataFrame:
-    """One row: at most RANGES - 1 values that cut the distinct values into like parts.
+def _bounds(counts: DataFrame, value: str, sums: tuple[str, ...]) -> DataFrame:
+    """One row: the values that cut the distinct values into as many like parts as their number asks for, RANGES at most.
 
-    They come from the SAMPLE values of smallest hash, so they depend on the values alone: however often Spark evaluates
-    them, every row gets the same range.
+    Both come from the SAMPLE values of smallest hash: where there are more, the largest of these hashes tells how many. So
+    they depend on the values alone: however often Spark evaluates them, every row gets the same range. The order names
+    all columns, so that this reads the exchange that the ranges themselves are made from, and the rows below are counted once.
     """
-    some = counts.select(value).distinct().orderBy(F.xxhash64(value), value).limit(SAMPLE)
-    held = F.sort_array(F.collect_list(value))
-    step = F.greatest(F.ceil(F.size(held) / RANGES), F.lit(1))
-    return some.agg(F.filter(held, lambda _, i: (i > 0) & (i % step == 0)).alias("_bounds"))
+    h = F.xxhash64(value)
+    some = counts.orderBy(h, value, *sums).limit(SAMPLE).agg(F.array_sort(F.collect_set(value)).alias("_held"), F.count(F.lit(1)).alias("_n"), F.max(h).alias("_last"))
+    many = F.when(F.col("_n") < SAMPLE, F.size("_held")).otherwise(F.size("_held") / ((F.col("_last").cast("double") + 2.0**63) / 2.0**64))
+    step = F.greatest(F.ceil(F.size("_held") / F.greatest(F.least(F.ceil(many / HELD), F.lit(RANGES)), F.lit(1))), F.lit(1))
+    cut = some.select(F.filter("_held", lambda _, i: (i > 0) & (i % step == 0)).alias("_fine"))
+    return cut.select("_fine", F.filter("_fine", lambda _, i: i % STEP == 0).alias("_coarse"))
+
+
+def _range(value: str) -> Column:
+    """How many bounds are at most the value."""
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(value)))
+    block = below(F.col("_coarse"))
+    return F.when(block > 0, (block - 1) * STEP + below(F.slice("_fine", (block - 1) * STEP + 1, STEP))).otherwise(0)
 
 
 def running(counts: DataFrame, value: str, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
     """counts: one row per distinct value (and `by`). Adds <sum>_before: the total of each column over all smaller values."""
-    ranged = counts.crossJoin(F.broadcast(_bounds(counts, value))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    more = tuple(c for c in counts.columns if c != value)
+    ranged = counts.crossJoin(F.broadcast(_bounds(counts, value, more))).withColumn("_range", _range(value)).drop("_fine", "_coarse")
     starts = ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     earlier = Window.partitionBy(*by).orderBy("_range")  # at most RANGES rows in each
     starts = starts.select(*by, "_range", *((F.sum(f"_{c}").over(earlier) - F.col(f"_{c}")).alias(f"_{c}_start") for c in sums))

@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Operations and populations of the question grammar (fixed values).
 OPS = ("not_exists", "exists", "count", "sum", "mean")
 POPULATIONS = ("all", "recent", "in_window")
 _COMPARE = {"=": operator.eq, "!=": operator.ne, "<=": operator.le, ">=": operator.ge, "<": operator.lt, ">": operator.gt}
@@ -96,11 +97,53 @@ def baseline_anchors(val: datetime, horizon_days: int, first_event: datetime, mo
     return found[::-1]
 
 
-def task_manifest(spec: LabelSpec, val: datetime, test: datetime) -> dict[str, Any]:
+def _literal(value: Any) -> str:
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float)):
+        return repr(value)
+    if isinstance(value, datetime):
+        return f"TIMESTAMP_NTZ '{value:%Y-%m-%d %H:%M:%S}'"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def label_query(spec: LabelSpec) -> str:
+    """The labels as Spark SQL over the spec's tables and timestamp_df(timestamp), the anchors. compile_labels gives the same rows
+    without a join on an inequality; this text is what a manifest carries to whoever else must compute them."""
+    name = lambda x: f"`{x}`"
+    s = spec.checked()
+    event, link, time, key = name(s.event), f"e.{name(s.link)}", f"CAST(e.{name(s.time)} AS TIMESTAMP_NTZ)", name(s.entity_key)
+    hit = "TRUE" if s.filter is None else f"e.{name(s.filter.column)} {s.filter.op} {_literal(s.filter.value)}"
+    value = f"e.{name(s.value)}" if s.value else "1"
+    ahead = f"{time} > t.timestamp AND {time} <= t.timestamp + INTERVAL '{s.horizon_days}' DAY"
+    more = "" if s.threshold is None or s.op != "count" else f" > {_literal(s.threshold)}"
+    number = lambda x: f"CAST({x}{more} AS INT)" if more else x
+    if s.population == "in_window":
+        target = {"exists": f"MAX(CASE WHEN {hit} THEN 1 ELSE 0 END)", "count": number(f"COUNT(CASE WHEN {hit} THEN 1 END)"), "sum": f"SUM(CASE WHEN {hit} THEN {value} ELSE 0 END)", "mean": f"AVG(CASE WHEN {hit} THEN {value} END)"}[s.op]
+        having = f"\nHAVING {target} IS NOT NULL" if s.op == "mean" else ""
+        return f"SELECT t.timestamp, {link} AS {key}, {target} AS target\nFROM timestamp_df t JOIN {event} e ON {ahead}\nWHERE {link} IS NOT NULL\nGROUP BY t.timestamp, {link}{having}"
+    behind = f"{time} > t.timestamp - INTERVAL '{s.past_days}' DAY AND {time} <= t.timestamp"
+    who = f"SELECT t.timestamp, x.{key} AS k FROM timestamp_df t CROSS JOIN {name(s.entity)} x"
+    if s.population == "recent":
+        who += f" LEFT SEMI JOIN (SELECT t.timestamp AS seen, {link} AS known FROM timestamp_df t JOIN {event} e ON {behind}) ON seen = t.timestamp AND known = x.{key}"
+    found = "SUM({0})".format(value) if s.op == "sum" else "COUNT(*)"
+    target = {"not_exists": "CAST(found IS NULL AS INT)", "exists": "CAST(found IS NOT NULL AS INT)", "count": number("COALESCE(found, 0)"), "sum": "COALESCE(found, 0)"}[s.op]
+    return (
+        f"WITH who AS ({who}),\nhits AS (SELECT t.timestamp, {link} AS k, {found} AS found FROM timestamp_df t JOIN {event} e ON {ahead} AND {hit} GROUP BY t.timestamp, {link})\n"
+        f"SELECT timestamp, k AS {key}, {target} AS target\nFROM who LEFT JOIN hits USING (timestamp, k)"
+    )
+
+
+#: Names of task types in the file format (fixed values).
+TASK_TYPES = {"binary": "binary_classification", "regression": "regression"}
+
+
+def task_manifest(spec: LabelSpec, val: datetime, test: datetime, database: str = "db.json") -> dict[str, Any]:
+    """The task as a file states it (fixed keys of the file format), with the labels' query and where the database is described."""
     when = "%Y-%m-%d %H:%M:%S"
     return {
-        "entity_table": spec.entity, "entity_col": spec.entity_key, "time_col": "timestamp", "target_col": "target", "task_type": spec.task_type,
-        "timedelta": f"{spec.horizon_days} days", "num_eval_timestamps": 1, "val_timestamp": val.strftime(when), "test_timestamp": test.strftime(when),
+        "database": database, "entity_table": spec.entity, "entity_col": spec.entity_key, "time_col": "timestamp", "target_col": "target", "task_type": TASK_TYPES[spec.task_type],
+        "timedelta": f"{spec.horizon_days} days", "num_eval_timestamps": 1, "val_timestamp": val.strftime(when), "test_timestamp": test.strftime(when), "query": label_query(spec),
     }
 
 

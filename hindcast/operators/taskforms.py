@@ -55,9 +55,21 @@ def repeat_labels(labels: DataFrame) -> DataFrame:
     return labels.withColumn("before", before).where("before = 1").drop("before")
 
 
+def repeat_label_form(events: DataFrame, key: str, time: str, anchors: Sequence[datetime], horizon_days: int, hit: Column) -> DataFrame:
+    """Whether the window has a hit, for entities that had one in the two windows before.
+
+    With several anchors those are the two previous anchors' labels. One anchor, as at a live prediction, has none before it:
+    its population are the keys with a hit in (anchor - 2 * horizon, anchor].
+    """
+    found = window_labels(events, key, time, anchors, horizon_days, F.max(F.when(hit, 1).otherwise(0)))
+    if len(set(anchors)) > 1:
+        return repeat_labels(found)
+    return found.join(active_pairs(events.where(hit), key, time, anchors, 2 * horizon_days), ["timestamp", "key"], "left_semi")
+
+
 def anchored_before(rows: DataFrame, column: str) -> DataFrame:
     """Rows (with timestamp) whose column is before their anchor."""
     return rows.where(F.col(column).cast("timestamp_ntz") < F.col("timestamp"))
 
 
-__all__ = ["active_pairs", "anchored_before", "created_population", "distinct_counts", "ever_active", "repeat_labels", "window_labels", "with_default"]
+__all__ = ["active_pairs", "anchored_before", "created_population", "distinct_counts", "ever_active", "repeat_label_form", "repeat_labels", "window_labels", "with_default"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -9,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions import questions
-from hindcast.operators import agreement, audit, backtest, features, labels, predict, profile, relations, taskforms, timeline
-from hindcast.operators.anchors import in_future
+from hindcast.operators import agreement, audit, backtest, database, features, labels, live, predict, profile, relations, taskforms, timeline
+from hindcast.operators.anchors import anchor_table, in_future
 from hindcast.operators.ranks import roc_auc, value_ranks
-from hindcast.operators.spec import Filter, LabelSpec, anchors_before, baseline_anchors
+from hindcast.operators.spec import Filter, LabelSpec, anchors_before, baseline_anchors, task_manifest
 from hindcast.plans import readings
 from hindcast.sources import tables as sources
 
@@ -149,16 +150,12 @@ def a03(spark, d):
 
 @query("a04_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(90 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(4) r(i)", ("timestamp",))
 def a04(spark, d):
-    from hindcast.operators.anchors import anchor_table
-
     _, test = timeline.choose_splits(table(spark, d, "orders"), "o_orderdate", 90)
     return anchor_table(spark, anchors_before(test, 90, 4))
 
 
 @query("a05_baseline_anchors", DAILY.rstrip() + SPLIT + " SELECT CAST(end_day - CAST(270 + 90 * i AS INTEGER) AS TIMESTAMP) AS timestamp FROM x, range(60) r(i) WHERE CAST(end_day - CAST(360 + 90 * i AS INTEGER) AS TIMESTAMP) >= (SELECT min(o_orderdate) FROM orders)", ("timestamp",))
 def a05(spark, d):
-    from hindcast.operators.anchors import anchor_table
-
     orders = table(spark, d, "orders")
     val, _ = timeline.choose_splits(orders, "o_orderdate", 90)
     return anchor_table(spark, baseline_anchors(val, 90, relations.time_range(orders, "o_orderdate").first()["first"]))
@@ -193,6 +190,14 @@ def x03(spark, d):
     return taskforms.repeat_labels(orders_window(spark, d, F.max((F.col("o_orderstatus") == "O").cast("int"))))
 
 
+X03_ONE = window_sql("orders", "o_custkey", "o_orderdate", "CAST(count(*) FILTER (WHERE o_orderstatus = 'O') > 0 AS INTEGER)", [LAST], 90)
+
+
+@query("x03_repeat_single_anchor", f"SELECT * FROM ({X03_ONE}) WHERE key IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '{LAST}' - INTERVAL 180 DAY AND o_orderdate <= TIMESTAMP '{LAST}')", ("timestamp",))
+def x03_single(spark, d):
+    return taskforms.repeat_label_form(table(spark, d, "orders"), "o_custkey", "o_orderdate", [LAST], 90, F.col("o_orderstatus") == "O")
+
+
 @query("x04_negated_max", window_sql("orders", "o_custkey", "o_orderdate", "CAST(max(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS INTEGER)", ANCHORS, 90) + " HAVING a.t < (SELECT max(o_orderdate) + INTERVAL 365 DAY FROM orders o2 WHERE o2.o_custkey = orders.o_custkey)", ("timestamp",))
 def x04(spark, d):
     found = orders_window(spark, d, F.max(F.when(F.col("o_orderstatus") != "F", 1).otherwise(0)))
@@ -448,9 +453,116 @@ def p10(spark, d):
     return relations.time_range(table(spark, d, "lineitem"), "l_shipdate")
 
 
-@query("p11_describe")
+#: The star tables with conventional names: a letter and _ go, and a key is named after its table.
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+KEY_NAMES = {"regionkey": "region_id", "nationkey": "nation_id", "custkey": "customer_id", "suppkey": "supplier_id", "partkey": "part_id", "orderkey": "order_id"}
+
+
+def plain_name(column: str) -> str:
+    short = re.sub("^[a-z]_", "", column)
+    return KEY_NAMES.get(short, short)
+
+
+def star(spark: SparkSession, d: str, names: tuple[str, ...] = STAR) -> dict[str, DataFrame]:
+    found = {n: table(spark, d, n) for n in names}
+    return {n: df.toDF(*map(plain_name, df.columns)) for n, df in found.items()}
+
+
+#: What the star tables hold: column, type class, and the table that it points at. Links of a column to several tables: the first.
+STAR_COLUMNS = {
+    "region": [("r_regionkey", "id"), ("r_name", "string")],
+    "nation": [("n_nationkey", "id"), ("n_name", "string"), ("n_regionkey", "id", "region")],
+    "customer": [("c_custkey", "id"), ("c_name", "string"), ("c_nationkey", "id", "nation"), ("c_acctbal", "numeric"), ("c_mktsegment", "string")],
+    "supplier": [("s_suppkey", "id"), ("s_name", "string"), ("s_nationkey", "id", "nation"), ("s_acctbal", "numeric")],
+    "part": [("p_partkey", "id"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "numeric"), ("p_retailprice", "numeric")],
+    "orders": [("o_orderkey", "id"), ("o_custkey", "id", "customer"), ("o_orderstatus", "string"), ("o_totalprice", "numeric"), ("o_orderdate", "time"), ("o_orderpriority", "string")],
+    "lineitem": [("l_orderkey", "id", "orders"), ("l_partkey", "id", "part"), ("l_suppkey", "id", "supplier"), ("l_linenumber", "numeric"), ("l_quantity", "numeric"), ("l_extendedprice", "numeric"), ("l_discount", "numeric"), ("l_tax", "numeric"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "time")],
+}
+STAR_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": None}
+STAR_LINKS = [(t, c[0], c[2]) for t, columns in STAR_COLUMNS.items() for c in columns if len(c) == 3]
+#: Event times stand in for the answers of a decision model: an order's date is when it came into being.
+STAR_HINTS = {"orders": "orderdate"}
+
+
+def kind_sql(c: str, of: str) -> str:
+    if of != "string":
+        return f"'{of}'"
+    d, n, chars = f"count(DISTINCT {c})", f"count({c})", f"coalesce(avg(length({c})), 0)"
+    return f"CASE WHEN {d} <= 50 OR {d} <= 0.02 * {n} THEN 'categorical' WHEN {chars} > 30 THEN 'text' WHEN {d} > 0.9 * {n} AND {chars} >= 16 THEN 'id' ELSE 'categorical' END"
+
+
+@query("p01_sketched_kinds", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{plain_name(c)}' AS \"column\", CAST(count(*) AS BIGINT) AS n_rows, CAST(count({c}) AS BIGINT) AS n_values, {kind_sql(c, of)} AS kind, count(DISTINCT {c}) = count(*) AS \"unique\" FROM {t}" for t, columns in STAR_COLUMNS.items() for c, of, *_ in columns))
+def p01_sketched(spark, d):
+    """Every star table as if it were too large to be counted exactly."""
+    parts = [profile.column_kinds(df, exact_up_to=0).select(F.lit(name).alias("table"), "column", "n_rows", "n_values", "kind", (F.col("n_distinct") == F.col("n_rows")).alias("unique")) for name, df in star(spark, d).items()]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
+
+
+def top_sql(name: str, columns: list[str], k: int = 5) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS rank, substr(CAST({c} AS VARCHAR), 1, 40) AS value, CAST(count(*) AS BIGINT) AS n FROM {name} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY rank <= {k}" for c in columns)
+
+
+SKETCHED = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey"]
+
+
+@query("p02_sketched_top_values", top_sql("lineitem", SKETCHED))
+def p02_sketched(spark, d):
+    return profile.sketched_top_values(table(spark, d, "lineitem"), SKETCHED, tracked=4096)
+
+
+@query(
+    "p06_all_inclusions",
+    " UNION ALL ".join(f"SELECT '{t}' AS child, '{plain_name(c)}' AS \"column\", '{p}' AS parent, CAST(count(*) AS BIGINT) AS n_distinct, round(avg(CASE WHEN v IN (SELECT {STAR_KEYS[p]} FROM {p}) THEN 1.0 ELSE 0.0 END), 9) AS share FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL)" for t, c, p in STAR_LINKS),
+)
+def p06_all(spark, d):
+    tables = star(spark, d)
+    keys = {t: k and plain_name(k) for t, k in STAR_KEYS.items()}
+    return rounded(relations.inclusions(tables, keys, relations.link_candidates(tables, keys)), 9)
+
+
+@query("p06_all_links", " UNION ALL ".join(f"SELECT '{t}' AS child, '{plain_name(c)}' AS \"column\", '{p}' AS parent FROM (SELECT avg(CASE WHEN v IN (SELECT {STAR_KEYS[p]} FROM {p}) THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT DISTINCT {c} AS v FROM {t} WHERE {c} IS NOT NULL)) WHERE share >= 0.9" for t, c, p in STAR_LINKS))
+def p06_links(spark, d):
+    """Keys, kinds and links of the whole database, found from the data."""
+    db = database.discover(star(spark, d))
+    return spark.createDataFrame([(name, c, p) for name, t in db.items() for c, p in t.links.items()], "child string, column string, parent string")
+
+
+@query("p07_derived_time", "SELECT l_orderkey AS order_id, l_linenumber AS linenumber, l_quantity AS quantity, o_orderdate AS \"time\" FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey", ("time",))
+def p07_derived(spark, d):
+    """Line items without a date of their own take that of the order they belong to."""
+    tables = star(spark, d, ("orders", "lineitem"))
+    lines = database.discover({"orders": tables["orders"], "lineitem": tables["lineitem"].drop("shipdate")}, STAR_HINTS)["lineitem"]
+    return lines.df.select("order_id", "linenumber", "quantity", F.col(lines.time).alias("time"))
+
+
+def describe_sql(names: tuple[str, ...], times: dict[str, str]) -> str:
+    """One row a column: what the description says of its table and of itself."""
+    parts = []
+    for t in names:
+        key, time = STAR_KEYS[t], times.get(t)
+        for i, (c, of, *to) in enumerate(STAR_COLUMNS[t]):
+            role = "'key'" if c == key else "'link'" if to else "'event time'" if c == time else kind_sql(c, of)
+            shown = f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if of == "time" else f"substr(CAST({c} AS VARCHAR), 1, 40)"
+            samples = f"(SELECT string_agg(v, '|' ORDER BY n DESC, v) FROM (SELECT {shown} AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 3))" if of != "numeric" else "CAST(NULL AS VARCHAR)"
+            text = lambda x: f"'{plain_name(x)}'" if x else "CAST(NULL AS VARCHAR)"
+            parent = f"'{to[0]}'" if to else "CAST(NULL AS VARCHAR)"
+            parts.append(f"SELECT '{t}' AS \"table\", '{'event' if time else 'item'}' AS table_role, CAST(count(*) AS BIGINT) AS n_rows, {text(key)} AS key, {text(time)} AS \"time\", CAST({i} AS INTEGER) AS position, {text(c)} AS \"column\", {role} AS role, {parent} AS parent, CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, round(1 - count({c}) / count(*), 9) AS null_frac, {samples} AS samples FROM {t}")
+    return " UNION ALL ".join(parts)
+
+
+def described(found: DataFrame) -> DataFrame:
+    """A row for each column. Samples of numbers are left out, for engines write them differently."""
+    rows = found.select("table", F.col("role").alias("table_role"), "n_rows", "key", "time", F.explode("columns").alias("c")).select("table", "table_role", "n_rows", "key", "time", "c.*")
+    number = F.col("column").isin([plain_name(c) for columns in STAR_COLUMNS.values() for c, of, *_ in columns if of == "numeric"])
+    return rounded(rows.withColumn("samples", F.when(~number, F.array_join("samples", "|"))), 9)
+
+
+@query("p11_describe", describe_sql(STAR, {"orders": "o_orderdate", "lineitem": "l_shipdate"}))
 def p11(spark, d):
-    return profile.describe({t: table(spark, d, t) for t in ("customer", "orders", "supplier", "part")})
+    return described(database.description(database.discover(star(spark, d), STAR_HINTS)))
 
 
 # ---------------------------------------------------------------- sources and sinks (S)
@@ -463,10 +575,11 @@ def s01(spark, d):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-@query("s03_load_catalog")
+@query("s03_load_catalog", "SELECT 'hindcast_orders' AS name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_customers, round(sum(o_totalprice), 2) AS total FROM orders")
 def s03(spark, d):
     table(spark, d, "orders").createOrReplaceTempView("hindcast_orders")
-    return sources.load_catalog(spark)["hindcast_orders"].groupBy("o_orderstatus").count()
+    name = "hindcast_orders"
+    return rounded(sources.load_catalog(spark)[name].agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_custkey").alias("n_customers"), F.sum("o_totalprice").alias("total")), 2)
 
 
 @query("s04_load_declared", "SELECT s_nationkey, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY 1")
@@ -474,6 +587,41 @@ def s04(spark, d):
     return sources.load_declared(spark, {"supplier": {"pkey": "s_suppkey"}}, d)["supplier"].groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A manifest as a file declares it, with links by column.
+DECLARED = {
+    "customer": {"pkey": "c_custkey", "fkeys": {"c_nationkey": "nation"}}, "nation": {"pkey": "n_nationkey"}, "supplier": {"pkey": "s_suppkey", "path": "supplier.parquet"},
+    "orders": {"pkey": "o_orderkey", "time_col": "o_orderdate", "fkeys": {"o_custkey": "customer"}},
+}
+DECLARED_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", '{'event' if e.get('time_col') else 'item'}' AS role, CAST(count(*) AS BIGINT) AS n_rows, '{e['pkey']}' AS key, " + (f"'{e['time_col']}'" if e.get("time_col") else "CAST(NULL AS VARCHAR)") + f" AS \"time\", '{', '.join(f'{c} -> {p}' for c, p in e.get('fkeys', {}).items())}' AS links, {t == 'customer'} AS is_entity FROM {t}" for t, e in DECLARED.items()
+)
+
+
+@query("s04_declared_database", DECLARED_SQL)
+def s04_declared(spark, d):
+    """Keys, times and links come from the manifest and are put to use: which tables hold events, which can be predicted for."""
+    db = database.declared(DECLARED, sources.load_declared(spark, DECLARED, d))
+    entities = database.entity_candidates(db)
+    rows = database.description(db).select("table", "role", "n_rows", "key", "time", F.filter("columns", lambda c: c["parent"].isNotNull()).alias("linked"))
+    return rows.select("table", "role", "n_rows", "key", "time", F.array_join(F.transform("linked", lambda c: F.concat(c["column"], F.lit(" -> "), c["parent"])), ", ").alias("links"), F.col("table").isin(entities).alias("is_entity"))
+
+
+def manifest_query(name: str, spec: LabelSpec) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The query that a task's manifest carries, run as it stands over the manifest's tables and its anchors."""
+        for t in (spec.entity, spec.event):
+            table(spark, sf_dir, t).createOrReplaceTempView(t)
+        anchor_table(spark, ANCHORS).createOrReplaceTempView("timestamp_df")
+        return rounded(spark.sql(task_manifest(spec, ANCHORS[-2], ANCHORS[-1])["query"]), 6)
+
+    query(name, label_sql(spec, ANCHORS), ("timestamp",))(run)
+
+
+manifest_query("s07_manifest_churn", CUSTOMER)
+manifest_query("s07_manifest_mean", CUSTOMER.but(op="mean", population="in_window", value="o_totalprice", filter=PRICE))
+manifest_query("s07_manifest_sum", CUSTOMER.but(op="sum", population="all", value="o_totalprice", filter=Filter("o_orderstatus", "=", "F")))
+manifest_query("s07_manifest_above", CUSTOMER.but(op="count", population="in_window", threshold=1.0))
+
 # ---------------------------------------------------------------- leakage audit (U)
 
 RANKED = "WITH r AS (SELECT *, percent_rank() OVER (ORDER BY l_shipdate) AS pr FROM lineitem), b AS (SELECT *, pr >= 0.97 AS nw, pr BETWEEN 0.4 AND 0.8 AS md FROM r) "
@@ -691,6 +839,43 @@ def m08(spark, d):
     return predict.top_k(rounded(backtest.entity_baseline(train, test, "c_custkey").select("c_custkey", "prediction"), 9), "c_custkey", 25)
 
 
+#: Anchors a horizon apart up to a horizon before the data's dense end, while a horizon of history lies before them.
+LIVE_ANCHORS = "(SELECT CAST(end_day - CAST({0} + {0} * i AS INTEGER) AS TIMESTAMP) AS t FROM x, range(24) r(i) WHERE CAST(end_day - CAST({0} + {0} * i + {0} AS INTEGER) AS TIMESTAMP) >= (SELECT min(o_orderdate) FROM orders))"
+
+
+def live_sql(spec: LabelSpec) -> str:
+    """Smoothed means of the labels at all anchors whose outcome is known, for who is eligible where the data end."""
+    taught = label_sql(spec, ANCHORS).replace(anchors_sql(ANCHORS), LIVE_ANCHORS.format(spec.horizon_days))
+    who = f"SELECT {spec.entity_key} FROM {spec.entity}"
+    if spec.population != "all":
+        who = f"SELECT DISTINCT {spec.link} AS {spec.entity_key} FROM {spec.event}, x WHERE {spec.time} > CAST(end_day AS TIMESTAMP) - INTERVAL {spec.past_days} DAY AND {spec.time} <= CAST(end_day AS TIMESTAMP) AND {spec.link} IS NOT NULL"
+    return DAILY.rstrip() + SPLIT + f", taught AS ({taught}), own AS (SELECT {spec.entity_key}, CAST(sum(target) AS DOUBLE) AS s, count(*) AS n FROM taught GROUP BY 1), who AS ({who}) SELECT (SELECT CAST(end_day AS TIMESTAMP) FROM x) AS timestamp, {spec.entity_key}, round((coalesce(s, 0) + 5 * (SELECT avg(target) FROM taught)) / (coalesce(n, 0) + 5), 9) AS prediction, CAST(coalesce(n, 0) AS BIGINT) AS n_labels FROM who LEFT JOIN own USING ({spec.entity_key})"
+
+
+def live_query(name: str, spec: LabelSpec) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: table(spark, sf_dir, t) for t in (spec.entity, spec.event)}
+        return rounded(live.predict_live(live.plan_live(spec, tables[spec.event]), tables), 9)
+
+    query(name, live_sql(spec), ("timestamp",))(run)
+
+
+live_query("m08_live_run", CUSTOMER)
+live_query("m08_live_everyone", CUSTOMER.but(op="count", population="all", horizon_days=60))
+
+
+@query("m08_live_top", f"SELECT CAST(row_number() OVER (ORDER BY prediction DESC, c_custkey) AS INTEGER) AS rank, timestamp, c_custkey, prediction FROM ({live_sql(CUSTOMER)}) QUALIFY rank <= 25", ("timestamp",))
+def m08_live_top(spark, d):
+    tables = {t: table(spark, d, t) for t in ("customer", "orders")}
+    return live.highest(rounded(live.predict_live(live.plan_live(CUSTOMER, tables["orders"]), tables), 9), "c_custkey", 25)
+
+
+@query("m08_live_linear", times=("timestamp",))
+def m08_live_linear(spark, d):
+    tables = {t: table(spark, d, t) for t in ("customer", "orders")}
+    return live.predict_live_linear(live.plan_live(CUSTOMER, tables["orders"], most=6), tables, "o_totalprice")
+
+
 @query("m09_lookup", f"SELECT CAST(w.c_custkey AS VARCHAR) AS key, round(prediction, 9) AS prediction FROM customer w LEFT JOIN (SELECT * FROM ({ENTITY_SQL}) WHERE {TAUGHT}) p USING (c_custkey)")
 def m09(spark, d):
     _, predictions = baseline_predictions(spark, d)

@@ -91,7 +91,7 @@ def test_anchors_and_manifests():
     found = baseline_anchors(T, 30, T - timedelta(days=100))
     assert found == [T - timedelta(days=60), T - timedelta(days=30)]
     task = task_manifest(SPEC, T, T + timedelta(days=30))
-    assert task["task_type"] == "binary" and task["timedelta"] == "30 days"
+    assert task["task_type"] == "binary_classification" and task["timedelta"] == "30 days"
     assert live_manifest(task, T, 30)["test_timestamp"] == "2023-03-01 00:00:00"
 
 
