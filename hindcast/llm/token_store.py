@@ -1,18 +1,20 @@
 """Token-id files: ids in blocks of their own, coded by an adaptive context-mixing range coder, in ascending doc_id order.
 
-An id is coded as one of eight symbols: "what stood last behind the same two ids" (order 2), "what stood last behind the
-same one" (order 1), or one of six classes of ids by size, whose place in its class follows in plain bits. Three adaptive
-tables predict the symbol: one for all ids (order 0), one by how often order 1's guess held of late, one by the same of order
-2; their predictions are mixed with weights that follow how well each predicted before. Products and sums are taken one by
-one in IEEE numbers, so every machine decodes alike. A block starts anew, ends with its CRC-32, and can be decoded by
-itself; the blocks of a segment are coded in step, one numpy lane each.
-
-A segment is a row of a Parquet file: magic, whole documents' ids and lengths, and the blocks. Documents are dealt out by
+Order 0 predicts an id by how often the segment has it: a table of counts stands before the segment's blocks, and ids are laid
+in six bands by that count. Order 1 and order 2 predict what stood last behind the same id, and behind the same two. So an id is
+one of eight symbols: order 2's prediction, order 1's, or its band, within which its share of the counts is its share of the code.
+Three adaptive tables predict the symbol: one for all ids (how much each band, and each prediction, is met of late), one by
+how often order 1's prediction held behind this context, one by the same of order 2; their predictions are mixed with weights
+that follow how well each predicted before. Products and sums are taken one by one in IEEE numbers, and shares of counts in whole
+numbers, so every machine decodes alike. A block starts anew, ends with its CRC-32, and can be decoded by itself with the
+segment's table; the blocks of a segment are coded in step, one numpy lane each.
+
+A segment is a row of a Parquet file: magic, whole documents' ids and lengths, the table (with a CRC-32) and the blocks. Documents are dealt out by
 ranges of doc_id and sorted, so file order is doc_id order; the place of a document in the whole stream is the sum of what
 lies in earlier files (one number a file), earlier segments and earlier documents.
 
 Defined results: a null or empty text is its end id alone. A null doc_id comes first. Rows that repeat are written as often,
-next to each other. An empty table gives an empty result; other columns are ignored. A damaged block raises an error.
+next to each other. An empty table gives an empty result; other columns are ignored. A damaged block or table raises an error.
 """
 
 from __future__ import annotations
@@ -30,14 +32,16 @@ from pyspark.sql import functions as F
 from hindcast.llm import _tokens
 from hindcast.llm._shared import documents, shared_dir
 
-MAGIC = b"HCTS2"
-BLOCK = 512
+MAGIC = b"HCTS3"
+BLOCK = 2048
 SEGMENT = 1 << 23
-#: First id of each class; sizes are powers of two.
-CLASSES = np.array([0, 2048, 4096, 8192, 16384, 32768])
-BITS = np.array([0, 0, 11, 11, 12, 13, 14, 15])
-SYMBOLS = len(BITS)
-SLOTS = 512
+#: Places, by falling count, at which each band begins.
+BANDS = np.array([0, 16, 80, 336, 1360, 5456])
+SYMBOLS = 2 + len(BANDS)
+#: Contexts of a block that orders 1 and 2 each remember; further ones share a place.
+SLOTS = 2048
+#: Bits of the scale that a band's ids share out.
+SHARES = 16
 #: Bits of the scale that symbols share out, of the coder's width, and of a word of output.
 SCALE, WIDTH, WORD = 16, 48, 16
 _LEAST = 1 << (WIDTH - WORD)
@@ -118,7 +122,7 @@ class _Model:
         base = self.lane * SLOTS
         # Ids have 16 bits, so these products fit 32.
         near = self.last * np.uint32(40503)
-        self.slot = base + (near >> 5 & SLOTS - 1), base + ((near ^ self.before * np.uint32(57829)) >> 5 & SLOTS - 1)
+        self.slot = base + (near >> 13 & SLOTS - 1), base + ((near ^ self.before * np.uint32(57829)) >> 13 & SLOTS - 1)
         self.known = [t.take(s, mode="clip") for t, s in zip(self.guess, self.slot, strict=True)]
         (self.one, sure1), (self.two, sure2) = ((x >> 2, x & 3) for x in self.known)
         self.sure = sure1, sure2
@@ -142,9 +146,6 @@ class _Model:
         at = symbol * len(self.lane) + self.lane
         return up.ravel().take(at, mode="clip"), up.ravel().take(at + len(self.lane), mode="clip")
 
-    def symbols(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.two, 0, np.where(ids == self.one, 1, np.searchsorted(CLASSES, ids, "right") + 1))
-
     def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.lane)
         at = symbol * n + self.lane
@@ -168,31 +169,72 @@ class _Model:
         self.before, self.last = self.last, ids
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Blocks of at most BLOCK ids (below 65536), each coded by itself and followed by the CRC-32 of its ids."""
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids must be below 65536")
+class Table:
+    """Order 0 of a segment: each id's band, and where its share of the band begins and how large it is."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        """ids: ascending and distinct; counts: of each, at least 1."""
+        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
+        order = np.lexsort((self.ids, -self.counts))
+        edge = np.minimum(np.r_[BANDS, max(len(ids), 1)], len(ids))
+        self.band, self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at = np.zeros((len(BANDS), 1 << SHARES), np.uint16)  # the id at each place of a band's scale
+        for k, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if high > low:
+                mine = order[low:high]
+                share = 1 + self.counts[mine] * ((1 << SHARES) - (high - low)) // int(self.counts[mine].sum())
+                share[0] += (1 << SHARES) - int(share.sum())
+                here = self.ids[mine]
+                self.band[here], self.size[here], self.begin[here] = k, share, np.cumsum(share) - share
+                self.at[k] = np.repeat(here, share)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Table:
+        if len(ids) and int(ids.max()) >= 1 << 16:
+            raise ValueError("ids must be below 65536")
+        counts = np.bincount(ids)
+        met = np.flatnonzero(counts)
+        return cls(met, counts[met])
+
+    def packed(self) -> bytes:
+        raw = np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.counts.astype("<u4").tobytes()
+        return zlib.crc32(raw).to_bytes(4, "little") + zlib.compress(raw, 9)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Table:
+        try:
+            raw = zlib.decompress(data[4:])
+        except zlib.error:
+            raw = b""
+        n = len(raw) // 6
+        if zlib.crc32(raw) != int.from_bytes(data[:4], "little") or len(raw) != 6 * n:
+            raise ValueError("a table of token ids is damaged")
+        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 2 * n))
+
+
+def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
+    """Blocks of at most BLOCK ids, each coded by itself and followed by the CRC-32 of its ids."""
     lanes, steps = -(-len(ids) // BLOCK), min(BLOCK, len(ids))
-    grid = np.zeros(lanes * steps, np.uint32)
+    grid = np.full(lanes * steps, table.ids[0] if len(ids) else 0, np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    coder, model, first = _Encoder(lanes, steps), _Model(lanes), np.r_[0, 0, CLASSES]
+    coder, model = _Encoder(lanes, steps), _Model(lanes)
     for now in grid:
         up = model.predict()
-        symbol = model.symbols(now)
+        symbol = np.where(now == model.two, 0, np.where(now == model.one, 1, table.band.take(now) + 2))
         begin, end = model.span(up, symbol)
         coder.narrow(begin, end - begin, SCALE)
-        bits = BITS[symbol]
-        coder.narrow(np.where(bits > 0, now - first[symbol], 0), 1, bits)
+        named = symbol > 1
+        coder.narrow(table.begin.take(now) * named, np.where(named, table.size.take(now), 1), SHARES * named)
         model.learn(symbol, now)
     raw = ids.astype("<u4").tobytes()
     return [x + zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]).to_bytes(4, "little") for i, x in enumerate(coder.finish())]
 
 
-def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], total: int, table: Table) -> np.ndarray:
     lanes, steps = len(blocks), min(BLOCK, total)
     grid = np.zeros((steps, lanes), np.uint32)
-    coder, model, first = _Decoder([x[:-4] for x in blocks]), _Model(lanes), np.r_[0, 0, CLASSES]
+    coder, model, at = _Decoder([x[:-4] for x in blocks]), _Model(lanes), table.at.ravel()
     for t in range(steps):
         up = model.predict()
         target, symbol = coder.target(SCALE).astype(np.int32), np.zeros(lanes, np.int8)
@@ -201,10 +243,11 @@ def decode_blocks(blocks: list[bytes], total: int) -> np.ndarray:
         symbol = symbol.astype(np.int64)
         begin, end = model.span(up, symbol)
         coder.narrow(begin, end - begin, SCALE)
-        bits = BITS[symbol]
-        rest = coder.target(bits)
-        coder.narrow(rest, 1, bits)
-        grid[t] = np.where(symbol == 0, model.two, np.where(symbol == 1, model.one, first[symbol] + rest))
+        named = symbol > 1
+        bits = SHARES * named
+        found = at.take((np.maximum(symbol - 2, 0) << SHARES) + coder.target(bits))
+        coder.narrow(table.begin.take(found) * named, np.where(named, table.size.take(found), 1), bits)
+        grid[t] = np.where(named, found, np.where(symbol == 1, model.one, model.two))
         model.learn(symbol, grid[t])
     ids = grid.T.ravel()[:total].astype("<u4")
     for i, x in enumerate(blocks):
@@ -219,9 +262,10 @@ def _write(vocabulary: str, end: int):
 
         def row() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            columns = [[part], [segment], [MAGIC], [docs], [[len(x) for x in held]], [encode_blocks(ids)]]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "magic", "docs", "lengths", "blocks"])
+            table = Table.of(ids)
+            columns = [[part], [segment], [MAGIC], [docs], [[len(x) for x in held]], [table.packed()], [encode_blocks(ids, table)]]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "segment", "magic", "docs", "lengths", "table", "blocks"])
 
         for batch in batches:
             for doc, ids in zip(batch.column("doc_id").to_pylist(), _tokens.encode(vocabulary, batch.column("text"), False, end), strict=True):
@@ -239,10 +283,10 @@ def _write(vocabulary: str, end: int):
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            part, segment, magic, docs, lengths, blocks = (batch.column(c)[i].as_py() for c in ("part", "segment", "magic", "docs", "lengths", "blocks"))
+            part, segment, magic, docs, lengths, table, blocks = (batch.column(c)[i].as_py() for c in ("part", "segment", "magic", "docs", "lengths", "table", "blocks"))
             if magic != MAGIC:
                 raise ValueError("not a file of token ids")
-            raw, at = decode_blocks(blocks, sum(lengths)).tobytes(), np.r_[0, np.cumsum(lengths)]
+            raw, at = decode_blocks(blocks, sum(lengths), Table.unpacked(table)).tobytes(), np.r_[0, np.cumsum(lengths)]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             n = len(docs)
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32"])
@@ -250,7 +294,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_tokens(df: DataFrame, vocabulary: str, path: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     docs = documents(df, id_col=id_col, text_col=text_col)
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(vocabulary, end), "part int, segment int, magic binary, docs array<long>, lengths array<long>, blocks array<binary>").write.parquet(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(vocabulary, end), "part int, segment int, magic binary, docs array<long>, lengths array<long>, table binary, blocks array<binary>").write.parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:

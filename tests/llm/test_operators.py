@@ -349,16 +349,46 @@ def test_lm_is_a_probability(spark):
     assert score(b"the ") > score(b"xyz ")
 
 
+def coded(ids):
+    table = token_store.Table.of(ids)
+    return table.packed(), token_store.encode_blocks(ids, table)
+
+
 def test_token_blocks():
     rng = np.random.default_rng(0)
     for n in (1, 5, token_store.BLOCK, token_store.BLOCK + 1, 9000):
-        for ids in (rng.integers(0, 65536, n), rng.integers(0, 3, n), np.zeros(n, int), np.minimum(rng.zipf(1.3, n), 49407)):
-            blocks = token_store.encode_blocks(ids.astype(np.uint32))
-            assert (token_store.decode_blocks(blocks, n) == ids).all()
-    assert sum(map(len, token_store.encode_blocks(np.tile(np.arange(50), 400).astype(np.uint32)))) < 20_000 / 4
+        for ids in (rng.integers(0, 65536, n), rng.integers(0, 3, n), np.zeros(n, int), np.minimum(rng.zipf(1.3, n), 49407), np.full(n, 65535)):
+            packed, blocks = coded(ids.astype(np.uint32))
+            assert (token_store.decode_blocks(blocks, n, token_store.Table.unpacked(packed)) == ids).all()
+    ids = np.minimum(rng.zipf(1.3, n), 49407).astype(np.uint32)
+    packed, blocks = coded(ids)
+    table = token_store.Table.unpacked(packed)
+    for i, block in enumerate(blocks):  # every block starts anew, so it can be decoded by itself
+        alone = ids[i * token_store.BLOCK : (i + 1) * token_store.BLOCK]
+        steps = min(token_store.BLOCK, n)
+        assert (token_store.decode_blocks([block], len(alone), table) == alone).all() and len(alone) <= steps
+    assert sum(map(len, coded(np.tile(np.arange(50), 400).astype(np.uint32))[1])) < 20_000 / 4
     damaged = [blocks[0][:9] + bytes([blocks[0][9] ^ 1]) + blocks[0][10:], *blocks[1:]]
     with pytest.raises(ValueError):
-        token_store.decode_blocks(damaged, n)
+        token_store.decode_blocks(damaged, n, table)
+    for broken in (packed[:-1], packed[:9] + bytes([packed[9] ^ 1]) + packed[10:], b"\0\0\0\1" + packed[4:]):
+        with pytest.raises(ValueError):
+            token_store.Table.unpacked(broken)
+    with pytest.raises(ValueError):
+        token_store.Table.of(np.array([1 << 16]))
+
+
+def test_token_predictions_beat_order_0():
+    """Files, their tables included, are smaller than a code that knows how often each id is met; blocks of one id cost next to nothing."""
+    import pyarrow.parquet as pq
+
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")["text"]
+    ids = np.concatenate(list(encode(WORD_BPE, column, False, 2)))
+    share = np.bincount(ids)[ids] / len(ids)
+    packed, blocks = coded(ids)
+    assert 8 * (len(packed) + sum(map(len, blocks))) < 0.96 * -np.log2(share).sum()
+    assert (token_store.decode_blocks(blocks, len(ids), token_store.Table.unpacked(packed)) == ids).all()
+    assert sum(map(len, coded(np.full(20_000, 7, np.uint32))[1])) < 20_000 / 40
 
 
 def test_token_files(docs, corpus, odd):
