@@ -177,8 +177,12 @@ class Table:
         self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
         order = np.lexsort((self.ids, -self.counts))
         edge = np.minimum(np.r_[BANDS, max(len(ids), 1)], len(ids))
-        self.band, self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.band, self.begin, self.size = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.at = np.zeros((len(BANDS), 1 << SHARES), np.uint16)  # the id at each place of a band's scale
+        if len(ids) <= BANDS[-1]:
+            # Bands without ids are an id's that isn't there, so that damaged blocks are decoded to their end, where the CRC tells.
+            absent = np.setdiff1d(np.arange(len(ids) + 1), self.ids)[0]
+            self.at[:], self.size[absent] = absent, 1 << SHARES
         for k, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
             if high > low:
                 mine = order[low:high]
