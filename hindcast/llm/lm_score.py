@@ -8,10 +8,12 @@ context, weighted by how well either coded the training bytes (the weights of co
 the counts). So all depths are mixed, and the score is a proper probability of the whole text, end included.
 
 Scale: texts are stored in batches of some 32 MB. Each batch asks once for each of its distinct symbols (context and byte)
-and words, with their training counts, as packed rows (batch, shard); no count is left out. A shard holds all symbols that
-share their last two context bytes, whose subtree is built there; of it only sums per last byte and bit prefix, 2**16 rows at
-most at any size, reach the driver, which mixes depths 0 and 1 and hands them back. Shards then answer each batch, and
-batches meet their answers once, so rows are shuffled per distinct symbol of a batch, not per position.
+and words, with their training counts, as packed rows; no count is left out. Questions meet by a hash of the whole symbol, so
+a context that is everywhere is spread over all cells; there every symbol's counts are summed over the batches, and go on,
+once each, to the shard of all symbols that share their last two context bytes, whose subtree is built there. A shard so grows
+with the distinct symbols behind its pairs, not with the batches. Of it only sums per last byte and bit prefix, 2**16 rows at most
+at any size, reach the driver, which mixes depths 0 and 1 and hands them back. Shards give each symbol's value to its cell, cells
+answer the batches, and batches meet their answers once: rows are shuffled per distinct symbol of a batch, not per position.
 
 Defined results: a null or empty text is the end symbol alone. A row without doc_id is scored, its id taken as an empty text
 when held out rows are chosen. Rows that repeat are returned as often. Without any training row every count is 0. Words are
@@ -42,70 +44,6 @@ SLICE = 2 << 20
 TOP = 2
 
 
-# Segments, _segments, _counts and Tree are the same estimate over words in one process, which tests compare with.
-
-
-class Segments(Words):
-    """Segments of lower-cased texts; word: hash of the word in each, 0 where a segment is white space alone."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        # The end symbol is written behind each text.
-        n = len(at) - 1
-        self.data = np.insert(LOWER[data], at[1:], END) if n else data
-        bounds = at + np.arange(n + 1)
-        last = SPACE[self.data] | (self.data == END)
-        self.end = np.flatnonzero(last) + 1
-        self.start = np.r_[0, self.end[:-1]].astype(np.int64)
-        self.first = np.searchsorted(self.start, bounds)
-        self.size = self.end - self.start
-
-    def words(self) -> np.ndarray:
-        whole, self.end = self.end, self.end - 1
-        found = np.where(self.size > 1, self.hashes(1), np.uint64(0))
-        self.end = whole
-        return found
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct segments of each batch: bytes, hash, the word's hash, and how often they occur in training and in all texts."""
-    for batch in batches:
-        train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        data, at = texts(batch.column("text"))
-        for low, high in slices(at, 32 << 20):
-            found = Segments(data[at[low] : at[high]], at[low : high + 1] - at[low])
-            h, first, back, n = np.unique(found.hashes(), return_index=True, return_inverse=True, return_counts=True)
-            taught = np.bincount(back, weights=train[low:high][found.text_of()], minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([long_column(h), long_column(found.words()[first]), found.strings(first), pa.array(taught), pa.array(n)], ["hash", "word", "bytes", "train", "n"])
-
-
-def _contexts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Depth, the positions that have so many bytes before them, and the packed context of each; shortest first."""
-    at = np.arange(len(data)) - np.repeat(start, end - start)
-    packed = np.zeros(len(data), np.uint64)
-    for depth in range(DEPTH + 1):
-        where = np.flatnonzero(at >= depth)
-        yield depth, where, packed[where]
-        if depth < DEPTH:
-            more = np.flatnonzero(at > depth)
-            packed[more] |= data[more - depth - 1].astype(np.uint64) << np.uint64(8 * depth)
-
-
-def _column(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, at = texts(column)
-    return data, at[:-1], at[1:]
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training counts of (depth, context, byte), packed as context << 8 | byte."""
-    for batch in batches:
-        data, start, end = _column(batch.column("bytes"))
-        times = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), end - start)
-        for depth, where, context in _contexts(data, start, end):
-            key, back = np.unique(context << np.uint64(8) | data[where].astype(np.uint64), return_inverse=True)
-            n = np.bincount(back, weights=times[where], minlength=len(key)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), depth, np.int32)), long_column(key), pa.array(n)], ["depth", "symbol", "n"])
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 1/2, by Stirling's series after shifting x up."""
     x, shift = x.astype(np.float64), np.zeros(len(x))
@@ -120,74 +58,18 @@ def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - 2 * 0.5723649429247001 - _log_gamma(zeros + ones + 1.0)
 
 
-class Tree:
-    """Per depth: sorted keys of (context, bit prefix), the probability of a one bit there mixed over shorter contexts."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each depth, symbols (context << 8 | byte) and their counts."""
-        nodes = [self._nodes(symbols, n) for symbols, n in levels]
-        below = None
-        # From the longest contexts up: the weighted code length of a node is that of its own estimate or of its children.
-        weights: list[np.ndarray] = [np.zeros(0)] * len(nodes)
-        for depth in range(len(nodes) - 1, -1, -1):
-            key, zeros, ones = nodes[depth]
-            own = _estimate(zeros, ones)
-            if below is None:
-                weights[depth], total = np.ones(len(key)), own
-            else:
-                child_key, child_total, child_zeros, child_ones = below
-                mask = (np.uint64(1) << np.uint64(8 * depth)) - np.uint64(1)
-                parent = np.searchsorted(key, (child_key >> np.uint64(8) & mask) << np.uint64(8) | (child_key & np.uint64(0xFF)))
-                rest, z, o = np.zeros(len(key)), zeros.astype(np.float64), ones.astype(np.float64)
-                np.add.at(rest, parent, child_total)
-                np.subtract.at(z, parent, child_zeros)
-                np.subtract.at(o, parent, child_ones)
-                # Training bytes whose longer context is not in the tree form one more child.
-                rest += np.where((z > 0) | (o > 0), _estimate(np.maximum(z, 0), np.maximum(o, 0)), 0.0)
-                total = np.logaddexp(own, rest) - np.log(2)
-                weights[depth] = np.exp(np.minimum(own - np.log(2) - total, 0.0))
-            below = key, total, zeros, ones
-        self.levels = []
-        for depth, (key, zeros, ones) in enumerate(nodes):
-            # Prediction of a one bit by the node alone; the mixture with longer contexts follows the path when scoring.
-            self.levels.append((key, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weights[depth].astype(np.float32)))
-
-    @staticmethod
-    def _nodes(symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Binary counts of (context, bit prefix): key = context << 8 | prefix, a prefix being led by a one bit."""
-        keys, zeros, ones = [], [], []
-        byte, context = symbols & np.uint64(0xFF), symbols >> np.uint64(8) << np.uint64(8)
-        for bit in range(8):
-            prefix = (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
-            key, back = np.unique(context | prefix, return_inverse=True)
-            one = (byte >> np.uint64(7 - bit)) & np.uint64(1) == 1
-            keys.append(key), zeros.append(np.bincount(back, weights=np.where(one, 0, n), minlength=len(key))), ones.append(np.bincount(back, weights=np.where(one, n, 0), minlength=len(key)))
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
-
-    def score(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """log10 probability of each segment."""
-        total = np.zeros(len(data))
-        paths = [(where, context << np.uint64(8)) for _, where, context in _contexts(data, start, end)]
-        for bit in range(8):
-            prefix = ((1 << bit) | (data.astype(np.uint64) >> np.uint64(8 - bit))).astype(np.uint64)
-            one = (data >> np.uint8(7 - bit)) & 1 == 1
-            p, deeper = np.full(len(data), 0.5, np.float32), np.zeros(len(data), bool)
-            # Longest contexts first: each node mixes its own estimate with what the longer ones predict, if any is known.
-            for (where, context), (key, own, weight) in zip(reversed(paths), reversed(self.levels), strict=True):
-                if not len(key) or not len(where):
-                    continue
-                wanted = context | prefix[where]
-                at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-                known = key[at] == wanted
-                at, where = at[known], where[known]
-                w = np.where(deeper[where], weight[at], np.float32(1))
-                p[where] = w * own[at] + (1 - w) * p[where]
-                deeper[where] = True
-            total += np.log10(np.where(one, p, 1 - p).astype(np.float64))
-        edges = np.r_[0.0, np.cumsum(total)]
-        return edges[end] - edges[start]
+def _nodes(symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Binary counts of (context, bit prefix): key = context << 8 | prefix, a prefix being led by a one bit."""
+    keys, zeros, ones = [], [], []
+    byte, context = symbols & np.uint64(0xFF), symbols >> np.uint64(8) << np.uint64(8)
+    for bit in range(8):
+        prefix = (np.uint64(1) << np.uint64(bit)) | (byte >> np.uint64(8 - bit))
+        key, back = np.unique(context | prefix, return_inverse=True)
+        one = (byte >> np.uint64(7 - bit)) & np.uint64(1) == 1
+        keys.append(key), zeros.append(np.bincount(back, weights=np.where(one, 0, n), minlength=len(key))), ones.append(np.bincount(back, weights=np.where(one, n, 0), minlength=len(key)))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
 def _symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,19 +123,35 @@ def _in_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, long_column((part << 32) + at[:-1] // BATCH)], [*batch.schema.names, "batch"])
 
 
-def _asked(shards: int):
-    """Of each batch, its distinct symbols (kind 0) and words (kind 1) by shard, with their counts in training texts."""
+def _split(key: np.ndarray, by: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted keys and their values by the group that each belongs to, packed."""
+    order = np.argsort(by, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(by[order]) != 0, True]) if len(key) else np.zeros(1, int)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        mine = order[low:high]
+        yield int(by[mine[0]]), _pack(np.diff(key[mine], prepend=np.uint64(0))), _pack(values[mine])
+
+
+def _cell(key: np.ndarray, cells: int) -> np.ndarray:
+    """Where all batches' questions about a symbol or word meet: by all its bytes, so no context is hot."""
+    return (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(cells)).astype(np.int64)
+
+
+def _pair(key: np.ndarray, shards: int) -> np.ndarray:
+    """Where the symbols meet that share their last TOP context bytes."""
+    return (mix(key >> np.uint64(8) & np.uint64((1 << 8 * TOP) - 1)) % np.uint64(shards)).astype(np.int64)
+
+
+def _asked(cells: int):
+    """Of each batch, its distinct symbols (kind 0) and words (kind 1) by cell, with their counts in training texts."""
 
     def rows(number: int, parts: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         out = []
         for kind in (0, 1):
             key, n = _sum(*zip(*parts[kind], strict=True))
-            shard = mix(key >> np.uint64(8) & np.uint64(0xFFFF) if kind == 0 else key) % np.uint64(shards)
-            for x in np.unique(shard).tolist():
-                mine = shard == x
-                out.append((number, kind, x, _pack(np.diff(key[mine], prepend=np.uint64(0))), _pack(n[mine].astype(np.uint64))))
-        names = ["batch", "kind", "shard", "keys", "n"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+            out += [(number, kind, *x) for x in _split(key, _cell(key, cells), n.astype(np.uint64))]
+        names = ["batch", "kind", "cell", "keys", "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, ([], [])
@@ -304,7 +202,7 @@ def _subtree(symbols: np.ndarray, n: np.ndarray) -> tuple[list[Level], tuple[np.
     levels, rest = [], None
     for depth in range(DEPTH, TOP - 1, -1):
         short, back = np.unique(symbols & np.uint64((1 << 8 * (depth + 1)) - 1), return_inverse=True)
-        key, zeros, ones = Tree._nodes(short, np.bincount(back, weights=n, minlength=len(short)))
+        key, zeros, ones = _nodes(short, np.bincount(back, weights=n, minlength=len(short)))
         total, p, weight = _weighted(zeros, ones, rest)
         levels.insert(0, (key, p, weight))
         up = _parents(depth, key, zeros, ones, total)
@@ -342,33 +240,59 @@ def _log10(levels: list[Level], symbols: np.ndarray) -> np.ndarray:
     return total
 
 
-def _shard(table: pa.Table) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
-    """The kind, each batch's keys, all distinct keys and their training counts."""
-    keys = [_keys(x) for x in table["keys"]]
-    return table["kind"][0].as_py(), keys, *_sum(keys, [_unpack(x) for x in table["n"]])
+def _met(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct keys of some rows, and the sums of their counts."""
+    return _sum([_keys(x) for x in table["keys"]], [_unpack(x) for x in table["n"]])
+
+
+def _merged(shards: int):
+    """A cell's symbols, each once, with their training counts over all batches, by shard; of words only the sums (shard -1)."""
+
+    def task(table: pa.Table) -> pa.Table:
+        key, n = _met(table)
+        if table["kind"][0].as_py():
+            rows = [(-1, b"", b"", int(n.sum()), int((n > 0).sum()))]
+        else:
+            rows = [(*x, 0, 0) for x in _split(key, _pair(key, shards), n.astype(np.uint64))]
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "keys", "n", "tokens", "distinct"])
+
+    return task
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """What the driver needs of a shard: sums by last context byte and bit prefix, and, as key -1, tokens and words."""
-    kind, _, key, n = _shard(table)
-    if kind:
-        key, sums = np.array([-1]), [np.array([x]) for x in (n.sum(), float((n > 0).sum()), 0.0)]
-    else:
-        _, (key, sums) = _subtree(key, n)
+    """What the driver needs of a shard: sums by last context byte and bit prefix."""
+    _, (key, sums) = _subtree(*_met(table))
     return pa.table([long_column(key), *map(pa.array, sums)], ["key", "zeros", "ones", "rest"])
 
 
-def _answers(top: list[Level]):
+def _values(top: list[Level], cells: int):
+    """The log10 probability of each symbol of a shard, by the cell that asks for it."""
+
     def task(table: pa.Table) -> pa.Table:
-        kind, asked, key, n = _shard(table)
-        # Answers are exact to 2**-25, so their last bytes are zeros.
-        value = n if kind else np.round(_log10([*top, *_subtree(key, n)[0]], key) * 2**24) / 2**24
-        found = [_pack(value[np.searchsorted(key, x)]) for x in asked]
-        return pa.table([table["batch"], table["kind"], table["keys"], pa.array(found, pa.binary())], ["batch", "kind", "keys", "found"])
+        key, n = _met(table)
+        # Values are exact to 2**-25, so their last bytes are zeros.
+        value = np.round(_log10([*top, *_subtree(key, n)[0]], key) * 2**24) / 2**24
+        rows = zip(*_split(key, _cell(key, cells), value), strict=True)
+        return pa.table([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["cell", "keys", "found"])
 
     return task
 
 
+def _answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    """Each batch's questions of one kind and cell with what was found: log10 probabilities of symbols, counts of words."""
+    if not asked.num_rows:
+        return asked.select(["batch", "kind", "keys"]).append_column("found", pa.array([], pa.binary()))
+    if asked["kind"][0].as_py():
+        key, value = _met(asked)
+    else:
+        key, value = np.concatenate([_keys(x) for x in values["keys"]]), np.concatenate([_unpack(x, np.float64) for x in values["found"]])
+        order = np.argsort(key)
+        key, value = key[order], value[order]
+    found = [_pack(value[np.searchsorted(key, _keys(x))]) for x in asked["keys"]]
+    return pa.table([asked["batch"], asked["kind"], asked["keys"], pa.array(found, pa.binary())], ["batch", "kind", "keys", "found"])
+
+
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     """Of each text: its bytes and words, how many words are known, the sum of log10 (count + 1), and its log10 probability."""
     values = []
@@ -407,13 +331,17 @@ def lm_score(df: DataFrame, is_training: Callable[[Column], Column], id_col: str
     docs = stored(docs.mapInArrow(_in_batches, "doc_id long, text string, train boolean, batch long"), "texts", "zstd")
     size, ends = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.when(F.col("train"), 1))).first()
     shards = 1 + size // SHARD
-    asked = stored(docs.select("batch", "text", "train").mapInArrow(_asked(shards), "batch long, kind int, shard int, keys binary, n binary"), "asked", "zstd")
-    by_shard = asked.repartition(2 * shards, "kind", "shard").groupBy("kind", "shard")
+    asked = stored(docs.select("batch", "text", "train").mapInArrow(_asked(shards), "batch long, kind int, cell long, keys binary, n binary"), "asked", "zstd")
+    merged = asked.select("kind", "cell", "keys", "n").repartition(2 * shards, "kind", "cell").groupBy("kind", "cell").applyInArrow(_merged(shards), "shard long, keys binary, n binary, tokens long, distinct long")
+    merged = stored(merged, "symbols", "zstd")
+    words = merged.where("shard < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    tokens, distinct = words[0] + ends, words[1] + (ends > 0)
+    by_shard = merged.where("shard >= 0").select("shard", "keys", "n").repartition(shards, "shard").groupBy("shard")
     sums = by_shard.applyInArrow(_sums, "key long, zeros double, ones double, rest double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "rest"))).orderBy("key").toArrow()
     key, *of = (sums[c].to_numpy() for c in sums.column_names)
-    tokens, distinct = int(of[0][key < 0].sum()) + ends, int(of[1][key < 0].sum()) + (ends > 0)
-    top = _top(key[key >= 0].view(np.uint64), *(x[key >= 0] for x in of))
-    answers = by_shard.applyInArrow(_answers(top), "batch long, kind int, keys binary, found binary")
+    top = _top(key.view(np.uint64), *of)
+    values = by_shard.applyInArrow(_values(top, shards), "cell long, keys binary, found binary").withColumn("kind", F.lit(0))
+    answers = asked.groupBy("kind", "cell").cogroup(values.groupBy("kind", "cell")).applyInArrow(_answers, "batch long, kind int, keys binary, found binary")
     met = docs.select("batch", "doc_id", "text").groupBy("batch").cogroup(answers.groupBy("batch"))
     rows = met.applyInArrow(_scored, "doc_id long, bytes long, n_words long, known long, base double, score double")
     n_tokens = F.col("n_words") + 1

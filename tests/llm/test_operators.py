@@ -17,6 +17,8 @@ from hindcast.llm._components import components
 from hindcast.llm._tokens import encode
 from hindcast.llm._words import Words, runs, texts
 
+from context_tree import Tree
+
 FOLDER = "/root/testdata/sf0.001"
 BYTE_RANKS, BYTE_BPE, WORD_BPE = (Q.vocabulary(x) for x in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json"))
 
@@ -330,23 +332,38 @@ def test_lm_base_score(docs, corpus, odd):
     assert len(rows) == len(ODD) and all(r["score"] < 0 for r in rows)
 
 
-def test_lm_is_a_probability(spark):
+def lm_levels(texts_):
+    """The operator's own levels over some training texts, in one shard."""
+    column = pa.array(texts_)
+    symbols, _ = lm_score._symbols(*texts(column))
+    key, n = np.unique(symbols, return_counts=True)
+    deep, (top, sums) = lm_score._subtree(key, n)
+    return [*lm_score._top(top, *sums), *deep]
+
+
+def test_lm_is_a_probability():
     """After any beginning, the probabilities of all next bytes sum to one; seen texts are likelier than unseen ones."""
-    df = spark.createDataFrame([(i, "the cat sat on the mat and the dog") for i in range(50)], "doc_id long, text string")
-    rows = df.select(F.lit(True).alias("train"), "text").mapInArrow(lm_score._segments, "hash long, word long, bytes binary, train long, n long").mapInArrow(lm_score._counts, "depth int, symbol long, n long").groupBy("depth", "symbol").agg(F.sum("n")).collect()
-    levels = []
-    for d in range(lm_score.DEPTH + 1):
-        part = sorted((s, n) for depth, s, n in rows if depth == d)
-        levels.append((np.array([s for s, _ in part], np.int64).view(np.uint64), np.array([n for _, n in part], np.int64)))
-    tree = lm_score.Tree(levels)
-    for begin in (b"", b"t", b"th", b"zq", b"the"):
-        every = [begin + bytes([b]) for b in range(256)]
-        data, ends = np.frombuffer(b"".join(every), np.uint8), np.cumsum([len(x) for x in every])
-        whole = 10 ** tree.score(data, ends - len(begin) - 1, ends)
-        head = 10 ** tree.score(np.frombuffer(begin, np.uint8), np.array([0]), np.array([len(begin)]))[0] if begin else 1.0
-        assert whole.sum() == pytest.approx(head, rel=1e-3)
-    score = lambda x: tree.score(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]
-    assert score(b"the ") > score(b"xyz ")
+    levels = lm_levels(["the cat sat on the mat and the dog"] * 50 + ["é", ""])
+    for before in (b"\xff" * 5, b"\xff\xff\xff\xfft", b"at on", b"zq zq", b"the c", bytes(5)):
+        context = np.uint64(int.from_bytes(before, "big") << 8)
+        assert (10 ** lm_score._log10(levels, context | np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
+    score = lambda x: lm_score._log10(levels, np.array([int.from_bytes(x, "big")], np.uint64))[0]
+    assert score(b"on the") > -0.1 and score(b"on thz") < -1
+
+
+def test_lm_questions_about_a_hot_context_are_spread():
+    """However many batches ask about the symbols behind one pair, a cell gets its share of them, and a shard gets each once."""
+    key = np.sort(lm_score.mix(np.arange(20_000, dtype=np.uint64)) & np.uint64(0xFFFFFF0000FF) | np.uint64(0x202E00))
+    assert len(np.unique(lm_score._pair(key, 64))) == 1
+    sizes = np.bincount(lm_score._cell(key, 64), minlength=64)
+    assert sizes.max() < 1.3 * len(key) / 64
+    rows = [(b, 0, *x) for b in range(30) for x in lm_score._split(key, lm_score._cell(key, 64), np.ones(len(key), np.uint64))]
+    table = pa.table(dict(zip(("batch", "kind", "cell", "keys", "n"), map(list, zip(*rows)))))
+    merged = [lm_score._merged(64)(table.filter(pa.array(table["cell"].to_numpy() == c))) for c in range(64)]
+    got = pa.concat_tables(merged)
+    assert len(set(got["shard"].to_pylist())) == 1 and len(got) == 64
+    keys, n = lm_score._met(got)
+    assert (keys == np.unique(key)).all() and (n == 30 * np.unique(key, return_counts=True)[1]).all()
 
 
 def coded(ids):
@@ -462,7 +479,7 @@ def one_process_scores(rows, taught):
     symbols, bounds = lm_score._symbols(data, at)
     train = np.repeat([taught(i) for i, _ in rows], np.diff(bounds))
     levels = [np.unique(symbols[train] & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(lm_score.DEPTH + 1)]
-    tree = lm_score.Tree(levels)
+    tree = Tree(levels)
     # A symbol's six bytes as a text, less its first five.
     distinct, back = np.unique(symbols, return_inverse=True)
     path = (distinct[:, None] >> (np.uint64(8) * np.arange(lm_score.DEPTH, -1, -1, dtype=np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
