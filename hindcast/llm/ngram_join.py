@@ -314,11 +314,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         return left.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
     def unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one."""
+        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one: those of one
+        number of rows, XOR of hashes (in which an id that occurs twice cancels) and sum of others (in which it doesn't)."""
         marked = buckets.select("key", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        spread = marked.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key)}).where("low < high")
+        spread = marked.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key), "weight": F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).over(per_key)}).where("low < high")
         first = spread.withColumn("pivot", F.min(F.when(F.col("comp") == F.col("low"), F.col("doc_id"))).over(per_key))
-        once = first.groupBy("n", "alike", "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"))
+        once = first.groupBy("n", "alike", "weight", "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"))
         return once.select("key", "doc_id", "comp", "pivot", "pivot_comp", "n")
 
     comps = components(links)
