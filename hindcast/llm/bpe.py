@@ -11,9 +11,9 @@ together are a token. A pair belongs to one of many groups of few pairs; each gr
 a place, which holds a << 32 | b << 16 | rank. A lookup is two reads and a XOR with the pair, which leaves the rank, or a
 number beyond all ranks. (Spark looks a map literal up by scanning it.)
 
-Scale: no shuffle; memory is a bounded slice of a batch, and rows are as small as a piece. The fold takes time in the square of
-a piece's length; pieces of over LONG bytes, which no text with white space or changes between letters and signs has, would
-take minutes to hours, so a heap merges them beforehand: the same merges in the same order.
+Scale: no shuffle; memory is a bounded slice of a batch, and rows are as small as a piece. A step of
+the fold copies a piece's ids, so long pieces take time in the square of their length (4,000 bytes a third of a second);
+pieces of over LONG bytes would take minutes to hours, so a heap merges them beforehand: the same merges in the same order.
 
 Defined results: a null or empty text has no ids. Rows are returned as often as they occur, a null doc_id too. An empty table
 gives an empty result; other columns are ignored. Ids must be below 65536.
@@ -35,7 +35,7 @@ from hindcast.llm._tokens import Pieces, distinct, spread
 from hindcast.llm._words import slices, texts
 
 SLICE = 8 << 20
-LONG = 4096
+LONG = 16_384
 NONE = 1 << 16
 _made: dict = {}
 
@@ -45,6 +45,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def all_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
+    """The rank of each pair of tokens whose bytes together are a token."""
+    return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+
+
 class RankMap:
     """pairs: rank of each pair; shift: of each group of pairs; entries: a << 32 | b << 16 | rank at the pair's place, or EMPTY."""
 
@@ -54,7 +59,7 @@ class RankMap:
     def __init__(self, ranks: dict[bytes, int]):
         if max(ranks.values()) >= NONE:
             raise ValueError("ids must be below 65536")
-        self.pairs = {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs = all_pairs(ranks)
         size = 3 * len(self.pairs) // 2 + 101
         while not self._fill(size):
             size += 100
@@ -104,18 +109,21 @@ def merge_long(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _vocabulary(path: str) -> tuple[dict[bytes, int], RankMap, np.ndarray]:
+def _known(path: str, what: str, make: Callable[[dict[bytes, int]], object]):
+    """What is made of a rank file, made once a process and only where it is needed."""
     if path not in _made:
-        ranks = read_ranks(path)
-        _made[path] = ranks, RankMap(ranks), np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-    return _made[path]
+        _made[path] = read_ranks(path)
+    if (path, what) not in _made:
+        _made[path, what] = make(_made[path])
+    return _made[path, what]
 
 
 def _cut(path: str):
     """Of each slice a row for each distinct piece, then a row of its documents, where each begins in the order of pieces, and that order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, rank_map, single = _vocabulary(path)
+        ranks = _known(path, "ranks", dict)
+        single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         for batch in batches:
             data, at = texts(batch.column("text"))
             for low, high in slices(at, SLICE):
@@ -129,9 +137,9 @@ def _cut(path: str):
                 ids[ends[:-1][whole >= 0]] = whole[whole >= 0]
                 long = np.flatnonzero(n > LONG)
                 if len(long):  # few, if any: merged here, and marked as done by negative numbers
-                    parts = np.split(ids, ends[1:-1])
+                    parts, pairs = np.split(ids, ends[1:-1]), _known(path, "pairs", all_pairs)
                     for i in long.tolist():
-                        parts[i] = -1 - np.array(merge_long(parts[i].tolist(), rank_map.pairs), np.int32)
+                        parts[i] = -1 - np.array(merge_long(parts[i].tolist(), pairs), np.int32)
                     ids, ends = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
                 for begin in range(0, len(n), 10_000):
                     end = min(begin + 10_000, len(n))
@@ -152,36 +160,51 @@ def literal(numbers: np.ndarray, kind: str) -> Column:
 
 
 def fold_merges(word: Column, rank_map: RankMap) -> Column:
-    """The ids of a word from those of its bytes: the adjacent pair of lowest rank is merged, as long as there is one."""
+    """The ids of a word from those of its bytes: the adjacent pair of lowest rank is merged, as long as there is one.
+
+    The fold carries the ids and the ranks of adjacent pairs. A merge takes two ids and their pair's rank out and looks up the two
+    pairs that it makes new; all else is copied by whole slices, so a step costs two lookups, however long the word is.
+    """
     shift, entries = literal(rank_map.shift, "int"), literal(rank_map.entries, "bigint")
     many, size = F.lit(len(rank_map.shift)).cast("bigint"), F.lit(len(rank_map.entries)).cast("bigint")
+    none = F.array().cast("array<bigint>")
 
     def let(value: Column, body: Callable[[Column], Column]) -> Column:
         """The body with the value computed once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(ids: Column, _: Column) -> Column:
-        def rank_of(a: Column, i: Column) -> Column:
-            return let(F.shiftleft(a.cast("long"), 16).bitwiseOR(F.get(ids, i + 1).cast("long")), rank_of_pair)
+    def rank(a: Column, b: Column) -> Column:
+        """The rank of a pair, or a number of at least NONE."""
 
-        def rank_of_pair(pair: Column) -> Column:
+        def looked_up(pair: Column) -> Column:
             at = (pair * RankMap.PLACE + F.get(shift, (pair * RankMap.GROUP % many).cast("int"))) % size
             return F.get(entries, at.cast("int")).bitwiseXOR(F.shiftleft(pair, 16))
 
-        def merged(found: Column, at: Column) -> Column:
-            moved = F.transform(found, lambda rank, i: F.when(i < at, F.get(ids, i)).when(i > at, F.get(ids, i + 1)).otherwise(rank.cast("int")))
-            return F.when(F.get(found, at) < NONE, moved).otherwise(ids)
+        return let(F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long")), looked_up)
+
+    def merged(state: Column, lowest: Column, p: Column) -> Column:
+        """The pair of ids p and p + 1 (from 1) becomes the id that its rank is."""
+        ids, ranks, new = state["ids"], state["ranks"], lowest.cast("int")
+        left = F.when(p > 1, F.array(rank(F.get(ids, p - 2), new))).otherwise(none)
+        right = F.when(p + 1 < F.size(ids), F.array(rank(new, F.get(ids, p + 1)))).otherwise(none)
+        rest = F.size(ids)
+        return F.struct(
+            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(new), F.slice(ids, p + 2, rest)).alias("ids"),
+            F.concat(F.slice(ranks, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(ranks, p + 2, rest)).alias("ranks"),
+        )
 
-        ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), rank_of)
-        return F.when(F.size(ids) < 2, ids).otherwise(let(ranks, lambda found: let(F.array_position(found, F.array_min(found)).cast("int") - 1, lambda at: merged(found, at))))
+    def step(state: Column, _: Column) -> Column:
+        return let(F.array_min(state["ranks"]), lambda lowest: F.when(lowest < NONE, let(F.array_position(state["ranks"], lowest).cast("int"), lambda p: merged(state, lowest, p))).otherwise(state))
 
+    first = F.struct(word.alias("ids"), F.transform(F.slice(word, F.lit(1), F.size(word) - 1), lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), first, step, lambda state: state["ids"])
     done = F.get(word, F.lit(0)) < 0
-    return F.when(done, F.transform(word, lambda x: -1 - x)).when(F.size(word) < 2, word).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step))
+    return F.when(done, F.transform(word, lambda x: -1 - x)).when(F.size(word) < 2, word).otherwise(folded)
 
 
 def _assemble(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _vocabulary(path)[0]
+        ranks = _known(path, "ranks", dict)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
@@ -216,5 +239,5 @@ def encode_decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_co
     """One row per input row: doc_id, ids, decoded (the bytes that the ids stand for)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
     cut = docs.mapInArrow(_cut(rank_file), "docs array<long>, first binary, order binary, word array<int>")
-    folded = cut.select("docs", "first", "order", fold_merges(F.col("word"), _vocabulary(rank_file)[1]).alias("word"))
+    folded = cut.select("docs", "first", "order", fold_merges(F.col("word"), _known(rank_file, "map", RankMap)).alias("word"))
     return folded.mapInArrow(_assemble(rank_file), "doc_id long, ids array<int>, decoded binary")

@@ -273,3 +273,20 @@ def test_a_text_of_several_megabytes(spark):
     assert files[3]["start"] == files[1]["n_tokens"] and files[4]["ids_crc32"] == zlib.crc32(np.array([2], "<u4").tobytes())
     decoded = bpe.encode_decode(df.where("doc_id = 1"), Q.vocabulary("byte_bpe_multi_50k.tiktoken")).select("decoded").first()[0]
     assert bytes(decoded).decode() == text
+
+
+# ---------------------------------------------------------------- op3
+
+
+def test_long_pieces_are_folded_as_the_library_merges_them(spark):
+    """Pieces without white space of some thousand bytes, by the fold and, beyond its limit, by the heap."""
+    import public_tokenizers
+    import tiktoken
+
+    path = Q.vocabulary("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = np.random.default_rng(3)
+    letters = lambda n, k: "".join(chr(97 + x) for x in rng.integers(0, k, n))
+    rows = [(1, " ".join(letters(4000, 26) for _ in range(20))), (2, letters(bpe.LONG, 20)), (3, letters(bpe.LONG + 1, 20)), (4, "a" * 3000 + " " + "ab" * 2000), (5, letters(2000, 2) + "日本語" * 300)]
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in rows}
