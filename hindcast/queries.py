@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -530,6 +532,15 @@ def p06_links(spark, d):
     return spark.createDataFrame([(name, c, p) for name, t in db.items() for c, p in t.links.items()], "child string, column string, parent string")
 
 
+@query("p09_events_of_entities", "SELECT parent AS entity, child AS event, \"column\" AS link FROM (" + ORACLES["p06_all_links"] + ") WHERE child IN ('orders', 'lineitem')")
+def p09(spark, d):
+    """Which events point at which entity: what can be asked of each, in the whole database."""
+    db = database.discover(star(spark, d), STAR_HINTS)
+    links, times = [(name, c, p) for name, t in db.items() for c, p in t.links.items()], {name: t.time for name, t in db.items()}
+    rows = [(entity, event, link) for entity in database.entity_candidates(db) for event, link in relations.events_of(entity, links, times)]
+    return spark.createDataFrame(rows, "entity string, event string, link string")
+
+
 @query("p07_derived_time", "SELECT l_orderkey AS order_id, l_linenumber AS linenumber, l_quantity AS quantity, o_orderdate AS \"time\" FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey", ("time",))
 def p07_derived(spark, d):
     """Line items without a date of their own take that of the order they belong to."""
@@ -587,6 +598,25 @@ def s04(spark, d):
     return sources.load_declared(spark, {"supplier": {"pkey": "s_suppkey"}}, d)["supplier"].groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which driver and executors share; of the driver's machine where that is unset (tests)."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='hindcast-')}/hindcast-{uuid.uuid4().hex}"
+
+
+@query("s05_export", "SELECT c_custkey, c_nationkey, c_acctbal, CAST(count(o_orderkey) AS BIGINT) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
+def s05(spark, d):
+    """A database written with its allowed columns, and a question asked of what its manifest says is there."""
+    tables = {t: table(spark, d, t) for t in ("customer", "orders")}
+    stated = {"customer": {"pkey": "c_custkey", "fkeys": {"c_nationkey": "nation"}}, "orders": {"pkey": "o_orderkey", "time_col": "o_orderdate", "fkeys": {"o_custkey": "customer"}}}
+    folder = scratch(spark)
+    sources.write_database(tables, folder, stated, {"customer": ["c_acctbal"], "orders": ["o_totalprice"]})
+    found = sources.read_manifest(spark, folder)
+    again = sources.load_declared(spark, found, folder)
+    sums = again["orders"].groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"), F.sum("o_totalprice").alias("s"))
+    rows = again["customer"].join(sums, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rounded(rows.select("c_custkey", "c_nationkey", "c_acctbal", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("s", F.lit(0.0)).alias("total")), 2)
+
+
 #: A manifest as a file declares it, with links by column.
 DECLARED = {
     "customer": {"pkey": "c_custkey", "fkeys": {"c_nationkey": "nation"}}, "nation": {"pkey": "n_nationkey"}, "supplier": {"pkey": "s_suppkey", "path": "supplier.parquet"},
@@ -799,6 +829,16 @@ def m04(spark, d):
     return rounded(backtest.entity_baseline(train, test, "c_custkey").select("timestamp", "c_custkey", "target", "prediction"), 9)
 
 
+@query("s06_stored_predictions", f"SELECT timestamp, c_custkey, round(prediction, 9) AS prediction FROM ({ENTITY_SQL})", ("timestamp",))
+def s06(spark, d):
+    """Predictions of a run, written once under its name; asked for again, they are read and not made."""
+    train, test = train_test(spark, d)
+    slug, folder = sources.run_slug("customer", CUSTOMER.op, CUSTOMER.horizon_days, "who stops?", CUSTOMER), scratch(spark)
+    make = lambda: rounded(backtest.entity_baseline(train, test, "c_custkey").select("timestamp", "c_custkey", "prediction"), 9)
+    sources.stored_predictions(spark, folder, slug, make)
+    return sources.stored_predictions(spark, folder, slug, lambda: train.limit(0))
+
+
 @query(
     "m05_point_in_time_features",
     f"SELECT a.t AS timestamp, o_custkey AS key, CAST(count(*) AS BIGINT) AS n_events, round(sum(o_totalprice), 4) AS sum_value, round(avg(o_totalprice), 6) AS mean_value, min(o_totalprice) AS min_value, max(o_totalprice) AS max_value, CAST(count(*) FILTER (WHERE o_orderdate > a.t - INTERVAL 90 DAY) AS BIGINT) AS n_recent, round(coalesce(sum(o_totalprice) FILTER (WHERE o_orderdate > a.t - INTERVAL 90 DAY), 0), 4) AS sum_recent, CAST(date_diff('day', CAST(max(o_orderdate) AS DATE), CAST(a.t AS DATE)) AS INTEGER) AS days_since_last, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_categories FROM {anchors_sql(ANCHORS)} a JOIN orders ON o_orderdate <= a.t WHERE o_custkey IS NOT NULL GROUP BY 1, 2",

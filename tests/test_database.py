@@ -334,7 +334,7 @@ def test_boosting_alone():
     assert boosted_area([x], np.zeros(1000, int), fold) is None and boosted_area([x], y, np.zeros(1000, int)) is None
 
 
-@pytest.mark.parametrize("name", ["m08_live_run", "m08_live_everyone", "p01_sketched_kinds", "p02_sketched_top_values", "p06_all_inclusions", "p07_derived_time", "p11_describe", "s04_declared_database", "s07_manifest_above", "x03_repeat_single_anchor"])
+@pytest.mark.parametrize("name", ["m08_live_run", "m08_live_everyone", "p01_sketched_kinds", "p02_sketched_top_values", "p06_all_inclusions", "p07_derived_time", "p11_describe", "s04_declared_database", "s05_export", "s06_stored_predictions", "p09_events_of_entities", "s07_manifest_above", "x03_repeat_single_anchor"])
 def test_new_queries_match_sql(spark, name):
     import duckdb
 
