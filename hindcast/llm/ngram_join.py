@@ -39,6 +39,8 @@ from hindcast.llm._shared import discard, documents, stored
 from hindcast.llm._words import LOWER, Words, long_column, mix, runs, slices, texts
 
 BLOCK_ROWS = 256
+#: Bytes of text that are cut into words at once: workers keep what they have used.
+SLICE = 1 << 20
 FILTER_BITS = 1 << 20
 SALTS = 32
 
@@ -47,7 +49,7 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray]
     """Row number, doc_id, sorted members of each text."""
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
     data, at = texts(batch.column("text"))
-    for low, high in slices(at):
+    for low, high in slices(at, SLICE):
         words = Words(LOWER[data[at[low] : at[high]]], at[low : high + 1] - at[low])
         h = words.hashes()
         grams, first = runs(h, n), words.first.tolist()
