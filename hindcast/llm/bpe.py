@@ -35,7 +35,7 @@ from hindcast.llm._tokens import Pieces, distinct, spread
 from hindcast.llm._words import slices, texts
 
 SLICE = 8 << 20
-LONG = 16_384
+SHORT, LONG = 40, 16_384
 NONE = 1 << 16
 _made: dict = {}
 
@@ -162,8 +162,9 @@ def literal(numbers: np.ndarray, kind: str) -> Column:
 def fold_merges(word: Column, rank_map: RankMap) -> Column:
     """The ids of a word from those of its bytes: the adjacent pair of lowest rank is merged, as long as there is one.
 
-    The fold carries the ids and the ranks of adjacent pairs. A merge takes two ids and their pair's rank out and looks up the two
-    pairs that it makes new; all else is copied by whole slices, so a step costs two lookups, however long the word is.
+    The fold of a word of over SHORT bytes carries the ranks of adjacent pairs beside the ids: a merge takes two ids and their
+    pair's rank out and looks up the two pairs that it makes new; all else is copied by whole slices, so a step costs two lookups,
+    however long the word is. In shorter words it costs less to look all pairs up again.
     """
     shift, entries = literal(rank_map.shift, "int"), literal(rank_map.entries, "bigint")
     many, size = F.lit(len(rank_map.shift)).cast("bigint"), F.lit(len(rank_map.entries)).cast("bigint")
@@ -196,8 +197,17 @@ def fold_merges(word: Column, rank_map: RankMap) -> Column:
     def step(state: Column, _: Column) -> Column:
         return let(F.array_min(state["ranks"]), lambda lowest: F.when(lowest < NONE, let(F.array_position(state["ranks"], lowest).cast("int"), lambda p: merged(state, lowest, p))).otherwise(state))
 
+    def short_step(ids: Column, _: Column) -> Column:
+        def without(found: Column, p: Column) -> Column:
+            moved = F.transform(found, lambda r, i: F.when(i < p, F.get(ids, i)).when(i > p, F.get(ids, i + 1)).otherwise(r.cast("int")))
+            return F.when(F.get(found, p) < NONE, moved).otherwise(ids)
+
+        ranks = F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: rank(a, F.get(ids, i + 1)))
+        return F.when(F.size(ids) < 2, ids).otherwise(let(ranks, lambda found: let(F.array_position(found, F.array_min(found)).cast("int") - 1, lambda p: without(found, p))))
+
     first = F.struct(word.alias("ids"), F.transform(F.slice(word, F.lit(1), F.size(word) - 1), lambda a, i: rank(a, F.get(word, i + 1))).alias("ranks"))
-    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), first, step, lambda state: state["ids"])
+    steps = F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2)))
+    folded = F.when(F.size(word) > SHORT, F.aggregate(steps, first, step, lambda state: state["ids"])).otherwise(F.aggregate(steps, word, short_step))
     done = F.get(word, F.lit(0)) < 0
     return F.when(done, F.transform(word, lambda x: -1 - x)).when(F.size(word) < 2, word).otherwise(folded)
 
