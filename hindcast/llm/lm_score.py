@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents, stored
-from hindcast.llm._words import LOWER, SPACE, Words, long_column, mix, slices, texts
+from hindcast.llm._words import LOWER, Words, long_column, mix, slices, texts
 
 DEPTH = 5
 END = 255
