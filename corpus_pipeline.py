@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators; each stage works on all that the one before it kept."""
+"""A corpus pipeline of five operators; each stage works on all that the one before it kept.
+
+Defined results, of every stage but the last: all columns stay, whatever their names, and rows stay as they are but for what the
+stage decides. A null text counts as empty, and is written as empty by the stage that rewrites texts; a row without doc_id is judged
+by its text alone and never dropped for being near to another. Rows that repeat are judged alike: copies of a row go in exact
+dedup, which keeps one; ids that still repeat, with other texts, stay or go together. Of equal texts the longest stays, then the
+smallest doc_id; of near ones the smallest doc_id. An empty table gives an empty table. The last stage packs every row that is left.
+"""
 
 from __future__ import annotations
 
