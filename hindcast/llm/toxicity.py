@@ -40,9 +40,12 @@ STEMS = (4, 5, 6, 7, 8)
 WHOLE = 255
 PRIOR = 10.0
 DRIFT = 1.2
-#: No share is taken as surer than this: chains of stems would reach 0 or 1 in floating point.
-SURE = 1e-6
+#: No share is taken as surer than this, toxic or (times the share of all tokens) clean. The error of log-odds is 1 / (share * (1 - share) * n):
+#: nearer to 1 it would outgrow their square, and chains of stems, which reach 1 soon, would lose the surest tokens' scores.
+SURE = 0.01
 SIGNIFICANT = 0.05
+#: Tokens whose scores are worked out at once on the driver.
+LOOKED_UP = 1 << 18
 MAX_TRAIN = 50_000
 THRESHOLD = 0.3
 #: Bytes of text that are cut into words at once.
@@ -75,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for level, which, h, parent in _chains(words):
                 token, first, back = np.unique(h, return_index=True, return_inverse=True)
                 n = np.bincount(back * 4 + group[which], minlength=4 * len(token)).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), level, np.int32)), long_column(token), long_column(parent[first]), *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(4))], ["level", "token", "parent", *_GROUPS])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), level, np.int16)), long_column(token), long_column(parent[first]), *(pa.array(np.ascontiguousarray(n[:, i])) for i in range(4))], ["level", "token", "parent", *_GROUPS])
 
 
 _GROUPS = ["clean_0", "toxic_0", "clean_1", "toxic_1"]
@@ -92,17 +95,20 @@ class Lexicon:
         seen = clean + toxic > 0
         order = np.flatnonzero(seen)[np.argsort(token[seen])]
         level, self.tokens, parent, good, bad = (x[order] for x in (level, token, parent, clean, toxic))
+        self.scores = np.empty(len(order), np.float32)
+        del seen, order
         whole = level == WHOLE
         base = (bad[whole].sum() + 1) / (bad[whole].sum() + good[whole].sum() + 2)
-        share = np.full(len(order), base)
+        share = np.full(len(level), base)
         for now in (*STEMS, WHOLE):
             mine = np.flatnonzero(level == now)
-            at = np.minimum(np.searchsorted(self.tokens, parent[mine]), len(order) - 1)
-            prior = np.where(self.tokens[at] == parent[mine], share[at], base) if len(mine) else base
-            share[mine] = np.clip((bad[mine] + PRIOR * prior) / (good[mine] + bad[mine] + PRIOR), SURE, 1 - SURE)
-        odds = _logit(share) - _logit(base)
-        error = 1 / (share * (1 - share) * (good + bad + PRIOR))
-        self.scores = (odds * np.maximum(0, 1 - error / np.maximum(odds * odds, 1e-12)) - DRIFT).astype(np.float32)
+            for low in range(0, len(mine), LOOKED_UP):
+                some = mine[low : low + LOOKED_UP]
+                at = np.minimum(np.searchsorted(self.tokens, parent[some]), len(level) - 1)
+                prior, n = np.where(self.tokens[at] == parent[some], share[at], base), good[some] + bad[some] + PRIOR
+                share[some] = p = np.clip((bad[some] + PRIOR * prior) / n, SURE * base, 1 - SURE)
+                odds = _logit(p) - _logit(base)
+                self.scores[some] = odds * np.maximum(0, 1 - 1 / (p * (1 - p) * n) / np.maximum(odds * odds, 1e-12)) - DRIFT
 
     def of(self, words: Words) -> np.ndarray:
         """Each word's score: of its longest known token, or minus the drift."""
@@ -242,14 +248,20 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Callable[[Column], Colu
     half = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(2)).cast("int").alias("half")
     taught = docs.join(F.broadcast(known), "doc_id").select("text", "label", half)
 
-    kind = "level int, token long, parent long, " + ", ".join(f"{c} long" for c in _GROUPS)
+    kind = "level short, token long, parent long, " + ", ".join(f"{c} long" for c in _GROUPS)
     counts = taught.mapInArrow(_count, kind).groupBy("level", "token", "parent").agg(*(F.sum(c).cast("int").alias(c) for c in _GROUPS)).toArrow()
     if not counts.num_rows:
         return Model(None, None, -30.0, 0.0)
-    level, token, parent, *n = (c.to_numpy() for c in counts.columns)
+    held: dict[str, np.ndarray] = {}
+    for name in counts.column_names:  # one column at a time: only one is held twice
+        held[name] = counts[name].to_numpy().copy()
+        counts = counts.drop_columns([name])
+    del counts
+    pa.default_memory_pool().release_unused()
+    level, token, parent, *n = held.values()
     halves = [Lexicon(level, token, parent, n[2 * k], n[2 * k + 1]) for k in (0, 1)]
     lexicon = Lexicon(level, token, parent, n[0] + n[2], n[1] + n[3])
-    del counts, level, token, parent, n
+    del held, level, token, parent, n
     scanned = taught.mapInArrow(_by_halves(halves, None), "label boolean, n long, value double")
     clean = scanned.where("NOT label AND n > 0").select("n", "value").toArrow()  # at most max_train rows of two numbers
     law = Law(clean["value"].to_numpy(), clean["n"].to_numpy())

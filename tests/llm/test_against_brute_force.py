@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import ODD, check_packing
@@ -13,6 +14,7 @@ from test_operators import ODD, check_packing
 from hindcast.llm import bpe, exact_dedup, fim, license_scan, lm_score, media, ngram_join, packing, quality, substring_dedup, token_store, toxicity
 from hindcast.llm import queries as Q
 from hindcast.llm._shared import shared_dir
+from hindcast.llm._words import PLAIN, Words, texts
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -178,6 +180,27 @@ def test_toxicity_scores_by_brute_force(spark):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-(a + b * math.log1p(surprises(lexicon(t), law))))), rel=1e-3, abs=1e-5)
 
 
+def test_much_met_toxic_words_keep_their_scores():
+    """A word met hundreds of times in toxic rows only, under stems as sure as itself, is the surest sign there is."""
+    words = {"pathetic": 600, "scum": 600, "vequaire": 5}
+    counts = defaultdict(lambda: [0, 0])
+    for word, times in words.items():
+        for token in chain(word):
+            counts[token][1] += times
+    counts[toxicity.WHOLE, b"the"][0] += 20_000
+    hashes = {}
+    text = pa.array([" ".join([*words, "the"])])
+    data, at = texts(text)
+    for (level, which, h, parent) in toxicity._chains(Words(data, at, PLAIN)):
+        for i, token, up in zip(which.tolist(), h.view(np.int64).tolist(), parent.view(np.int64).tolist()):
+            raw = [*words, "the"][i].encode()
+            hashes[token] = (level, up, *counts[level, raw if level == toxicity.WHOLE else raw[:level]])
+    rows = [(level, token, up, good, bad) for token, (level, up, good, bad) in hashes.items()]
+    lexicon = toxicity.Lexicon(*(np.array(c, np.int64) for c in zip(*rows)))
+    scores = lexicon.of(Words(data, at, PLAIN))
+    assert (scores[:3] > 2).all() and scores[3] < 0
+
+
 # ---------------------------------------------------------------- op2
 
 
