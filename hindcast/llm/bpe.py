@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding with a rank file, as the tiktoken library would, without its special tokens.
 
-Spark higher-order functions fold ranked merges over byte arrays of distinct words. A slice of documents is cut into pieces
-by the split pattern and comes as a row for each distinct piece, an array of single-byte ids, followed by a row with the order
-of pieces in each document. `aggregate` merges, in each piece, the adjacent pair of lowest rank until no pair has a rank; a
-piece that is a token as a whole is that token. The last row puts the ids back into documents. Decoding concatenates the
-tokens' bytes.
+Spark higher-order functions fold ranked merges over byte arrays of distinct words. Slices of documents are cut into pieces by
+the split pattern; a piece that is a token as a whole is that token. The other pieces go, each distinct one of a slice once, to
+a bucket by their CRC, where the pieces of all slices come as a row for each distinct one of the corpus, an array of single-byte
+ids. `aggregate` merges, in each piece, the adjacent pair of lowest rank until no pair has a rank. The ids go back to the slices,
+which put them into the order of their documents. Decoding concatenates the tokens' bytes.
 
 The rank map is a literal of the plan: two arrays that form a perfect hash table of all pairs (a, b) of tokens whose bytes
 together are a token. A pair belongs to one of many groups of few pairs; each group has a shift such that no two pairs share
 a place, which holds a << 32 | b << 16 | rank. A lookup is two reads and a XOR with the pair, which leaves the rank, or a
 number beyond all ranks. (Spark looks a map literal up by scanning it.)
 
-Scale: no shuffle; memory is a bounded slice of a batch, and rows are as small as a piece. A step of
+Scale: a piece is folded once, however many slices hold it. Distinct pieces of slices, their ids, and the order of pieces in
+each slice are shuffled, packed as bytes; texts are read and cut twice instead of being shuffled. There are twice as many buckets as
+input partitions, so memory is a slice's or a bucket's. A step of
 the fold copies a piece's ids, so long pieces take time in the square of their length (4,000 bytes a third of a second);
 pieces of over LONG bytes would take minutes to hours, so a heap merges them beforehand: the same merges in the same order.
 
@@ -23,18 +25,21 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.llm._shared import documents
-from hindcast.llm._tokens import Pieces, distinct, spread
+from hindcast.llm._tokens import Pieces, spread
 from hindcast.llm._words import slices, texts
 
-SLICE = 8 << 20
+#: Bytes of a slice, whose distinct pieces are sent on, and of text that is cut into pieces at once: workers keep what they have used.
+SLICE, PART = 4 << 20, 1 << 20
 SHORT, LONG = 40, 16_384
 NONE = 1 << 16
 _made: dict = {}
@@ -118,42 +123,110 @@ def _known(path: str, what: str, make: Callable[[dict[bytes, int]], object]):
     return _made[path, what]
 
 
-def _cut(path: str):
-    """Of each slice a row for each distinct piece, then a row of its documents, where each begins in the order of pieces, and that order."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit integers, all low bytes first: shuffles compress them better so."""
+    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _cut(path: str, buckets: int, orders: bool):
+    """Of each slice: the distinct pieces that are no tokens, a row a bucket of them (sizes, bytes), or, with orders, a row of its
+    documents, where each begins in the order of pieces, that order, and the ids of the pieces that are tokens. Pieces are
+    numbered so that tokens come first, then bucket after bucket."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _known(path, "ranks", dict)
-        single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        ranks, number = _known(path, "ranks", dict), TaskContext.get().partitionId() << 32
         for batch in batches:
             data, at = texts(batch.column("text"))
             for low, high in slices(at, SLICE):
-                pieces = Pieces(data[at[low] : at[high]], at[low : high + 1] - at[low], True)
-                held, order = distinct(pieces)
-                whole = np.array([ranks.get(w, -1) for w in held.to_pylist()], np.int64)
-                raw, bounds = texts(held)
-                n = np.where(whole >= 0, 1, np.diff(bounds))
-                ends = np.r_[0, np.cumsum(n)]
-                ids = single[raw[spread(n, np.arange(len(n)), bounds[:-1])]] if len(n) else np.zeros(0, np.int32)
-                ids[ends[:-1][whole >= 0]] = whole[whole >= 0]
-                long = np.flatnonzero(n > LONG)
-                if len(long):  # few, if any: merged here, and marked as done by negative numbers
-                    parts, pairs = np.split(ids, ends[1:-1]), _known(path, "pairs", all_pairs)
-                    for i in long.tolist():
-                        parts[i] = -1 - np.array(merge_long(parts[i].tolist(), pairs), np.int32)
-                    ids, ends = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
-                for begin in range(0, len(n), 10_000):
-                    end = min(begin + 10_000, len(n))
-                    words = pa.ListArray.from_arrays(pa.array((ends[begin : end + 1] - ends[begin]).astype(np.int32)), pa.array(ids[ends[begin] : ends[end]].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(end - begin, pa.list_(pa.int64())), *[pa.nulls(end - begin, pa.binary())] * 2, words], ["docs", "first", "order", "word"])
-                columns = [
-                    pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64())), pa.array([pieces.first.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([order.astype(np.int32).tobytes()], pa.binary()), pa.nulls(1, pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["docs", "first", "order", "word"])
+                first, strings, many = [np.zeros(1, np.int64)], [], 0
+                for a, b in slices(at[low : high + 1], PART):
+                    pieces = Pieces(data[at[low + a] : at[low + b]], at[low + a : low + b + 1] - at[low + a], True)
+                    strings.append(pieces.strings(np.arange(len(pieces)))), first.append(pieces.first[1:] + many)
+                    many += len(pieces)
+                found = pa.concat_arrays(strings).dictionary_encode()
+                held, order = found.dictionary, found.indices.to_numpy()
+                del pieces, strings, found
+                words = held.to_pylist()
+                whole = np.array([ranks.get(w, -1) for w in words], np.int64)
+                bucket = np.array([-1 if t >= 0 else zlib.crc32(w) % buckets for w, t in zip(words, whole.tolist(), strict=True)], np.int64)
+                turn, tokens = np.argsort(bucket, kind="stable"), int((whole >= 0).sum())
+                if orders:
+                    place = np.empty_like(turn)
+                    place[turn] = np.arange(len(turn))
+                    columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([_planes(np.concatenate(first))]), pa.array([_planes(place[order])]), pa.array([_planes(whole[turn[:tokens]])]), pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "counts", "packed", "tokens", "docs"])
+                elif tokens < len(turn):
+                    raw, bounds = texts(held)
+                    sizes, ranked = np.diff(bounds), bucket[turn[tokens:]]
+                    begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+                    parts = np.split(turn[tokens:], begins[1:])
+                    columns = [pa.array(np.full(len(parts), number)), pa.array(ranked[begins].astype(np.int32)), pa.array([_planes(sizes[x]) for x in parts]), pa.array([raw[spread(sizes, x, bounds[:-1])].tobytes() for x in parts])]
+                    yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "counts", "packed"])
+                number += 1
+        pa.default_memory_pool().release_unused()
 
     return task
 
 
+def _rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    yield from table.to_batches(max_chunksize=500)
+
+
+def _distinct(path: str):
+    """A row for each distinct piece of the buckets here, its single-byte ids; then each row again, with its pieces by their numbers."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, held = _known(path, "ranks", dict), [*batches]
+        if not sum(b.num_rows for b in held):
+            return
+        single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        given = pa.Table.from_batches(held)
+        del held
+        sizes = [_numbers(x.as_buffer()) for x in given["counts"]]
+        raw = b"".join(given["packed"].to_pylist())
+        found = pa.Array.from_buffers(pa.large_binary(), sum(map(len, sizes)), [None, pa.py_buffer(np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]), pa.py_buffer(raw)]).dictionary_encode()
+        raw, ends = texts(found.dictionary)
+        ids, n = single[raw], np.diff(ends)
+        long = np.flatnonzero(n > LONG)
+        if len(long):  # few, if any: merged here, and marked as done by negative numbers
+            parts, pairs = np.split(ids, ends[1:-1]), _known(path, "pairs", all_pairs)
+            for i in long.tolist():
+                parts[i] = -1 - np.array(merge_long(parts[i].tolist(), pairs), np.int32)
+            ids, ends = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+        for begin in range(0, len(n), 10_000):
+            end = min(begin + 10_000, len(n))
+            words = pa.ListArray.from_arrays(pa.array((ends[begin : end + 1] - ends[begin]).astype(np.int32)), pa.array(ids[ends[begin] : ends[end]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(end - begin, pa.int64()), pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary()), words], ["slice", "bucket", "order", "word"])
+        orders = np.split(found.indices.to_numpy(), np.cumsum([len(x) for x in sizes])[:-1])
+        del found, raw, ids, ends, sizes
+        yield from _rows(pa.table([given["slice"], given["bucket"], pa.array([_planes(x) for x in orders], pa.binary()), pa.nulls(len(orders), pa.list_(pa.int32()))], ["slice", "bucket", "order", "word"]))
+
+    return task
+
+
+def _given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's row of a bucket with the number of ids of each of its pieces, and these ids."""
+    held, flat, at = [], None, None
+    for batch in batches:
+        row = batch.column("slice").is_valid()
+        held.append(batch.column("word").filter(pa.array(~row.to_numpy(zero_copy_only=False))))
+        rows = batch.filter(row)
+        if not rows.num_rows:
+            continue
+        if flat is None:
+            words = pa.concat_arrays(held)
+            flat, at = words.flatten().to_numpy(), np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        n, counts, packed = np.diff(at), [], []
+        for x in rows.column("order"):
+            which = _numbers(x.as_buffer())
+            counts.append(_planes(n[which])), packed.append(flat[spread(n, which, at[:-1])].astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([rows.column("slice"), rows.column("bucket"), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], ["slice", "bucket", "counts", "packed"])
+
+
 def literal(numbers: np.ndarray, kind: str) -> Column:
     """An array literal: the optimizer folds this into one constant."""
     return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast(f"array<{kind}>")
@@ -213,34 +286,42 @@ def fold_merges(word: Column, rank_map: RankMap) -> Column:
 
 
 def _assemble(path: str):
+    """Documents again, from each slice's row of orders and its buckets' rows behind it."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _known(path, "ranks", dict)
         tokens = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             tokens[r] = t
         sizes, pool = np.array([len(t) for t in tokens], np.int64), np.frombuffer(b"".join(tokens), np.uint8)
-        begins, held = np.cumsum(sizes) - sizes, []
+        begins = np.cumsum(sizes) - sizes
+
+        def whole(docs: pa.Array, first: np.ndarray, order: np.ndarray, counts: list[np.ndarray], parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            n, flat = np.concatenate(counts).astype(np.int64), np.concatenate(parts)
+            at, ends = np.cumsum(n) - n, np.r_[0, np.cumsum(n[order])][first]
+            for low in range(0, len(docs), 500):
+                high = min(low + 500, len(docs))
+                ids = flat[spread(n, order[first[low] : first[high]], at)]
+                raw = pool[spread(sizes, ids, begins)]
+                bounds = ends[low : high + 1] - ends[low]
+                cut = np.r_[0, np.cumsum(sizes[ids])][bounds]
+                text = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([docs[low:high], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))), text], ["doc_id", "ids", "decoded"])
+
+        now = None
         for batch in batches:
-            last = 0
-            for i in np.flatnonzero(batch.column("docs").is_valid().to_numpy(zero_copy_only=False)).tolist():
-                held.append(batch.column("word")[last:i])
-                words = pa.concat_arrays(held)
-                held, last = [], i + 1
-                docs = batch.column("docs")[i].values
-                first, order = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("first", np.int64), ("order", np.int32)))
-                flat, at = words.flatten().to_numpy(), np.r_[0, np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-                n = np.diff(at)
-                ends = np.r_[0, np.cumsum(n[order])][first]
-                for low in range(0, len(docs), 500):
-                    high = min(low + 500, len(docs))
-                    mine = order[first[low] : first[high]]
-                    ids = flat[spread(n, mine, at[:-1])] if len(mine) else np.zeros(0, np.int32)
-                    raw = pool[spread(sizes, ids, begins)] if len(ids) else np.zeros(0, np.uint8)
-                    bounds = ends[low : high + 1] - ends[low]
-                    cut = np.r_[0, np.cumsum(sizes[ids])][bounds]
-                    text = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(raw)])
-                    yield pa.RecordBatch.from_arrays([docs[low:high], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))), text], ["doc_id", "ids", "decoded"])
-            held.append(batch.column("word")[last:])
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                counts, packed = (batch.column(c)[i].as_buffer() for c in ("counts", "packed"))
+                if bucket < 0:
+                    if now:
+                        yield from whole(*now)
+                    alone = _numbers(batch.column("tokens")[i].as_buffer())
+                    now = batch.column("docs")[i].values, _numbers(counts), _numbers(packed), [np.ones(len(alone), np.int32)], [alone]
+                else:
+                    now[3].append(_numbers(counts)), now[4].append(np.frombuffer(packed, "<u2").astype(np.int32))
+            pa.default_memory_pool().release_unused()
+        if now:
+            yield from whole(*now)
 
     return task
 
@@ -248,6 +329,11 @@ def _assemble(path: str):
 def encode_decode(df: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids, decoded (the bytes that the ids stand for)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
-    cut = docs.mapInArrow(_cut(rank_file), "docs array<long>, first binary, order binary, word array<int>")
-    folded = cut.select("docs", "first", "order", fold_merges(F.col("word"), _known(rank_file, "map", RankMap)).alias("word"))
-    return folded.mapInArrow(_assemble(rank_file), "doc_id long, ids array<int>, decoded binary")
+    buckets = max(16, 2 * docs.rdd.getNumPartitions())
+    kind = "slice long, bucket int, counts binary, packed binary"
+    dealt = docs.mapInArrow(_cut(rank_file, buckets, False), kind).repartition(buckets, "bucket")
+    cut = dealt.mapInArrow(_distinct(rank_file), "slice long, bucket int, order binary, word array<int>")
+    folded = cut.select("slice", "bucket", "order", fold_merges(F.col("word"), _known(rank_file, "map", RankMap)).alias("word"))
+    orders = docs.mapInArrow(_cut(rank_file, buckets, True), kind + ", tokens binary, docs array<long>")
+    rows = orders.unionByName(folded.mapInArrow(_given_back, kind), allowMissingColumns=True)
+    return rows.repartition(2 * buckets, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(_assemble(rank_file), "doc_id long, ids array<int>, decoded binary")

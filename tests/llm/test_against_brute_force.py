@@ -201,6 +201,28 @@ def test_much_met_toxic_words_keep_their_scores():
     assert (scores[:3] > 2).all() and scores[3] < 0
 
 
+# ---------------------------------------------------------------- op3
+
+
+def test_byte_bpe_folds_a_piece_once(spark):
+    """Pieces that several slices hold are one row of the fold; slices of several tasks get all their ids back."""
+    import tiktoken
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [(i, f"zqxvk wqzjx the zqxvk{'q' * (i % 3)} " * (i % 4)) for i in range(60)] + [(None, "wqzjx"), (7, None), (8, "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    met = {m for _, t in rows for m in re.findall(r" ?[a-z]+", t or "") if m.encode() not in bpe.read_ranks(path)}
+    dealt = df.mapInArrow(bpe._cut(path, 4, False), "slice long, bucket int, counts binary, packed binary")
+    assert dealt.select("slice").distinct().count() > 1
+    words = dealt.repartition(4, "bucket").mapInArrow(bpe._distinct(path), "slice long, bucket int, order binary, word array<int>").where("slice IS NULL")
+    assert words.count() == len(met)
+    got = bpe.encode_decode(df, path).collect()
+    assert sorted((str(r["doc_id"]), tuple(r["ids"]), bytes(r["decoded"])) for r in got) == sorted((str(i), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
+
+
 # ---------------------------------------------------------------- op2
 
 
