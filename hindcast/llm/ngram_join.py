@@ -12,10 +12,18 @@ mostly), it also enters its (100-p) % + 1 smallest members as keys; two such set
 
 Candidates are not expanded into pairs. Each bucket has a pivot, its smallest document. First every document is checked
 against the pivot it shares most segments with; links become components; buckets whose documents are of one component are
-done. Then the documents of the buckets that are left are checked against the pivots of all their buckets, each pair once
-and at most one a bucket's row, again and again until no link is found. What is left then, pairs of different components in one bucket, is
-enumerated in blocks of at most 256 x 256 rows, within which sizes and dense sketches (their Hamming distance is at most
-the symmetric difference too) reject most pairs before any row is made. All links are verified on the sets.
+done. A set with s keys in a band, of which a link may change d, shares s - d of them or more: of the buckets that are left,
+each document leaves its s - d - 1 largest, in one order of all keys, so that the smallest it shares with a link stays. Then
+the documents of the buckets that are left are checked against the pivots of all their buckets, each pair once and at most
+one a bucket's row, again and again until no link is found.
+
+What is left then are documents of different components that share a bucket, each known not to link with its pivot P or to be
+of P's component. In blocks of 1024 x 1024 rows, dense sketches (their Hamming distance is at most the symmetric difference
+too) tell which documents may link with any other of the bucket; no row is made of a pair. For these, what all have in
+common with P is taken away: with A' and B' the symmetric differences of A and B with P, A and B link only if A' and B' share
+(|A'| + |B'| - d) / 2 members or more, where |B'| is at least what not linking with P asks for. So the members of A' are
+keys, and again each document leaves as many of its largest buckets as it can spare. Near copies of one text whose changes
+differ share no key then. Documents that share one meet in blocks of 256 x 256 rows. All links are verified on the sets.
 
 Copies (equal sets) are grouped by a 128-bit hash before any of this, and one per batch takes part.
 
@@ -38,11 +46,14 @@ from hindcast.llm._components import components
 from hindcast.llm._shared import discard, documents, stored
 from hindcast.llm._words import LOWER, Words, long_column, mix, runs, slices, texts
 
-BLOCK_ROWS = 256
+#: Rows of a block: of sketches, and of whole sets.
+SKETCHES, SETS = 1024, 256
 #: Bytes of text that are cut into words at once: workers keep what they have used.
 SLICE = 1 << 20
 FILTER_BITS = 1 << 20
 SALTS = 32
+#: The last three bits of a key tell what it is made of: the segments of a band (its number modulo 7), or a member (7).
+KINDS = 8
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -69,15 +80,17 @@ def _class_of(members: np.ndarray) -> tuple[int, int]:
     return int(np.bitwise_xor.reduce(mix(members ^ np.uint64(0xA5A5A5A5A5A5A5A5)))), int(mix(members ^ np.uint64(0x3C3C3C3C3C3C3C3C)).sum())
 
 
-def _profile(n: int):
+def _profile(n: int, percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, a, b = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            sketches = [b""] * batch.num_rows
+            sketches, spares, bands = [b""] * batch.num_rows, [[]] * batch.num_rows, Bands(percent)
             for i, _, members in _sets(batch.set_column(0, "doc_id", pa.array(np.zeros(batch.num_rows, np.int64))), n):
                 size[i], (a[i], b[i]) = len(members), _class_of(members)
-                sketches[i] = _sketch(members).tobytes() if len(members) else b""
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), long_column(a), long_column(b), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "class_a", "class_b", "sketch"])
+                if len(members):
+                    sketches[i], spares[i] = _sketch(members).tobytes(), _spares(members, bands)
+            columns = [batch.column("doc_id"), pa.array(size), long_column(a), long_column(b), pa.array(sketches, pa.binary()), pa.array(spares, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "class_a", "class_b", "sketch", "spares"])
 
     return task
 
@@ -101,21 +114,42 @@ class Bands:
         most = self.differ(self.top[g], self.top[g])
         return most + most // 20 + 1
 
+    def entered(self, size: int) -> range:
+        """The bands that a set of this size enters: its own, and those of partners that are larger."""
+        return range(self.of(size), self.of(size * 100 // self.p) + 1)
+
+    def most_unequal(self, size: int, g: int) -> int:
+        """How many segments of a set differ, at most, from those of a set in band g that it links with."""
+        return self.differ(size, min(self.top[g], size * 100 // self.p))
+
+
+def _segments(members: np.ndarray, m: int) -> np.ndarray:
+    return (members >> np.uint64(20)) % np.uint64(m)
+
+
+def _spares(members: np.ndarray, bands: Bands) -> list[int]:
+    """For each band of a set: how many of its keys there can be left out so that it still shares one with all that it links with, << 3 | kind of key."""
+    entered = bands.entered(len(members))
+    filled = {g: int(np.count_nonzero(np.bincount(_segments(members, bands.segments(g)).astype(np.int64)))) for g in entered}
+    return [max(0, filled[g] - bands.most_unequal(len(members), g) - 1) * (len(entered) < KINDS) << 3 | g % (KINDS - 1) for g in entered]
+
+
+def _of_kind(keys: np.ndarray, kind: int) -> np.ndarray:
+    return keys & ~np.uint64(KINDS - 1) | np.uint64(kind)
+
 
 def _segment_keys(members: np.ndarray, bands: Bands) -> np.ndarray:
-    size = len(members)
-    largest, keys, short = size * 100 // bands.p, [], False
-    for g in range(bands.of(size), bands.of(largest) + 1):
-        m = bands.segments(g)
-        segment = (members >> np.uint64(20)) % np.uint64(m)
+    size, keys, short = len(members), [], False
+    for g in bands.entered(size):
+        segment = _segments(members, bands.segments(g))
         order = np.argsort(segment, kind="stable")
         ranked = segment[order]
         begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
         sketch = np.bitwise_xor.reduceat(mix(members)[order], begins)
-        keys.append(mix(sketch ^ mix(ranked[begins] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g + 1))))
-        short |= len(begins) <= bands.differ(size, min(bands.top[g], largest))
+        keys.append(_of_kind(mix(sketch ^ mix(ranked[begins] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(g + 1))), g % (KINDS - 1)))
+        short |= len(begins) <= bands.most_unequal(size, g)
     if short:
-        keys.append(mix(members[: size * (100 - bands.p) // 100 + 1] ^ np.uint64(0x517CC1B727220A95)))
+        keys.append(_of_kind(mix(members[: size * (100 - bands.p) // 100 + 1] ^ np.uint64(0x517CC1B727220A95)), KINDS - 1))
     return np.concatenate(keys)
 
 
@@ -263,24 +297,56 @@ def _near(g: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int) ->
         low = high
 
 
-def _block_pairs(percent: int, sets: bool):
-    """Pairs of different components in each block that sizes and sketches allow; of rows with sets, those that link."""
+def _near_rows(percent: int):
+    """Rows of each block whose sketch allows a link with another of it, of a different component; of a pivot, each document once a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        for g in _whole_groups(batches, ["key", "p", "q"]):
+            near = np.zeros(len(g["doc_id"]), bool)
+            for i, j in _near(g, [np.frombuffer(x, np.uint64) for x in g["packed"]], percent):
+                near[i] = near[j] = True
+            rows = {*zip(g["pivot"][near].tolist(), g["doc_id"][near].tolist(), strict=True)} - told
+            told = told | rows if len(told) < 1 << 18 else rows
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(rows), strict=True)], ["pivot", "doc_id"])
+
+    return task
+
+
+def _apart(percent: int):
+    """Members that one of a document and its pivot has, as keys, and how many of them may be left out: see the module's text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            for doc, outside, x, y in zip(batch.column("doc_id").to_pylist(), batch.column("outside").to_pylist(), batch.column("set_a"), batch.column("set_b"), strict=True):
+                own, pivot = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                n, p, rest = len(own), len(pivot), np.setxor1d(own, pivot, assume_unique=True)
+                partners = np.arange(-(-n * percent // 100), n * 100 // percent + 1)
+                most = (n + partners) * (100 - percent) // (100 + percent)
+                # Partners that are not of the pivot's component are no links of the pivot either; those that are meet documents that are not.
+                shared = len(rest) + (partners + p) * (100 - percent) // (100 + percent) + 1 - most
+                if outside:
+                    shared = np.minimum(shared, len(rest) + np.maximum(0, len(rest) - most) - most)
+                spare = max(0, -(-int(shared.min()) // 2) - 1)
+                family = _class_of(pivot)[0]
+                keys = mix(rest ^ mix(np.array([family], np.uint64)))
+                yield pa.RecordBatch.from_arrays([long_column(np.full(len(keys), family, np.uint64)), pa.array(np.full(len(keys), doc)), long_column(keys), pa.array(np.full(len(keys), spare))], ["family", "doc_id", "key", "spare"])
+
+    return task
+
+
+def _block_links(percent: int):
+    """Pairs of different components in each block that link."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _whole_groups(batches, ["key", "p", "q"]):
-            members = [np.frombuffer(x, np.uint64) for x in g["packed"]]
-            doc, found = g["doc_id"], []
-            for i, j in _near(g, [_sketch(x) for x in members] if sets else members, percent):
-                if sets:
-                    linked = np.array([_linked(members[a], members[b], percent) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-                    i, j = i[linked], j[linked]
-                found.append((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), i))
+            members, doc, found = [np.frombuffer(x, np.uint64) for x in g["packed"]], g["doc_id"], set()
+            for i, j in _near(g, [_sketch(x) for x in members], percent):
+                found |= {(doc[a], doc[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True) if _linked(members[a], members[b], percent)}
             if found:
-                a, b, i = map(np.concatenate, zip(*found, strict=True))
-                order = np.lexsort((b, a))
-                order = order[np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]] if len(order) else order
-                place = [] if sets else [pa.array(g[c][i[order]]) for c in ("key", "p", "q")]
-                yield pa.RecordBatch.from_arrays([pa.array(a[order]), pa.array(b[order]), *place], ["a", "b"] + ["key", "p", "q"] * (not sets))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], ["a", "b"])
 
     return task
 
@@ -289,7 +355,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links lead to)."""
     docs = documents(df, id_col=id_col, text_col=text_col)
     named = docs.where("doc_id IS NOT NULL")
-    profile = stored(docs.mapInArrow(_profile(n), "doc_id long, n_shingles long, class_a long, class_b long, sketch binary"), "profile")
+    profile = stored(docs.mapInArrow(_profile(n, percent), "doc_id long, n_shingles long, class_a long, class_b long, sketch binary, spares array<long>"), "profile")
     sized = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
     leaders = sized.groupBy("class_a", "class_b", "n_shingles").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # A class may hold much of the corpus: its rows are dealt over SALTS tasks, and its leader is sent to each.
@@ -315,17 +381,27 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("packed").alias("set_a")), "a")
         return left.join(sets.select(F.col("doc_id").alias("b"), F.col("packed").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
 
+    def thinned(left: DataFrame) -> DataFrame:
+        """The rows without those of each document's most shared keys, as many as it can spare in each band: documents that link share
+        more, in one order of keys, so the least shared of theirs stays in both."""
+        spares = sized.select("doc_id", F.explode("spares").alias("spare")).groupBy("doc_id", F.col("spare").bitwiseAND(KINDS - 1).alias("kind")).agg(F.min(F.shiftright("spare", 3)).alias("spare"))
+        ranked = Window.partitionBy("doc_id", "kind").orderBy(F.col("n").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
+        so_far = left.withColumn("kind", F.col("key").bitwiseAND(KINDS - 1)).withColumn("so_far", F.sum("same").over(ranked))
+        return so_far.join(spares, ["doc_id", "kind"], "left").where(F.col("so_far") > F.coalesce("spare", F.lit(0))).select("key", "doc_id", "same")
+
     def unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one: those of one
-        number of rows, XOR of hashes (in which an id that occurs twice cancels) and sum of others (in which it doesn't)."""
-        marked = buckets.select("key", "doc_id").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one of each kind of key,
+        and how many it stands for: those of one number of rows, XOR of hashes (in which an id that occurs twice cancels) and sum of
+        others (in which it doesn't)."""
+        marked = buckets.select("key", "doc_id", "same").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "same", F.coalesce("component", "doc_id").alias("comp"))
         spread = marked.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key), "weight": F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).over(per_key)}).where("low < high")
         first = spread.withColumn("pivot", F.min(F.when(F.col("comp") == F.col("low"), F.col("doc_id"))).over(per_key))
-        once = first.groupBy("n", "alike", "weight", "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"))
-        return once.select("key", "doc_id", "comp", "pivot", "pivot_comp", "n")
+        kind = F.col("key").bitwiseAND(KINDS - 1).alias("kind")
+        once = first.groupBy("n", "alike", "weight", kind, "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"), F.sum("same").alias("same"))
+        return once.select("key", "doc_id", "comp", "pivot", "pivot_comp", "n", "same")
 
     comps = components(links)
-    left = stored(unresolved(buckets, comps), "left")
+    left = stored(unresolved(buckets.withColumn("same", F.lit(1).cast("long")), comps), "left")
     discard(buckets)
     tried = None
     while left.head() is not None:
@@ -343,27 +419,35 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
             break
         links = links.union(found)
         comps = components(links)
-        older, left = left, stored(unresolved(left, comps), "left")
+        # The first answers leave few of the buckets that near copies share; what is shared beyond them is thinned out, once.
+        older, left = left, stored(unresolved(thinned(left) if tried is asked else left, comps), "left")
         discard(older)
 
     if left.head() is not None:
-        rank = F.row_number().over(per_key.orderBy("doc_id")) - 1
-        blocks = left.withColumn("block", F.floor(rank / BLOCK_ROWS).cast("int")).withColumn("most", F.max("block").over(per_key))
-        paired = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp")
-
-        def compared(rows: DataFrame, sets: bool) -> DataFrame:
-            if sets:
-                chosen = _wanted(named, rows.select("doc_id").distinct()).mapInArrow(_chosen_sets(n), "doc_id long, size long, packed binary")
-            else:
-                chosen = sized.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("packed"))
-            dealt = rows.join(chosen, "doc_id").select("key", "p", "q", "block", "doc_id", "comp", "size", "packed").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
-            return dealt.mapInArrow(_block_pairs(percent, sets), "a long, b long" if sets else "a long, b long, key long, p int, q int")
 
-        near = compared(paired, False).groupBy("a", "b").agg(F.min(F.struct("key", "p", "q")).alias("at"))
-        near = stored(near.select("at.*", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near")
-        links = links.union(stored(compared(paired.join(near, ["key", "p", "q", "doc_id"]), True), "links"))
+        def blocks(rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
+            """All rows of a key meet in blocks, in the order of doc_id."""
+            rank = F.row_number().over(per_key.orderBy("doc_id")) - 1
+            placed = rows.withColumn("block", F.floor(rank / size).cast("int")).withColumn("most", F.max("block").over(per_key))
+            paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp", "pivot")
+            return paired.join(members, "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
+
+        sketches = sized.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("packed"))
+        near = blocks(left, sketches, SKETCHES).mapInArrow(_near_rows(percent), "pivot long, doc_id long").distinct()
+        outside = left.groupBy("pivot", "doc_id").agg(F.max(F.col("comp") != F.col("pivot_comp")).alias("outside"))
+        near = stored(near.join(outside, ["pivot", "doc_id"]), "near")
+        ids = near.select("doc_id").union(near.select("pivot")).distinct()
+        sets = stored(_wanted(named, ids).mapInArrow(_chosen_sets(n), "doc_id long, size long, packed binary").join(ids, "doc_id", "left_semi"), "sets")
+        facing = near.join(sets.select("doc_id", F.col("packed").alias("set_a")), "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("packed").alias("set_b")), "pivot")
+        apart = stored(facing.select("doc_id", "outside", "set_a", "set_b").mapInArrow(_apart(percent), "family long, doc_id long, key long, spare long").groupBy("family", "doc_id", "key").agg(F.min("spare").alias("spare")), "apart")
+        counts = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        ranked = Window.partitionBy("family", "doc_id").orderBy(F.col("n").desc(), "key")
+        least = F.min("spare").over(Window.partitionBy("family", "doc_id"))
+        kept = apart.join(counts, "key").withColumn("rank", F.row_number().over(ranked)).withColumn("least", least).where("rank > least AND n > 1")
+        left_apart = stored(unresolved(kept.select("key", "doc_id", F.lit(1).cast("long").alias("same")), comps), "left")
+        links = links.union(stored(blocks(left_apart, sets, SETS).mapInArrow(_block_links(percent), "a long, b long"), "links"))
         comps = components(links)
-        discard(near, left)
+        discard(near, sets, apart, left_apart, left)
     if tried is not None:
         discard(tried)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
