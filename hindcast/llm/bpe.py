@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._shared import documents
+from hindcast.llm._shared import documents, give_back
 from hindcast.llm._tokens import Pieces, spread
 from hindcast.llm._words import slices, texts
 
@@ -167,7 +167,7 @@ def _cut(path: str, buckets: int, orders: bool):
                     columns = [pa.array(np.full(len(parts), number)), pa.array(ranked[begins].astype(np.int32)), pa.array([_planes(sizes[x]) for x in parts]), pa.array([raw[spread(sizes, x, bounds[:-1])].tobytes() for x in parts])]
                     yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "counts", "packed"])
                 number += 1
-        pa.default_memory_pool().release_unused()
+            give_back()
 
     return task
 
@@ -202,7 +202,8 @@ def _distinct(path: str):
             words = pa.ListArray.from_arrays(pa.array((ends[begin : end + 1] - ends[begin]).astype(np.int32)), pa.array(ids[ends[begin] : ends[end]].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.nulls(end - begin, pa.int64()), pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary()), words], ["slice", "bucket", "order", "word"])
         orders = np.split(found.indices.to_numpy(), np.cumsum([len(x) for x in sizes])[:-1])
-        del found, raw, ids, ends, sizes
+        del found, raw, ids, ends, sizes, words
+        give_back()
         yield from _rows(pa.table([given["slice"], given["bucket"], pa.array([_planes(x) for x in orders], pa.binary()), pa.nulls(len(orders), pa.list_(pa.int32()))], ["slice", "bucket", "order", "word"]))
 
     return task
@@ -239,7 +240,6 @@ def fold_merges(word: Column, rank_map: RankMap) -> Column:
     pair's rank out and looks up the two pairs that it makes new; all else is copied by whole slices, so a step costs two lookups,
     however long the word is. In shorter words it costs less to look all pairs up again.
     """
-    shift, entries = literal(rank_map.shift, "int"), literal(rank_map.entries, "bigint")
     many, size = F.lit(len(rank_map.shift)).cast("bigint"), F.lit(len(rank_map.entries)).cast("bigint")
     none = F.array().cast("array<bigint>")
 
@@ -247,12 +247,18 @@ def fold_merges(word: Column, rank_map: RankMap) -> Column:
         """The body with the value computed once."""
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
+    # Bound once: every place that named the arrays would hold, and send with each task, a copy of its own.
+    tables = F.struct(literal(rank_map.shift, "int").alias("shift"), literal(rank_map.entries, "bigint").alias("entries"))
+    return let(tables, lambda bound: _fold(word, bound, many, size, none, let))
+
+
+def _fold(word: Column, bound: Column, many: Column, size: Column, none: Column, let: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
     def rank(a: Column, b: Column) -> Column:
         """The rank of a pair, or a number of at least NONE."""
 
         def looked_up(pair: Column) -> Column:
-            at = (pair * RankMap.PLACE + F.get(shift, (pair * RankMap.GROUP % many).cast("int"))) % size
-            return F.get(entries, at.cast("int")).bitwiseXOR(F.shiftleft(pair, 16))
+            at = (pair * RankMap.PLACE + F.get(bound["shift"], (pair * RankMap.GROUP % many).cast("int"))) % size
+            return F.get(bound["entries"], at.cast("int")).bitwiseXOR(F.shiftleft(pair, 16))
 
         return let(F.shiftleft(a.cast("long"), 16).bitwiseOR(b.cast("long")), looked_up)
 
@@ -319,7 +325,7 @@ def _assemble(path: str):
                     now = batch.column("docs")[i].values, _numbers(counts), _numbers(packed), [np.ones(len(alone), np.int32)], [alone]
                 else:
                     now[3].append(_numbers(counts)), now[4].append(np.frombuffer(packed, "<u2").astype(np.int32))
-            pa.default_memory_pool().release_unused()
+            give_back()
         if now:
             yield from whole(*now)
 
