@@ -175,13 +175,11 @@ def _keys(n: int, percent: int):
 
 
 def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that an id names, and few others: a bit map of fixed size (128 KB, so that plans that hold it stay small), made by a grouped OR, tested in the scan."""
+    """The documents that an id names, and few others: a bit map of fixed size (128 KB), made by a grouped OR, is broadcast as rows of 64 bits."""
     bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(FILTER_BITS))
-    rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 3).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1, CAST(bit & 7 AS int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
-    bitmap[rows["slot"].to_numpy()] = rows["bits"].to_numpy()
-    known = F.conv(F.hex(F.substring(F.lit(bitmap.tobytes()), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return docs.where(known.bitwiseAND(F.expr(f"shiftleft(1, CAST(pmod(xxhash64(doc_id), {FILTER_BITS}) & 7 AS int))")) != 0)
+    slot, mask = F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 AS int))")
+    known = ids.select(slot, mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
+    return docs.withColumn("slot", slot).join(F.broadcast(known), "slot").where(F.col("bits").bitwiseAND(mask) != 0).select(*docs.columns)
 
 
 def _sketch(members: np.ndarray) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._shared import documents
+from hindcast.llm._shared import documents, give_back
 from hindcast.llm._words import LOWER, PLAIN, Words, long_column, slices, texts
 
 STEMS = (4, 5, 6, 7, 8)
@@ -268,7 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Callable[[Column], Colu
     step = F.floor(F.log1p("value") * 8)
     scanned = taught.mapInArrow(_by_halves(halves, law), "label boolean, n long, value double")
     bins = scanned.groupBy(step.alias("bin")).agg(F.avg("value"), F.count(F.lit(1)), F.sum(F.col("label").cast("int"))).toArrow().to_pylist()
-    return Model(lexicon, law, *_fit([tuple(r.values())[1:] for r in bins]))
+    a, b = _fit([tuple(r.values())[1:] for r in bins])
+    del halves, scanned, clean, bins
+    give_back()
+    return Model(lexicon, law, a, b)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, is_training: Callable[[Column], Column], max_train: int = MAX_TRAIN, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
