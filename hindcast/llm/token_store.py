@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm import _tokens
-from hindcast.llm._shared import documents, shared_dir
+from hindcast.llm._shared import documents, give_back, shared_dir
 
 MAGIC = b"HCTS3"
 BLOCK = 2048
@@ -280,6 +280,8 @@ def _write(vocabulary: str, end: int):
                     segment, docs, held, size = segment + 1, [], [], 0
         if docs:
             yield row()
+            del docs, held
+        give_back()
 
     return task
 
@@ -293,6 +295,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, at = decode_blocks(blocks, sum(lengths), Table.unpacked(table)).tobytes(), np.r_[0, np.cumsum(lengths)]
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             n = len(docs)
+            del raw, blocks, table
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(docs, pa.int64()), pa.array(at[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32"])
 
 
