@@ -144,7 +144,7 @@ def _cut(path: str, buckets: int, orders: bool):
             for low, high in slices(at, SLICE):
                 first, strings, many = [np.zeros(1, np.int64)], [], 0
                 for a, b in slices(at[low : high + 1], PART):
-                    pieces = Pieces(data[at[low + a] : at[low + b]], at[low + a : low + b + 1] - at[low + a], True)
+                    pieces = Pieces(data[at[low + a] : at[low + b]], at[low + a : low + b + 1] - at[low + a])
                     strings.append(pieces.strings(np.arange(len(pieces)))), first.append(pieces.first[1:] + many)
                     many += len(pieces)
                 found = pa.concat_arrays(strings).dictionary_encode()

@@ -1,13 +1,13 @@
 """Token-id files: ids in blocks of their own, coded by an adaptive context-mixing range coder, in ascending doc_id order.
 
-Order 0 predicts an id by how often the segment has it: a table of counts stands before the segment's blocks, and ids are laid
-in six bands by that count. Order 1 and order 2 predict what stood last behind the same id, and behind the same two. So an id is
-one of eight symbols: order 2's prediction, order 1's, or its band, within which its share of the counts is its share of the code.
-Three adaptive tables predict the symbol: one for all ids (how much each band, and each prediction, is met of late), one by
-how often order 1's prediction held behind this context, one by the same of order 2; their predictions are mixed with weights
-that follow how well each predicted before. Products and sums are taken one by one in IEEE numbers, and shares of counts in whole
-numbers, so every machine decodes alike. A block starts anew, ends with its CRC-32, and can be decoded by itself with the
-segment's table; the blocks of a segment are coded in step, one numpy lane each.
+Order 0 predicts an id by how often the segment has it, order 1 the id that follows the last one most often in the segment: a
+table of both stands before the segment's blocks. Order 2 predicts what stood last behind the same two ids of the block. So an id
+is order 2's prediction, order 1's, or named by order 0. How likely each prediction holds is learnt in the block: order 2's by how
+often it held behind this context and whether order 1 agrees, order 1's by how often the segment lets its id follow; each of these
+chances is mixed with one of how often the order held of late, by weights that follow how well both predicted before. Products and
+sums are taken one by one in IEEE numbers, and shares of counts in whole numbers, so every machine decodes alike. A block starts
+anew, ends with its CRC-32, and can be decoded by itself with the segment's table; the blocks of a segment are coded in step, one
+numpy lane each, an id by one narrowing of the range.
 
 A segment is a row of a Parquet file: magic, whole documents' ids and lengths, the table (with a CRC-32) and the blocks. Documents are dealt out by
 ranges of doc_id and sorted, so file order is doc_id order; the place of a document in the whole stream is the sum of what
@@ -32,165 +32,180 @@ from pyspark.sql import functions as F
 from hindcast.llm import _tokens
 from hindcast.llm._shared import documents, give_back, shared_dir
 
-MAGIC = b"HCTS3"
+MAGIC = b"HCTS4"
 BLOCK = 2048
 SEGMENT = 1 << 23
-#: Places, by falling count, at which each band begins.
-BANDS = np.array([0, 16, 80, 336, 1360, 5456])
-SYMBOLS = 2 + len(BANDS)
-#: Contexts of a block that orders 1 and 2 each remember; further ones share a place.
+#: Pairs of ids that a block's order 2 remembers; further ones share a place.
 SLOTS = 2048
-#: Bits of the scale that a band's ids share out.
-SHARES = 16
-#: Bits of the scale that symbols share out, of the coder's width, and of a word of output.
-SCALE, WIDTH, WORD = 16, 48, 16
-_LEAST = 1 << (WIDTH - WORD)
-_STEP, _START, _FADE = np.float32(1.0), np.float32(0.05), np.float32(0.04)
-_SHARE = np.float32((1 << SCALE) - SYMBOLS - 8)
+#: Bits of the scale that the two predictions and order 0 share out, and most bits of the one that order 0's ids share out.
+SYMBOLS, SHARES = 14, 20
+#: Bits of the coder's width and of a word of output.
+WIDTH, WORD = 62, 16
+_LEAST, _MASK = np.uint64(1 << (WIDTH - WORD)), np.uint64((1 << WIDTH) - 1)
+#: How fast chances in a context, chances of late and their weights follow what is met; what chances keep from 0 and 1.
+_RATE, _LATE, _FADE, _EDGE = np.float32(0.04), np.float32(0.2), np.float32(0.02), np.float32(0.0005)
+#: Chances of a block's first ids. Order 2, by how sure it is and whether order 1 agrees; order 1, by how often its id follows.
+_FIRST = np.array([0.01, 0.01, 0.2, 0.4, 0.4, 0.6, 0.6, 0.8, 0.003, *(2 ** ((k - 7.5) / 1.5) for k in range(1, 8))], np.float32)
+_ONE, _BITS = np.float32(1), np.float32((1 << SYMBOLS) - 128)
 
 
 class _Encoder:
     """Range encoder of many lanes. A word may hold a carry for the one before it until the end."""
 
     def __init__(self, lanes: int, steps: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << WIDTH, np.int64)
-        self.words, self.at, self.lane = np.zeros((2 * steps + 4, lanes), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 1 << WIDTH, np.uint64)
+        self.words = np.zeros((lanes, 2 * steps + 2), np.uint32)
+        self.start = np.arange(lanes) * self.words.shape[1]
+        self.at = self.start.copy()
 
-    def narrow(self, begin: np.ndarray, size: np.ndarray | int, bits: np.ndarray | int) -> None:
-        part = self.range >> bits
+    def narrow(self, begin: np.ndarray, size: np.ndarray, bits: int) -> None:
+        part = self.range >> np.uint64(bits)
         self.low += begin * part
         self.range = part * size
-        short = self.range < _LEAST
-        self.words.ravel()[self.at * len(self.lane) + self.lane] = self.low >> (WIDTH - WORD)
-        self.at += short
-        # No narrowing takes more than a word, so one shift is enough.
-        shift = short * WORD
+        words, short = self.words.ravel(), self.range < _LEAST
+        words[self.at] = self.low >> np.uint64(WIDTH - WORD)
+        # No narrowing takes more than two words.
+        twice = np.flatnonzero(self.range < np.uint64(1 << (WIDTH - 2 * WORD)))
+        words[self.at[twice] + 1] = self.low[twice] >> np.uint64(WIDTH - 2 * WORD) & np.uint64((1 << WORD) - 1)
+        moves = short.astype(np.int64)
+        moves[twice] = 2
+        shift = moves.view(np.uint64) << np.uint64(4)
         self.range <<= shift
-        self.low = np.where(short, self.low & (_LEAST - 1), self.low) << shift
+        self.low = np.where(short, self.low << shift & _MASK, self.low)
+        self.at += moves
 
     def finish(self) -> list[bytes]:
-        for shift in (WIDTH - WORD, WIDTH - 2 * WORD, 0):
-            self.words.ravel()[self.at * len(self.lane) + self.lane] = self.low >> shift
-            self.low &= (1 << shift) - 1
-            self.at += 1
-        self.words[np.arange(len(self.words))[:, None] >= self.at] = 0
-        for i in range(len(self.words) - 1, 0, -1):
-            self.words[i - 1] += self.words[i] >> WORD
-        raw = np.ascontiguousarray(self.words.T).astype("<u2")
-        return [raw[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
+        # The range is a word's unit at least, so the next multiple of it lies inside.
+        self.words.ravel()[self.at] = self.low + (_LEAST - np.uint64(1)) >> np.uint64(WIDTH - WORD)
+        n = self.at - self.start + 1
+        words = np.ascontiguousarray(self.words[:, : int(n.max())])
+        words[np.arange(words.shape[1]) >= n[:, None]] = 0
+        while (carry := words >> WORD).any():
+            words &= (1 << WORD) - 1
+            words[:, :-1] += carry[:, 1:]
+        raw = words.astype("<u2")
+        return [raw[i, :k].tobytes() for i, k in enumerate(n.tolist())]
 
 
 class _Decoder:
     def __init__(self, blocks: list[bytes]):
-        self.lane, self.at = np.arange(len(blocks)), np.full(len(blocks), 3)
-        self.words = np.zeros((max(map(len, blocks)) // 2 + 4, len(blocks)), np.int64)
+        lanes = len(blocks)
+        words = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), "<u2")
         for i, x in enumerate(blocks):
-            self.words[: len(x) // 2, i] = np.frombuffer(x, "<u2")
-        self.code, self.range = (self.words[0] << 2 * WORD) + (self.words[1] << WORD) + self.words[2], np.full(len(blocks), 1 << WIDTH, np.int64)
-
-    def target(self, bits: np.ndarray | int) -> np.ndarray:
-        """Where the code stands on a scale of 2**bits. Both numbers have 48 bits at most, so the quotient's floor is exact."""
-        return np.minimum((self.code / (self.range >> bits)).astype(np.int64), (1 << bits) - 1)
-
-    def narrow(self, begin: np.ndarray, size: np.ndarray | int, bits: np.ndarray | int) -> None:
-        part = self.range >> bits
-        self.code -= begin * part
-        self.range = part * size
-        short = self.range < _LEAST
-        shift = short * WORD
+            words[i, : len(x) // 2] = np.frombuffer(x, "<u2")
+        first = words[:, :4].astype(np.uint64).T
+        self.code, self.range = (first[0] << np.uint64(46)) + (first[1] << np.uint64(30)) + (first[2] << np.uint64(14)) + (first[3] >> np.uint64(2)), np.full(lanes, 1 << WIDTH, np.uint64)
+        # The 32 bits that may follow, from each place: the coder's width ends 14 bits into a word.
+        self.next = words[:, :-2].astype(np.uint32) << 30
+        self.next |= words[:, 1:-1].astype(np.uint32) << 14
+        self.next |= words[:, 2:] >> 2
+        self.at = np.arange(lanes) * self.next.shape[1] + 3
+
+    def target(self, bits: int) -> np.ndarray:
+        """Where the code stands on a scale of 2**bits."""
+        self.part = self.range >> np.uint64(bits)
+        return np.minimum(self.code // self.part, np.uint64((1 << bits) - 1))
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
+        self.code -= begin * self.part
+        self.range = self.part * size
+        moves = (self.range < _LEAST).astype(np.int64)
+        moves += self.range < np.uint64(1 << (WIDTH - 2 * WORD))
+        shift = moves.view(np.uint64) << np.uint64(4)
         self.range <<= shift
-        word = self.words.ravel().take(np.minimum(self.at, len(self.words) - 1) * len(self.lane) + self.lane)
-        self.code = (self.code << shift) + word * short
-        self.at += short
+        self.code <<= shift
+        self.code += self.next.ravel().take(self.at, mode="clip") >> np.uint64(32) - shift
+        self.at += moves
 
 
 class _Model:
     """Adaptive predictions of many lanes, each for a block of its own."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.guess = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]  # id << 2 | how sure
-        self.kinds = 1, 4, 8  # contexts of each table: none; sureness of order 1; sureness of order 2, and whether both agree
-        self.counts = [np.full((SYMBOLS, lanes * k), _START, np.float32) for k in self.kinds]
-        self.totals = [np.full(lanes * k, _START * SYMBOLS, np.float32) for k in self.kinds]
-        self.weight = [np.full(lanes, 1 / 3, np.float32) for _ in self.kinds]
-        self.up = np.zeros((SYMBOLS + 1, lanes), np.int32)
-        self.last, self.before, self.steps = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), 0
-
-    def predict(self) -> np.ndarray:
-        """The shares of the symbols before each symbol, summed, and the whole scale behind them."""
-        base = self.lane * SLOTS
+    def __init__(self, lanes: int, table: Table):
+        self.table, self.base = table, np.arange(lanes) * SLOTS
+        self.guess = np.zeros(lanes * SLOTS, np.uint32)  # id << 2 | how sure
+        self.chances = np.tile(_FIRST, lanes)
+        self.begin = np.arange(lanes) * len(_FIRST)
+        self.where = np.empty((2, lanes), np.int64)  # chances of order 2 and of order 1 in their contexts
+        self.of_late = np.full((2, lanes), 0.1, np.float32)
+        self.weight = np.full((2, lanes), 0.5, np.float32)
+        self.hit, self.live = np.zeros((2, lanes), np.float32), np.ones((2, lanes), np.float32)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+
+    def predict(self) -> None:
+        """two, one: what orders 2 and 1 predict; their shares of the symbols' scale, and what is left to order 0."""
         # Ids have 16 bits, so these products fit 32.
-        near = self.last * np.uint32(40503)
-        self.slot = base + (near >> 13 & SLOTS - 1), base + ((near ^ self.before * np.uint32(57829)) >> 13 & SLOTS - 1)
-        self.known = [t.take(s, mode="clip") for t, s in zip(self.guess, self.slot, strict=True)]
-        (self.one, sure1), (self.two, sure2) = ((x >> 2, x & 3) for x in self.known)
-        self.sure = sure1, sure2
-        self.where = self.lane, self.lane * 4 + sure1, self.lane * 8 + sure2 * 2 + (self.one == self.two)
-        self.rows, mixed = [], None
-        self.inverse = [np.float32(1) / t.take(w, mode="clip") for t, w in zip(self.totals, self.where, strict=True)]
-        for k, counts in enumerate(self.counts):
-            rows = counts if k == 0 else counts.take(self.where[k], axis=1, mode="clip")
-            part = rows * (self.weight[k] * self.inverse[k] * _SHARE)
-            mixed = part if mixed is None else mixed + part
-            self.rows.append(rows)
-        up = self.up
-        np.copyto(up[1:], mixed, casting="unsafe")
-        up[1:] += 1
-        for i in range(2, SYMBOLS):
-            up[i] += up[i - 1]
-        up[-1] = 1 << SCALE
-        return up
-
-    def span(self, up: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = symbol * len(self.lane) + self.lane
-        return up.ravel().take(at, mode="clip"), up.ravel().take(at + len(self.lane), mode="clip")
-
-    def learn(self, symbol: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.lane)
-        at = symbol * n + self.lane
-        held = [rows.ravel().take(at, mode="clip") for rows in self.rows]
-        worth = [w * h * i for w, h, i in zip(self.weight, held, self.inverse, strict=True)]
-        scale = (np.float32(1) - _FADE) / (worth[0] + worth[1] + worth[2])
-        self.weight = [x * scale + _FADE / np.float32(3) for x in worth]
-        for k, (counts, totals, where) in enumerate(zip(self.counts, self.totals, self.where, strict=True)):
-            counts.ravel()[symbol * (n * self.kinds[k]) + where] = held[k] + _STEP
-            totals[where] += _STEP
-        self.steps += 1
-        if self.steps % 256 == 0:
-            for counts, totals in zip(self.counts, self.totals, strict=True):
-                counts *= np.float32(0.5)
-                counts += _START * np.float32(0.5)
-                totals *= np.float32(0.5)
-                totals += _START * np.float32(0.5 * SYMBOLS)
-        fresh = ids << 2 | 1
-        for table, slot, known, guess, sure in zip(self.guess, self.slot, self.known, (self.one, self.two), self.sure, strict=True):
-            table[slot] = np.where(guess == ids, known + (sure < 3), np.where(sure > 1, known - 1, fresh))
+        slot = self.last * np.uint32(40503)
+        slot ^= self.before * np.uint32(57829)
+        slot >>= 13
+        slot &= SLOTS - 1
+        self.slot = self.base + slot
+        self.known, follows = self.guess.take(self.slot, mode="clip"), self.table.follows.take(self.last, mode="clip")
+        self.two, self.one, self.sure = self.known >> 2, follows >> 3, self.known & 3
+        self.agree = self.two == self.one
+        np.add(self.begin, self.sure << 1 | self.agree, out=self.where[0])
+        np.add(self.begin, (follows & 7) + np.uint32(8), out=self.where[1])
+        self.held = self.chances.take(self.where, mode="clip")
+        two, one = self.of_late + self.weight * (self.held - self.of_late)
+        self.share_two = (two * _BITS).astype(np.int64)
+        self.share_two += 1
+        one *= _BITS
+        one *= _ONE - two
+        self.share_one = one.astype(np.int64)
+        self.share_one += 1
+        self.share_one *= ~self.agree
+        self.rest = (1 << SYMBOLS) - self.share_two - self.share_one
+
+    def span(self, ids: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each id's part of the scale begins, and how large it is."""
+        bits, named = self.table.bits, ~(is_two | is_one)
+        begin = (self.share_two * ~is_two + self.share_one * named << bits) + self.table.begin.take(ids, mode="clip") * (self.rest * named)
+        size = np.where(named, self.table.size.take(ids, mode="clip") * self.rest, np.where(is_two, self.share_two, self.share_one) << bits)
+        return begin.view(np.uint64), size.view(np.uint64)
+
+    def learn(self, ids: np.ndarray, is_two: np.ndarray, is_one: np.ndarray) -> None:
+        hit, live, held, late = self.hit, self.live, self.held, self.of_late
+        hit[0], hit[1] = is_two, is_one
+        live[1] = ~(is_two | self.agree)  # else order 1 wasn't asked
+        miss = _ONE - hit
+        own = np.abs(miss - held)
+        own *= self.weight
+        other = np.abs(miss - late)
+        other *= _ONE - self.weight
+        other += own
+        own /= other
+        own *= _ONE - _FADE
+        own += _FADE / 2
+        own -= self.weight
+        own *= live
+        self.weight += own
+        hit *= _ONE - 2 * _EDGE
+        hit += _EDGE
+        late += (hit - late) * (live * _LATE)
+        hit -= held
+        hit *= live
+        hit *= _RATE
+        hit += held
+        self.chances[self.where] = hit
+        self.guess[self.slot] = np.where(is_two, self.known + (self.sure < 3), np.where(self.sure > 1, self.known - 1, ids << 2 | 1))
         self.before, self.last = self.last, ids
 
 
 class Table:
-    """Order 0 of a segment: each id's band, and where its share of the band begins and how large it is."""
+    """What a segment's blocks are coded by. Order 0: where each id's share of the scale begins and how large it is. Order 1: the id
+    that follows each most often, and how often (a level of 1 to 7; 0 if none is met twice)."""
 
-    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, follower: np.ndarray, level: np.ndarray):
         """ids: ascending and distinct; counts: of each, at least 1."""
-        self.ids, self.counts = ids.astype(np.int64), counts.astype(np.int64)
-        order = np.lexsort((self.ids, -self.counts))
-        edge = np.minimum(np.r_[BANDS, max(len(ids), 1)], len(ids))
-        self.band, self.begin, self.size = (np.zeros(1 << 16, np.int64) for _ in range(3))
-        self.at = np.zeros((len(BANDS), 1 << SHARES), np.uint16)  # the id at each place of a band's scale
-        if len(ids) <= BANDS[-1]:
-            # Bands without ids are an id's that isn't there, so that damaged blocks are decoded to their end, where the CRC tells.
-            absent = np.setdiff1d(np.arange(len(ids) + 1), self.ids)[0]
-            self.at[:], self.size[absent] = absent, 1 << SHARES
-        for k, (low, high) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
-            if high > low:
-                mine = order[low:high]
-                share = 1 + self.counts[mine] * ((1 << SHARES) - (high - low)) // int(self.counts[mine].sum())
-                share[0] += (1 << SHARES) - int(share.sum())
-                here = self.ids[mine]
-                self.band[here], self.size[here], self.begin[here] = k, share, np.cumsum(share) - share
-                self.at[k] = np.repeat(here, share)
+        self.ids, self.counts, self.follower, self.level = ids.astype(np.int64), counts.astype(np.int64), follower.astype(np.int64), level.astype(np.int64)
+        self.bits = min(SHARES, len(ids).bit_length() + 7)
+        self.begin, self.size, self.follows = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << self.bits, np.uint16)  # the id at each place of the scale
+        if len(ids):
+            share = 1 + self.counts * ((1 << self.bits) - len(ids)) // int(self.counts.sum())
+            share[np.argmax(self.counts)] += (1 << self.bits) - int(share.sum())
+            self.begin[self.ids], self.size[self.ids], self.follows[self.ids] = np.cumsum(share) - share, share, self.follower << 3 | self.level
+            self.at[:] = np.repeat(self.ids, share)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Table:
@@ -198,10 +213,19 @@ class Table:
             raise ValueError("ids must be below 65536")
         counts = np.bincount(ids)
         met = np.flatnonzero(counts)
-        return cls(met, counts[met])
+        pairs = np.sort(ids[:-1].astype(np.uint32) << 16 | ids[1:].astype(np.uint32))
+        first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)])
+        n = np.diff(first, append=len(pairs))
+        first, n = first[n > 1], n[n > 1]
+        before, after = pairs[first] >> 16, pairs[first] & 0xFFFF
+        order = np.lexsort((n, before))
+        best = order[np.flatnonzero(np.r_[before[order][1:] != before[order][:-1], True][: len(order)])]
+        follower, level = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        follower[before[best]], level[before[best]] = after[best], np.clip(np.floor(8 + 1.5 * np.log2(n[best] / counts[before[best]])), 1, 7)
+        return cls(met, counts[met], follower[met], level[met])
 
     def packed(self) -> bytes:
-        raw = np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.counts.astype("<u4").tobytes()
+        raw = np.diff(self.ids, prepend=0).astype("<u2").tobytes() + self.counts.astype("<u4").tobytes() + self.follower.astype("<u2").tobytes() + self.level.astype("u1").tobytes()
         return zlib.crc32(raw).to_bytes(4, "little") + zlib.compress(raw, 9)
 
     @classmethod
@@ -210,10 +234,10 @@ class Table:
             raw = zlib.decompress(data[4:])
         except zlib.error:
             raw = b""
-        n = len(raw) // 6
-        if zlib.crc32(raw) != int.from_bytes(data[:4], "little") or len(raw) != 6 * n:
+        n = len(raw) // 9
+        if zlib.crc32(raw) != int.from_bytes(data[:4], "little") or len(raw) != 9 * n:
             raise ValueError("a table of token ids is damaged")
-        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 2 * n))
+        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n), np.frombuffer(raw, "u1", n, 8 * n))
 
 
 def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
@@ -222,15 +246,13 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     grid = np.full(lanes * steps, table.ids[0] if len(ids) else 0, np.uint32)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    coder, model = _Encoder(lanes, steps), _Model(lanes)
+    coder, model = _Encoder(lanes, steps), _Model(lanes, table)
     for now in grid:
-        up = model.predict()
-        symbol = np.where(now == model.two, 0, np.where(now == model.one, 1, table.band.take(now) + 2))
-        begin, end = model.span(up, symbol)
-        coder.narrow(begin, end - begin, SCALE)
-        named = symbol > 1
-        coder.narrow(table.begin.take(now) * named, np.where(named, table.size.take(now), 1), SHARES * named)
-        model.learn(symbol, now)
+        model.predict()
+        is_two = now == model.two
+        is_one = (now == model.one) & ~is_two
+        coder.narrow(*model.span(now, is_two, is_one), SYMBOLS + table.bits)
+        model.learn(now, is_two, is_one)
     raw = ids.astype("<u4").tobytes()
     return [x + zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]).to_bytes(4, "little") for i, x in enumerate(coder.finish())]
 
@@ -238,21 +260,19 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
 def decode_blocks(blocks: list[bytes], total: int, table: Table) -> np.ndarray:
     lanes, steps = len(blocks), min(BLOCK, total)
     grid = np.zeros((steps, lanes), np.uint32)
-    coder, model, at = _Decoder([x[:-4] for x in blocks]), _Model(lanes), table.at.ravel()
-    for t in range(steps):
-        up = model.predict()
-        target, symbol = coder.target(SCALE).astype(np.int32), np.zeros(lanes, np.int8)
-        for i in range(1, SYMBOLS):
-            symbol += up[i] <= target
-        symbol = symbol.astype(np.int64)
-        begin, end = model.span(up, symbol)
-        coder.narrow(begin, end - begin, SCALE)
-        named = symbol > 1
-        bits = SHARES * named
-        found = at.take((np.maximum(symbol - 2, 0) << SHARES) + coder.target(bits))
-        coder.narrow(table.begin.take(found) * named, np.where(named, table.size.take(found), 1), bits)
-        grid[t] = np.where(named, found, np.where(symbol == 1, model.one, model.two))
-        model.learn(symbol, grid[t])
+    coder, model = _Decoder([x[:-4] for x in blocks]), _Model(lanes, table)
+    for now in grid:
+        model.predict()
+        target = coder.target(SYMBOLS + table.bits).view(np.int64)
+        over = target - (model.share_two << table.bits)
+        is_two = over < 0
+        over -= model.share_one << table.bits
+        is_one = (over < 0) & ~is_two
+        # Below 2**34 by 2**14 at most: the quotient's floor is exact.
+        found = table.at.take((over / model.rest).astype(np.int64), mode="clip")
+        now[:] = np.where(is_two, model.two, np.where(is_one, model.one, found))
+        coder.narrow(*model.span(now, is_two, is_one))
+        model.learn(now, is_two, is_one)
     ids = grid.T.ravel()[:total].astype("<u4")
     for i, x in enumerate(blocks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != int.from_bytes(x[-4:], "little"):
