@@ -25,7 +25,7 @@ common with P is taken away: with A' and B' the symmetric differences of A and B
 keys, and again each document leaves as many of its largest buckets as it can spare. Near copies of one text whose changes
 differ share no key then. Documents that share one meet in blocks of 256 x 256 rows. All links are verified on the sets.
 
-Copies (equal sets) are grouped by a 128-bit hash before any of this, and one per batch takes part.
+Copies (equal sets) are grouped by a 128-bit hash before any of this, and the smallest document of each takes part alone.
 
 Defined results: A-Z is lower-cased, words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words has one member, the
 whole; a null or empty text, or one without words, has an empty set, links with nothing and is its own component. Members
@@ -182,6 +182,17 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.withColumn("slot", slot).join(F.broadcast(known), "slot").where(F.col("bits").bitwiseAND(mask) != 0).select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents that no row of `gone` names. A bit map of eight bits a row or more (up to 2**26 in all) tells of most that they
+    stay, where they lie; the others, with their texts, are joined."""
+    size = max(FILTER_BITS, min(1 << 26, 1 << (8 * gone.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(size))
+    slot, mask = F.shiftright(bit, 6).alias("slot"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(doc_id), {size}) & 63 AS int))")
+    known = gone.select(slot, mask.alias("mask")).groupBy("slot").agg(F.bit_or("mask").alias("bits"))
+    marked = docs.withColumn("slot", slot).join(F.broadcast(known), "slot", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False)))
+    return marked.where("NOT maybe").select(*docs.columns).union(marked.where("maybe").select(*docs.columns).join(gone, "doc_id", "left_anti"))
+
+
 def _sketch(members: np.ndarray) -> np.ndarray:
     """The parity sketch as 64-bit words, two bits or more for each member, a power of two in all."""
     bits = max(256, 1 << (2 * len(members) - 1).bit_length())
@@ -362,8 +373,13 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     links = stored(copies.join(salted, ["class_a", "class_b", "n_shingles", "salt"]).select(F.col("doc_id").alias("a"), "b").where("a <> b"), "links")
 
     per_key = Window.partitionBy("key")
-    keys = named.mapInArrow(_keys(n, percent), "key long, doc_id long")
+    # A copy that isn't its class's leader has the leader's links, so it needs no keys; ids that several sets share keep theirs.
+    kind = F.struct("class_a", "class_b", "n_shingles")
+    single = sized.groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low = high")
+    gone = stored(links.select(F.col("a").alias("doc_id")).distinct().join(single, "doc_id", "left_semi"), "gone")
+    keys = _without(named, gone).mapInArrow(_keys(n, percent), "key long, doc_id long")
     buckets = stored(keys.withColumn("pivot", F.min("doc_id").over(per_key)).withColumn("last", F.max("doc_id").over(per_key)).where("pivot < last").drop("last"), "buckets")
+    discard(gone)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):

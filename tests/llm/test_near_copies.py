@@ -68,3 +68,24 @@ def test_spared_keys_leave_one_to_linked_sets():
         met += 1
         assert len(np.intersect1d(*left))
     assert met > 300 and spared > 1000
+
+def test_copies_have_no_buckets(spark, monkeypatch):
+    """Copies that lie in different batches make no rows of buckets; a repeated id that is a copy with one of its texts keeps the links of the other."""
+    kept = {}
+
+    def stored(df, name, **more):
+        out = real(df, name, **more)
+        kept.setdefault(name, []).append(out.count())
+        return out
+
+    real = N.stored
+    monkeypatch.setattr(N, "stored", stored)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)]
+    rows = [(100 * k + i, t) for k in range(4) for i, t in enumerate(texts)]
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {d: d % 100 for d, _ in rows}
+    assert kept["buckets"] == [0]
+    near = texts[1] + " and more"
+    rows = [(5, texts[0]), (7, texts[0]), (7, texts[1]), (9, near), (3, texts[2]), (11, texts[2])]
+    got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(3, 3), (5, 5), (7, 5), (7, 5), (9, 5), (11, 3)]
