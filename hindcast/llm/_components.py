@@ -1,4 +1,4 @@
-"""Connected components of a table of links, as rounds of two joins (large star, small star) until nothing changes."""
+"""Connected components of a table of links, as rounds of two joins (large star, small star) until all are stars."""
 
 from __future__ import annotations
 
@@ -9,24 +9,25 @@ from hindcast.llm._shared import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links: a long, b long. Returns id, component (the smallest id reachable) for every id that a link names.
+    """links: a long, b long, a table that costs little to read again. Returns id, component (the smallest id reachable) for every id
+    that a link names.
 
     Each round points larger ids at the smallest known neighbour: first every node's larger neighbours, then its smaller
     ones. Neighbour minima are combined before the shuffle and joined back, so no node's neighbours meet in one row, and
-    Spark can split the join of a node with very many. Rounds grow with the logarithm of the longest path.
+    Spark can split the join of a node with very many. Rounds grow with the logarithm of the longest path. They end as soon as
+    every id has one link to an id that has none to a smaller, which one count tells.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    edges, older = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        older, edges = edges, stored(small.where("u <> v").distinct(), "edges")
-        discard(older)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        edges = stored(small.where("u <> v").distinct(), "edges")
+        if older is not None:
+            discard(older)
+        older = edges
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").count():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now

@@ -10,12 +10,12 @@ size and, where a larger partner may stand in the next band, that one too.
 An empty segment carries no key. Where a set fills too few segments to rule out that every filled one was hit (short sets,
 mostly), it also enters its (100-p) % + 1 smallest members as keys; two such sets share one of them if they link.
 
-Candidates are not expanded into pairs. Each bucket has a pivot, its smallest document. First every document is checked
+Candidates are not expanded into pairs. Each bucket has a pivot, the smallest document of its smallest component. First every document is checked
 against the pivot it shares most segments with; links become components; buckets whose documents are of one component are
 done. A set with s keys in a band, of which a link may change d, shares s - d of them or more: of the buckets that are left,
 each document leaves its s - d - 1 largest, in one order of all keys, so that the smallest it shares with a link stays. Then
 the documents of the buckets that are left are checked against the pivots of all their buckets, each pair once and at most
-one a bucket's row, again and again until no link is found.
+one a bucket's row. From then on a bucket keeps its pivot, whatever components become one, so once is enough.
 
 What is left then are documents of different components that share a bucket, each known not to link with its pivot P or to be
 of P's component. In blocks of 1024 x 1024 rows, dense sketches (their Hamming distance is at most the symmetric difference
@@ -306,19 +306,20 @@ def _near(g: dict[str, np.ndarray], sketches: list[np.ndarray], percent: int) ->
         low = high
 
 
-def _near_rows(percent: int):
-    """Rows of each block whose sketch allows a link with another of it, of a different component; of a pivot, each document once a task."""
+def _near_rows(percent: int, told_of: tuple[str, ...] = ("pivot", "doc_id")):
+    """Rows of each block whose sketch allows a link with another of it, of a different component; of a pivot, each document once a task.
+    told_of: the columns that tell so."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[tuple[int, int]] = set()
+        told: set[tuple] = set()
         for g in _whole_groups(batches, ["key", "p", "q"]):
             near = np.zeros(len(g["doc_id"]), bool)
             for i, j in _near(g, [np.frombuffer(x, np.uint64) for x in g["packed"]], percent):
                 near[i] = near[j] = True
-            rows = {*zip(g["pivot"][near].tolist(), g["doc_id"][near].tolist(), strict=True)} - told
+            rows = {*zip(*(g[c][near].tolist() for c in told_of), strict=True)} - told
             told = told | rows if len(told) < 1 << 18 else rows
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(rows), strict=True)], ["pivot", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*sorted(rows), strict=True))], [*told_of])
 
     return task
 
@@ -378,15 +379,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
     single = sized.groupBy("doc_id").agg(F.min(kind).alias("low"), F.max(kind).alias("high")).where("low = high")
     gone = stored(links.select(F.col("a").alias("doc_id")).distinct().join(single, "doc_id", "left_semi"), "gone")
     keys = _without(named, gone).mapInArrow(_keys(n, percent), "key long, doc_id long")
-    buckets = stored(keys.withColumn("pivot", F.min("doc_id").over(per_key)).withColumn("last", F.max("doc_id").over(per_key)).where("pivot < last").drop("last"), "buckets")
-    discard(gone)
 
     def plausible(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}")), side)
-        pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-        for side in ("a", "b"):
-            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+            pairs = pairs.join(sized.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
         return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_plausible(percent), "a long, b long")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -403,38 +399,43 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         so_far = left.withColumn("kind", F.col("key").bitwiseAND(KINDS - 1)).withColumn("so_far", F.sum("same").over(ranked))
         return so_far.join(spares, ["doc_id", "kind"], "left").where(F.col("so_far") > F.coalesce("spare", F.lit(0))).select("key", "doc_id", "same")
 
-    def unresolved(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of buckets that hold documents of several components; of buckets that hold the same documents, one of each kind of key,
-        and how many it stands for: those of one number of rows, XOR of hashes (in which an id that occurs twice cancels) and sum of
-        others (in which it doesn't)."""
-        marked = buckets.select("key", "doc_id", "same").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "same", F.coalesce("component", "doc_id").alias("comp"))
-        spread = marked.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key), "weight": F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).over(per_key)}).where("low < high")
-        first = spread.withColumn("pivot", F.min(F.when(F.col("comp") == F.col("low"), F.col("doc_id"))).over(per_key))
+    def unresolved(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold documents of several components, with the bucket's pivot, which stays if rows name one; of buckets
+        that hold the same documents, one of each kind of key, and how many it stands for: those of one number of rows, XOR of hashes
+        (in which an id that occurs twice cancels) and sum of others (in which it doesn't)."""
+        pivot = F.struct("comp", "doc_id")
+        pivot = F.when(F.col("doc_id") == F.col("pivot"), pivot) if "pivot" in rows.columns else pivot
+        spread = rows.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key)}).where("low < high").drop("low", "high")
+        first = spread.withColumns({"pivot": F.min(pivot).over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key), "weight": F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).over(per_key)})
         kind = F.col("key").bitwiseAND(KINDS - 1).alias("kind")
-        once = first.groupBy("n", "alike", "weight", kind, "doc_id", "comp", "pivot", F.col("low").alias("pivot_comp")).agg(F.min("key").alias("key"), F.sum("same").alias("same"))
+        once = first.groupBy("n", "alike", "weight", kind, "doc_id", "comp", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")).agg(F.min("key").alias("key"), F.sum("same").alias("same"))
         return once.select("key", "doc_id", "comp", "pivot", "pivot_comp", "n", "same")
 
-    comps = components(links)
-    left = stored(unresolved(buckets.withColumn("same", F.lit(1).cast("long")), comps), "left")
-    discard(buckets)
-    tried = None
-    while left.head() is not None:
+    def with_comps(rows: DataFrame, comps: DataFrame, *more: str) -> DataFrame:
+        return rows.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "same", F.coalesce("component", "doc_id").alias("comp"), *more)
+
+    def merged(comps: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components of all links so far: those known are stars, which say as much as the links that they came from."""
+        return components(found.union(comps.select("id", "component") if comps is not None else links))
+
+    # Before any link is found every document stands for itself.
+    left = stored(unresolved(keys.select("key", "doc_id", F.lit(1).cast("long").alias("same"), F.col("doc_id").alias("comp"))), "buckets")
+    discard(gone)
+    comps, tried = None, None
+    for first in (True, False):
+        if left.head() is None:
+            break
         shared = left.where("comp <> pivot_comp").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-        if tried is None:
+        if first:
             best = shared.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("inverse"))).alias("best"))
-            tried = asked = stored(best.select("a", (-F.col("best.inverse")).alias("b")), "tried")
+            asked = tried = stored(best.select("a", (-F.col("best.inverse")).alias("b")), "tried")
         else:
-            asked = stored(shared.select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
-            tried = tried.union(asked)
+            asked = shared.select("a", "b").join(tried, ["a", "b"], "left_anti")
         pairs = stored(plausible(asked), "pairs")
-        found = stored(verified(pairs), "links")
+        comps = merged(comps, stored(verified(pairs), "links"))
         discard(pairs)
-        if found.head() is None and tried is not asked:
-            break
-        links = links.union(found)
-        comps = components(links)
         # The first answers leave few of the buckets that near copies share; what is shared beyond them is thinned out, once.
-        older, left = left, stored(unresolved(thinned(left) if tried is asked else left, comps), "left")
+        older, left = left, stored(unresolved(with_comps(thinned(left), comps) if first else with_comps(left, comps, "pivot")), "left")
         discard(older)
 
     if left.head() is not None:
@@ -443,13 +444,11 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
             """All rows of a key meet in blocks, in the order of doc_id."""
             rank = F.row_number().over(per_key.orderBy("doc_id")) - 1
             placed = rows.withColumn("block", F.floor(rank / size).cast("int")).withColumn("most", F.max("block").over(per_key))
-            paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp", "pivot")
+            paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("most")))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "comp", "pivot", (F.col("comp") != F.col("pivot_comp")).alias("outside"))
             return paired.join(members, "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc_id")
 
         sketches = sized.select("doc_id", F.col("n_shingles").alias("size"), F.col("sketch").alias("packed"))
-        near = blocks(left, sketches, SKETCHES).mapInArrow(_near_rows(percent), "pivot long, doc_id long").distinct()
-        outside = left.groupBy("pivot", "doc_id").agg(F.max(F.col("comp") != F.col("pivot_comp")).alias("outside"))
-        near = stored(near.join(outside, ["pivot", "doc_id"]), "near")
+        near = stored(blocks(left, sketches, SKETCHES).mapInArrow(_near_rows(percent, ("pivot", "doc_id", "outside")), "pivot long, doc_id long, outside boolean").distinct(), "near")
         ids = near.select("doc_id").union(near.select("pivot")).distinct()
         sets = stored(_wanted(named, ids).mapInArrow(_chosen_sets(n), "doc_id long, size long, packed binary").join(ids, "doc_id", "left_semi"), "sets")
         facing = near.join(sets.select("doc_id", F.col("packed").alias("set_a")), "doc_id").join(sets.select(F.col("doc_id").alias("pivot"), F.col("packed").alias("set_b")), "pivot")
@@ -458,11 +457,12 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         ranked = Window.partitionBy("family", "doc_id").orderBy(F.col("n").desc(), "key")
         least = F.min("spare").over(Window.partitionBy("family", "doc_id"))
         kept = apart.join(counts, "key").withColumn("rank", F.row_number().over(ranked)).withColumn("least", least).where("rank > least AND n > 1")
-        left_apart = stored(unresolved(kept.select("key", "doc_id", F.lit(1).cast("long").alias("same")), comps), "left")
-        links = links.union(stored(blocks(left_apart, sets, SETS).mapInArrow(_block_links(percent), "a long, b long"), "links"))
-        comps = components(links)
+        left_apart = stored(unresolved(with_comps(kept.select("key", "doc_id", F.lit(1).cast("long").alias("same")), comps)), "left")
+        comps = merged(comps, stored(blocks(left_apart, sets, SETS).mapInArrow(_block_links(percent), "a long, b long"), "links"))
         discard(near, sets, apart, left_apart, left)
-    if tried is not None:
+    if comps is None:
+        comps = components(links)
+    else:
         discard(tried)
     return profile.join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

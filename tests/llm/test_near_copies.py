@@ -89,3 +89,24 @@ def test_copies_have_no_buckets(spark, monkeypatch):
     rows = [(5, texts[0]), (7, texts[0]), (7, texts[1]), (9, near), (3, texts[2]), (11, texts[2])]
     got = N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(3, 3), (5, 5), (7, 5), (7, 5), (9, 5), (11, 3)]
+
+
+def test_rounds_of_links_make_few_stages(spark):
+    """Pivots stay from the second round on, stars are seen to be stars by one count: links that meet only through several texts ask for no more rounds."""
+    rng, rows = random.Random(8), []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for k in range(10):
+            words[(37 * k + 3) % 120] = f"f{family}x{k}"
+            rows.append((rng.randrange(10**6) * 1000 + len(rows), " ".join(words)))
+    rows += [(d + 10**10, t) for d, t in near_copies(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.sparkContext.setJobGroup("rounds", "rounds of links")
+    try:
+        got = {r[0]: tuple(r[1:]) for r in N.ngram_components(df).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == brute_components(rows)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) < 250
