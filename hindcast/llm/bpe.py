@@ -12,7 +12,7 @@ a place, which holds a << 32 | b << 16 | rank. A lookup is two reads and a XOR w
 number beyond all ranks. (Spark looks a map literal up by scanning it.)
 
 Scale: a piece is folded once, however many slices hold it. Distinct pieces of slices, their ids, and the order of pieces in
-each slice are shuffled, packed as bytes; texts are read and cut twice instead of being shuffled. There are twice as many buckets as
+each slice are shuffled, packed as bytes and compressed by zstd; texts are read and cut twice instead of being shuffled. There are twice as many buckets as
 input partitions, so memory is a slice's or a bucket's. A step of
 the fold copies a piece's ids, so long pieces take time in the square of their length (4,000 bytes a third of a second);
 pieces of over LONG bytes would take minutes to hours, so a heap merges them beforehand: the same merges in the same order.
@@ -123,13 +123,24 @@ def _known(path: str, what: str, make: Callable[[dict[bytes, int]], object]):
     return _made[path, what]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit integers, all low bytes first: shuffles compress them better so."""
-    return np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(numbers: np.ndarray, kind: str = "<i4") -> bytes:
+    """Integers, all low bytes first: they compress better so."""
+    numbers = numbers.astype(kind)
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _numbers(planes: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(data: bytes) -> bytes:
+    """What is shuffled, its length first: a shuffle's own codec only finds repeats, this one codes bytes by their frequency too."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unpacked(data: pa.Buffer) -> pa.Buffer:
+    n = int.from_bytes(data[:8].to_pybytes(), "little")
+    return pa.Codec("zstd").decompress(data[8:], n) if n else pa.py_buffer(b"")
 
 
 def _cut(path: str, buckets: int, orders: bool):
@@ -157,14 +168,14 @@ def _cut(path: str, buckets: int, orders: bool):
                 if orders:
                     place = np.empty_like(turn)
                     place[turn] = np.arange(len(turn))
-                    columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([_planes(np.concatenate(first))]), pa.array([_planes(place[order])]), pa.array([_planes(whole[turn[:tokens]])]), pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64()))]
+                    columns = [pa.array([number]), pa.array([-1], pa.int32()), pa.array([_packed(_planes(np.concatenate(first)))]), pa.array([_packed(_planes(place[order]))]), pa.array([_packed(_planes(whole[turn[:tokens]]))]), pa.array([batch.column("doc_id")[low:high].to_pylist()], pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "counts", "packed", "tokens", "docs"])
                 elif tokens < len(turn):
                     raw, bounds = texts(held)
                     sizes, ranked = np.diff(bounds), bucket[turn[tokens:]]
                     begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
                     parts = np.split(turn[tokens:], begins[1:])
-                    columns = [pa.array(np.full(len(parts), number)), pa.array(ranked[begins].astype(np.int32)), pa.array([_planes(sizes[x]) for x in parts]), pa.array([raw[spread(sizes, x, bounds[:-1])].tobytes() for x in parts])]
+                    columns = [pa.array(np.full(len(parts), number)), pa.array(ranked[begins].astype(np.int32)), pa.array([_packed(_planes(sizes[x])) for x in parts]), pa.array([_packed(raw[spread(sizes, x, bounds[:-1])].tobytes()) for x in parts])]
                     yield pa.RecordBatch.from_arrays(columns, ["slice", "bucket", "counts", "packed"])
                 number += 1
             give_back()
@@ -186,8 +197,8 @@ def _distinct(path: str):
         single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         given = pa.Table.from_batches(held)
         del held
-        sizes = [_numbers(x.as_buffer()) for x in given["counts"]]
-        raw = b"".join(given["packed"].to_pylist())
+        sizes = [_numbers(_unpacked(x.as_buffer())) for x in given["counts"]]
+        raw = b"".join(_unpacked(x.as_buffer()) for x in given["packed"])
         found = pa.Array.from_buffers(pa.large_binary(), sum(map(len, sizes)), [None, pa.py_buffer(np.r_[0, np.cumsum(np.concatenate(sizes), dtype=np.int64)]), pa.py_buffer(raw)]).dictionary_encode()
         raw, ends = texts(found.dictionary)
         ids, n = single[raw], np.diff(ends)
@@ -224,7 +235,7 @@ def _given_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, counts, packed = np.diff(at), [], []
         for x in rows.column("order"):
             which = _numbers(x.as_buffer())
-            counts.append(_planes(n[which])), packed.append(flat[spread(n, which, at[:-1])].astype("<u2").tobytes())
+            counts.append(_packed(_planes(n[which]))), packed.append(_packed(_planes(flat[spread(n, which, at[:-1])], "<u2")))
         yield pa.RecordBatch.from_arrays([rows.column("slice"), rows.column("bucket"), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], ["slice", "bucket", "counts", "packed"])
 
 
@@ -317,14 +328,14 @@ def _assemble(path: str):
         now = None
         for batch in batches:
             for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                counts, packed = (batch.column(c)[i].as_buffer() for c in ("counts", "packed"))
+                counts, packed = (_unpacked(batch.column(c)[i].as_buffer()) for c in ("counts", "packed"))
                 if bucket < 0:
                     if now:
                         yield from whole(*now)
-                    alone = _numbers(batch.column("tokens")[i].as_buffer())
+                    alone = _numbers(_unpacked(batch.column("tokens")[i].as_buffer()))
                     now = batch.column("docs")[i].values, _numbers(counts), _numbers(packed), [np.ones(len(alone), np.int32)], [alone]
                 else:
-                    now[3].append(_numbers(counts)), now[4].append(np.frombuffer(packed, "<u2").astype(np.int32))
+                    now[3].append(_numbers(counts)), now[4].append(_numbers(packed, "<u2").astype(np.int32))
             give_back()
         if now:
             yield from whole(*now)

@@ -223,6 +223,22 @@ def test_byte_bpe_folds_a_piece_once(spark):
     assert sorted((str(r["doc_id"]), tuple(r["ids"]), bytes(r["decoded"])) for r in got) == sorted((str(i), tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows)
 
 
+def test_byte_bpe_shuffles_few_bytes(spark):
+    """What both cuts of a slice send on takes, by LZ4 as shuffles have it, a fifth of the texts at most; numbers come back as they were."""
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), np.random.default_rng(4)
+    words = np.array(["".join(rng.choice([*"etaoinshrdluc"], rng.integers(2, 10))) for _ in range(6000)])
+    rows = [(i, " ".join(words[np.minimum(rng.zipf(1.3, 3000), 6000) - 1])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kind = "slice long, bucket int, counts binary, packed binary"
+    sent = df.mapInArrow(bpe._cut(path, 4, False), kind).collect() + df.mapInArrow(bpe._cut(path, 4, True), kind + ", tokens binary, docs array<long>").collect()
+    size = sum(min(len(v), len(pa.compress(bytes(v), "lz4", asbytes=True))) for r in sent for v in r if isinstance(v, bytes | bytearray))
+    assert size < 0.2 * sum(len(text) for _, text in rows)
+    for numbers in ([], [0], [1, 70_000, 2**31 - 1] * 500):
+        assert bpe._numbers(bpe._unpacked(pa.py_buffer(bpe._packed(bpe._planes(np.array(numbers, np.int64)))))).tolist() == numbers
+
+
 # ---------------------------------------------------------------- op2
 
 
