@@ -405,7 +405,10 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         (in which an id that occurs twice cancels) and sum of others (in which it doesn't)."""
         pivot = F.struct("comp", "doc_id")
         pivot = F.when(F.col("doc_id") == F.col("pivot"), pivot) if "pivot" in rows.columns else pivot
-        spread = rows.withColumns({"low": F.min("comp").over(per_key), "high": F.max("comp").over(per_key)}).where("low < high").drop("low", "high")
+        comp = "comp" if "comp" in rows.columns else "doc_id"
+        spread = rows.withColumns({"low": F.min(comp).over(per_key), "high": F.max(comp).over(per_key)}).where("low < high").drop("low", "high")
+        if comp == "doc_id":  # no link is known yet: all keys are shuffled without what follows from them
+            spread = spread.withColumns({"comp": F.col("doc_id"), "same": F.lit(1).cast("long")})
         first = spread.withColumns({"pivot": F.min(pivot).over(per_key), "n": F.count(F.lit(1)).over(per_key), "alike": F.expr("bit_xor(xxhash64(doc_id))").over(per_key), "weight": F.sum(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 31))).over(per_key)})
         kind = F.col("key").bitwiseAND(KINDS - 1).alias("kind")
         once = first.groupBy("n", "alike", "weight", kind, "doc_id", "comp", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp")).agg(F.min("key").alias("key"), F.sum("same").alias("same"))
@@ -419,7 +422,7 @@ def ngram_components(df: DataFrame, n: int = 5, percent: int = 75, id_col: str =
         return components(found.union(comps.select("id", "component") if comps is not None else links))
 
     # Before any link is found every document stands for itself.
-    left = stored(unresolved(keys.select("key", "doc_id", F.lit(1).cast("long").alias("same"), F.col("doc_id").alias("comp"))), "buckets")
+    left = stored(unresolved(keys), "buckets")
     discard(gone)
     comps, tried = None, None
     for first in (True, False):
