@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.operators.boosting import boosted_area
-from hindcast.operators.profile import column_kinds, type_class
+from hindcast.operators.profile import EXACT_UP_TO, column_kinds, type_class
 from hindcast.operators.ranks import roc_auc, value_ranks
 
 NEWEST, MIDDLE = 0.97, (0.4, 0.8)
@@ -234,7 +234,7 @@ class AuditTable:
     kinds: dict[str, str] = field(default_factory=dict)
 
     def known_kinds(self) -> dict[str, str]:
-        return self.kinds or {r["column"]: r["kind"] for r in column_kinds(self.df).select("column", "kind").collect()}  # one row a column
+        return self.kinds or {r["column"]: r["kind"] for r in column_kinds(self.df, exact_up_to=EXACT_UP_TO).select("column", "kind").collect()}  # one row a column
 
 
 def audit_tables(tables: dict[str, AuditTable], entity: str, labels: DataFrame, priors: DataFrame, mode: str = "both", task_type: str = "binary", method: str = "cells") -> DataFrame:

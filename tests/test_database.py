@@ -61,6 +61,15 @@ def test_sketched_profile_shuffles_no_values(spark):
     assert got["b"]["n_distinct"] == pytest.approx(100_000, rel=0.05)
 
 
+def test_distinct_values_of_large_tables_are_counted(spark):
+    """Over a million rows, and counts that no decision is near to."""
+    n = F.col("id")
+    df = spark.range(1_200_000).select((n % 300_007).alias("a"), F.concat(F.lit("x"), n % 200_003).alias("b"), F.when(n % 4 > 0, (n % 90_001) / 100).alias("c"))
+    want = {"a": (1_200_000, 300_007), "b": (1_200_000, 200_003), "c": (900_000, 90_001)}
+    for found in (profile.profile(df), profile.column_kinds(df)):
+        assert {c: (r["n_values"], r["n_distinct"]) for c, r in facts(found).items()} == want
+
+
 def test_top_values_by_sketch(spark, star):
     lines = star["lineitem"].select("order_id", "linenumber", "returnflag", "shipdate")
     for tracked in (1000, 10_000):
