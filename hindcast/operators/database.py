@@ -47,12 +47,12 @@ class TableMeta:
 Database = dict[str, TableMeta]
 
 
-def profiled(df: DataFrame, exact_up_to: int | None = EXACT_UP_TO) -> dict[str, dict[str, Any]]:
+def profiled(df: DataFrame, exact_up_to: int | None = None) -> dict[str, dict[str, Any]]:
     """The profile's row of each column."""
     return {r["column"]: r.asDict() for r in column_kinds(df, None, exact_up_to).collect()}
 
 
-def discover(tables: Mapping[str, DataFrame], hints: dict[str, str] | None = None, exact_up_to: int | None = EXACT_UP_TO) -> Database:
+def discover(tables: Mapping[str, DataFrame], hints: dict[str, str] | None = None, exact_up_to: int | None = None) -> Database:
     """Keys, links and event times from the data; a borrowed event time becomes a column of its table."""
     tables = dict(tables)
     columns = {name: profiled(df, exact_up_to) for name, df in tables.items()}
@@ -106,7 +106,7 @@ def entity_candidates(db: Database) -> list[str]:
     return [name for name, t in db.items() if t.key and events_of(name, links, {n: x.time for n, x in db.items()})]
 
 
-def description(db: Database, samples: int = 3, exact_up_to: int | None = EXACT_UP_TO) -> DataFrame:
+def description(db: Database, samples: int = 3, exact_up_to: int | None = None) -> DataFrame:
     """table, role (event or item), n_rows, key, time, via, columns: one row a table.
 
     columns: in the table's order, with the column's role (key, link, event time, else its kind), the parent it links to, distinct
@@ -116,7 +116,7 @@ def description(db: Database, samples: int = 3, exact_up_to: int | None = EXACT_
     for name, t in db.items():
         known = t.columns or profiled(t.df, exact_up_to)
         rows = max((r["n_rows"] for r in known.values()), default=0)
-        often = sketched_top_values if exact_up_to is not None and rows > exact_up_to else top_values
+        often = sketched_top_values if rows > (EXACT_UP_TO if exact_up_to is None else exact_up_to) else top_values  # the same values
         shown = [c for c in t.df.columns if c in known]
         role = lambda c: "key" if c == t.key else "link" if c in t.links else "event time" if c == t.time else known[c]["kind"]  # noqa: E731, B023
         facts = t.df.sparkSession.createDataFrame(

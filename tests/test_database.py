@@ -126,6 +126,16 @@ def test_a_keyless_child_chooses_among_own_and_parents_times(spark, star):
     assert relations.time_options("c", ["at"], [("c", "x", "p"), ("c", "y", "q")], {"p": "made", "q": None}) == {"at": None, "p.made": ("x", "p", "made")}
 
 
+def test_description_of_a_large_table(spark):
+    """Over a million rows: distinct values are counted, and samples are the most frequent values."""
+    n = F.col("id")
+    df = spark.range(1_200_000).select(n.alias("reading_id"), F.when(n % 2 == 0, 7).otherwise(n % 200_003).alias("size"))
+    found = database.description(database.discover({"readings": df})).first()
+    columns = {c["column"]: c for c in found["columns"]}
+    assert (found["n_rows"], found["key"], columns["reading_id"]["n_distinct"]) == (1_200_000, "reading_id", 1_200_000)
+    assert columns["size"]["n_distinct"] == df.select("size").distinct().count() and columns["size"]["samples"][0] == "7"
+
+
 def test_metadata_travel(spark, star, tmp_path):
     """Found, written, read back and taken as declared: the same keys, times, links and description."""
     found = database.discover({t: star[t] for t in ("customer", "orders", "nation")}, Q.STAR_HINTS)
