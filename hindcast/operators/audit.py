@@ -18,6 +18,8 @@ BINS, LEAST_ROWS = 32, 40
 SNIFFED_ROWS, SNIFFED = 1000, 20
 #: Label rows that boosted trees are fitted to.
 BOOSTED_ROWS = 1200
+#: Digits after the point that means and their products are taken to before they are compared or rounded further.
+STEADY = 12
 #: Ways that dates are written as text, besides the ISO forms.
 DATE_FORMS = ("yyyy/MM/dd", "dd/MM/yyyy", "dd.MM.yyyy", "dd-MM-yyyy")
 
@@ -192,9 +194,13 @@ def with_priors(columns: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def decide(evidence: DataFrame) -> DataFrame:
-    """evidence: prior, evidence (null where the data can't tell). Adds score and verdict."""
-    p, e = F.col("prior"), F.col("evidence")
-    score = F.when(e.isNull(), p).otherwise(1 - (1 - p) * (1 - e))
+    """evidence: prior, evidence (null where the data can't tell). Adds score and verdict.
+
+    The last bits of a mean of doubles hang on the order in which its rows were met. All three are taken to STEADY digits first, so
+    that a limit that is met, or a half that is rounded up, is so in every order and by every number of tasks.
+    """
+    p, e = F.round("prior", STEADY), F.round("evidence", STEADY)
+    score = F.round(F.when(e.isNull(), p).otherwise(1 - (1 - p) * (1 - e)), STEADY)
     drop = F.when(e.isNull(), p >= 0.75).otherwise((p >= 0.75) | (e >= 0.9) | ((score >= 0.6) & (F.least(p, e) >= 0.25)))
     return evidence.withColumns({"score": F.round(score, 4), "verdict": F.when(drop, "drop").otherwise("keep"), "prior": F.round(p, 4), "evidence": F.round(e, 4)})
 

@@ -160,6 +160,40 @@ def test_verdicts(spark):
     assert got == {"a": "drop", "b": "keep", "c": "drop", "d": "drop", "e": "keep", "f": "keep"}
 
 
+def test_verdicts_hang_on_no_last_bit(spark):
+    near = lambda x: [np.nextafter(x, 0), x, np.nextafter(x, 1)]
+    rows = [(float(p), None) for p in near(0.75)] + [(0.0, float(e)) for e in near(0.9)] + [(float(p), 0.25) for p in near(0.4666666666666667)] + [(float(p), 0.0) for p in near(0.58125)]
+    got = [tuple(r) for r in audit.decide(spark.createDataFrame(rows, "prior double, evidence double").coalesce(1)).select("prior", "score", "verdict").collect()]
+    assert got == [(0.75, 0.75, "drop")] * 3 + [(0.0, 0.9, "drop")] * 3 + [(0.4667, 0.6, "drop")] * 3 + [(0.5813, 0.5813, "keep")] * 3
+
+
+ORDERS = 3  # of each part's lines
+
+
+@pytest.fixture(scope="module")
+def reordered(spark, tmp_path_factory):
+    """Parts k, 1000 + k, 2000 + k, ... have the same lines, in other orders; the first 20 have a mean discount of 1/16 and no tax."""
+    folder, rng, lines = str(tmp_path_factory.mktemp("reordered")), np.random.default_rng(5), []
+    for k in range(200):
+        n = 16 if k < 20 else int(rng.choice([16, 24, 28, 32]))
+        discount, tax = rng.integers(0, 11, n), np.zeros(n, int) if k < 20 else rng.integers(0, 9, n)
+        while k < 20 and discount.sum() != 100:
+            discount = rng.integers(0, 11, n)
+        given = pd.DataFrame({"l_partkey": k, "l_discount": discount / 100, "l_tax": tax / 100})
+        for i, frame in enumerate((given, given.sort_values(["l_discount", "l_tax"]), given.sort_values(["l_tax", "l_discount"], ascending=False))):
+            lines.append(frame.assign(l_partkey=1000 * i + k))
+    part = pd.DataFrame([(1000 * i + k, f"Brand#{i}", k % 50 + 1) for i in range(ORDERS) for k in range(200)], columns=["p_partkey", "p_brand", "p_size"])
+    for name, frame in (("lineitem", pd.concat(lines)), ("part", part)):
+        spark.createDataFrame(frame).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_verdicts_in_any_order_of_rows(spark, reordered):
+    found = {r["p_partkey"]: tuple(r)[1:] for r in Q.queries()["u06_verdict"](spark, reordered).collect()}
+    assert len(found) == ORDERS * 200 and all(row == found[k % 1000] for k, row in found.items())
+    assert {found[k] for k in range(20)} == {(0.75, 0.0, 0.75, "drop")}
+
+
 def test_shift_with_all_rows_at_one_time(spark):
     df = spark.createDataFrame([(T, "x"), (T, None)], "at timestamp_ntz, c string")
     assert audit.age_shift(df, "at", ["c"], ["c"]).first()["evidence"] == 0.0
