@@ -200,6 +200,16 @@ def test_allow_lists_in_any_order_of_rows(spark, reordered):
     assert all(kept == found["Brand#0"] for kept in found.values())
 
 
+def test_audit_score_in_any_order_of_rows(spark, reordered, tmp_path):
+    part, lines = (Q.table(spark, reordered, t) for t in ("part", "lineitem"))
+    scores = set()
+    for i in range(ORDERS):
+        for name, df, key in (("part", part, "p_partkey"), ("lineitem", lines, "l_partkey")):
+            df.where(F.floor(F.col(key) / 1000) == i).write.parquet(str(tmp_path / str(i) / f"{name}.parquet"))
+        scores.add(tuple(Q.queries()["u11_audit_score"](spark, str(tmp_path / str(i))).first()))
+    assert len(scores) == 1
+
+
 def test_shift_with_all_rows_at_one_time(spark):
     df = spark.createDataFrame([(T, "x"), (T, None)], "at timestamp_ntz, c string")
     assert audit.age_shift(df, "at", ["c"], ["c"]).first()["evidence"] == 0.0
